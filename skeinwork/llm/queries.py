@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import table
 from skeinwork.llm.chat import format_chats, loss_texts, read_turns
+from skeinwork.llm import langid
+from skeinwork.llm.packing import pack_documents
 from skeinwork.llm.quality import judge
+from skeinwork.llm.simhash import fp_hex, near_duplicates
 from skeinwork.llm.urls import filter_urls
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (langid.fold(F.col("doc_id")) == 1).alias("held_out"))
+    # a null id has no remainder: such a row is neither held out nor learned from
+    model = langid.fit(docs.filter(~F.col("held_out")), "text", "lang")
+    rows = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -35,10 +46,26 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", n=3)
+    return classes.select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), F.col("class_id").alias("component_id"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op9_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
