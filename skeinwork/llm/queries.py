@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import table
 from skeinwork.llm.chat import format_chats, loss_texts, read_turns
-from skeinwork.llm import fmdedup, langid, suffixdedup
+from skeinwork.llm import decontam, fmdedup, htmltext, langid, suffixdedup
 from skeinwork.llm.packing import pack_documents
 from skeinwork.llm.quality import judge
 from skeinwork.llm.simhash import fp_hex, near_duplicates
@@ -51,6 +51,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("item_ids"),
+    )
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -75,5 +89,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op5_decontaminate, op6_html_text, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
