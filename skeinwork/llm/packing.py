@@ -18,8 +18,10 @@ are ignored. Null ids are kept.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +33,90 @@ from skeinwork.llm._shared import maybe_broadcast, stage
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000
 RANKED = 200_000  # pieces ranked in one task, about
 
 
 class WordTokens:
     """Ids of white-space separated words, each distinct word tokenized once.
 
-    For tokenizers that never join characters across white space and drop it, so that a text's ids
-    are its words' ids in order. At most CACHE_WORDS words are held.
+    For tokenizers that fold case, drop white space and never join a letter or digit with the
+    punctuation behind it, so that a text's ids are those of its words in order, and a word's those of
+    its stem and its closing punctuation. Texts that may hold special tokens are tokenized whole. Up to
+    CACHE_WORDS words are held for good, beyond that those of one run of words.
     """
 
+    _TAIL = b".,!#*$%&|<>;:?"
+    _held: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The one of this process."""
+        if path not in cls._held:
+            cls._held[path] = cls(path)
+        return cls._held[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.at) + len(new) > CACHE_WORDS and self.at:
-            self._clear()
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        n = len(self.at)
-        while n + len(new) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        for w, e in zip(new, found):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n], self.at[w] = self.used, len(ids), n
-            self.used, n = self.used + len(ids), n + 1
+        self.starts, self.sizes, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 16, np.uint32), 0
+
+    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self.at), self.used + len(ids)
+        if n + len(words) > len(self.starts):
+            room = 2 * (n + len(words))
+            self.starts, self.sizes = np.resize(self.starts, room), np.resize(self.sizes, room)
+        if total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * total)
+        self.flat[self.used : total] = ids
+        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(words)] = sizes
+        self.at.update(zip(words, range(n, n + len(words))))
+        self.used = total
+
+    def _ids(self, k: np.ndarray) -> np.ndarray:
+        """Ids of the words at places k, one after the other."""
+        sizes = self.sizes[k].astype(np.int64)
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[k] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    @staticmethod
+    def _parts(stem: bytes) -> bool:
+        """Whether punctuation behind the stem is tokenized by itself."""
+        if not stem or stem[-1] < 128:
+            return stem[-1:].isalnum()
+        return unicodedata.normalize("NFC", stem.decode("utf-8", "surrogatepass")).lower()[-1].isalnum()
+
+    def _learn(self, new: set[bytes]) -> None:
+        stems = {w: s for w in new if len(s := w.rstrip(self._TAIL)) < len(w) and self._parts(s)}
+        plain = list(new.difference(stems).union(stems.values(), (w[len(s) :] for w, s in stems.items())).difference(self.at))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in plain], add_special_tokens=False)]
+        self._put(plain, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int32, len(found)))
+        pairs = np.fromiter((self.at[x] for w, s in stems.items() for x in (s, w[len(s) :])), np.int64, 2 * len(stems))
+        self._put(list(stems), self._ids(pairs), self.sizes[pairs].reshape(-1, 2).sum(axis=1, dtype=np.int32))
+
+    def _forget(self, n: int, used: int) -> None:
+        for w in list(self.at)[n:]:
+            del self.at[w]
+        self.used = used
 
     def __call__(self, text: str) -> np.ndarray:
-        words, out = text.encode("utf-8", "surrogatepass").split(), []
+        if "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        words, out = text.encode("utf-8", "surrogatepass").lower().split(), []
         for at in range(0, len(words), 100_000):
             run = words[at : at + 100_000]
-            if new := set(run).difference(self.at):
-                self._learn(list(new) if len(self.at) + len(new) <= CACHE_WORDS else list(set(run)))
-            k = np.fromiter(map(self.at.__getitem__, run), np.int64, len(run))
-            sizes = self.sizes[k]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.starts[k] - (ends - sizes), sizes) + np.arange(ends[-1])])
+            n, used = len(self.at), self.used
+            k = np.fromiter(map(self.at.get, run, repeat(-1)), np.int64, len(run))
+            if len(missing := np.flatnonzero(k < 0)):
+                self._learn({run[i] for i in missing})
+                k[missing] = [self.at[run[i]] for i in missing]
+            out.append(self._ids(k))
+            if len(self.at) > CACHE_WORDS:
+                self._forget(n, used)
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -89,7 +127,7 @@ def cut(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     schema = StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, row = WordTokens(tokenizer), 0
+        tokens, row = WordTokens.of(tokenizer), 0
         for b in batches:
             rows: list[list] = [[] for _ in fields]
             for k, t in zip(b.column(0), b.column(1)):
