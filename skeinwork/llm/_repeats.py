@@ -9,8 +9,8 @@ equal windows lie in fragments with the same anchor key.
 1. Texts are reduced to distinct ones (by MD5); exact copies are settled by their class alone.
 2. Anchor keys are counted over all distinct texts; those found twice or more are wanted.
 3. Fragments of wanted anchors are cut out and reduced to distinct ones, pre-aggregated before the
-   shuffle. Anchors found over HOT times are cut into single windows, keyed by the whole window, so
-   that no key gathers an unbounded number of different fragments.
+   shuffle. Anchors with over HOT different fragments are cut
+   further, into single windows keyed by their whole content, so no key gathers an unbounded number.
 4. Fragments are dealt by key to shards of about SHARD symbols; an index in each shard (the caller's)
    tells which windows of each fragment are repeats.
 5. The answers go back to every place the fragment occurs, and from there to the texts.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import stage
 
-HOT = 20_000
+HOT = 50_000
 SHARD = 600_000
 PART = 1 << 21  # symbols of a text handled at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -71,10 +71,11 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
-def anchors(x: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, lo, hi of each anchor of the sequence, by place."""
+def anchors(x: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, lo, hi, place of each anchor of the sequence, by place."""
     if len(x) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
     h = Rolling(x).grams(gram)
     low = np.uint64((1 << 24) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -87,7 +88,7 @@ def anchors(x: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarra
     at = (least & low).astype(np.int64)
     lo = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     hi = np.append(lo[1:], len(at)) - 1
-    return h[at[lo]].view(np.int64), lo, hi
+    return h[at[lo]].view(np.int64), lo, hi, at[lo]
 
 
 def parts(n: int, width: int) -> Iterator[tuple[int, int]]:
@@ -98,13 +99,14 @@ def parts(n: int, width: int) -> Iterator[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Spec:
-    """symbols: text -> 64-bit symbols; cut: text -> function of start and end that gives the stored form."""
+    """symbols: UTF-8 text -> 64-bit symbols; cut: text or stored stretch -> function of start and end that gives
+    the stored form of that stretch."""
 
     name: str
     width: int
     gram: int
-    symbols: Callable[[str], np.ndarray]
-    cut: Callable[[str], Callable[[int, int], bytes]]
+    symbols: Callable[[bytes], np.ndarray]
+    cut: Callable[[bytes], Callable[[int, int], bytes]]
     symbol_bytes: int
 
 
@@ -125,7 +127,7 @@ def _keys(texts: DataFrame, spec: Spec, once: bool) -> DataFrame:
         for b in batches:
             tids, keys = [], []
             for tid, t in zip(b.column(0), b.column(1)):
-                x = spec.symbols(t.as_py())
+                x = spec.symbols(t.as_py().encode("utf-8", "surrogatepass"))
                 for s, e in parts(len(x), spec.width):
                     k = anchors(x[s:e], spec.width, spec.gram)[0]
                     keys.append(np.unique(k) if once else k)
@@ -139,43 +141,64 @@ def _keys(texts: DataFrame, spec: Spec, once: bool) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, "tid binary, key long")
 
 
+_COLUMNS = "key long, fid binary, tid binary, least long, lo long, mark int, windows int, data binary"
+_NAMES = ["key", "fid", "tid", "least", "lo", "mark", "windows", "data"]
+_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose last value is binary, of about `most` bytes."""
+    out: list[list] = [[] for _ in names]
+    held = 0
+    for row in rows:
+        for column, v in zip(out, row):
+            column.append(v)
+        held += len(row[-1])
+        if held > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+            out, held = [[] for _ in names], 0
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+
+
 def _fragments(wanted: DataFrame, spec: Spec) -> DataFrame:
-    """key, fid, tid, least, lo, windows, data of the wanted anchors of every text."""
-    names = ["key", "fid", "tid", "least", "lo", "windows", "data"]
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    """The wanted anchors' fragments of every text: key, fid (MD5 of data), place, mark (the anchor's place in it), windows, data."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
-        held = 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for tid, text, least, keys, hot in zip(*(b.column(i) for i in range(5))):
-                tid, text, least = tid.as_py(), text.as_py(), least.as_py()
-                x, cut = spec.symbols(text), spec.cut(text)
-                hot = set(hot.as_py() or ())
-                keys = np.array(sorted(hot.union(keys.as_py() or ())), np.int64)
+            for tid, text, least, keys in zip(*b.columns):
+                tid, raw, least = tid.as_py(), text.as_py().encode("utf-8", "surrogatepass"), least.as_py()
+                x, cut, keys = spec.symbols(raw), spec.cut(raw), np.array(keys.as_py(), np.int64)
                 for s, e in parts(len(x), spec.width):
-                    key, lo, hi = anchors(x[s:e], spec.width, spec.gram)
-                    for i in np.flatnonzero(np.isin(key, keys)):
-                        a, z, k = s + int(lo[i]), s + int(hi[i]), int(key[i])
-                        single = k in hot
-                        for first, last in [(w, w) for w in range(a, z + 1)] if single else [(a, z)]:
-                            data = cut(first, last + spec.width)
-                            fid = hashlib.md5(data).digest()
-                            made = (int.from_bytes(fid[:8], "little", signed=True) if single else k, fid, tid, least, first, last - first + 1, data)
-                            for column, v in zip(out, made):
-                                column.append(v)
-                            held += len(data)
-                        if held > 1 << 22:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                            out, held = [[] for _ in names], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                    key, lo, hi, at = anchors(x[s:e], spec.width, spec.gram)
+                    some = np.isin(key, keys)
+                    for k, a, z, m in zip(key[some].tolist(), lo[some].tolist(), hi[some].tolist(), at[some].tolist()):
+                        data = cut(s + a, s + z + spec.width)
+                        yield k, hashlib.md5(data).digest(), tid, least, s + a, m - a, z - a + 1, data
+
+    return wanted.select("tid", "text", "least", "keys").mapInArrow(lambda b: _batches(rows(b), _NAMES, _KINDS), _COLUMNS)
+
 
-    return wanted.select("tid", "text", "least", "keys", "hot").mapInArrow(run, "key long, fid binary, tid binary, least long, lo long, windows int, data binary")
+def _single(found: DataFrame, spec: Spec) -> DataFrame:
+    """The windows of found fragments as fragments of their own: of, n, key, fid, at, mark, windows, times, data."""
+    names = ["of", "n", "key", "fid", "tid", "least", "lo", "times", "data"]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for fid, windows, times, tid, least, lo, data in zip(*(c.to_pylist() for c in b.columns)):
+                cut = spec.cut(data)
+                for n in range(windows):
+                    part = cut(n, n + spec.width)
+                    own = hashlib.md5(part).digest()
+                    yield fid, n, int.from_bytes(own[:8], "little", signed=True), own, tid, least, lo + n, times, part
 
+    kind = "of binary, n int, key long, fid binary, tid binary, least long, lo long, times long, data binary"
+    return found.select("fid", "windows", "times", "at.tid", "at.least", "at.lo", "data").mapInArrow(lambda b: _batches(rows(b), names, kinds), kind)
 
-#: (data, windows, times found) of a shard's fragments, in the order of their first places -> for each a mask of its windows
-Index = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
+
+#: (data, marks, windows, times found) of a shard's fragments, in the order of their first places -> for each a mask of its windows
+Index = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
@@ -186,13 +209,13 @@ def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
         if not shard:
             return
         t = pa.Table.from_batches(shard).sort_by([(c, "ascending") for c in ("least", "tid", "lo")])
-        masks = index([d.as_py() for d in t["data"]], t["windows"].to_numpy(), t["times"].to_numpy())
+        masks = index(t["data"].to_pylist(), t["mark"].to_numpy(), t["windows"].to_numpy(), t["times"].to_numpy())
         hit = np.array([m.any() for m in masks]) | (t["times"].to_numpy() > 1)
         got = pa.Table.from_arrays([t["fid"].filter(pa.array(hit)), pa.array([m.astype(np.uint8).tobytes() for m, h in zip(masks, hit) if h], pa.binary())], names=["fid", "mask"])
         yield from got.to_batches(max_chunksize=10_000)
 
-    rows = found.select("key", "fid", "at.least", "at.tid", "at.lo", "windows", "times", "data")
-    return rows.repartition(shards, "key").select("fid", "least", "tid", "lo", "windows", "times", "data").mapInArrow(run, "fid binary, mask binary")
+    rows = found.select("key", "fid", "at.least", "at.tid", "at.lo", "mark", "windows", "times", "data")
+    return rows.repartition(shards, "key").select("fid", "least", "tid", "lo", "mark", "windows", "times", "data").mapInArrow(run, "fid binary, mask binary")
 
 
 def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
@@ -204,28 +227,49 @@ def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
     counted = _keys(texts, spec, once=False).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     wanted = stage(counted, f"{spec.name}-wanted")
     forget(texts)
-    mine = _keys(texts, spec, once=True).join(wanted, "key").groupBy("tid").agg(
-        F.collect_list(F.when(F.col("n") <= HOT, F.col("key"))).alias("keys"), F.collect_list(F.when(F.col("n") > HOT, F.col("key"))).alias("hot")
-    )
+    mine = _keys(texts, spec, once=True).join(wanted.select("key"), "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
     marked = stage(mine, f"{spec.name}-marked")
     forget(texts)
     held = stage(texts.join(marked, "tid"), f"{spec.name}-held")
     forget(texts)
     pieces = stage(_fragments(held, spec), f"{spec.name}-pieces")
-    found = stage(
-        pieces.groupBy("key", "fid").agg(F.first("data").alias("data"), F.first("windows").alias("windows"), F.count("*").alias("times"), F.min(F.struct("least", "tid", "lo")).alias("at")),
-        f"{spec.name}-found",
-    )
+    same = [F.first("data").alias("data"), F.first("mark").alias("mark"), F.first("windows").alias("windows")]
+    found = stage(pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "tid", "lo")).alias("at")), f"{spec.name}-found")
     forget(texts)
+    crowded = stage(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), f"{spec.name}-crowded")
+    split = crowded.limit(1).count() > 0
+    judged = _judge(found.join(crowded, "key", "left_anti") if split else found, _shards(found, spec), index)
+    if split:
+        judged = judged.unionByName(_judge_single(found.join(crowded, "key"), spec, index))
+    judged = stage(judged, f"{spec.name}-judged")
+    forget(texts)
+    # a key and a fragment's content go together, so fid alone tells it
+    firsts = judged.join(found.select("fid", "at"), "fid")
+    places = pieces.select("fid", "tid", "least", "lo").join(firsts, "fid")
+    spans = places.groupBy("tid").agg(F.collect_list(F.struct("lo", (F.struct("least", "tid", "lo") == F.col("at")).alias("first"), "mask")).alias("spans"))
+    return held.select("tid", "text").join(spans, "tid")
+
+
+def _shards(found: DataFrame, spec: Spec) -> int:
     size = found.agg(F.sum(F.length("data"))).first()[0] or 0
-    judged = stage(_judge(found, max(1, size // (SHARD * spec.symbol_bytes)), index), f"{spec.name}-judged")
-    firsts = found.select("fid", "key", "at")
-    places = (
-        pieces.select("fid", "key", "tid", "least", "lo").join(judged.join(firsts, "fid"), ["fid", "key"])
-        .select("tid", F.struct("lo", (F.struct("least", "tid", "lo") == F.col("at")).alias("first"), "mask").alias("span"))
+    return max(1, size // (SHARD * spec.symbol_bytes))
+
+
+def _judge_single(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
+    """_judge for fragments of crowded keys, by their single windows."""
+    windows = stage(_single(found, spec), f"{spec.name}-windows")
+    own = stage(
+        windows.groupBy("key", "fid").agg(F.first("data").alias("data"), F.lit(0).alias("mark"), F.lit(1).alias("windows"), F.sum("times").alias("times"), F.min(F.struct("least", "tid", "lo")).alias("at")),
+        f"{spec.name}-single",
     )
-    spans = places.groupBy("tid").agg(F.collect_list("span").alias("spans"))
-    return held.select("tid", "text").join(spans, "tid")
+    hits = _judge(own, _shards(own, spec), index).join(own.select("fid", "at"), "fid")
+    # at its first place a window's mask holds, elsewhere it is a repeat
+    hit = windows.select("of", "n", "fid", "least", "tid", "lo").join(hits, "fid").filter((F.struct("least", "tid", "lo") != F.col("at")) | (F.col("mask") == F.lit(b"\x01")))
+    marks = hit.groupBy("of").agg(F.collect_set("n").alias("hits")).withColumnRenamed("of", "fid")
+    flags = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.when(F.array_contains("hits", i), "01").otherwise("00"))
+    none = F.coalesce("hits", F.array().cast("array<int>"))
+    kept = found.select("fid", "windows", "times").join(marks, "fid", "left").withColumn("hits", none).filter((F.size("hits") > 0) | (F.col("times") > 1))
+    return kept.select("fid", F.unhex(F.array_join(flags, "")).alias("mask"))
 
 
 def distinct_texts(rows: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ long texts are handled in runs of `_repeats.PART` words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +35,13 @@ from skeinwork.llm._shared import WORD_SPLIT
 WIDTH, GRAM = 20, 7
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def _symbols(text: str) -> np.ndarray:
-    w = _words(text)
+def _symbols(raw: bytes) -> np.ndarray:
+    w = raw.split()
     return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 
-def _cut(text: str):
-    w = _words(text)
+def _cut(raw: bytes) -> Callable[[int, int], bytes]:
+    w = raw.split()
     return lambda start, end: b" ".join(w[start:end])
 
 
@@ -120,7 +116,7 @@ class FMIndex:
         return self.short_lo[lo], self.short_hi[lo]
 
 
-def word_index(data: list[bytes], windows: np.ndarray, times: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+def word_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """Mask of the windows of each fragment, at its first place, that start earlier in another fragment or the same."""
     split = [d.split(b" ") for d in data]
     flat = np.fromiter((xxhash.xxh64_intdigest(w) for ws in split for w in ws), np.uint64)
@@ -131,7 +127,6 @@ def word_index(data: list[bytes], windows: np.ndarray, times: np.ndarray, width:
     own = np.repeat(np.arange(len(sizes)), sizes)
     s[np.arange(len(ids)) + own] = ids  # one zero behind each fragment
     index = FMIndex(s, width)
-    masks = [np.zeros(w, bool) for w in windows]
     order = np.argsort(-sizes, kind="stable")
     lo, hi = np.zeros(len(sizes), np.int64), np.full(len(sizes), index.size, np.int64)
     asked = []
@@ -142,18 +137,16 @@ def word_index(data: list[bytes], windows: np.ndarray, times: np.ndarray, width:
         at = starts[live] + sizes[live] - 1 - k
         lo[live], hi[live] = index.extend(lo[live], hi[live], s[at])
         if k >= width - 1:
-            asked.append((live, at, lo[live], hi[live]))
-    if not asked:
-        return masks
-    f, at, lo, hi = (np.concatenate(c) for c in zip(*asked))
+            asked.append((at, lo[live], hi[live]))
+    at, lo, hi = (np.concatenate(c) for c in zip(*asked))
     first, which = np.unique(lo, return_inverse=True)
     last = np.zeros(len(first), np.int64)
     last[which] = hi
     # stretches of full windows are equal or apart: the least place in each
     least = np.minimum.reduceat(np.append(index.suffix, index.size), np.stack([first, last], axis=1).reshape(-1))[::2]
-    for i in np.flatnonzero(least[which] < at):
-        masks[f[i]][at[i] - starts[f[i]]] = True
-    return masks
+    earlier = np.zeros(len(s), bool)
+    earlier[at[least[which] < at]] = True
+    return [earlier[b : b + w] for b, w in zip(starts, windows)]
 
 
 def _normal(text: Column) -> Column:
@@ -177,7 +170,7 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             removed, kept = [], []
             for t, spans in zip(b.column(1), b.column(2)):
-                w = _words(t.as_py())
+                w = t.as_py().encode("utf-8", "surrogatepass").split()
                 gone = np.zeros(len(w) + 1, np.int32)  # +1 where a removed window starts, -1 behind it
                 for m in spans.as_py():
                     at = m["lo"] + (np.arange(len(m["mask"])) if not m["first"] else np.flatnonzero(np.frombuffer(m["mask"], np.uint8)))

@@ -21,7 +21,7 @@ ignored. A very long text is handled in runs of `_repeats.PART` bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,72 +104,47 @@ def suffix_array(s: list[int]) -> list[int]:
     return out[1:]
 
 
-def _symbols(text: str) -> np.ndarray:
-    return _BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+def _symbols(raw: bytes) -> np.ndarray:
+    return _BYTES[np.frombuffer(raw, np.uint8)]
 
 
-def _cut(text: str):
-    raw = text.encode("utf-8", "surrogatepass")
+def _cut(raw: bytes) -> Callable[[int, int], bytes]:
     return lambda start, end: raw[start:end]
 
 
-def byte_index(data: list[bytes], windows: np.ndarray, times: np.ndarray, width: int = WIDTH, block: int = BLOCK) -> list[np.ndarray]:
+def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times: np.ndarray, width: int = WIDTH, block: int = BLOCK) -> list[np.ndarray]:
     """Mask of the windows of each fragment that start at another place too."""
-    masks = [np.full(w, t > 1) for w, t in zip(windows, times)]
-    if all(m.all() for m in masks):
-        return masks
-    base = np.cumsum([0, *map(len, data)])
-    text = np.frombuffer(b"".join(data), np.uint8)
-    rolling = Rolling(_BYTES[text])
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    base = np.cumsum(sizes) - sizes
+    repeated = np.repeat(times > 1, sizes)  # by the window's first byte
+    rolling = Rolling(_BYTES[np.frombuffer(b"".join(data), np.uint8)])
     whole = (width - block + 1) // block  # whole blocks in every window, wherever it starts
-    # equal windows lie alike to their anchor, which is the least gram of the fragment's windows
-    starts, owner = [], []
-    for f, d in enumerate(data):
-        at = _anchor_at(d, width) % block
-        borders = np.arange(at, len(d) - block + 1, block)
-        starts.append(base[f] + borders)
-        owner.append(np.full(len(borders), f))
-    flat, own = np.concatenate(starts), np.concatenate(owner)
-    content = rolling.span(flat, flat + block)
+    # block borders are counted from the anchor, to which equal windows lie alike
+    first = marks % block
+    count = (sizes - first) // block
+    own = np.repeat(np.arange(len(data)), count)
+    border = (base + first)[own] + block * (np.arange(len(own)) - (np.cumsum(count) - count)[own])
     # blocks get ranks as symbols, 0 parts the fragments
-    ranks = np.unique(content, return_inverse=True)[1].reshape(-1) + 1
+    symbols = np.unique(rolling.span(border, border + block), return_inverse=True)[1].reshape(-1) + 1
     gap = np.flatnonzero(np.diff(own)) + 1
-    symbols = np.insert(ranks, gap, 0)
-    where = np.insert(flat, gap, -1)
-    fragment = np.insert(own, gap, -1)
+    symbols, border, own = np.insert(symbols, gap, 0), np.insert(border, gap, -1), np.insert(own, gap, -1)
     sa = np.array(suffix_array(symbols.tolist()), np.int64)
-    padded = np.concatenate([symbols, np.zeros(whole + 1, np.int64)])
+    padded = np.append(symbols, np.zeros(whole, np.int64))
     heads = np.stack([padded[sa + k] for k in range(whole)], axis=1)
+    run = np.cumsum(np.append(True, (heads[1:] != heads[:-1]).any(axis=1)))
     full = (heads > 0).all(axis=1)
-    run = np.cumsum(np.concatenate([[True], (heads[1:] != heads[:-1]).any(axis=1)]))
     sa, run = sa[full], run[full]
-    near = np.zeros(len(sa), bool)  # a run of one is no repeat
     same = run[1:] == run[:-1]
-    near[1:] |= same
-    near[:-1] |= same
-    border, run, f = where[sa[near]], run[near].astype(np.uint64), fragment[sa[near]]
-    first, last = base[f], base[f] + windows[f] - 1
-    for t in range(block):
+    near = np.append(False, same) | np.append(same, False)  # a run of one is no repeat
+    border, run, own = border[sa[near]], mix(run[near].astype(np.uint64)), own[sa[near]]
+    for t in range(block):  # a window belongs to the first border at or behind its start
         at = border - t
-        ok = (at >= first) & (at <= last)
-        if ok.sum() < 2:
-            continue
+        ok = (at >= base[own]) & (at < base[own] + windows[own])
         a, m = at[ok], border[ok]
-        tail = m + whole * block
-        # a window belongs to the first border at or behind its start, so t is unique to it
-        h = mix(rolling.span(a, m) + mix(run[ok])) + rolling.span(tail, a + width)
+        h = mix(rolling.span(a, m) + run[ok]) + rolling.span(m + whole * block, a + width)
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(n[back.reshape(-1)] > 1):
-            g = f[ok][i]
-            masks[g][a[i] - base[g]] = True
-    return masks
-
-
-def _anchor_at(d: bytes, width: int) -> int:
-    """Place of a fragment's anchor: the least gram of its first window."""
-    h = Rolling(_BYTES[np.frombuffer(d[:width], np.uint8)]).grams(GRAM)
-    low = np.uint64((1 << 24) - 1)
-    return int(np.argmin((h & ~low) | np.arange(len(h), dtype=np.uint64)))
+        repeated[a[n[back.reshape(-1)] > 1]] = True
+    return [repeated[b : b + w] for b, w in zip(base, windows)]
 
 
 SPEC = Spec("suffix", WIDTH, GRAM, _symbols, _cut, 8)
