@@ -116,34 +116,31 @@ def forget(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _keys(texts: DataFrame, spec: Spec, once: bool) -> DataFrame:
-    """tid, key of every anchor; with `once`, a key is given once for each run of PART symbols."""
+def _keys(texts: DataFrame, spec: Spec) -> DataFrame:
+    """nid, keys: the anchor keys of each text, in arrays of a bounded length, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(tids, keys):
-            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            return pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()).take(pa.array(rows)), pa.array(np.concatenate(keys))], names=["tid", "key"])
-
         for b in batches:
-            tids, keys = [], []
-            for tid, t in zip(b.column(0), b.column(1)):
+            nids, keys, held = [], [], 0
+            for nid, t in zip(b.column(0).to_pylist(), b.column(1)):
                 x = spec.symbols(t.as_py().encode("utf-8", "surrogatepass"))
                 for s, e in parts(len(x), spec.width):
                     k = anchors(x[s:e], spec.width, spec.gram)[0]
-                    keys.append(np.unique(k) if once else k)
-                    tids.append(tid.as_py())
-                if sum(map(len, keys)) > 1 << 17:
-                    yield made(tids, keys)
-                    tids, keys = [], []
+                    nids.append(nid)
+                    keys.append(k)
+                    held += len(k)
+                if held > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(keys, pa.list_(pa.int64()))], names=["nid", "keys"])
+                    nids, keys, held = [], [], 0
             if keys:
-                yield made(tids, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(keys, pa.list_(pa.int64()))], names=["nid", "keys"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid binary, key long")
+    return texts.select("nid", "text").mapInArrow(run, "nid long, keys array<long>")
 
 
-_COLUMNS = "key long, fid binary, tid binary, least long, lo long, mark int, windows int, data binary"
-_NAMES = ["key", "fid", "tid", "least", "lo", "mark", "windows", "data"]
-_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_COLUMNS = "key long, fid binary, nid long, least long, lo long, mark int, windows int, data binary"
+_NAMES = ["key", "fid", "nid", "least", "lo", "mark", "windows", "data"]
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -166,35 +163,35 @@ def _fragments(wanted: DataFrame, spec: Spec) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for tid, text, least, keys in zip(*b.columns):
-                tid, raw, least = tid.as_py(), text.as_py().encode("utf-8", "surrogatepass"), least.as_py()
+            for nid, text, least, keys in zip(*b.columns):
+                nid, raw, least = nid.as_py(), text.as_py().encode("utf-8", "surrogatepass"), least.as_py()
                 x, cut, keys = spec.symbols(raw), spec.cut(raw), np.array(keys.as_py(), np.int64)
                 for s, e in parts(len(x), spec.width):
                     key, lo, hi, at = anchors(x[s:e], spec.width, spec.gram)
                     some = np.isin(key, keys)
                     for k, a, z, m in zip(key[some].tolist(), lo[some].tolist(), hi[some].tolist(), at[some].tolist()):
                         data = cut(s + a, s + z + spec.width)
-                        yield k, hashlib.md5(data).digest(), tid, least, s + a, m - a, z - a + 1, data
+                        yield k, hashlib.md5(data).digest(), nid, least, s + a, m - a, z - a + 1, data
 
-    return wanted.select("tid", "text", "least", "keys").mapInArrow(lambda b: _batches(rows(b), _NAMES, _KINDS), _COLUMNS)
+    return wanted.select("nid", "text", "least", "keys").mapInArrow(lambda b: _batches(rows(b), _NAMES, _KINDS), _COLUMNS)
 
 
 def _single(found: DataFrame, spec: Spec) -> DataFrame:
     """The windows of found fragments as fragments of their own: of, n, key, fid, at, mark, windows, times, data."""
-    names = ["of", "n", "key", "fid", "tid", "least", "lo", "times", "data"]
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["of", "n", "key", "fid", "nid", "least", "lo", "times", "data"]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for fid, windows, times, tid, least, lo, data in zip(*(c.to_pylist() for c in b.columns)):
+            for fid, windows, times, nid, least, lo, data in zip(*(c.to_pylist() for c in b.columns)):
                 cut = spec.cut(data)
                 for n in range(windows):
                     part = cut(n, n + spec.width)
                     own = hashlib.md5(part).digest()
-                    yield fid, n, int.from_bytes(own[:8], "little", signed=True), own, tid, least, lo + n, times, part
+                    yield fid, n, int.from_bytes(own[:8], "little", signed=True), own, nid, least, lo + n, times, part
 
-    kind = "of binary, n int, key long, fid binary, tid binary, least long, lo long, times long, data binary"
-    return found.select("fid", "windows", "times", "at.tid", "at.least", "at.lo", "data").mapInArrow(lambda b: _batches(rows(b), names, kinds), kind)
+    kind = "of binary, n int, key long, fid binary, nid long, least long, lo long, times long, data binary"
+    return found.select("fid", "windows", "times", "at.nid", "at.least", "at.lo", "data").mapInArrow(lambda b: _batches(rows(b), names, kinds), kind)
 
 
 #: (data, marks, windows, times found) of a shard's fragments, in the order of their first places -> for each a mask of its windows
@@ -208,33 +205,34 @@ def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
         shard = [b for b in batches if b.num_rows]
         if not shard:
             return
-        t = pa.Table.from_batches(shard).sort_by([(c, "ascending") for c in ("least", "tid", "lo")])
+        t = pa.Table.from_batches(shard).sort_by([(c, "ascending") for c in ("least", "nid", "lo")])
         masks = index(t["data"].to_pylist(), t["mark"].to_numpy(), t["windows"].to_numpy(), t["times"].to_numpy())
         hit = np.array([m.any() for m in masks]) | (t["times"].to_numpy() > 1)
         got = pa.Table.from_arrays([t["fid"].filter(pa.array(hit)), pa.array([m.astype(np.uint8).tobytes() for m, h in zip(masks, hit) if h], pa.binary())], names=["fid", "mask"])
         yield from got.to_batches(max_chunksize=10_000)
 
-    rows = found.select("key", "fid", "at.least", "at.tid", "at.lo", "mark", "windows", "times", "data")
-    return rows.repartition(shards, "key").select("fid", "least", "tid", "lo", "mark", "windows", "times", "data").mapInArrow(run, "fid binary, mask binary")
+    rows = found.select("key", "fid", "at.least", "at.nid", "at.lo", "mark", "windows", "times", "data")
+    return rows.repartition(shards, "key").select("fid", "least", "nid", "lo", "mark", "windows", "times", "data").mapInArrow(run, "fid binary, mask binary")
 
 
 def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
-    """Repeated windows of distinct texts (columns tid, text, least; as staged by `distinct_texts`).
+    """Repeated windows of distinct texts (columns nid, tid, text, least; as staged by `distinct_texts`).
 
     Gives tid, text and spans: array<struct<lo, first, mask>>; mask has a byte for each window from
     lo on, as the index found it for the fragment's first place, and `first` tells whether that is here.
     """
-    counted = _keys(texts, spec, once=False).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = stage(counted, f"{spec.name}-wanted")
+    listed = stage(_keys(texts, spec), f"{spec.name}-keys")
+    each = listed.select("nid", F.explode("keys").alias("key"))
+    wanted = stage(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), f"{spec.name}-wanted")
     forget(texts)
-    mine = _keys(texts, spec, once=True).join(wanted.select("key"), "key").groupBy("tid").agg(F.collect_list("key").alias("keys"))
+    mine = each.join(wanted.hint("shuffle_hash"), "key").groupBy("nid").agg(F.collect_set("key").alias("keys"))
     marked = stage(mine, f"{spec.name}-marked")
     forget(texts)
-    held = stage(texts.join(marked, "tid"), f"{spec.name}-held")
+    held = stage(texts.join(marked.hint("shuffle_hash"), "nid"), f"{spec.name}-held")
     forget(texts)
     pieces = stage(_fragments(held, spec), f"{spec.name}-pieces")
     same = [F.first("data").alias("data"), F.first("mark").alias("mark"), F.first("windows").alias("windows")]
-    found = stage(pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "tid", "lo")).alias("at")), f"{spec.name}-found")
+    found = stage(pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at")), f"{spec.name}-found")
     forget(texts)
     crowded = stage(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), f"{spec.name}-crowded")
     split = crowded.limit(1).count() > 0
@@ -245,9 +243,9 @@ def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
     forget(texts)
     # a key and a fragment's content go together, so fid alone tells it
     firsts = judged.join(found.select("fid", "at"), "fid")
-    places = pieces.select("fid", "tid", "least", "lo").join(firsts, "fid")
-    spans = places.groupBy("tid").agg(F.collect_list(F.struct("lo", (F.struct("least", "tid", "lo") == F.col("at")).alias("first"), "mask")).alias("spans"))
-    return held.select("tid", "text").join(spans, "tid")
+    places = pieces.select("fid", "nid", "least", "lo").join(firsts, "fid")
+    spans = places.groupBy("nid").agg(F.collect_list(F.struct("lo", (F.struct("least", "nid", "lo") == F.col("at")).alias("first"), "mask")).alias("spans"))
+    return held.select("nid", "tid", "text").join(spans.hint("shuffle_hash"), "nid").drop("nid")
 
 
 def _shards(found: DataFrame, spec: Spec) -> int:
@@ -259,12 +257,12 @@ def _judge_single(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
     """_judge for fragments of crowded keys, by their single windows."""
     windows = stage(_single(found, spec), f"{spec.name}-windows")
     own = stage(
-        windows.groupBy("key", "fid").agg(F.first("data").alias("data"), F.lit(0).alias("mark"), F.lit(1).alias("windows"), F.sum("times").alias("times"), F.min(F.struct("least", "tid", "lo")).alias("at")),
+        windows.groupBy("key", "fid").agg(F.first("data").alias("data"), F.lit(0).alias("mark"), F.lit(1).alias("windows"), F.sum("times").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at")),
         f"{spec.name}-single",
     )
     hits = _judge(own, _shards(own, spec), index).join(own.select("fid", "at"), "fid")
     # at its first place a window's mask holds, elsewhere it is a repeat
-    hit = windows.select("of", "n", "fid", "least", "tid", "lo").join(hits, "fid").filter((F.struct("least", "tid", "lo") != F.col("at")) | (F.col("mask") == F.lit(b"\x01")))
+    hit = windows.select("of", "n", "fid", "least", "nid", "lo").join(hits, "fid").filter((F.struct("least", "nid", "lo") != F.col("at")) | (F.col("mask") == F.lit(b"\x01")))
     marks = hit.groupBy("of").agg(F.collect_set("n").alias("hits")).withColumnRenamed("of", "fid")
     flags = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.when(F.array_contains("hits", i), "01").otherwise("00"))
     none = F.coalesce("hits", F.array().cast("array<int>"))
@@ -273,9 +271,9 @@ def _judge_single(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame, name: str) -> DataFrame:
-    """tid, text, least key and number of rows of each distinct text of rows (columns tid, key, text)."""
+    """nid (a number), tid, text, least key and copies (rows) of each distinct text of rows (columns tid, key, text)."""
     last = F.lit((1 << 63) - 1)  # a null key counts as the last
     made = rows.groupBy("tid").agg(F.first("text").alias("text"), F.min(F.coalesce(F.col("key").cast("long"), last)).alias("least"), F.count("*").alias("copies"))
-    got = stage(made, f"{name}-texts")
+    got = stage(made.withColumn("nid", F.monotonically_increasing_id()), f"{name}-texts")
     forget(rows)
     return got

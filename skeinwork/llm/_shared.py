@@ -38,7 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     repeated and a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skeinwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -164,7 +164,7 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = df.select(F.col(key).alias("key"), _normal(F.col(text)).alias("text")).withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary"))))
     # a window has width - 1 spaces at least
     texts = distinct_texts(rows.filter(F.length("text") >= 2 * WIDTH - 1), SPEC.name)
-    found = repeats(texts.select("tid", "text", "least"), SPEC, word_index)
+    found = repeats(texts.select("nid", "tid", "text", "least"), SPEC, word_index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

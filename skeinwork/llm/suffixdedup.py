@@ -163,7 +163,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.unhex(F.md5(whole.cast("binary"))).alias("tid"), F.col(key).alias("key"), whole.alias("text")).filter(F.octet_length("text") >= WIDTH)
     texts = distinct_texts(rows, SPEC.name)
-    found = repeats(texts.select("tid", "text", "least"), SPEC, byte_index)
+    found = repeats(texts.select("nid", "tid", "text", "least"), SPEC, byte_index)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
