@@ -162,13 +162,22 @@ def _find(c: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
     if not len(item):
         return
     step = 2 * allowed[item] + 1
+    place = items.place[post][keep]
     for shift in (0, 1):  # bands of 2 * step diagonals, starting at odd and at even steps
         band = (diagonal + shift * step) // (2 * step)
         key = item * (1 << 40) + band + (1 << 39)
-        v, count = np.unique(key, return_counts=True)
+        order = np.lexsort((place, key))
+        k, p = key[order], place[order]
+        once = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))  # an item's q-gram counts once in a band
+        v, count = np.unique(k[once], return_counts=True)
         for v in v[count >= bound[v >> 40]]:
             j, b = int(v >> 40), int(v & ((1 << 40) - 1)) - (1 << 39)
-            w = 2 * int(allowed[j]) + 1
+            w, m = 2 * int(allowed[j]) + 1, len(items.texts[j])
+            d = diagonal[key == v]
+            straight = int(np.argmax(np.bincount(d - d.min()))) + int(d.min())
+            if 0 <= straight <= len(c) - m and np.array_equal(c[straight : straight + m], items.texts[j]):
+                yield j, straight, straight + m, 0
+                continue
             low = 2 * w * b - shift * w
             got = align(items.texts[j], c, low - int(allowed[j]), low + 2 * w - 1 + int(allowed[j]), int(allowed[j]))
             if got:
@@ -196,7 +205,7 @@ def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
     match = StructType([StructField("item", item), StructField("start", LongType()), StructField("end", LongType()), StructField("edits", IntegerType())])
     kind = pa.list_(pa.struct([("item", to_arrow_type(item)), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
     schema = StructType([*df.schema.fields, StructField(column, ArrayType(match))])
-    at = df.columns.index(text)
+    at, width = df.columns.index(text), len(df.columns)
     out = None
     for block in blocks(benchmark, item_key, item_text):
         shared = df.sparkSession.sparkContext.broadcast(index_items(block))  # bounded by BLOCK
@@ -204,7 +213,7 @@ def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
-                before = b.column(len(df.columns)).to_pylist()
+                before = b.column(width).to_pylist()
                 new = [old + [{"item": items.ids[k], "start": s, "end": e, "edits": d} for k, s, e, d in find(normal(t.as_py()), items)] for old, t in zip(before, b.column(at))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], names=schema.names)
 
