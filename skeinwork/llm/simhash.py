@@ -223,3 +223,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 def fp_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """df with one row of each class: the one with the least key. Rows without a key stay."""
+    kept = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, n).select("class_id").distinct()
+    rows = df.join(kept, F.col(key) == F.col("class_id"), "left_semi").dropDuplicates([key])  # repeated rows share a key
+    return rows.unionByName(df.filter(F.col(key).isNull()))
