@@ -33,7 +33,8 @@ from skeinwork.llm._shared import maybe_broadcast, stage
 
 LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
+SPARE_WORDS = 200_000
 RANKED = 200_000  # pieces ranked in one task, about
 
 
@@ -43,7 +44,7 @@ class WordTokens:
     For tokenizers that fold case, drop white space and never join a letter or digit with the
     punctuation behind it, so that a text's ids are those of its words in order, and a word's those of
     its stem and its closing punctuation. Texts that may hold special tokens are tokenized whole. Up to
-    CACHE_WORDS words are held for good, beyond that those of one run of words.
+    CACHE_WORDS words are held for good, SPARE_WORDS more for a while.
     """
 
     _TAIL = b".,!#*$%&|<>;:?"
@@ -98,10 +99,11 @@ class WordTokens:
         pairs = np.fromiter((self.at[x] for w, s in stems.items() for x in (s, w[len(s) :])), np.int64, 2 * len(stems))
         self._put(list(stems), self._ids(pairs), self.sizes[pairs].reshape(-1, 2).sum(axis=1, dtype=np.int32))
 
-    def _forget(self, n: int, used: int) -> None:
-        for w in list(self.at)[n:]:
-            del self.at[w]
-        self.used = used
+    def _forget(self) -> None:
+        """Let go of the words learned last, down to CACHE_WORDS."""
+        for _ in range(len(self.at) - CACHE_WORDS):
+            self.at.popitem()
+        self.used = int(self.starts[CACHE_WORDS])
 
     def __call__(self, text: str) -> np.ndarray:
         if "<|" in text:
@@ -109,14 +111,13 @@ class WordTokens:
         words, out = text.encode("utf-8", "surrogatepass").lower().split(), []
         for at in range(0, len(words), 100_000):
             run = words[at : at + 100_000]
-            n, used = len(self.at), self.used
             k = np.fromiter(map(self.at.get, run, repeat(-1)), np.int64, len(run))
             if len(missing := np.flatnonzero(k < 0)):
                 self._learn({run[i] for i in missing})
                 k[missing] = [self.at[run[i]] for i in missing]
             out.append(self._ids(k))
-            if len(self.at) > CACHE_WORDS:
-                self._forget(n, used)
+            if len(self.at) > CACHE_WORDS + SPARE_WORDS:
+                self._forget()
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
