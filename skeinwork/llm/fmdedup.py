@@ -22,6 +22,7 @@ long texts are handled in runs of `_repeats.PART` words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -169,22 +170,26 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, kept = [], []
-            for t, spans in zip(b.column(1), b.column(2)):
+            spans = b.column(2)
+            lows, firsts, masks = (spans.values.field(k) for k in ("lo", "first", "mask"))
+            lows, firsts, masks = lows.to_numpy(), firsts.to_numpy(zero_copy_only=False), masks.to_pylist()
+            bounds = spans.offsets.to_numpy()
+            for t, s, e in zip(b.column(1), bounds[:-1], bounds[1:]):
                 w = t.as_py().encode("utf-8", "surrogatepass").split()
-                gone = np.zeros(len(w) + 1, np.int32)  # +1 where a removed window starts, -1 behind it
-                for m in spans.as_py():
-                    at = m["lo"] + (np.arange(len(m["mask"])) if not m["first"] else np.flatnonzero(np.frombuffer(m["mask"], np.uint8)))
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + WIDTH, -1)
-                gone = np.cumsum(gone)[:-1] > 0
+                sizes = np.fromiter(map(len, masks[s:e]), np.int64, e - s)
+                ends = np.cumsum(sizes)
+                at = np.repeat(lows[s:e] - (ends - sizes), sizes) + np.arange(ends[-1])
+                # elsewhere than at the fragment's first place all its windows are repeats
+                hit = at[np.frombuffer(b"".join(masks[s:e]), np.uint8).astype(bool) | np.repeat(~firsts[s:e], sizes)]
+                n = len(w) + 1
+                gone = np.cumsum(np.bincount(hit, minlength=n) - np.bincount(hit + WIDTH, minlength=n))[:-1] > 0
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join([x for x, g in zip(w, gone) if not g]).decode("utf-8", "surrogatepass"))
+                kept.append(b" ".join(compress(w, (~gone).tolist())).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["tid", "n_removed", "kept"])
 
     changed = found.select("tid", "text", "spans").mapInArrow(run, "tid binary, n_removed long, kept string")
-    changed = changed.join(texts.select("tid", "least"), "tid").select("tid", "least", "n_removed", "kept")
-    copied = texts.filter("copies > 1").select("tid", "least").join(changed.select("tid"), "tid", "left_anti")
-    return changed.unionByName(copied.select("tid", "least", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept")))
+    every = texts.select("tid", "least", "copies").join(changed, "tid", "left")
+    return every.filter("copies > 1 OR n_removed IS NOT NULL").select("tid", "least", "n_removed", "kept")
 
 
 _LAST = (1 << 63) - 1  # a null key counts as the last
