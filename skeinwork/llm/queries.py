@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import table
+from skeinwork.llm.oracles import ORACLES
 from skeinwork.llm.chat import format_chats, loss_texts, read_turns
 from skeinwork.llm import decontam, fmdedup, htmltext, langid, suffixdedup
 from skeinwork.llm.packing import pack_documents
@@ -90,4 +91,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op5_decontaminate, op6_html_text, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

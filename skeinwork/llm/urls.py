@@ -118,7 +118,7 @@ def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules: tu
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     names = stage(
         rows.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("hit", rule)
-        .select("host", "path", "n", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), (F.crc32(F.concat("host", "path")) % 2 == 0).alias("fits")),
+        .select("host", "path", "n", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), (F.left(F.md5(F.concat("host", "path").cast("binary")), F.lit(1)) < "8").alias("fits")),
         "urls-names",
     )
     held = names.select("*", F.explode(_grams(order)).alias("gram"))
