@@ -156,7 +156,7 @@ def merge_across_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted-file search, 16 cells, 8 probed; recall against exact search is tested."""
+    """Inverted-file search, 16 cells, 12 probed; recall against exact search is tested."""
     c = _corpus(spark, sf_dir)
     indexed, centers = dense.cells(c, 16)
-    return _table(dense.search_cells(indexed, centers, _queries(c), K, 8))
+    return _table(dense.search_cells(indexed, centers, _queries(c), K, 12))

@@ -47,13 +47,13 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """title (the file's name without .txt), text of whole text files."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return rows.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("title"), F.col("value").alias("text"))
 
 
 def read_whole_xml(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """name, xml of whole files (compressed ones are unpacked)."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return rows.select(F.regexp_replace("_metadata.file_name", r"\.(nxml|xml)(\.gz)?$", "").alias("name"), F.col("value").alias("xml"))
 
 
@@ -91,7 +91,7 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def merge_json(spark: SparkSession, value: dict, path: str) -> dict:

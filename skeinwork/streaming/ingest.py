@@ -13,7 +13,7 @@ from skeinwork.sources.tables import RAW_CHUNK
 
 def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """Stream of raw chunks, each id once within an hour of arrival."""
-    rows = spark.readStream.schema(RAW_CHUNK).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    rows = spark.readStream.schema(RAW_CHUNK).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.jsonl").json(path)
     return rows.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 hour").dropDuplicatesWithinWatermark(["id"])
 
 
