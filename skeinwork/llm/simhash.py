@@ -18,6 +18,13 @@ Search, on distinct fingerprints only:
    discarded (the triangle inequality allows no more), the others are verified by their real
    distance. A cell yields a link from each member to the least of its class there, never all pairs.
 
+`drop_near_duplicates` also links documents whose shingle sets overlap by SIMILARITY = 0.8 or more, which
+a radius of two bits does not reach (an overlap of 0.8 flips about ten bits of 64). Cells for that come
+from TABLES pairs of min-hashes of the same shingle hashes (such a pair of documents misses all of them
+once in 4,000 times); in a cell the pivot table discards with FAR = 24 bits in place of 2, and survivors
+are verified by a sketch of BINS min-hashes. Cells over SIMILAR_CELL members are split by a second pair
+of min-hashes, and what is still larger by a hash, each part together with the cell's least member.
+
 Links are joined to classes by label propagation with pointer jumping over written tables.
 
 Cases: null and empty texts and texts without words have fingerprint zero, linked like any other;
@@ -42,32 +49,67 @@ RADIUS = 2
 CELL = 20_000
 RUN = 1 << 16
 SMALL = 1024
+SIMILARITY, FAR, BINS, TABLES, SIMILAR_CELL = 0.8, 24, 256, 8, 4000
+#: Odd numbers for min-hashes: two for each table, two for the split of crowded cells.
+_ODD = np.random.default_rng(5).integers(1, 1 << 63, 2 * TABLES + 2, dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_digests(text: str | None, n: int) -> Iterator[bytes]:
+    """The big-endian XXH64 values of the word shingles, in runs of at most RUN shingles."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not w:
-        return 0
-    if len(w) < n:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
-    total, ones, digest, join = len(w) - n + 1, np.zeros(64, np.int64), xxhash.xxh64_digest, b" ".join
-    for at in range(0, total, RUN):
-        part = [w[at + k : min(at + RUN, total) + k] for k in range(n)]
-        bits = np.unpackbits(np.frombuffer(b"".join([digest(join(s), 42) for s in zip(*part)]), np.uint8)).reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int32)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    if w and len(w) < n:
+        yield digest(join(w), 42)
+    for at in range(0, len(w) - n + 1, RUN):
+        part = [w[at + k : min(at + RUN, len(w) - n + 1) + k] for k in range(n)]
+        yield b"".join([digest(join(s), 42) for s in zip(*part)])
+
+
+def majority(runs: list[bytes]) -> int:
+    """The fingerprint of shingle values as an unsigned integer."""
+    ones, total = np.zeros(64, np.int64), sum(map(len, runs)) // 8
+    for run in runs:
+        ones += np.unpackbits(np.frombuffer(run, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """key and fp (the 64 bits as a signed long) of every row."""
+def fingerprint(text: str | None, n: int = 3) -> int:
+    return majority(list(shingle_digests(text, n)))
+
+
+def sketch(runs: list[bytes]) -> tuple[bytes, list[int], int]:
+    """Sketch of BINS two-byte min-hashes (0: none), the keys of TABLES cells, and one for their split."""
+    h = np.sort(np.frombuffer(b"".join(runs), ">u8").astype(np.uint64))
+    if not len(h):
+        return bytes(2 * BINS), [], 0
+    edge = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+    first = np.searchsorted(h, edge)
+    low = h[np.minimum(first, len(h) - 1)]
+    bins = np.where(low >> np.uint64(56) == np.arange(BINS, dtype=np.uint64), (low & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
+    least = np.array([((h ^ (h >> np.uint64(31))) * odd).min() for odd in _ODD])
+    keys = least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2] + np.arange(TABLES + 1, dtype=np.uint64)
+    return bins.tobytes(), keys[:-1].view(np.int64).tolist(), int(keys[-1:].view(np.int64)[0])
+
+
+def fingerprints(df: DataFrame, key: str, text: str, n: int = 3, sketches: bool = False) -> DataFrame:
+    """key and fp (the 64 bits as a signed long) of every row; sketch, cells and split if asked for."""
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, fp long" + ", sketch binary, cells array<long>, split long" * sketches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), n) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
+            fps, more = np.zeros(b.num_rows, np.uint64), []
+            for i, t in enumerate(b.column(1)):
+                runs = list(shingle_digests(t.as_py(), n))
+                fps[i] = majority(runs)
+                if sketches:
+                    more.append(sketch(runs))
+            columns = {key: b.column(0), "fp": pa.array(fps.view(np.int64))}
+            if sketches:
+                made = list(zip(*more)) or [(), (), ()]
+                columns |= {"sketch": pa.array(made[0], pa.binary()), "cells": pa.array(made[1], pa.list_(pa.int64())), "split": pa.array(made[2], pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(key, text).mapInArrow(run, kind)
 
 
 def _walsh() -> np.ndarray:
@@ -197,6 +239,54 @@ def _third(k: int) -> int:
     return _signed(sum(1 << b for b in range(64) if b % 3 == k))
 
 
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated overlap of the sets with sketch a (one row) and sketches b (rows)."""
+    same, either = ((b == a) & (a > 0)).sum(axis=1), ((b > 0) | (a > 0)).sum(axis=1)
+    return same / np.maximum(either, 1)
+
+
+def link_similar(fps: np.ndarray, sketches: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, least member of its class there) of one cell, as signed longs."""
+    s, at = np.unique(fps, return_index=True)
+    u, marks = s.view(np.uint64), np.stack([np.frombuffer(sketches[i], np.uint16) for i in at])
+    table = np.stack([np.bitwise_count(u ^ r).astype(np.int8) for r in references()], axis=1)
+    slack = 0.02  # about one standard error of the sketch
+    root, rest = np.arange(len(s)), np.arange(len(s))
+    while len(rest) > 1:  # grow one class at a time, from its least member
+        start, front, rest = rest[0], [rest[0]], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            near = np.abs(table[rest] - table[i]).max(axis=1) <= FAR
+            near[near] = np.bitwise_count(u[rest[near]] ^ u[i]) <= FAR
+            near[near] = overlaps(marks[i], marks[rest[near]]) >= similarity - slack
+            root[rest[near]] = start
+            front += list(rest[near])
+            rest = rest[~near]
+    moved = root != np.arange(len(s))
+    return s[moved], s[root[moved]]
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints (fp, sketch, cells, split) of documents with much in common."""
+    cells = nodes.select(F.explode("cells").alias("cell"), "fp", "split")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    full = stage(cells.join(sizes, "cell"), "simhash-similar")
+    fine = full.filter(F.col("n") <= SIMILAR_CELL).select("cell", F.lit(0).cast("long").alias("part"), "fp")
+    crowded = full.filter(F.col("n") > SIMILAR_CELL).select("cell", "split", "fp")
+    parts = crowded.groupBy("cell", "split").agg(F.count("*").alias("m"), F.min("fp").alias("least")).withColumn("k", F.ceil(F.col("m") / SIMILAR_CELL))
+    dealt = crowded.join(parts, ["cell", "split"]).select("cell", F.xxhash64("split", F.pmod(F.xxhash64("fp"), F.col("k"))).alias("part"), "fp")
+    heads = parts.select("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("split", i))).alias("part"), F.col("least").alias("fp"))
+    members = fine.unionByName(dealt).unionByName(heads).join(nodes.select("fp", "sketch"), "fp")
+
+    def run(key, pdf):  # about SIMILAR_CELL members
+        import pandas as pd
+
+        a, b = link_similar(pdf["fp"].to_numpy(), pdf["sketch"].tolist())
+        return pd.DataFrame({"u": a, "v": b})
+
+    return members.groupBy("cell", "part").applyInPandas(run, "u long, v long").distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (least node of its component) of every node that has a link, from links u, v."""
     both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct(), f"{name}-edges")
@@ -210,11 +300,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels.select("node", "root")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """key, fp and class_id (the least key of the row's class) of every row."""
-    docs = stage(fingerprints(df, key, text, n), "simhash-docs")
-    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes), "simhash")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, similar: bool = False) -> DataFrame:
+    """key, fp and class_id (the least key of the row's class) of every row; with `similar`, overlapping texts share a class too."""
+    docs = stage(fingerprints(df, key, text, n, similar), "simhash-docs")
+    more = [F.first(c).alias(c) for c in ("sketch", "cells", "split")] if similar else []
+    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least"), *more), "simhash-nodes")
+    links = near_links(nodes)
+    roots = components(links.unionByName(similar_links(nodes)) if similar else links, "simhash")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = rooted.join(lowest, "root").select("fp", "class_id")
@@ -227,6 +319,6 @@ def fp_hex(fp):
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """df with one row of each class: the one with the least key. Rows without a key stay."""
-    kept = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, n).select("class_id").distinct()
+    kept = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, n, similar=True).select("class_id").distinct()
     rows = df.join(kept, F.col(key) == F.col("class_id"), "left_semi").dropDuplicates([key])  # repeated rows share a key
     return rows.unionByName(df.filter(F.col(key).isNull()))

@@ -75,6 +75,36 @@ def test_links_of_planted_fingerprints(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, same.values()))
 
 
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+@pytest.mark.parametrize("crowd", [4000, 5])
+def test_similar_texts_share_a_class(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "SIMILAR_CELL", crowd)
+    rng = random.Random(7)
+    rows, groups = [], []
+    for g in range(12):
+        w = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(300)]  # noqa: F405
+        for c in range(4):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(300)] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(v)))
+            groups.append(g)
+        rows.append((len(rows), " ".join(w[:150] + [f"own{i}{g}" for i in range(150)])))  # a third in common
+        groups.append(100 + g)
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=5, similar=True).collect()}
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            x, y = shingles(a), shingles(b)
+            if groups[i] == groups[j] and len(x & y) / len(x | y) >= 0.85:
+                assert got[i] == got[j]
+            if groups[i] != groups[j]:
+                assert got[i] != got[j]
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
