@@ -125,3 +125,13 @@ def _grouped(metrics: DataFrame):
     for r in metrics.orderBy("metric_group", "metric").collect():
         found.setdefault(r["metric_group"], []).append((r["metric"], r["value"]))
     return found.items()
+
+
+def combine(**groups: DataFrame) -> DataFrame:
+    """One long table (metric_group, metric, value) of one-row tables of numbers, by group."""
+    out = None
+    for group, row in groups.items():
+        numbers = row.select(*(F.col(c).cast("double").alias(c) for c in row.columns))
+        long = numbers.unpivot([], row.columns, "metric", "value").select(F.lit(group).alias("metric_group"), "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
