@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
+from skeinwork.operators.ranges import running
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -183,12 +184,6 @@ def citation_chunks(files: DataFrame) -> DataFrame:
 
 
 def batch_number(df: DataFrame, order: str, size: int = 10_000) -> DataFrame:
-    """df with `batch`, rows numbered by `order` in runs of `size`: ranks within ranges, offset by the ranges before."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # a row a partition
-    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    numbered = ranged.withColumn("__at", at).join(F.broadcast(before), "__part")
-    return numbered.withColumn("batch", F.floor((F.col("__at") + F.col("before")) / size)).drop("__part", "__at", "before")
+    """df with `batch`, rows numbered by the numeric column `order` in runs of `size`."""
+    numbered = running(df.withColumn("__one", F.lit(1)), order, __at="__one")
+    return numbered.withColumn("batch", F.floor((F.col("__at") - 1) / size)).drop("__one", "__at")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
+from skeinwork.operators.ranges import running
 
 
 def first_ranks(gold: DataFrame, hits: DataFrame) -> DataFrame:
@@ -38,20 +39,18 @@ def auc(scores: DataFrame) -> DataFrame:
 
     By ranks of distinct scores, so neither pairs nor a single sorted list of rows is needed.
     """
-    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = by.withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + 0.5 * F.col("n")))
+    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).persist()
+    wins = running(by, "score", upto="n").withColumn("w", F.col("p") * (F.col("upto") - 0.5 * F.col("n")))
     total = wins.agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def best_threshold(scores: DataFrame) -> DataFrame:
     """One row: threshold, accuracy: the observed score that best parts positives (at or above) from negatives; ties: the lowest."""
-    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    up, down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    right = F.sum("p").over(up) + F.coalesce(F.sum("n").over(down), F.lit(0))
-    total = by.agg(F.sum(F.col("p") + F.col("n"))).first()[0]  # one number
-    swept = by.select(F.col("score").alias("threshold"), (right / F.lit(total)).alias("accuracy"))
+    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).persist()
+    total = by.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()  # two numbers
+    right = total["p"] - F.col("ps") + F.col("p") + F.col("ns") - F.col("n") if total["p"] is not None else F.lit(0)
+    swept = running(by, "score", ps="p", ns="n").select(F.col("score").alias("threshold"), F.try_divide(right, F.lit((total["p"] or 0) + (total["n"] or 0))).alias("accuracy"))
     return swept.orderBy(F.desc("accuracy"), "threshold").limit(1)
 
 
