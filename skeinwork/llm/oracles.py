@@ -80,7 +80,7 @@ f AS (SELECT doc_id, line, inside > 0 AS has_word, len(w) AS n,
   bars >= {rules.min_bars} OR symbols > {rules.max_symbol_share} * inside OR (letters >= {rules.min_caps_letters} AND caps > {rules.max_caps_share} * letters)
   OR (contains(line, '!!') AND len(list_filter(w, lambda x: ends_with(x, '!!'))) > {rules.max_exclaim_share} * len(w))
   OR len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > {rules.max_run_share} * len(w)
-  OR regexp_matches(line, {_quoted(rules.boilerplate)}) AS bad FROM m),
+  OR {' OR '.join(f'contains(lower(line), {_quoted(b)})' for b in rules.boilerplate)} AS bad FROM m),
 p AS (SELECT doc_id, coalesce(sum(n) FILTER (bad), 0) AS lost, count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word) AS dup FROM f GROUP BY 1),
 g AS (SELECT doc_id, unnest([w[i:i + 2] for i in range(1, len(w) - 1)]) AS tri, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g),

@@ -31,35 +31,49 @@ class LineRules:
     max_exclaim_share: float = 0.30  # words that end in "!!" against words
     max_run_share: float = 0.50  # words equal to the word before them, against words
     max_lost_share: float = 0.30  # words in removed lines against words of the document
-    boilerplate: str = (
-        r"(?i)(licensed under the |all rights reserved|\bcookie(s)? (policy|settings)\b|accept (all )?cookies"
-        r"|terms of (use|service)|privacy policy|subscribe to our|sign up for our|click here to|copyright (\(c\)|©))"
+    boilerplate: tuple[str, ...] = (  # in lower case
+        "licensed under the ",
+        "all rights reserved",
+        "cookie policy",
+        "cookies policy",
+        "cookie settings",
+        "cookies settings",
+        "accept cookies",
+        "accept all cookies",
+        "terms of use",
+        "terms of service",
+        "privacy policy",
+        "subscribe to our",
+        "sign up for our",
+        "click here to",
+        "copyright (c)",
+        "copyright ©",
     )
 
 
-def _chars(s: Column, kept: str) -> Column:
-    """Characters of s outside the class `kept` names the complement of."""
-    return F.length(F.regexp_replace(s, kept, ""))
+def _count(s: Column, others: str) -> Column:
+    """Characters of s that the pattern of the other ones leaves."""
+    return F.length(F.regexp_replace(s, others, ""))
 
 
-def line_reason(line: Column, rules: LineRules) -> Column:
-    """The first rule a line fails, or null."""
-    in_words = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    w = words(line)
-    n = F.size(w)
-    symbols = _chars(line, r"[^#*$%&|<>]+")
-    bars = _chars(line, r"[^|»›]+")
-    letters = _chars(line, r"\P{L}+")
-    caps = _chars(line, r"\P{Lu}+")
-    shouted = let(w, lambda a: F.size(F.filter(a, lambda x: F.endswith(x, F.lit("!!")))))
-    run = let(w, lambda a: F.size(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1)))))
+def line_reason(line: Column, w: Column, rules: LineRules) -> Column:
+    """The first rule a line with words w fails, or null. Costly counts are made only where a quick look allows the rule to fail."""
+    low = F.lower(line)
+    shouted = F.size(F.filter(w, lambda x: F.endswith(x, F.lit("!!"))))
+    run = F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1))))
+    # most letters being capitals, two of them follow each other
+    dense = line.rlike(r"\p{Lu}\P{L}*+\p{Lu}")
+    letters, caps = _count(line, r"\P{L}+"), _count(line, r"\P{Lu}+")
+    known = low.contains(rules.boilerplate[0])
+    for phrase in rules.boilerplate[1:]:
+        known = known | low.contains(phrase)
     return (
-        F.when(bars >= rules.min_bars, "navigation")
-        .when(symbols > rules.max_symbol_share * in_words, "symbols")
-        .when((letters >= rules.min_caps_letters) & (caps > rules.max_caps_share * letters), "capitals")
-        .when(line.contains("!!") & (shouted > rules.max_exclaim_share * n), "punctuation")
-        .when(run > rules.max_run_share * n, "stutter")
-        .when(line.rlike(rules.boilerplate), "boilerplate")
+        F.when(line.rlike(r"[|»›]") & (_count(line, r"[^|»›]+") >= rules.min_bars), "navigation")
+        .when(line.rlike(r"[#*$%&|<>]") & (_count(line, r"[^#*$%&|<>]+") > rules.max_symbol_share * F.length(F.array_join(w, ""))), "symbols")
+        .when(dense & (letters >= rules.min_caps_letters) & (caps > rules.max_caps_share * letters), "capitals")
+        .when(line.contains("!!") & (shouted > rules.max_exclaim_share * F.size(w)), "punctuation")
+        .when(run > rules.max_run_share * F.size(w), "stutter")
+        .when(known, "boilerplate")
     )
 
 
@@ -102,42 +116,34 @@ def judge(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), pre
     cleaned (the text without failing lines), kept.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    judged = let(
+    judged = F.transform(
         F.split(t, "\n", -1),
-        lambda a: F.transform(
-            a,
-            lambda x: F.struct(x.alias("line"), (line_reason(x, rules)).alias("reason"), F.size(words(x)).alias("n")),
-        ),
+        lambda x: let(words(x), lambda w: F.struct(x.alias("line"), line_reason(x, w, rules).isNotNull().alias("bad"), F.size(w).alias("n"))),
     )
     base = let(
         words(F.col(text)),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).cast("long").alias("n_repeat")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_window_words(w).cast("long").alias("n_repeat")),
+    )
+    of_lines = let(
+        judged,
+        lambda a: F.struct(
+            F.aggregate(a, F.lit(0), lambda acc, x: acc + F.when(x["bad"], x["n"]).otherwise(0)).cast("long").alias("lost"),
+            let(F.transform(F.filter(a, lambda x: x["n"] > 0), lambda x: x["line"]), lambda b: F.size(b) - F.size(F.array_distinct(b))).cast("long").alias("dup"),
+            F.array_join(F.transform(F.filter(a, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("cleaned"),
+        ),
     )
     out = df.select(
         *(F.col(f"`{c}`") for c in df.columns),
-        F.struct(
-            base.alias("base"),
-            F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-            let(
-                judged,
-                lambda a: F.struct(
-                    F.aggregate(a, F.lit(0), lambda acc, x: acc + F.when(x["reason"].isNull(), 0).otherwise(x["n"])).cast("long").alias("lost"),
-                    F.array_join(F.transform(F.filter(a, lambda x: x["reason"].isNull()), lambda x: x["line"]), "\n").alias("cleaned"),
-                ),
-            ).alias("lines"),
-        ).alias("__quality"),
+        F.struct(base.alias("base"), _count(t, r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), of_lines.alias("lines")).alias("__quality"),
     )
     q = F.col("__quality")
     n, rep = q["base"]["n_words"], q["base"]["n_repeat"]
     failed = (n < 50) | (100 * rep > 50 * n)
     made = {
         "n_words": n,
-        "word_chars": q["word_chars"],
+        "word_chars": q["base"]["chars"],
         "n_symbols": q["n_symbols"],
-        "n_dup_lines": q["n_dup_lines"],
+        "n_dup_lines": q["lines"]["dup"],
         "n_repeat_words": rep,
         "base_failed": failed,
         "lost_words": q["lines"]["lost"],
