@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import stage
+from skeinwork.llm._shared import discard, release, stage
 
 HOT = 50_000
-SHARD = 600_000
+SHARD = 400_000
 PART = 1 << 21  # symbols of a text handled at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -205,6 +205,7 @@ def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
         shard = [b for b in batches if b.num_rows]
         if not shard:
             return
+        release()
         t = pa.Table.from_batches(shard).sort_by([(c, "ascending") for c in ("least", "nid", "lo")])
         masks = index(t["data"].to_pylist(), t["mark"].to_numpy(), t["windows"].to_numpy(), t["times"].to_numpy())
         hit = np.array([m.any() for m in masks]) | (t["times"].to_numpy() > 1)
@@ -216,7 +217,7 @@ def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
 
 
 def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
-    """Repeated windows of distinct texts (columns nid, tid, text, least; as staged by `distinct_texts`).
+    """Repeated windows of distinct texts, as staged by `distinct_texts`; that table is deleted when it is done with.
 
     Gives tid, text and spans: array<struct<lo, first, mask>>; mask has a byte for each window from
     lo on, as the index found it for the fragment's first place, and `first` tells whether that is here.
@@ -228,21 +229,24 @@ def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
     mine = each.join(wanted.hint("shuffle_hash"), "key").groupBy("nid").agg(F.collect_set("key").alias("keys"))
     marked = stage(mine, f"{spec.name}-marked")
     forget(texts)
+    discard(listed, wanted)
     held = stage(texts.join(marked.hint("shuffle_hash"), "nid"), f"{spec.name}-held")
-    forget(texts)
+    discard(marked, texts)
+    forget(held)
     pieces = stage(_fragments(held, spec), f"{spec.name}-pieces")
     same = [F.first("data").alias("data"), F.first("mark").alias("mark"), F.first("windows").alias("windows")]
     found = stage(pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at")), f"{spec.name}-found")
-    forget(texts)
+    forget(held)
     crowded = stage(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), f"{spec.name}-crowded")
     split = crowded.limit(1).count() > 0
     judged = _judge(found.join(crowded, "key", "left_anti") if split else found, _shards(found, spec), index)
     if split:
         judged = judged.unionByName(_judge_single(found.join(crowded, "key"), spec, index))
-    judged = stage(judged, f"{spec.name}-judged")
-    forget(texts)
     # a key and a fragment's content go together, so fid alone tells it
-    firsts = judged.join(found.select("fid", "at"), "fid")
+    judged = stage(judged, f"{spec.name}-judged")
+    firsts = stage(judged.join(found.select("fid", "at"), "fid"), f"{spec.name}-firsts")
+    discard(found, judged)
+    forget(held)
     places = pieces.select("fid", "nid", "least", "lo").join(firsts, "fid")
     spans = places.groupBy("nid").agg(F.collect_list(F.struct("lo", (F.struct("least", "nid", "lo") == F.col("at")).alias("first"), "mask")).alias("spans"))
     return held.select("nid", "tid", "text").join(spans.hint("shuffle_hash"), "nid").drop("nid")

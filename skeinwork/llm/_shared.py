@@ -39,7 +39,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skeinwork/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(got)] = (got, path)
+    return got
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables whose readers have all been written."""
+    for df in staged:
+        _, path = _PATHS.pop(id(df))
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Emptied before an operator fills a task's memory: what operators keep in a worker process from task to task.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    for cache in CACHES:
+        cache.clear()
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm._repeats import Spec, distinct_texts, repeats
-from skeinwork.llm._shared import WORD_SPLIT
+from skeinwork.llm._shared import WORD_SPLIT, stage
 
 WIDTH, GRAM = 20, 7
 
@@ -165,7 +165,8 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = df.select(F.col(key).alias("key"), _normal(F.col(text)).alias("text")).withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary"))))
     # a window has width - 1 spaces at least
     texts = distinct_texts(rows.filter(F.length("text") >= 2 * WIDTH - 1), SPEC.name)
-    found = repeats(texts.select("nid", "tid", "text", "least"), SPEC, word_index)
+    info = stage(texts.select("tid", "least", "copies"), f"{SPEC.name}-info")
+    found = repeats(texts, SPEC, word_index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +189,7 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["tid", "n_removed", "kept"])
 
     changed = found.select("tid", "text", "spans").mapInArrow(run, "tid binary, n_removed long, kept string")
-    every = texts.select("tid", "least", "copies").join(changed, "tid", "left")
+    every = info.join(changed, "tid", "left")
     return every.filter("copies > 1 OR n_removed IS NOT NULL").select("tid", "least", "n_removed", "kept")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from skeinwork.llm._shared import maybe_broadcast, stage
+from skeinwork.llm._shared import CACHES, maybe_broadcast, stage
 
 LENGTH = 2048
 END_ID = 1
@@ -121,6 +121,9 @@ class WordTokens:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+CACHES.append(WordTokens._held)
+
+
 def cut(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Pieces of every row: key, start, length, ids_crc32, doc_tokens, place, and ids unless told not to."""
     fields = [df.schema[key], *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "place"))]

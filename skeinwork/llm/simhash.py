@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import stage
+from skeinwork.llm._shared import discard, stage
 
 RADIUS = 2
 CELL = 20_000
@@ -295,7 +295,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("u"), "root"), "u").groupBy(F.col("v").alias("node")).agg(F.min("root").alias("heard"))
         lower = stage(labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")), f"{name}-heard")
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = stage(lower.join(jump, "root").select("node", "old", F.col("next").alias("root")), f"{name}-labels")
+        before, labels = labels, stage(lower.join(jump, "root").select("node", "old", F.col("next").alias("root")), f"{name}-labels")
+        discard(before, lower)
         if labels.filter("root <> old").limit(1).count() == 0:
             return labels.select("node", "root")
 

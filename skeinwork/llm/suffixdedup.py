@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm._repeats import Rolling, Spec, distinct_texts, mix, repeats
+from skeinwork.llm._shared import stage
 
 WIDTH, GRAM, BLOCK = 400, 128, 32
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -163,7 +164,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.unhex(F.md5(whole.cast("binary"))).alias("tid"), F.col(key).alias("key"), whole.alias("text")).filter(F.octet_length("text") >= WIDTH)
     texts = distinct_texts(rows, SPEC.name)
-    found = repeats(texts.select("nid", "tid", "text", "least"), SPEC, byte_index)
+    copied = stage(texts.filter("copies > 1").select("tid", F.octet_length("text").cast("long").alias("n_bytes")), f"{SPEC.name}-copied")
+    found = repeats(texts, SPEC, byte_index)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,6 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["tid", "n_bytes", "spans", "kept"])
 
     out = "tid binary, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    copied = texts.filter("copies > 1").select("tid", F.octet_length("text").cast("long").alias("n_bytes"))
     single = found.join(copied.select("tid"), "tid", "left_anti").mapInArrow(run, out)
     all_of_it = copied.select("tid", "n_bytes", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.lit(b"").alias("kept"))
     return single.unionByName(all_of_it)
