@@ -16,7 +16,7 @@ from skeinwork.llm.urls import filter_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (langid.fold(F.col("doc_id")) == 1).alias("held_out"))
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang", (langid.fold(F.col("doc_id")) == 1).alias("held_out"))
     # a null id has no remainder: such a row is neither held out nor learned from
     model = langid.fit(docs.filter(~F.col("held_out")), "text", "lang")
     rows = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
@@ -48,12 +48,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", n=3)
+    classes = near_duplicates(table(spark, sf_dir, "documents", spread=True), "doc_id", "text", n=3)
     return classes.select("doc_id", fp_hex(F.col("fp")).alias("fingerprint"), F.col("class_id").alias("component_id"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontam.annotate(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         (F.size("matches") > 0).alias("contaminated"),
@@ -63,15 +63,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return htmltext.extract(table(spark, sf_dir, "pages", spread=True)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents", spread=True))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fmdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return fmdedup.remove_repeats(table(spark, sf_dir, "documents", spread=True))
 
 
 def tokenizer_path() -> str:
@@ -81,7 +81,7 @@ def tokenizer_path() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = pack_documents(table(spark, sf_dir, "documents", spread=True), tokenizer_path())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
