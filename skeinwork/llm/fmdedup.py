@@ -54,20 +54,24 @@ class WaveletMatrix:
 
     def __init__(self, values: np.ndarray):
         self.ones: list[np.ndarray] = []
-        self.digits = max(1, int(values.max(initial=0)).bit_length())
+        top = int(values.max(initial=0))
+        self.digits = max(1, top.bit_length())
         for d in range(self.digits - 1, -1, -1):
             bit = (values >> d) & 1
             self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
+        every = np.arange(top + 1)
+        self.base = self._descend(every, np.zeros_like(every))  # where each symbol starts in the last row
+
+    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for d, ones in zip(range(self.digits - 1, -1, -1), self.ones):
+            before = ones[at]
+            at = np.where((symbol >> d) & 1, before + (len(ones) - 1 - int(ones[-1])), at - before)
+        return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many of the first `at` values are `symbol`, elementwise."""
-        start = np.zeros_like(at)
-        for d, ones in zip(range(self.digits - 1, -1, -1), self.ones):
-            one = ((symbol >> d) & 1).astype(bool)
-            zeros = len(ones) - 1 - int(ones[-1])
-            start, at = np.where(one, zeros + ones[start], start - ones[start]), np.where(one, zeros + ones[at], at - ones[at])
-        return at - start
+        return self._descend(symbol, at) - self.base[symbol]
 
 
 def _suffixes(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
