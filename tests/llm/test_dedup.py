@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import *  # noqa: F403
-from pyspark.sql import functions as F
 
 from skeinwork.llm import _repeats, fmdedup, simhash, suffixdedup
 

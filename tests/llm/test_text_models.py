@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 from conftest import *  # noqa: F403
-from pyspark.sql import functions as F
 
 from skeinwork.llm import decontam, htmltext, langid, packing, queries
 
