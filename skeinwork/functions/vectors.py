@@ -23,9 +23,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(as_double(a), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    """Unit length; a zero vector stays zero. The length is bound once, not computed for every element."""
+    with_length = F.transform(F.array(as_double(a)), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    scaled = F.transform(with_length, lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
+    return F.element_at(scaled, 1)
 
 
 def subtract(a: Column, b: Column) -> Column:
