@@ -18,12 +18,18 @@ Search, on distinct fingerprints only:
    discarded (the triangle inequality allows no more), the others are verified by their real
    distance. A cell yields a link from each member to the least of its class there, never all pairs.
 
-`drop_near_duplicates` also links documents whose shingle sets overlap by SIMILARITY = 0.8 or more, which
-a radius of two bits does not reach (an overlap of 0.8 flips about ten bits of 64). Cells for that come
-from TABLES pairs of min-hashes of the same shingle hashes (such a pair of documents misses all of them
-once in 4,000 times); in a cell the pivot table discards with FAR = 24 bits in place of 2, and survivors
-are verified by a sketch of BINS min-hashes. Cells over SIMILAR_CELL members are split by a second pair
-of min-hashes, and what is still larger by a hash, each part together with the cell's least member.
+`drop_near_duplicates` also links documents whose sets of shingles overlap by SIMILARITY = 4/5 or more, which
+a radius of two bits does not reach (an overlap of 0.8 flips about ten bits of 64). The sets are those of the
+shingles' XXH64 values; every link is verified on them. Nodes are distinct (fingerprint, set).
+
+1. Most links come cheaply: cells from TABLES pairs of min-hashes, compared within. Cells over SIMILAR_CELL members
+   are split by a second pair of min-hashes and a hash. What is missed here is left to the next step.
+2. All others come from prefix filtering. Shingles are ordered, common ones (by a sample) last; two sets of s and t
+   members that overlap by 4/5 share one of the first s - ceil(4s/5) + 1 and t - ceil(4t/5) + 1. A node goes to the cells
+   of these shingles, and only cells whose nodes are not yet of one class count. Not common shingle, up to PAIRED nodes:
+   pairs are counted over all such cells; the counts of links have a lower bound (``_enough``). More nodes: all are compared,
+   in blocks if there are many. Common shingle: only pairs that could link by common shingles alone have to meet here.
+   In such a pair at least 8/9 of the smaller set are common shingles; cells without such a node are dropped.
 
 Links are joined to classes by label propagation with pointer jumping over written tables.
 
@@ -40,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import discard, stage
@@ -49,7 +55,11 @@ RADIUS = 2
 CELL = 20_000
 RUN = 1 << 16
 SMALL = 1024
-SIMILARITY, FAR, BINS, TABLES, SIMILAR_CELL = 0.8, 24, 256, 8, 4000
+#: Sets are similar from this overlap on (numerator, denominator).
+SIMILARITY = (4, 5)
+TABLES, SIMILAR_CELL, PAIRED = 8, 4000, 100
+#: Nodes in the sample for common shingles, and how many of these are told apart at most (the order of the others is by hash).
+SAMPLE, COMMON = 10_000, 1 << 18
 #: Odd numbers for min-hashes: two for each table, two for the split of crowded cells.
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 2 * TABLES + 2, dtype=np.uint64) | np.uint64(1)
 
@@ -77,23 +87,25 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return majority(list(shingle_digests(text, n)))
 
 
-def sketch(runs: list[bytes]) -> tuple[bytes, list[int], int]:
-    """Sketch of BINS two-byte min-hashes (0: none), the keys of TABLES cells, and one for their split."""
-    h = np.sort(np.frombuffer(b"".join(runs), ">u8").astype(np.uint64))
+def shingle_set(runs: list[bytes]) -> np.ndarray:
+    """The distinct shingle values in ascending order."""
+    return np.unique(np.frombuffer(b"".join(runs), ">u8").astype(np.uint64))
+
+
+def min_hashes(h: np.ndarray) -> tuple[list[int], int]:
+    """The keys of TABLES cells of a set, and one for their split."""
     if not len(h):
-        return bytes(2 * BINS), [], 0
-    edge = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-    first = np.searchsorted(h, edge)
-    low = h[np.minimum(first, len(h) - 1)]
-    bins = np.where(low >> np.uint64(56) == np.arange(BINS, dtype=np.uint64), (low & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
-    least = np.array([((h ^ (h >> np.uint64(31))) * odd).min() for odd in _ODD])
+        return [], 0
+    mixed = h ^ (h >> np.uint64(31))
+    least = np.array([(mixed * odd).min() for odd in _ODD])
     keys = least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2] + np.arange(TABLES + 1, dtype=np.uint64)
-    return bins.tobytes(), keys[:-1].view(np.int64).tolist(), int(keys[-1:].view(np.int64)[0])
+    return keys[:-1].view(np.int64).tolist(), int(keys[-1:].view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, key: str, text: str, n: int = 3, sketches: bool = False) -> DataFrame:
-    """key and fp (the 64 bits as a signed long) of every row; sketch, cells and split if asked for."""
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, fp long" + ", sketch binary, cells array<long>, split long" * sketches
+def fingerprints(df: DataFrame, key: str, text: str, n: int = 3, sets: bool = False) -> DataFrame:
+    """key and fp (the 64 bits as a signed long) of every row; if asked for, the shingles (eight bytes each), cells, split, and
+    node, a number for fingerprint and shingles."""
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, fp long" + ", node long, shingles binary, cells array<long>, split long" * sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,12 +113,13 @@ def fingerprints(df: DataFrame, key: str, text: str, n: int = 3, sketches: bool
             for i, t in enumerate(b.column(1)):
                 runs = list(shingle_digests(t.as_py(), n))
                 fps[i] = majority(runs)
-                if sketches:
-                    more.append(sketch(runs))
+                if sets:
+                    h = shingle_set(runs)
+                    more.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), int(fps[i]))), h.tobytes(), *min_hashes(h)))
             columns = {key: b.column(0), "fp": pa.array(fps.view(np.int64))}
-            if sketches:
-                made = list(zip(*more)) or [(), (), ()]
-                columns |= {"sketch": pa.array(made[0], pa.binary()), "cells": pa.array(made[1], pa.list_(pa.int64())), "split": pa.array(made[2], pa.int64())}
+            if sets:
+                made = list(zip(*more)) or [(), (), (), ()]
+                columns |= {"node": pa.array(made[0], pa.int64()), "shingles": pa.array(made[1], pa.binary()), "cells": pa.array(made[2], pa.list_(pa.int64())), "split": pa.array(made[3], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
     return df.select(key, text).mapInArrow(run, kind)
@@ -239,52 +252,181 @@ def _third(k: int) -> int:
     return _signed(sum(1 << b for b in range(64) if b % 3 == k))
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated overlap of the sets with sketch a (one row) and sketches b (rows)."""
-    same, either = ((b == a) & (a > 0)).sum(axis=1), ((b > 0) | (a > 0)).sum(axis=1)
-    return same / np.maximum(either, 1)
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges from each start on, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def prefix(size):
+    """How many of a set's shingles in any common order have one of each similar set's first ones among them."""
+    a, b = SIMILARITY
+    return size - (a * size + b - 1) // b + (size > 0)
+
+
+def link_similar(fps: np.ndarray, sets: list[bytes], roots: np.ndarray | None = None, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints of similar sets, enough to connect the classes; members of one root are connected already.
+    With `blocks`, members of one block need not be compared."""
+    a, b = SIMILARITY
+    label = np.unique(fps if roots is None else roots, return_inverse=True)[1].reshape(-1)
+    none = np.zeros(0, np.int64)
+    if len(label) == 0 or (label == label[0]).all():
+        return none, none
+    size = np.array([len(x) // 8 for x in sets])
+    owner = np.repeat(np.arange(len(size)), size)
+    token, held = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)[1:]
+    token = token.reshape(-1)
+    token = token[np.lexsort((token, held[token], owner))]  # each set's rarest first
+    start = np.cumsum(size) - size
+    first = (np.arange(len(token)) - start[owner] < prefix(size)[owner]) & (held[token] > 1)
+    at = np.flatnonzero(first)[np.argsort(token[first], kind="stable")]
+    lists, count = owner[at], np.bincount(token[first], minlength=len(held))
+    where = np.cumsum(count) - count
+    seen, links = np.zeros(len(held), bool), []
+    for i in range(len(size)):
+        other = label != label[i]
+        other[: i + 1] = False
+        if blocks is not None:
+            other &= blocks != blocks[i]
+        if not other.any():
+            continue
+        own = token[start[i] : start[i] + size[i]]
+        few = own[: prefix(size[i])]
+        near = np.unique(lists[_ranges(where[few], count[few])])
+        near = near[other[near] & (b * size[near] >= a * size[i]) & (b * size[i] >= a * size[near])]
+        if not len(near):
+            continue
+        seen[own] = True
+        both = np.add.reduceat(seen[token[_ranges(start[near], size[near])]].astype(np.int64), np.cumsum(size[near]) - size[near])
+        seen[own] = False
+        for j in near[(a + b) * both >= a * (size[i] + size[near])]:
+            if label[j] != label[i]:
+                links.append((fps[j], fps[i]))
+                label[label == label[j]] = label[i]
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _compared(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) within each (cell, part) of members cell, part, block (null: all are compared), node, fp, root."""
+    wanted = members.select("node").distinct()
+    sets = docs.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    def run(key, pdf):  # about SIMILAR_CELL members, twice as many in blocks
+        import pandas as pd
 
+        pdf = pdf.drop_duplicates("node").sort_values("node")
+        blocks = None if pdf["block"].isna().any() or pdf["block"].nunique() < 2 else pdf["block"].to_numpy()
+        a, b = link_similar(pdf["fp"].to_numpy(), pdf["shingles"].tolist(), pdf["root"].to_numpy(), blocks)
+        return pd.DataFrame({"u": a, "v": b})
 
-def link_similar(fps: np.ndarray, sketches: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, least member of its class there) of one cell, as signed longs."""
-    s, at = np.unique(fps, return_index=True)
-    u, marks = s.view(np.uint64), np.stack([np.frombuffer(sketches[i], np.uint16) for i in at])
-    table = np.stack([np.bitwise_count(u ^ r).astype(np.int8) for r in references()], axis=1)
-    slack = 0.02  # about one standard error of the sketch
-    root, rest = np.arange(len(s)), np.arange(len(s))
-    while len(rest) > 1:  # grow one class at a time, from its least member
-        start, front, rest = rest[0], [rest[0]], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            near = np.abs(table[rest] - table[i]).max(axis=1) <= FAR
-            near[near] = np.bitwise_count(u[rest[near]] ^ u[i]) <= FAR
-            near[near] = overlaps(marks[i], marks[rest[near]]) >= similarity - slack
-            root[rest[near]] = start
-            front += list(rest[near])
-            rest = rest[~near]
-    moved = root != np.arange(len(s))
-    return s[moved], s[root[moved]]
+    return members.join(sets, "node").groupBy("cell", "part").applyInPandas(run, "u long, v long").distinct()
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between fingerprints (fp, sketch, cells, split) of documents with much in common."""
-    cells = nodes.select(F.explode("cells").alias("cell"), "fp", "split")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+def _weight() -> Column:
+    """A member's share of SIMILAR_CELL: long sets count more, for memory."""
+    return F.lit(1) + F.expr("size div 1000")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints of nodes (node, fp, size, cells, split) with much in common: most of them."""
+    cells = nodes.select(F.explode("cells").alias("cell"), "node", "fp", "split", _weight().alias("w"))
+    sizes = cells.groupBy("cell").agg(F.sum("w").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("cell", "n")
     full = stage(cells.join(sizes, "cell"), "simhash-similar")
-    fine = full.filter(F.col("n") <= SIMILAR_CELL).select("cell", F.lit(0).cast("long").alias("part"), "fp")
-    crowded = full.filter(F.col("n") > SIMILAR_CELL).select("cell", "split", "fp")
-    parts = crowded.groupBy("cell", "split").agg(F.count("*").alias("m"), F.min("fp").alias("least")).withColumn("k", F.ceil(F.col("m") / SIMILAR_CELL))
-    dealt = crowded.join(parts, ["cell", "split"]).select("cell", F.xxhash64("split", F.pmod(F.xxhash64("fp"), F.col("k"))).alias("part"), "fp")
-    heads = parts.select("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("split", i))).alias("part"), F.col("least").alias("fp"))
-    members = fine.unionByName(dealt).unionByName(heads).join(nodes.select("fp", "sketch"), "fp")
-
-    def run(key, pdf):  # about SIMILAR_CELL members
-        import pandas as pd
+    same = [F.lit(None).cast("long").alias("block"), "node", "fp", F.col("fp").alias("root")]
+    fine = full.filter(F.col("n") <= SIMILAR_CELL).select("cell", F.lit(0).cast("long").alias("part"), *same)
+    crowded = full.filter(F.col("n") > SIMILAR_CELL)
+    parts = crowded.groupBy("cell", "split").agg(F.sum("w").alias("m"), F.min(F.struct("node", "fp")).alias("least")).withColumn("k", F.ceil(F.col("m") / SIMILAR_CELL))
+    dealt = crowded.join(parts, ["cell", "split"]).select("cell", F.xxhash64("split", F.pmod(F.xxhash64("node"), F.col("k"))).alias("part"), *same)
+    heads = parts.select("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("split", i))).alias("part"), "least.*")
+    links = stage(_compared(fine.unionByName(dealt).unionByName(heads.select("cell", "part", *same)), docs), "simhash-links")
+    discard(full)
+    return links
 
-        a, b = link_similar(pdf["fp"].to_numpy(), pdf["sketch"].tolist())
-        return pd.DataFrame({"u": a, "v": b})
 
-    return members.groupBy("cell", "part").applyInPandas(run, "u long, v long").distinct()
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles in more than about PAIRED rows, by a sample of the rows, the least common first. Any answer is right: it is for speed."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.frombuffer(b"".join(b.column(0)[at : at + 100].to_pylist()), np.int64))})
+
+    some = docs.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(every)) == 0).select("shingles").mapInArrow(run, "shingle long")
+    often = some.groupBy("shingle").count().filter(F.col("count") > max(2, PAIRED // every)).orderBy(F.desc("count"), "shingle").limit(COMMON)
+    return np.array([r["shingle"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """cell, common and node of the first shingles of every row, and the counts of the row's set: size, rare, first (rare ones in the prefix)."""
+    order = np.argsort(common)
+    values = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))  # COMMON numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = values.value
+
+        def batch(made: list) -> pa.RecordBatch:
+            counts = [len(m[0]) for m in made]
+            cell, common = (np.concatenate([m[i] for m in made]) for i in range(2))
+            node, rare = (np.repeat(np.array([m[i] for m in made]), counts) for i in (2, 3))
+            return pa.RecordBatch.from_pydict({"cell": pa.array(cell.view(np.int64)), "common": pa.array(common), "node": pa.array(node), "rare": pa.array(rare.astype(np.int32))})
+
+        for b in batches:
+            made, held = [], 0
+            for x, node in zip(b.column(0), b.column(1).to_pylist()):
+                h = np.frombuffer(x.as_py(), np.uint64)
+                if not len(h):
+                    continue
+                place = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    place = np.where(known[at] == h, rank[at], 0)
+                p, rare = prefix(len(h)), int((place == 0).sum())
+                some = h[place == 0][:p] if rare >= p else h[np.argsort(place, kind="stable")[:p]]  # h is sorted
+                made.append((some, np.arange(len(some)) >= rare, node, rare))
+                held += len(some)
+                if held > RUN:
+                    yield batch(made)
+                    made, held = [], 0
+            if made:
+                yield batch(made)
+
+    return docs.select("shingles", "node").mapInArrow(run, "cell long, common boolean, node long, rare int")
+
+
+def _enough(a: str, b: str) -> Column:
+    """The least count of rare shingles that two similar sets share in their prefixes. They share (4/9)(s + t) at least, thus as
+    many rare ones less the common ones of the set with fewer; of the set whose prefix ends first, those beyond it may be lost."""
+    x, y = SIMILARITY
+    least = F.ceil(F.lit(x) * (F.col(f"{a}.size") + F.col(f"{b}.size")) / F.lit(x + y) - 1e-6)
+    hot = F.least(*(F.col(f"{s}.size") - F.col(f"{s}.rare") for s in (a, b)))
+    beyond = F.greatest(*(F.col(f"{s}.rare") - F.least(F.col(f"{s}.rare"), F.expr(f"{s}.size - ({x} * {s}.size + {y - 1}) div {y} + 1")) for s in (a, b)))
+    return F.greatest(F.lit(1), least - hot - beyond)
+
+
+def missed_links(nodes: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints of all similar nodes that have no common root (roots: node, root of fingerprints) yet."""
+    x, y = SIMILARITY
+    cells = stage(_prefixes(docs, common_shingles(docs)), "simhash-prefixes")
+    shared = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("cell")
+    rooted = nodes.select("node", "fp", "size").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    met = cells.join(shared, "cell").distinct().join(rooted, "node")
+    kinds = F.col("common") & ((x + y) * (F.col("size") - F.col("rare")) >= 2 * x * F.col("size"))
+    sizes = met.groupBy("cell").agg(F.count("*").alias("n"), F.sum(_weight()).alias("w"), F.min("root").alias("a"), F.max("root").alias("b"), F.max(kinds).alias("able"))
+    full = stage(met.join(sizes.filter("a < b").drop("a", "b"), "cell").filter("able or not common"), "simhash-missed")
+    few = full.filter(~F.col("common") & (F.col("n") <= PAIRED)).select("cell", F.struct("node", "fp", "root", "size", "rare").alias("m"))
+    a, b = few.withColumnRenamed("m", "a"), few.withColumnRenamed("m", "b")
+    pairs = a.join(b, "cell").filter(f"a.node < b.node and a.root <> b.root and {y} * a.size >= {x} * b.size and {y} * b.size >= {x} * a.size")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= _enough("a", "b"))
+    alone = F.xxhash64("a.node", "b.node")
+    paired = pairs.select(alone.alias("cell"), F.explode(F.array("a", "b")).alias("m")).select("cell", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("long").alias("block"), "m.node", "m.fp", "m.root")
+    many = full.filter(F.col("common") | (F.col("n") > PAIRED)).withColumn("k", F.ceil(F.col("w") / SIMILAR_CELL)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    # every two blocks meet: part i * k + j holds blocks i and j, and block i alone if i = j
+    to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least("block", j) * F.col("k") + F.greatest("block", j))
+    blocks = many.select("cell", F.explode(to).alias("part"), "block", "node", "fp", "root")
+    links = stage(_compared(paired.unionByName(blocks), docs), "simhash-links")
+    discard(cells, full)
+    return links
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -304,10 +446,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, similar: bool = False) -> DataFrame:
     """key, fp and class_id (the least key of the row's class) of every row; with `similar`, overlapping texts share a class too."""
     docs = stage(fingerprints(df, key, text, n, similar), "simhash-docs")
-    more = [F.first(c).alias(c) for c in ("sketch", "cells", "split")] if similar else []
-    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least"), *more), "simhash-nodes")
+    nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     links = near_links(nodes)
-    roots = components(links.unionByName(similar_links(nodes)) if similar else links, "simhash")
+    if similar:
+        more = [F.first(c).alias(c) for c in ("cells", "split")]
+        sets = stage(docs.groupBy("node", "fp").agg(F.first(F.expr("length(shingles) div 8")).alias("size"), *more), "simhash-sets")
+        links = stage(links.unionByName(similar_links(sets, docs)), "simhash-links")
+        links = links.unionByName(missed_links(sets, docs, components(links, "simhash")))
+        large, docs = docs, stage(docs.select(key, "fp"), "simhash-docs")
+        discard(large, sets)
+    roots = components(links, "simhash")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = rooted.join(lowest, "root").select("fp", "class_id")

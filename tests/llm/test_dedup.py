@@ -104,6 +104,53 @@ def test_similar_texts_share_a_class(spark, monkeypatch, crowd):
                 assert got[i] != got[j]
 
 
+def similar_classes(rows, n=5):
+    """Class of each text: pairs of 0.8 or more of the shingles, or two bits."""
+    sets, fps = [shingles(t, n) for _, t in rows], [plain_fingerprint(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and (9 * both >= 4 * (len(sets[i]) + len(sets[j])) or bin(fps[i] ^ fps[j]).count("1") <= 2):
+                root = [root[j] if r == root[i] else r for r in root]
+    return partition(rows, root)
+
+
+def partition(rows, label):
+    groups = {}
+    for (key, _), r in zip(rows, label):
+        groups.setdefault(r, []).append(key)
+    return sorted(map(sorted, groups.values()))
+
+
+def found_classes(spark, rows):
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=5, similar=True).collect()}
+    return partition(rows, [got[i] for i, _ in rows])
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.random()}"
+    return words
+
+
+@pytest.mark.parametrize("pairs, crowd, shared", [(100, 10, 300), (100, 10, 350), (2, 3, 385)])
+def test_similar_texts_around_one_template(spark, monkeypatch, pairs, crowd, shared):
+    """Every cell of min-hashes is crowded by texts that share a template; their copies are found all the same."""
+    monkeypatch.setattr(simhash, "SIMILAR_CELL", crowd)
+    monkeypatch.setattr(simhash, "PAIRED", pairs, raising=False)
+    rng = random.Random(3)
+    template, texts = [f"t{rng.random()}" for _ in range(shared)], []
+    for _ in range(60):
+        own = [f"own{rng.random()}" for _ in range(404 - shared)]
+        texts += [template + own, template[: shared // 2] + ["x"] + template[shared // 2 :] + edited(rng, own, (404 - shared) // 20)]
+    texts += [template, template[:-30], template[: shared * 4 // 5 + 2]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    assert found_classes(spark, rows) == similar_classes(rows)
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
