@@ -151,6 +151,16 @@ def test_similar_texts_around_one_template(spark, monkeypatch, pairs, crowd, sha
     assert found_classes(spark, rows) == similar_classes(rows)
 
 
+def test_repeated_line_does_not_hide_similar_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(12):
+        w = [f"{rng.choice(WORDS)}{rng.random()}" for _ in range(1000)]  # noqa: F405
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:500] + w[480:500] * 45 + w[500:]))]
+    assert any(bin(plain_fingerprint(a[1], 5) ^ plain_fingerprint(b[1], 5)).count("1") > 24 for a, b in zip(rows[::2], rows[1::2]))
+    assert found_classes(spark, rows) == similar_classes(rows)
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
