@@ -161,6 +161,16 @@ def test_repeated_line_does_not_hide_similar_texts(spark):
     assert found_classes(spark, rows) == similar_classes(rows)
 
 
+def test_overlap_is_exact(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        w = [f"{rng.choice(WORDS)}{rng.random()}" for _ in range(304)]  # noqa: F405
+        lost = 28 + k % 12  # of 300 shingles; a third part of the pairs has 0.80 or a little more, a third a little less
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 304 - lost] + [f"own{rng.random()}" for _ in range(lost)]))]
+    assert found_classes(spark, rows) == similar_classes(rows)
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
