@@ -171,6 +171,15 @@ def test_overlap_is_exact(spark):
     assert found_classes(spark, rows) == similar_classes(rows)
 
 
+def test_texts_of_one_fingerprint_are_searched_each(spark):
+    rng = random.Random(6)
+    line = [f"l{rng.random()}" for _ in range(21)]
+    own = [[f"own{rng.random()}" for _ in range(200)] for _ in range(3)]
+    rows = [(k, " ".join(line * 200 + o)) for k, o in enumerate(own)] + [(10 + k, " ".join(line + o)) for k, o in enumerate(own)]
+    assert len({plain_fingerprint(t, 5) for _, t in rows[:3]}) == 1
+    assert found_classes(spark, rows) == similar_classes(rows) == [[0, 1, 2, 10, 11, 12]]
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
