@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -102,9 +102,9 @@ def fit_texts(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model
 
 
 def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) -> Model | None:
-    """Fit on a sample of the rows of training, chosen by a hash of the text alone."""
+    """Fit on a sample of the distinct texts of each language, chosen by a hash of the text alone."""
     rows = training.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull() & (F.length("t") <= bounds.max_chars))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(bounds.max_classes).collect()
+    counts = rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count().orderBy(F.desc("count"), "l").limit(bounds.max_classes).collect()
     if not counts:
         return None
     spread = 1 << 30
@@ -114,13 +114,12 @@ def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) ->
     some = wanted[0]
     for w in wanted[1:]:
         some = some | w
-    taken = rows.filter(some).select("l", "t", place.alias("p")).orderBy("p", "l", "t").limit(3 * bounds.per_class * len(counts)).collect()
-    samples: dict[str, dict[str, None]] = {}
-    for r in taken:
-        held = samples.setdefault(r["l"], {})
-        if len(held) < bounds.per_class:
-            held[r["t"]] = None
-    return fit_texts({k: list(v) for k, v in samples.items()}, bounds)
+    ordered = Window.partitionBy("l").orderBy("p", "t")
+    taken = rows.filter(some).select("l", "t", place.alias("p")).distinct().withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= bounds.per_class)
+    samples: dict[str, list[str]] = {}
+    for r in taken.orderBy("p", "l", "t").collect():
+        samples.setdefault(r["l"], []).append(r["t"])
+    return fit_texts(samples, bounds)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", batch: int = 128) -> DataFrame:

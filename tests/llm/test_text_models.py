@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import *  # noqa: F403
+from pyspark.sql import functions as F
 
 from skeinwork.llm import decontam, htmltext, langid, packing, queries
 
@@ -26,6 +27,16 @@ def test_language_cases(spark, docs, no_docs):
     assert langid.predict(no_docs, model).count() == 0
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    texts = [(f"text number {i}",) for i in range(200)]
+    placed = [r["t"] for r in spark.createDataFrame(texts, "t string").orderBy(F.pmod(F.xxhash64("t"), F.lit(1 << 30))).collect()]
+    rows = [(placed[0], "aa")] * 100 + [(t, "aa") for t in placed[1:6]] + [(placed[-1], "zz")]
+    bounds = langid.Bounds(per_class=3)
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", bounds)
+    assert model.languages == ["aa", "zz"]
+    assert (model.scores([placed[-1]]).argmax(axis=1) == 1).all()
+
+
 def test_kernel_is_normalised_overlap():
     model = langid.fit_texts({"a": ["abc abd", "abx"], "b": ["zzy zyx", "yyz"]})
     f = model.features(["abc abd", "abd abc"])
