@@ -63,17 +63,23 @@ _GOLD = "g AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOI
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, id of documents that hold an item word for word: candidates share the item's rarest word, then the texts are compared."""
+    """query_id, id of documents that hold an item word for word: candidates share the item's rarest inner word, then the texts
+    are compared. Items without an inner word are compared with every document."""
     items = _questions(spark, sf_dir)
     docs = _docs(spark, sf_dir)
     terms = docs.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     asked = items.select("query_id", F.explode(F.array_distinct(F.slice(T.tokens(F.col("query")), 2, 1 << 30))).alias("term"))
-    inner = asked.join(items.select("query_id", F.element_at(T.tokens(F.col("query")), -1).alias("last")), "query_id").filter("term <> last").drop("last")
+    inner = asked.join(items.select("query_id", F.try_element_at(T.tokens(F.col("query")), F.lit(-1)).alias("last")), "query_id").filter("term <> last").drop("last")
     held = terms.join(inner.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     pairs = held.join(rarest, "term").select("query_id", "id")
-    return pairs.join(items, "query_id").join(docs, "id").filter(F.contains("text", "query")).select("query_id", "id")
+    found = pairs.join(items, "query_id").join(docs, "id").filter(F.contains("text", "query")).select("query_id", "id")
+    tokens = T.tokens(F.col("query"))
+    short = items.filter(F.size(F.array_remove(F.slice(tokens, 2, 1 << 30), F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit("")))) == 0)
+    if short.isEmpty():
+        return found
+    return found.unionByName(short.join(docs, F.contains("text", "query")).select("query_id", "id"))
 
 
 @query(f"""{_BM25}, {_GOLD},

@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from skeinwork.plans import registry
+from skeinwork.plans import lexical_queries, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -41,3 +41,12 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_gold_of_short_items(spark, tmp_path):
+    docs = [(1, "the heart beats"), (2, "heart, heart and lung"), (3, "a lung"), (4, "no such"), (5, None), (6, "")]
+    items = [(1, "heart"), (2, "a lung"), (3, "heart, heart"), (4, "heart beats"), (5, "the heart beats"), (6, "..."), (7, ", "), (8, None), (9, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((i, d) for i, q in items for d, t in docs if q is not None and t is not None and q in t)
+    assert sorted(map(tuple, lexical_queries.gold(spark, str(tmp_path)).collect())) == want
