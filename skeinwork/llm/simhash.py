@@ -467,7 +467,10 @@ def fp_hex(fp):
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """df with one row of each class: the one with the least key. Rows without a key stay."""
-    kept = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, n, similar=True).select("class_id").distinct()
-    rows = df.join(kept, F.col(key) == F.col("class_id"), "left_semi").dropDuplicates([key])  # repeated rows share a key
+    """df with one row of each class: the one with the least key, then digest of the text. Rows without a key stay."""
+    row = F.struct(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"))
+    keyed = df.filter(F.col(key).isNotNull()).withColumn("__row", row)
+    kept = near_duplicates(keyed, "__row", text, n, similar=True).select(F.col("class_id").alias("__kept")).distinct()
+    same = (F.col("__row.key") == F.col("__kept.key")) & F.col("__row.digest").eqNullSafe(F.col("__kept.digest"))
+    rows = keyed.join(kept, same, "left_semi").dropDuplicates(["__row"]).drop("__row")  # repeated rows share key and text
     return rows.unionByName(df.filter(F.col(key).isNull()))

@@ -180,6 +180,15 @@ def test_texts_of_one_fingerprint_are_searched_each(spark):
     assert found_classes(spark, rows) == similar_classes(rows) == [[0, 1, 2, 10, 11, 12]]
 
 
+def test_different_texts_of_one_id_stay(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"{rng.choice(WORDS)}{rng.random()}" for _ in range(100)) for _ in range(2))  # noqa: F405
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b + " tail"), (None, a), (4, None), (4, "")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, a), (1, b), (None, a), (4, None)]))
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
