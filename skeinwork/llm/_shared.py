@@ -14,6 +14,9 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: A side of a join is sent to all executors only if its measured size is below this.
 BROADCAST_BYTES = 16 << 20
 
+#: Spark's setting to delete a statement's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL: list[str] = []
 
 
@@ -35,10 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends here, so work is not
-    repeated and a lost executor costs only its own tasks."""
+    repeated and a lost executor costs only its own tasks. Shuffle files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skeinwork/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     got = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(got)] = (got, path)
     return got

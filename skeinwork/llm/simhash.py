@@ -22,8 +22,8 @@ Search, on distinct fingerprints only:
 a radius of two bits does not reach (an overlap of 0.8 flips about ten bits of 64). The sets are those of the
 shingles' XXH64 values; every link is verified on them. Nodes are distinct (fingerprint, set).
 
-1. Most links come cheaply: cells from TABLES pairs of min-hashes, compared within. Cells over SIMILAR_CELL members
-   are split by a second pair of min-hashes and a hash. What is missed here is left to the next step.
+1. Most links come cheaply: each node goes to cells named by TABLES pairs of min-hashes and is compared with the least and
+   the greatest member of each. What is missed here is left to the next step.
 2. All others come from prefix filtering. Shingles are ordered, common ones (by a sample) last; two sets of s and t
    members that overlap by 4/5 share one of the first s - ceil(4s/5) + 1 and t - ceil(4t/5) + 1. A node goes to the cells
    of these shingles, and only cells whose nodes are not yet of one class count. Not common shingle, up to PAIRED nodes:
@@ -60,8 +60,8 @@ SIMILARITY = (4, 5)
 TABLES, SIMILAR_CELL, PAIRED = 8, 4000, 100
 #: Nodes in the sample for common shingles, and how many of these are told apart at most (the order of the others is by hash).
 SAMPLE, COMMON = 10_000, 1 << 18
-#: Odd numbers for min-hashes: two for each table, two for the split of crowded cells.
-_ODD = np.random.default_rng(5).integers(1, 1 << 63, 2 * TABLES + 2, dtype=np.uint64) | np.uint64(1)
+#: Odd numbers for min-hashes, two for each table.
+_ODD = np.random.default_rng(5).integers(1, 1 << 63, 2 * TABLES, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_digests(text: str | None, n: int) -> Iterator[bytes]:
@@ -92,37 +92,57 @@ def shingle_set(runs: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(runs), ">u8").astype(np.uint64))
 
 
-def min_hashes(h: np.ndarray) -> tuple[list[int], int]:
-    """The keys of TABLES cells of a set, and one for their split."""
+def min_hashes(h: np.ndarray) -> list[int]:
+    """The keys of TABLES cells of a set, each from a pair of min-hashes."""
     if not len(h):
-        return [], 0
+        return []
     mixed = h ^ (h >> np.uint64(31))
     least = np.array([(mixed * odd).min() for odd in _ODD])
-    keys = least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2] + np.arange(TABLES + 1, dtype=np.uint64)
-    return keys[:-1].view(np.int64).tolist(), int(keys[-1:].view(np.int64)[0])
+    keys = least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2] + np.arange(TABLES, dtype=np.uint64)
+    return keys.view(np.int64).tolist()
 
 
-def fingerprints(df: DataFrame, key: str, text: str, n: int = 3, sets: bool = False) -> DataFrame:
-    """key and fp (the 64 bits as a signed long) of every row; if asked for, the shingles (eight bytes each), cells, split, and
-    node, a number for fingerprint and shingles."""
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, fp long" + ", node long, shingles binary, cells array<long>, split long" * sets
+def fingerprints(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """key and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, more = np.zeros(b.num_rows, np.uint64), []
-            for i, t in enumerate(b.column(1)):
+            fps = np.array([fingerprint(t.as_py(), n) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+
+
+def set_rows(df: DataFrame, key: str, text: str, n: int, common: np.ndarray) -> DataFrame:
+    """key, digest (MD5 of the text), fp, node (a number for fingerprint and set), cells (min-hashes), size of the set, rare (its
+    shingles that are not common ones) and prefix (its first shingles, rare ones before common ones) of every row."""
+    order = np.argsort(common)
+    values = df.sparkSession.sparkContext.broadcast((common[order], order + 1))  # COMMON numbers at most
+    kind = f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, fp long, node long, cells array<long>, size int, rare int, prefix array<long>"
+    kinds = {"fp": pa.int64(), "node": pa.int64(), "cells": pa.list_(pa.int64()), "size": pa.int32(), "rare": pa.int32(), "prefix": pa.list_(pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = values.value
+        for b in batches:
+            made = []
+            for t in b.column(2):
                 runs = list(shingle_digests(t.as_py(), n))
-                fps[i] = majority(runs)
-                if sets:
-                    h = shingle_set(runs)
-                    more.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), int(fps[i]))), h.tobytes(), *min_hashes(h)))
-            columns = {key: b.column(0), "fp": pa.array(fps.view(np.int64))}
-            if sets:
-                made = list(zip(*more)) or [(), (), (), ()]
-                columns |= {"node": pa.array(made[0], pa.int64()), "shingles": pa.array(made[1], pa.binary()), "cells": pa.array(made[2], pa.list_(pa.int64())), "split": pa.array(made[3], pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns)
+                fp, h = majority(runs), shingle_set(runs)
+                place = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    place = np.where(known[at] == h, rank[at], 0)
+                p, rare = prefix(len(h)), int((place == 0).sum())
+                some = h[place == 0][:p] if rare >= p else h[np.argsort(place, kind="stable")[:p]]  # h is sorted
+                made.append((_signed(fp), _signed(xxhash.xxh64_intdigest(h.tobytes(), fp)), min_hashes(h), len(h), rare, some.view(np.int64)))
+            columns = zip(*made) if made else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds.values()))], names=[key, "digest", *kinds])
 
-    return df.select(key, text).mapInArrow(run, kind)
+    return df.select(key, _digest(F.col(text)).alias("__digest"), text).mapInArrow(run, kind)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def _walsh() -> np.ndarray:
@@ -306,20 +326,46 @@ def link_similar(fps: np.ndarray, sets: list[bytes], roots: np.ndarray | None =
     return found[:, 0], found[:, 1]
 
 
-def _compared(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) within each (cell, part) of members cell, part, block (null: all are compared), node, fp, root."""
-    wanted = members.select("node").distinct()
-    sets = docs.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Of pairs (structs a, b of node, fp, digest) the links (u, v) of similar sets. Texts (digest, text) move to their pairs,
+    a row at a time; what a task holds is one pair and the set of the last b."""
+    asked = stage(pairs.select(F.col("a.digest").alias("ad"), F.col("b.digest").alias("bd"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "simhash-pairs")
+    held = stage(texts.join(asked.select(F.explode(F.array("ad", "bd")).alias("digest")).distinct(), "digest"), "simhash-texts")
+    first = asked.join(held.select(F.col("digest").alias("ad"), F.col("text").alias("x")), "ad")
+    both = first.join(held.select(F.col("digest").alias("bd"), F.col("text").alias("y")), "bd").select("u", "v", "bd", "x", "y")
 
-    def run(key, pdf):  # about SIMILAR_CELL members, twice as many in blocks
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = SIMILARITY
+        last, y = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            good = []
+            for digest, xt, yt in zip(*batch.columns[2:]):
+                if digest != last:
+                    last, y = digest, shingle_set(list(shingle_digests(yt.as_py(), n)))
+                x = shingle_set(list(shingle_digests(xt.as_py(), n)))
+                good.append((a + b) * len(np.intersect1d(x, y, assume_unique=True)) >= a * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    links = stage(both.mapInArrow(run, "u long, v long").distinct(), "simhash-links")
+    discard(asked, held)
+    return links
+
+
+def _compared(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) within each (cell, part) of members cell, part, block, node, fp, digest, root. Members of one block are compared
+    if it is alone in its part."""
+    held = texts.join(members.select("digest").distinct(), "digest")
+
+    def run(key, pdf):  # twice SIMILAR_CELL members at most, long ones counting more
         import pandas as pd
 
         pdf = pdf.drop_duplicates("node").sort_values("node")
-        blocks = None if pdf["block"].isna().any() or pdf["block"].nunique() < 2 else pdf["block"].to_numpy()
-        a, b = link_similar(pdf["fp"].to_numpy(), pdf["shingles"].tolist(), pdf["root"].to_numpy(), blocks)
+        blocks = None if pdf["block"].nunique() < 2 else pdf["block"].to_numpy()
+        sets = [shingle_set(list(shingle_digests(t, n))).tobytes() for t in pdf["text"]]
+        a, b = link_similar(pdf["fp"].to_numpy(), sets, pdf["root"].to_numpy(), blocks)
         return pd.DataFrame({"u": a, "v": b})
 
-    return members.join(sets, "node").groupBy("cell", "part").applyInPandas(run, "u long, v long").distinct()
+    return stage(members.join(held, "digest").groupBy("cell", "part").applyInPandas(run, "u long, v long").distinct(), "simhash-links")
 
 
 def _weight() -> Column:
@@ -327,73 +373,35 @@ def _weight() -> Column:
     return F.lit(1) + F.expr("size div 1000")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) between fingerprints of nodes (node, fp, size, cells, split) with much in common: most of them."""
-    cells = nodes.select(F.explode("cells").alias("cell"), "node", "fp", "split", _weight().alias("w"))
-    sizes = cells.groupBy("cell").agg(F.sum("w").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("cell", "n")
-    full = stage(cells.join(sizes, "cell"), "simhash-similar")
-    same = [F.lit(None).cast("long").alias("block"), "node", "fp", F.col("fp").alias("root")]
-    fine = full.filter(F.col("n") <= SIMILAR_CELL).select("cell", F.lit(0).cast("long").alias("part"), *same)
-    crowded = full.filter(F.col("n") > SIMILAR_CELL)
-    parts = crowded.groupBy("cell", "split").agg(F.sum("w").alias("m"), F.min(F.struct("node", "fp")).alias("least")).withColumn("k", F.ceil(F.col("m") / SIMILAR_CELL))
-    dealt = crowded.join(parts, ["cell", "split"]).select("cell", F.xxhash64("split", F.pmod(F.xxhash64("node"), F.col("k"))).alias("part"), *same)
-    heads = parts.select("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: F.xxhash64("split", i))).alias("part"), "least.*")
-    links = stage(_compared(fine.unionByName(dealt).unionByName(heads.select("cell", "part", *same)), docs), "simhash-links")
-    discard(full)
-    return links
+def _alike(a: str, b: str) -> Column:
+    """Whether the sizes of two different nodes allow similar sets and their fingerprints do not link them already."""
+    x, y = SIMILARITY
+    return F.expr(f"{a}.fp <> {b}.fp and {y} * {a}.size >= {x} * {b}.size and {y} * {b}.size >= {x} * {a}.size")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) of nodes (node, fp, size, digest, cells) to the least and the greatest member of each of their cells, where
+    the sets are similar: most of the links that are needed. No cell is gathered anywhere."""
+    cells = nodes.select(F.explode("cells").alias("cell"), F.struct("node", "fp", "size", "digest").alias("a"))
+    ends = cells.groupBy("cell").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least.node < most.node")
+    pairs = cells.join(ends, "cell").select("a", F.explode(F.array("least", "most")).alias("b")).filter(_alike("a", "b"))
+    return _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, n)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
+def common_shingles(df: DataFrame, text: str, n: int) -> np.ndarray:
     """Shingles in more than about PAIRED rows, by a sample of the rows, the least common first. Any answer is right: it is for speed."""
-    every = max(1, docs.count() // SAMPLE)
+    every = max(1, df.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.frombuffer(b"".join(b.column(0)[at : at + 100].to_pylist()), np.int64))})
+            for t in b.column(0):
+                yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle_set(list(shingle_digests(t.as_py(), n))).view(np.int64))})
 
-    some = docs.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(every)) == 0).select("shingles").mapInArrow(run, "shingle long")
+    some = df.filter(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(every)) == 0).select(text).mapInArrow(run, "shingle long")
     often = some.groupBy("shingle").count().filter(F.col("count") > max(2, PAIRED // every)).orderBy(F.desc("count"), "shingle").limit(COMMON)
     return np.array([r["shingle"] for r in often.collect()][::-1], np.int64).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """cell, common and node of the first shingles of every row, and the counts of the row's set: size, rare, first (rare ones in the prefix)."""
-    order = np.argsort(common)
-    values = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))  # COMMON numbers at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = values.value
-
-        def batch(made: list) -> pa.RecordBatch:
-            counts = [len(m[0]) for m in made]
-            cell, common = (np.concatenate([m[i] for m in made]) for i in range(2))
-            node, rare = (np.repeat(np.array([m[i] for m in made]), counts) for i in (2, 3))
-            return pa.RecordBatch.from_pydict({"cell": pa.array(cell.view(np.int64)), "common": pa.array(common), "node": pa.array(node), "rare": pa.array(rare.astype(np.int32))})
-
-        for b in batches:
-            made, held = [], 0
-            for x, node in zip(b.column(0), b.column(1).to_pylist()):
-                h = np.frombuffer(x.as_py(), np.uint64)
-                if not len(h):
-                    continue
-                place = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    place = np.where(known[at] == h, rank[at], 0)
-                p, rare = prefix(len(h)), int((place == 0).sum())
-                some = h[place == 0][:p] if rare >= p else h[np.argsort(place, kind="stable")[:p]]  # h is sorted
-                made.append((some, np.arange(len(some)) >= rare, node, rare))
-                held += len(some)
-                if held > RUN:
-                    yield batch(made)
-                    made, held = [], 0
-            if made:
-                yield batch(made)
-
-    return docs.select("shingles", "node").mapInArrow(run, "cell long, common boolean, node long, rare int")
-
-
 def _enough(a: str, b: str) -> Column:
     """The least count of rare shingles that two similar sets share in their prefixes. They share (4/9)(s + t) at least, thus as
     many rare ones less the common ones of the set with fewer; of the set whose prefix ends first, those beyond it may be lost."""
@@ -404,28 +412,32 @@ def _enough(a: str, b: str) -> Column:
     return F.greatest(F.lit(1), least - hot - beyond)
 
 
-def missed_links(nodes: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (u, v) between fingerprints of all similar nodes that have no common root (roots: node, root of fingerprints) yet."""
+def missed_links(nodes: DataFrame, texts: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) between fingerprints of all similar nodes (node, fp, size, rare, prefix, digest) that have no common root
+    (roots: node, root of fingerprints) yet."""
     x, y = SIMILARITY
-    cells = stage(_prefixes(docs, common_shingles(docs)), "simhash-prefixes")
-    shared = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("cell")
-    rooted = nodes.select("node", "fp", "size").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    met = cells.join(shared, "cell").distinct().join(rooted, "node")
+    rooted = stage(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("cells"), "simhash-rooted")
     kinds = F.col("common") & ((x + y) * (F.col("size") - F.col("rare")) >= 2 * x * F.col("size"))
-    sizes = met.groupBy("cell").agg(F.count("*").alias("n"), F.sum(_weight()).alias("w"), F.min("root").alias("a"), F.max("root").alias("b"), F.max(kinds).alias("able"))
-    full = stage(met.join(sizes.filter("a < b").drop("a", "b"), "cell").filter("able or not common"), "simhash-missed")
-    few = full.filter(~F.col("common") & (F.col("n") <= PAIRED)).select("cell", F.struct("node", "fp", "root", "size", "rare").alias("m"))
+
+    def exploded(*columns: str) -> DataFrame:
+        return rooted.select(F.posexplode("prefix").alias("at", "cell"), "rare", *columns).withColumn("common", F.col("at") >= F.col("rare")).drop("at")
+
+    sizes = exploded("root", "size").groupBy("cell").agg(
+        F.count("*").alias("n"), F.sum(_weight()).alias("w"), F.min("root").alias("a"), F.max("root").alias("b"), F.first("common").alias("often"), F.max(kinds).alias("able")
+    )
+    met = stage(sizes.filter("a < b and (able or not often)").select("cell", "n", "w", "often"), "simhash-met")
+    mine = exploded("node").select("cell", "node").join(met, "cell")
+    full = stage(mine.join(rooted.select("node", "fp", "root", "size", "rare", "digest"), "node"), "simhash-missed")
+    few = full.filter(~F.col("often") & (F.col("n") <= PAIRED)).select("cell", F.struct("node", "fp", "root", "size", "rare", "digest").alias("m"))
     a, b = few.withColumnRenamed("m", "a"), few.withColumnRenamed("m", "b")
-    pairs = a.join(b, "cell").filter(f"a.node < b.node and a.root <> b.root and {y} * a.size >= {x} * b.size and {y} * b.size >= {x} * a.size")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= _enough("a", "b"))
-    alone = F.xxhash64("a.node", "b.node")
-    paired = pairs.select(alone.alias("cell"), F.explode(F.array("a", "b")).alias("m")).select("cell", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("long").alias("block"), "m.node", "m.fp", "m.root")
-    many = full.filter(F.col("common") | (F.col("n") > PAIRED)).withColumn("k", F.ceil(F.col("w") / SIMILAR_CELL)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    pairs = a.join(b, "cell").filter(F.expr("a.node < b.node and a.root <> b.root") & _alike("a", "b"))
+    close = _verified(pairs.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= _enough("a", "b")), texts, n)
+    many = full.filter(F.col("often") | (F.col("n") > PAIRED)).withColumn("k", F.ceil(F.col("w") / SIMILAR_CELL)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
     # every two blocks meet: part i * k + j holds blocks i and j, and block i alone if i = j
     to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least("block", j) * F.col("k") + F.greatest("block", j))
-    blocks = many.select("cell", F.explode(to).alias("part"), "block", "node", "fp", "root")
-    links = stage(_compared(paired.unionByName(blocks), docs), "simhash-links")
-    discard(cells, full)
+    blocks = many.select("cell", F.explode(to).alias("part"), "block", "node", "fp", "digest", "root")
+    links = stage(close.unionByName(_compared(blocks, texts, n)), "simhash-links")
+    discard(rooted, met, full)
     return links
 
 
@@ -445,16 +457,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, similar: bool = False) -> DataFrame:
     """key, fp and class_id (the least key of the row's class) of every row; with `similar`, overlapping texts share a class too."""
-    docs = stage(fingerprints(df, key, text, n, similar), "simhash-docs")
+    rows = set_rows(df, key, text, n, common_shingles(df, text, n)) if similar else fingerprints(df, key, text, n)
+    docs = stage(rows, "simhash-docs")
     nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     links = near_links(nodes)
     if similar:
-        more = [F.first(c).alias(c) for c in ("cells", "split")]
-        sets = stage(docs.groupBy("node", "fp").agg(F.first(F.expr("length(shingles) div 8")).alias("size"), *more), "simhash-sets")
-        links = stage(links.unionByName(similar_links(sets, docs)), "simhash-links")
-        links = links.unionByName(missed_links(sets, docs, components(links, "simhash")))
+        texts = df.select(_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["digest"])
+        parts = [F.first(c).alias(c) for c in ("cells", "size", "rare", "prefix")]
+        sets = stage(docs.groupBy("node", "fp").agg(F.min("digest").alias("digest"), *parts), "simhash-sets")
         large, docs = docs, stage(docs.select(key, "fp"), "simhash-docs")
-        discard(large, sets)
+        discard(large)
+        links = stage(links.unionByName(similar_links(sets, texts, n)), "simhash-links")
+        links = links.unionByName(missed_links(sets, texts, components(links, "simhash"), n))
+        discard(sets)
     roots = components(links, "simhash")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
