@@ -6,13 +6,15 @@ equal windows have equal anchors. Windows with one anchor start at consecutive p
 the text from lo to hi + width is the anchor's fragment: each window lies in exactly one fragment, and
 equal windows lie in fragments with the same anchor key.
 
-1. Texts are reduced to distinct ones (by MD5); exact copies are settled by their class alone.
-2. Anchor keys are counted over all distinct texts; those found twice or more are wanted.
-3. Fragments of wanted anchors are cut out and reduced to distinct ones, pre-aggregated before the
-   shuffle. Anchors with over HOT different fragments are cut
-   further, into single windows keyed by their whole content, so no key gathers an unbounded number.
-4. Fragments are dealt by key to shards of about SHARD symbols; an index in each shard (the caller's)
-   tells which windows of each fragment are repeats.
+1. The anchor keys of all texts are listed, once for each distinct text (by MD5); exact copies are settled by their
+   class alone. Texts stay where they are.
+2. Keys are counted over all distinct texts; those found twice or more are wanted, and only texts with a wanted key move.
+3. Fragments of wanted anchors are cut out and reduced to distinct ones, pre-aggregated before the shuffle. Anchors
+   with over HOT different fragments are refined (`_halves`): the windows with more than a middle share of the text
+   before the anchor and those with less are parted, and each half is keyed by all the text that its windows have in
+   common. That is repeated until no key is crowded, at the latest with single windows, so no key gathers an unbounded number.
+4. Fragments are dealt by key to a bounded number of tasks and sorted by key; a task cuts its stream into shards of about
+   SHARD symbols, one after the other, and an index of each shard (the caller's) tells which windows are repeats.
 5. The answers go back to every place the fragment occurs, and from there to the texts.
 
 Every step is an aggregation or a join over all data; nothing is sampled, capped or cut short.
@@ -20,7 +22,6 @@ Every step is an aggregation or a join over all data; nothing is sampled, capped
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm._shared import discard, release, stage
 
-HOT = 50_000
+HOT = 2_000
 SHARD = 400_000
 PART = 1 << 21  # symbols of a text handled at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -110,32 +111,20 @@ class Spec:
     symbol_bytes: int
 
 
-def forget(df: DataFrame) -> None:
-    """Let Spark drop shuffle files of finished steps now rather than at some later collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def _keys(texts: DataFrame, spec: Spec) -> DataFrame:
-    """nid, keys: the anchor keys of each text, in arrays of a bounded length, repeats included."""
+def _keys(rows: DataFrame, spec: Spec) -> DataFrame:
+    """tid, least, n_bytes, keys (the anchor keys, repeats included) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nids, keys, held = [], [], 0
-            for nid, t in zip(b.column(0).to_pylist(), b.column(1)):
+            keys = []
+            for t in b.column(3):
                 x = spec.symbols(t.as_py().encode("utf-8", "surrogatepass"))
-                for s, e in parts(len(x), spec.width):
-                    k = anchors(x[s:e], spec.width, spec.gram)[0]
-                    nids.append(nid)
-                    keys.append(k)
-                    held += len(k)
-                if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(keys, pa.list_(pa.int64()))], names=["nid", "keys"])
-                    nids, keys, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(nids), pa.array(keys, pa.list_(pa.int64()))], names=["nid", "keys"])
+                keys.append(np.concatenate([np.zeros(0, np.int64), *(anchors(x[s:e], spec.width, spec.gram)[0] for s, e in parts(len(x), spec.width))]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.list_(pa.int64()))], names=["tid", "least", "n_bytes", "keys"])
 
-    return texts.select("nid", "text").mapInArrow(run, "nid long, keys array<long>")
+    last = F.lit((1 << 63) - 1)  # a null key counts as the last
+    known = rows.select("tid", F.coalesce(F.col("key").cast("long"), last).alias("least"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    return known.mapInArrow(run, "tid binary, least long, n_bytes long, keys array<long>")
 
 
 _COLUMNS = "key long, fid binary, nid long, least long, lo long, mark int, windows int, data binary"
@@ -150,7 +139,7 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
     for row in rows:
         for column, v in zip(out, row):
             column.append(v)
-        held += len(row[-1])
+        held += 64 + len(row[-1] or b"")
         if held > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
             out, held = [[] for _ in names], 0
@@ -158,10 +147,12 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
-def _fragments(wanted: DataFrame, spec: Spec) -> DataFrame:
-    """The wanted anchors' fragments of every text: key, fid (MD5 of data), place, mark (the anchor's place in it), windows, data."""
+def _fragments(held: DataFrame, spec: Spec) -> DataFrame:
+    """The wanted anchors' fragments of every text: key, fid (MD5 of data), place, mark (the anchor's place in it), windows, data
+    (null if the task has had that fragment already)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        had: set[bytes] = set()
         for b in batches:
             for nid, text, least, keys in zip(*b.columns):
                 nid, raw, least = nid.as_py(), text.as_py().encode("utf-8", "surrogatepass"), least.as_py()
@@ -171,113 +162,130 @@ def _fragments(wanted: DataFrame, spec: Spec) -> DataFrame:
                     some = np.isin(key, keys)
                     for k, a, z, m in zip(key[some].tolist(), lo[some].tolist(), hi[some].tolist(), at[some].tolist()):
                         data = cut(s + a, s + z + spec.width)
-                        yield k, hashlib.md5(data).digest(), nid, least, s + a, m - a, z - a + 1, data
+                        fid = hashlib.md5(data).digest()
+                        yield k, fid, nid, least, s + a, m - a, z - a + 1, None if fid in had else data
+                        if len(had) > 1 << 18:  # bounded; to send a fragment twice is no harm
+                            had.clear()
+                        had.add(fid)
+
+    return held.select("nid", "text", "least", "keys").mapInArrow(lambda b: _batches(rows(b), _NAMES, _KINDS), _COLUMNS)
 
-    return wanted.select("nid", "text", "least", "keys").mapInArrow(lambda b: _batches(rows(b), _NAMES, _KINDS), _COLUMNS)
 
+def _halves(crowded: DataFrame, spec: Spec) -> DataFrame:
+    """Fragments of crowded keys in two: of (the fragment), skip (windows left out before), and the columns of found.
 
-def _single(found: DataFrame, spec: Spec) -> DataFrame:
-    """The windows of found fragments as fragments of their own: of, n, key, fid, at, mark, windows, times, data."""
-    names = ["of", "n", "key", "fid", "nid", "least", "lo", "times", "data"]
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    Windows are told by their distance to the anchor, near..far for those of a key. Windows at distances x to y share the text
+    from the start of the one at x to the end of the one at y. This stretch names the half's key, so equal windows keep meeting;
+    a half of a single distance shares the whole window.
+    """
+    names = ["of", "skip", "key", "fid", "mark", "windows", "near", "far", "times", "least", "nid", "lo", "data"]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for fid, windows, times, nid, least, lo, data in zip(*(c.to_pylist() for c in b.columns)):
-                cut = spec.cut(data)
-                for n in range(windows):
-                    part = cut(n, n + spec.width)
-                    own = hashlib.md5(part).digest()
-                    yield fid, n, int.from_bytes(own[:8], "little", signed=True), own, nid, least, lo + n, times, part
+            for fid, mark, windows, near, far, times, least, nid, lo, data in zip(*(c.to_pylist() for c in b.columns)):
+                cut, middle = spec.cut(data), (near + far) // 2
+                for x, y in ((near, middle), (middle + 1, far)):
+                    first, last = max(0, mark - y), min(windows - 1, mark - x)
+                    if first <= last:
+                        shared, part = cut(mark - x, mark - y + spec.width), cut(first, last + spec.width)
+                        key = int.from_bytes(hashlib.md5(b"%d %d " % (x, y) + shared).digest()[:8], "little", signed=True)
+                        yield fid, first, key, hashlib.md5(part).digest(), mark - first, last - first + 1, x, y, times, least, nid, lo + first, part
 
-    kind = "of binary, n int, key long, fid binary, nid long, least long, lo long, times long, data binary"
-    return found.select("fid", "windows", "times", "at.nid", "at.least", "at.lo", "data").mapInArrow(lambda b: _batches(rows(b), names, kinds), kind)
+    kind = "of binary, skip int, key long, fid binary, mark int, windows int, near int, far int, times long, least long, nid long, lo long, data binary"
+    columns = crowded.select("fid", "mark", "windows", "near", "far", "times", "at.least", "at.nid", "at.lo", "data")
+    return columns.mapInArrow(lambda b: _batches(rows(b), names, kinds), kind)
 
 
 #: (data, marks, windows, times found) of a shard's fragments, in the order of their first places -> for each a mask of its windows
 Index = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def _judge(found: DataFrame, shards: int, index: Index) -> DataFrame:
-    """fid and mask of the distinct fragments that have a repeat or are found in several places; a task holds one shard."""
+def _tasks(found: DataFrame, spec: Spec) -> int:
+    """A shard a task, but no more tasks than the session is set up for."""
+    spark = found.sparkSession
+    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return max(1, min(size // (SHARD * spec.symbol_bytes), most))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = [b for b in batches if b.num_rows]
-        if not shard:
-            return
+
+def _judge(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
+    """fid and mask of the distinct fragments that have a repeat or are found in several places; a task holds one shard at a time."""
+
+    def judged(shard: pa.Table) -> Iterator[pa.RecordBatch]:
         release()
-        t = pa.Table.from_batches(shard).sort_by([(c, "ascending") for c in ("least", "nid", "lo")])
+        t = shard.sort_by([(c, "ascending") for c in ("least", "nid", "lo")])
         masks = index(t["data"].to_pylist(), t["mark"].to_numpy(), t["windows"].to_numpy(), t["times"].to_numpy())
         hit = np.array([m.any() for m in masks]) | (t["times"].to_numpy() > 1)
         got = pa.Table.from_arrays([t["fid"].filter(pa.array(hit)), pa.array([m.astype(np.uint8).tobytes() for m, h in zip(masks, hit) if h], pa.binary())], names=["fid", "mask"])
         yield from got.to_batches(max_chunksize=10_000)
 
-    rows = found.select("key", "fid", "at.least", "at.nid", "at.lo", "mark", "windows", "times", "data")
-    return rows.repartition(shards, "key").select("fid", "least", "nid", "lo", "mark", "windows", "times", "data").mapInArrow(run, "fid binary, mask binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.column(8).nbytes
+            if size > SHARD * spec.symbol_bytes:
+                t = pa.Table.from_batches(held)
+                keys = t["key"].to_numpy()
+                whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+                if whole:
+                    yield from judged(t.slice(0, whole))
+                    held = t.slice(whole).to_batches()
+                    size = sum(h.column(8).slice(0).nbytes for h in held)
+        if held and sum(h.num_rows for h in held):
+            yield from judged(pa.Table.from_batches(held))
 
+    rows = found.select("key", "fid", "at.least", "at.nid", "at.lo", "mark", "windows", "times", "data")
+    return rows.repartition(_tasks(found, spec), "key").sortWithinPartitions("key").mapInArrow(run, "fid binary, mask binary")
 
-def repeats(texts: DataFrame, spec: Spec, index: Index) -> DataFrame:
-    """Repeated windows of distinct texts, as staged by `distinct_texts`; that table is deleted when it is done with.
 
-    Gives tid, text and spans: array<struct<lo, first, mask>>; mask has a byte for each window from
-    lo on, as the index found it for the fragment's first place, and `first` tells whether that is here.
+def _judge_all(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
+    """_judge, with crowded keys refined first."""
+    crowded = stage(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), f"{spec.name}-crowded")
+    if crowded.isEmpty():
+        return _judge(found, spec, index)
+    big = found.join(crowded, "key")
+    halves = stage(_halves(big, spec), f"{spec.name}-halves")
+    at = F.struct("least", "nid", "lo")
+    same = [F.first(c).alias(c) for c in ("data", "mark", "windows", "near", "far")]
+    own = stage(halves.groupBy("key", "fid").agg(*same, F.sum("times").alias("times"), F.min(at).alias("at")), f"{spec.name}-own")
+    got = stage(_judge_all(own, spec, index), f"{spec.name}-refined").join(own.select("fid", F.col("at").alias("first")), "fid")
+    # a half's mask is that of its first place; elsewhere all its windows are repeats
+    mine = halves.select("of", "skip", "windows", "fid", at.alias("at")).join(got, "fid", "left")
+    flags = F.when(F.col("mask").isNull(), F.expr("repeat('00', windows)")).when(F.col("at") == F.col("first"), F.hex("mask")).otherwise(F.expr("repeat('01', windows)"))
+    whole = mine.groupBy("of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skip", flags.alias("f")))), lambda x: x["f"]), "").alias("flags"))
+    masks = big.select(F.col("fid").alias("of"), "times").join(whole, "of").filter(F.contains("flags", F.lit("1")) | (F.col("times") > 1))
+    return _judge(found.join(crowded, "key", "left_anti"), spec, index).unionByName(masks.select(F.col("of").alias("fid"), F.unhex("flags").alias("mask")))
+
+
+def repeats(rows: DataFrame, spec: Spec, index: Index) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts of rows (tid, key, text), and the repeated windows in them.
+
+    The first table has tid, least (key), n_bytes and copies (rows) of each distinct text. The second has tid, text and spans:
+    array<struct<lo, first, mask>>; mask has a byte for each window from lo on, as the index found it for the
+    fragment's first place, and `first` tells whether that is here.
     """
-    listed = stage(_keys(texts, spec), f"{spec.name}-keys")
-    each = listed.select("nid", F.explode("keys").alias("key"))
+    keys = _keys(rows, spec).groupBy("tid").agg(F.min("least").alias("least"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
+    texts = stage(keys.withColumn("nid", F.monotonically_increasing_id()), f"{spec.name}-keys")
+    each = texts.select("nid", F.explode("keys").alias("key"))
     wanted = stage(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), f"{spec.name}-wanted")
-    forget(texts)
-    mine = each.join(wanted.hint("shuffle_hash"), "key").groupBy("nid").agg(F.collect_set("key").alias("keys"))
-    marked = stage(mine, f"{spec.name}-marked")
-    forget(texts)
-    discard(listed, wanted)
-    held = stage(texts.join(marked.hint("shuffle_hash"), "nid"), f"{spec.name}-held")
-    discard(marked, texts)
-    forget(held)
+    mine = each.join(wanted, "key", "left_semi").groupBy("nid").agg(F.collect_list("key").alias("keys"))
+    marked = stage(mine.join(texts.select("nid", "tid", "least"), "nid"), f"{spec.name}-marked")
+    known = stage(texts.select("tid", "least", "n_bytes", "copies"), f"{spec.name}-known")
+    discard(texts, wanted)
+    held = stage(rows.groupBy("tid").agg(F.first("text").alias("text")).join(marked, "tid"), f"{spec.name}-held")
+    discard(marked)
     pieces = stage(_fragments(held, spec), f"{spec.name}-pieces")
-    same = [F.first("data").alias("data"), F.first("mark").alias("mark"), F.first("windows").alias("windows")]
-    found = stage(pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at")), f"{spec.name}-found")
-    forget(held)
-    crowded = stage(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), f"{spec.name}-crowded")
-    split = crowded.limit(1).count() > 0
-    judged = _judge(found.join(crowded, "key", "left_anti") if split else found, _shards(found, spec), index)
-    if split:
-        judged = judged.unionByName(_judge_single(found.join(crowded, "key"), spec, index))
+    same = [F.first("data", ignorenulls=True).alias("data"), F.first("mark").alias("mark"), F.first("windows").alias("windows")]
+    range_ = [F.lit(0).alias("near"), F.lit(spec.width - spec.gram).alias("far")]
+    found = pieces.groupBy("key", "fid").agg(*same, F.count("*").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at"))
+    found = stage(found.select("*", *range_), f"{spec.name}-found")
     # a key and a fragment's content go together, so fid alone tells it
-    judged = stage(judged, f"{spec.name}-judged")
+    judged = stage(_judge_all(found, spec, index), f"{spec.name}-judged")
     firsts = stage(judged.join(found.select("fid", "at"), "fid"), f"{spec.name}-firsts")
     discard(found, judged)
-    forget(held)
     places = pieces.select("fid", "nid", "least", "lo").join(firsts, "fid")
     spans = places.groupBy("nid").agg(F.collect_list(F.struct("lo", (F.struct("least", "nid", "lo") == F.col("at")).alias("first"), "mask")).alias("spans"))
-    return held.select("nid", "tid", "text").join(spans.hint("shuffle_hash"), "nid").drop("nid")
-
-
-def _shards(found: DataFrame, spec: Spec) -> int:
-    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
-    return max(1, size // (SHARD * spec.symbol_bytes))
-
-
-def _judge_single(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
-    """_judge for fragments of crowded keys, by their single windows."""
-    windows = stage(_single(found, spec), f"{spec.name}-windows")
-    own = stage(
-        windows.groupBy("key", "fid").agg(F.first("data").alias("data"), F.lit(0).alias("mark"), F.lit(1).alias("windows"), F.sum("times").alias("times"), F.min(F.struct("least", "nid", "lo")).alias("at")),
-        f"{spec.name}-single",
-    )
-    hits = _judge(own, _shards(own, spec), index).join(own.select("fid", "at"), "fid")
-    # at its first place a window's mask holds, elsewhere it is a repeat
-    hit = windows.select("of", "n", "fid", "least", "nid", "lo").join(hits, "fid").filter((F.struct("least", "nid", "lo") != F.col("at")) | (F.col("mask") == F.lit(b"\x01")))
-    marks = hit.groupBy("of").agg(F.collect_set("n").alias("hits")).withColumnRenamed("of", "fid")
-    flags = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.when(F.array_contains("hits", i), "01").otherwise("00"))
-    none = F.coalesce("hits", F.array().cast("array<int>"))
-    kept = found.select("fid", "windows", "times").join(marks, "fid", "left").withColumn("hits", none).filter((F.size("hits") > 0) | (F.col("times") > 1))
-    return kept.select("fid", F.unhex(F.array_join(flags, "")).alias("mask"))
-
-
-def distinct_texts(rows: DataFrame, name: str) -> DataFrame:
-    """nid (a number), tid, text, least key and copies (rows) of each distinct text of rows (columns tid, key, text)."""
-    last = F.lit((1 << 63) - 1)  # a null key counts as the last
-    made = rows.groupBy("tid").agg(F.first("text").alias("text"), F.min(F.coalesce(F.col("key").cast("long"), last)).alias("least"), F.count("*").alias("copies"))
-    got = stage(made.withColumn("nid", F.monotonically_increasing_id()), f"{name}-texts")
-    forget(rows)
-    return got
+    return known, held.select("nid", "tid", "text").join(spans, "nid").drop("nid")

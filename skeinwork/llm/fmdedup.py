@@ -9,8 +9,9 @@ places: an FM-index with a wavelet matrix over the words of the shard. The docum
 streamed through it from their last word to their first, all fragments in step: a backward step
 extends the match by a word, and when it is longer than the width its last word is dropped, which
 leads to the stretch of suffixes that share one word less. That gives the matching statistics cut at
-the width, and for each window the suffixes that start with it, the least of which says whether the
-window starts earlier.
+the width, and for each window the stretch of suffixes that start with it; the least place that asked for a
+stretch says which windows start earlier. The index is packed: three sixteenths of a byte for each binary digit of a
+word's number, and as much for the stretches; no suffix array is kept after its construction.
 
 Cases: a null text has no words; texts shorter than the width lose nothing; of exact copies the one
 with the least key is judged as if alone, the others lose all; rows with equal key and text are the
@@ -30,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._repeats import Spec, distinct_texts, repeats
-from skeinwork.llm._shared import WORD_SPLIT, stage
+from skeinwork.llm._repeats import Spec, repeats
+from skeinwork.llm._shared import WORD_SPLIT
 
 WIDTH, GRAM = 20, 7
 
@@ -49,24 +50,42 @@ def _cut(raw: bytes) -> Callable[[int, int], bytes]:
 SPEC = Spec("substring", WIDTH, GRAM, _symbols, _cut, 6)
 
 
+class _Bits:
+    """A packed row of bits with the count of ones before each 64-bit word: an eighth and a sixteenth of a byte a bit."""
+
+    _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+    def __init__(self, bit: np.ndarray):
+        packed = np.packbits(bit, bitorder="little")
+        self.words = np.append(packed, np.zeros(8 - len(packed) % 8, np.uint8)).view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        w = at >> 6
+        return self.before[w] + np.bitwise_count(self.words[w] & self._BELOW[at & 63])
+
+
 class WaveletMatrix:
-    """Rank queries over a sequence of integers, a bit row with counts for each binary digit."""
+    """Rank queries over a sequence of integers, a packed bit row for each binary digit."""
 
     def __init__(self, values: np.ndarray):
-        self.ones: list[np.ndarray] = []
+        self.rows: list[_Bits] = []
+        self.zeros: list[int] = []
         top = int(values.max(initial=0))
         self.digits = max(1, top.bit_length())
         for d in range(self.digits - 1, -1, -1):
-            bit = (values >> d) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            values = np.concatenate([values[bit == 0], values[bit == 1]])
+            bit = (values >> d) & 1 == 1
+            self.rows.append(_Bits(bit))
+            self.zeros.append(len(values) - int(bit.sum()))
+            values = np.concatenate([values[~bit], values[bit]])
         every = np.arange(top + 1)
         self.base = self._descend(every, np.zeros_like(every))  # where each symbol starts in the last row
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for d, ones in zip(range(self.digits - 1, -1, -1), self.ones):
-            before = ones[at]
-            at = np.where((symbol >> d) & 1, before + (len(ones) - 1 - int(ones[-1])), at - before)
+        for d, row, zeros in zip(range(self.digits - 1, -1, -1), self.rows, self.zeros):
+            ones = row.rank(at)
+            at = np.where((symbol >> d) & 1, ones + zeros, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,34 +110,34 @@ def _suffixes(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """Of a sequence of integers from 1 up; 0 parts documents. Matches up to `width` symbols."""
+    """Of a sequence of integers from 1 up; 0 parts documents. Matches up to `width` symbols. No suffix array is kept."""
 
     def __init__(self, s: np.ndarray, width: int):
         self.width = width
         full = np.append(s, 0)
         order, _ = _suffixes(full, width + 1)  # sorted deep enough for every match to be one stretch
-        self.suffix = order
         self.bwt = WaveletMatrix(full[order - 1])
         self.less = np.concatenate([[0], np.cumsum(np.bincount(full))])  # symbols below each symbol
         self.size = len(full)
-        # stretches of suffixes that share width - 1 symbols
+        # stretches of suffixes that share width - 1 symbols: a bit for each start, and the starts
         shared = np.ones(self.size - 1, bool)
         for k in range(width - 1):
             a = full[np.minimum(order + k, self.size - 1)]
             shared &= a[1:] == a[:-1]
         start = np.concatenate([[True], ~shared])
-        run = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        self.short_lo, self.short_hi = first[run], np.append(first[1:], self.size)[run]
+        self.starts, self.first = _Bits(start), np.append(np.flatnonzero(start), self.size).astype(np.int32)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the stretch of suffixes that start with the symbol and then the match."""
-        c = self.less[symbol]
-        return c + self.bwt.rank(symbol, lo), c + self.bwt.rank(symbol, hi)
+        n = len(lo)
+        both = np.concatenate([symbol, symbol])
+        at = self.less[both] + self.bwt.rank(both, np.concatenate([lo, hi]))
+        return at[:n], at[n:]
 
     def shorten(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drop the last symbol of a match of full width."""
-        return self.short_lo[lo], self.short_hi[lo]
+        run = self.starts.rank(lo + 1)
+        return self.first[run - 1], self.first[run]
 
 
 def word_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -142,13 +161,12 @@ def word_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times:
         at = starts[live] + sizes[live] - 1 - k
         lo[live], hi[live] = index.extend(lo[live], hi[live], s[at])
         if k >= width - 1:
-            asked.append((at, lo[live], hi[live]))
-    at, lo, hi = (np.concatenate(c) for c in zip(*asked))
-    first, which = np.unique(lo, return_inverse=True)
-    last = np.zeros(len(first), np.int64)
-    last[which] = hi
-    # stretches of full windows are equal or apart: the least place in each
-    least = np.minimum.reduceat(np.append(index.suffix, index.size), np.stack([first, last], axis=1).reshape(-1))[::2]
+            asked.append((at, lo[live]))
+    at, lo = (np.concatenate(c) for c in zip(*asked))
+    # stretches of full windows are equal or apart, and every window of the shard has been asked for: the least place of each
+    which = np.unique(lo, return_inverse=True)[1].reshape(-1)
+    least = np.full(len(lo), len(s), np.int64)
+    np.minimum.at(least, which, at)
     earlier = np.zeros(len(s), bool)
     earlier[at[least[which] < at]] = True
     return [earlier[b : b + w] for b, w in zip(starts, windows)]
@@ -160,17 +178,15 @@ def _normal(text: Column) -> Column:
 
 
 def _tid(text: Column) -> Column:
-    return F.unhex(F.md5(_normal(text).cast("binary")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """tid, least (least key of the text), n_removed, kept (the words left at that key, joined by one space)
-    of each distinct sequence of words that has a repeat or several rows."""
-    rows = df.select(F.col(key).alias("key"), _normal(F.col(text)).alias("text")).withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary"))))
+    of each distinct text that has a repeat or several rows."""
+    rows = df.select(_tid(F.col(f"`{text}`")).alias("tid"), F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     # a window has width - 1 spaces at least
-    texts = distinct_texts(rows.filter(F.length("text") >= 2 * WIDTH - 1), SPEC.name)
-    info = stage(texts.select("tid", "least", "copies"), f"{SPEC.name}-info")
-    found = repeats(texts, SPEC, word_index)
+    known, found = repeats(rows.filter(F.length("text") >= 2 * WIDTH - 1), SPEC, word_index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +209,7 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["tid", "n_removed", "kept"])
 
     changed = found.select("tid", "text", "spans").mapInArrow(run, "tid binary, n_removed long, kept string")
-    every = info.join(changed, "tid", "left")
+    every = known.join(changed, "tid", "left")
     return every.filter("copies > 1 OR n_removed IS NOT NULL").select("tid", "least", "n_removed", "kept")
 
 
@@ -218,8 +234,8 @@ def _n_words(normal: Column) -> Column:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept_sha256 of every row. Texts without repeats are not moved."""
     changed = repeated_words(df, key, text).withColumn("kept", F.sha2(F.col("kept").cast("binary"), 256))
-    normal = df.select(F.col(key).alias("key"), _normal(F.col(text)).alias("t"))
-    rows = normal.select("key", F.unhex(F.md5(F.col("t").cast("binary"))).alias("tid"), _n_words(F.col("t")).alias("n_words"), F.sha2(F.col("t").cast("binary"), 256).alias("whole"))
+    normal = df.select(F.col(f"`{key}`").alias("key"), _tid(F.col(f"`{text}`")).alias("tid"), _normal(F.col(f"`{text}`")).alias("t"))
+    rows = normal.select("key", "tid", _n_words(F.col("t")).alias("n_words"), F.sha2(F.col("t").cast("binary"), 256).alias("whole"))
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return _settled(rows, changed).select(
         F.col("key").alias(key), "n_words", "n_removed", F.when(F.col("kept") == "", empty).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256")

@@ -11,7 +11,8 @@ its places in order. There is no recursion and no renaming.
 Equal strings meet in one shard (see `_repeats`), cut relative to their anchor. A shard's suffix array
 is over blocks of BLOCK bytes counted from the fragments' anchors: strings that start t bytes before
 a block border share all whole blocks, thus stand next to each other in the suffix array, and what is
-left at both ends is compared for each t. So the array has one entry for each block, not byte.
+left at both ends is compared for each t, found by hash and then compared byte by byte. So the array has one entry for each
+block, not byte. Only texts and fragments as wholes are told apart by a digest (MD5).
 
 Cases: a null text is empty; texts shorter than the width lose nothing; of repeated rows and exact
 copies of at least the width nothing is left, as each one's strings start elsewhere too; an empty
@@ -28,52 +29,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._repeats import Rolling, Spec, distinct_texts, mix, repeats
-from skeinwork.llm._shared import stage
+from skeinwork.llm._repeats import Rolling, Spec, mix, repeats
 
 WIDTH, GRAM, BLOCK = 400, 128, 32
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def suffix_array(s: list[int]) -> list[int]:
-    """Suffix array of a sequence of integers of zero or more."""
+    """Suffix array of a sequence of integers of zero or more, in time linear in its length and greatest number."""
     n = len(s) + 1
     s = [*(v + 1 for v in s), 0]  # the end is the least symbol
-    order = sorted(range(n), key=s.__getitem__)
+    starts = [0] * (max(s) + 2)
+    for v in s:
+        starts[v + 1] += 1
+    for v in range(1, len(starts)):
+        starts[v] += starts[v - 1]
     place, group, size = [0] * n, [0] * n, [0] * n  # of a suffix: its place, its group's first place; of a first place: the group's size
-    start = 0
-    for k, i in enumerate(order):
-        if s[i] != s[order[start]]:
-            start = k
-        place[i], group[i] = k, start
-        size[start] += 1
-    before = [-1] * n  # the next suffix to the left in a lower group
+    order, filled = [0] * n, starts[:]
+    for i, v in enumerate(s):  # counting sort by the first symbol
+        k = filled[v]
+        filled[v] = k + 1
+        order[k], place[i], group[i] = i, k, starts[v]
+        size[starts[v]] += 1
+    before = [-2] * n  # the next suffix to the left in a lower group; -2: not known yet
     end = n
     while end > 0:
         first = group[order[end - 1]]
-        if end - first == 1:
-            i = order[first]
-            g = first
-            j = i - 1
-            while j >= 0 and group[j] >= g:
-                j = before[j]
-            before[i] = j
-            by_count = {1: [j]} if j >= 0 else {}
-        else:
-            counts: dict[int, int] = {}
-            for i in sorted(order[first:end]):
+        counts: dict[int, int] = {}
+        for i in order[first:end]:
+            chain = []
+            while before[i] == -2:  # to the left, past higher groups; members of this group on the way have the same answer
+                chain.append(i)
                 j = i - 1
-                while j >= 0 and group[j] >= first:
+                while j >= 0 and group[j] > first:
                     j = before[j]
-                before[i] = j
-                if j >= 0:
-                    counts[j] = counts.get(j, 0) + 1
-            by_count = {}
-            for j, c in counts.items():
-                by_count.setdefault(c, []).append(j)
-        for c in sorted(by_count, reverse=True):
+                if j < 0 or group[j] < first:
+                    before[i] = j
+                else:
+                    i = j
+            j = before[i]
+            for k in chain:
+                before[k] = j
+        for i in order[first:end]:
+            j = before[i]
+            if j >= 0:
+                counts[j] = counts.get(j, 0) + 1
+        by_count: dict[int, list[int]] = {}
+        for j, c in counts.items():
+            by_count.setdefault(c, []).append(j)
+        for c in range(max(by_count, default=0), 0, -1):
             moved: dict[int, int] = {}
-            for j in by_count[c]:  # to the end of its group
+            for j in by_count.get(c, ()):  # to the end of its group
                 g = group[j]
                 size[g] -= 1
                 to = g + size[g]
@@ -81,7 +87,7 @@ def suffix_array(s: list[int]) -> list[int]:
                 order[at], order[to] = other, j
                 place[other], place[j] = at, to
                 moved[g] = moved.get(g, 0) + 1
-            for j in by_count[c]:
+            for j in by_count.get(c, ()):
                 g = group[j]
                 group[j] = g + size[g]
             for g, m in moved.items():
@@ -118,15 +124,16 @@ def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times:
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     base = np.cumsum(sizes) - sizes
     repeated = np.repeat(times > 1, sizes)  # by the window's first byte
-    rolling = Rolling(_BYTES[np.frombuffer(b"".join(data), np.uint8)])
     whole = (width - block + 1) // block  # whole blocks in every window, wherever it starts
     # block borders are counted from the anchor, to which equal windows lie alike
     first = marks % block
     count = (sizes - first) // block
     own = np.repeat(np.arange(len(data)), count)
     border = (base + first)[own] + block * (np.arange(len(own)) - (np.cumsum(count) - count)[own])
-    # blocks get ranks as symbols, 0 parts the fragments
-    symbols = np.unique(rolling.span(border, border + block), return_inverse=True)[1].reshape(-1) + 1
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    # blocks get ranks by their bytes as symbols, 0 parts the fragments
+    content = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, block)[border]) if len(border) else np.zeros((0, block), np.uint8)
+    symbols = np.unique(content.view(f"V{block}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1
     gap = np.flatnonzero(np.diff(own)) + 1
     symbols, border, own = np.insert(symbols, gap, 0), np.insert(border, gap, -1), np.insert(own, gap, -1)
     sa = np.array(suffix_array(symbols.tolist()), np.int64)
@@ -137,14 +144,26 @@ def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times:
     sa, run = sa[full], run[full]
     same = run[1:] == run[:-1]
     near = np.append(False, same) | np.append(same, False)  # a run of one is no repeat
-    border, run, own = border[sa[near]], mix(run[near].astype(np.uint64)), own[sa[near]]
+    border, run, own = border[sa[near]], run[near], own[sa[near]]
+    rolling = Rolling(_BYTES[raw])
+    rest = width - whole * block  # bytes of a window outside its whole blocks
     for t in range(block):  # a window belongs to the first border at or behind its start
         at = border - t
         ok = (at >= base[own]) & (at < base[own] + windows[own])
-        a, m = at[ok], border[ok]
-        h = mix(rolling.span(a, m) + run[ok]) + rolling.span(m + whole * block, a + width)
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        repeated[a[n[back.reshape(-1)] > 1]] = True
+        a, m, r = at[ok], border[ok], run[ok]
+        h = mix(rolling.span(a, m) + mix(r.astype(np.uint64))) + rolling.span(m + whole * block, a + width)
+        order = np.argsort(h, kind="stable")
+        a, m, r, h = a[order], m[order], r[order], h[order]
+        # neighbours with equal hashes are compared by their run and the bytes at both ends
+        twin = np.flatnonzero(h[1:] == h[:-1])
+        ends = np.where(np.arange(rest) < t, np.arange(rest), whole * block + np.arange(rest))
+        equal = (r[twin] == r[twin + 1]) & (raw[a[twin, None] + ends] == raw[a[twin + 1, None] + ends]).all(axis=1)
+        if not equal.all():  # different bytes of one hash: all windows of this t by their bytes
+            text = np.ascontiguousarray(np.concatenate([r.astype(np.int64)[:, None].view(np.uint8), raw[a[:, None] + ends]], axis=1))
+            _, back, n = np.unique(text.view(f"V{text.shape[1]}").reshape(-1), return_inverse=True, return_counts=True)
+            repeated[a[n[back.reshape(-1)] > 1]] = True
+            continue
+        repeated[a[twin]] = repeated[a[twin + 1]] = True
     return [repeated[b : b + w] for b, w in zip(base, windows)]
 
 
@@ -163,9 +182,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     bytes) of each distinct text that has a repeat; texts found in several rows are one span."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.unhex(F.md5(whole.cast("binary"))).alias("tid"), F.col(key).alias("key"), whole.alias("text")).filter(F.octet_length("text") >= WIDTH)
-    texts = distinct_texts(rows, SPEC.name)
-    copied = stage(texts.filter("copies > 1").select("tid", F.octet_length("text").cast("long").alias("n_bytes")), f"{SPEC.name}-copied")
-    found = repeats(texts, SPEC, byte_index)
+    known, found = repeats(rows, SPEC, byte_index)
+    copied = known.filter("copies > 1").select("tid", "n_bytes")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

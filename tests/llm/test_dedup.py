@@ -282,10 +282,42 @@ def test_wavelet_rank_and_backward_search():
         at = np.arange(301)
         assert (m.rank(np.full(301, c), at) == np.array([(v[:k] == c).sum() for k in at])).all()
     s = np.append(rng.integers(1, 4, 200), 0)
-    index = fmdedup.FMIndex(s, 5)
+    index, full = fmdedup.FMIndex(s, 5), np.append(s, 0)
+    suffixes = fmdedup._suffixes(full, 6)[0]
     for start in range(190):
         lo, hi = np.array([0]), np.array([index.size])
         for k in range(4, -1, -1):
             lo, hi = index.extend(lo, hi, s[[start + k]])
-        assert sorted(index.suffix[lo[0] : hi[0]]) == [i for i in range(196) if (s[i : i + 5] == s[start : start + 5]).all()]
-        assert index.short_lo[lo[0]] <= lo[0] and index.short_hi[lo[0]] >= hi[0]
+        assert sorted(suffixes[lo[0] : hi[0]]) == [i for i in range(196) if (s[i : i + 5] == s[start : start + 5]).all()]
+        short = index.shorten(lo)
+        assert sorted(suffixes[short[0][0] : short[1][0]]) == [i for i in range(197) if (s[i : i + 4] == s[start : start + 4]).all()]
+    assert sum(r.words.nbytes + r.before.nbytes for r in index.bwt.rows) <= index.bwt.digits * (len(full) * 3 / 16 + 16)
+
+
+def plain_index(data, marks, windows, times, width):
+    """Repeated windows of fragments, in plain Python."""
+    seen = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
+    return [np.array([seen[d[i : i + width]] > 1 or t > 1 for i in range(w)], bool) for d, w, t in zip(data, windows, times)]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_byte_index_compares_bytes(monkeypatch, weak):
+    """With a hash that says nothing, all is decided by the bytes."""
+    if weak:
+        monkeypatch.setattr(suffixdedup, "mix", lambda h: h & np.uint64(1))
+        monkeypatch.setattr(suffixdedup.Rolling, "span", lambda self, a, b: np.zeros(len(a), np.uint64))
+    rng = random.Random(12)
+    for _ in range(40):
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        data, marks = [], []
+        for _ in range(rng.randint(1, 8)):
+            a, n = rng.randrange(10), rng.randint(20, 40)
+            data.append(bytes(rng.choice(b"ab") for _ in range(a)) + base[a : a + n] if rng.random() < 0.8 else base[a : a + n])
+            marks.append(0)
+        # marks where equal windows have them alike: the place of the base's start, modulo nothing else
+        marks = np.array([d.find(base[10:14]) if base[10:14] in d else 0 for d in data])
+        windows, times = np.array([len(d) - 16 + 1 for d in data]), np.array([rng.choice([1, 1, 2]) for _ in data])
+        got = suffixdedup.byte_index(data, marks, windows, times, 16, 4)
+        want = plain_index(data, marks, windows, times, 16)
+        for g, w in zip(got, want):
+            assert not (g & ~w).any()  # nothing is called a repeat that is none
