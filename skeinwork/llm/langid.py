@@ -6,25 +6,31 @@ texts. Landmarks, training texts stratified by language, give Nyström features;
 regression on them, one language against the rest, gives each language's score. Prediction is a
 product of the presence matrix of a batch with the landmarks' and another with the weights.
 
-The classifier is fitted on a bounded sample: at most ``per_class`` texts of each language of at most
+The classifier is fitted on a bounded sample of distinct texts: at most ``per_class`` texts of each language of at most
 ``max_chars`` characters, the first ``landmarks`` of them (by a hash of the text) being landmarks, and
-at most ``vocabulary`` n-grams, those of the most landmarks. Everything predicted uses whole texts.
+at most ``vocabulary`` n-grams, those of the most landmarks. With many languages each has fewer texts, so that they
+are about ``sample`` and ``marks`` in all; every language keeps one at least, so none is left out. Everything predicted
+uses whole texts.
 
 Cases: texts that are null or have no letter: `und`, score 0; no labelled row at all: `und`, score 0;
-a language with a single text is learned; ties in score: the first language by name; repeated rows are
-predicted alike; an empty table gives an empty result; other columns are ignored.
+a language with a single text is learned, however often its row is repeated and however large the others are; a language all
+of whose texts are longer than ``max_chars`` is not; ties in score: the first language by name; repeated rows are
+predicted alike; very long texts are read in runs; an empty table gives an empty result; other columns pass through,
+but columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.llm._shared import maybe_broadcast
+
 UNKNOWN = "und"
 TABLE = 1 << 20
 
@@ -35,7 +41,8 @@ class Bounds:
 
     per_class: int = 300
     landmarks: int = 48  # of each language
-    max_classes: int = 200
+    sample: int = 60_000
+    marks: int = 4096
     max_chars: int = 20_000
     vocabulary: int = 8192
     ridge: float = 1e-3
@@ -104,26 +111,26 @@ def fit_texts(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model
 def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) -> Model | None:
     """Fit on a sample of the distinct texts of each language, chosen by a hash of the text alone."""
     rows = training.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull() & (F.length("t") <= bounds.max_chars))
-    counts = rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count().orderBy(F.desc("count"), "l").limit(bounds.max_classes).collect()
-    if not counts:
+    counts = rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count()  # a row a language, of distinct texts
+    n = counts.count()
+    if not n:
         return None
+    bounds = replace(bounds, per_class=max(1, min(bounds.per_class, bounds.sample // n)), landmarks=max(1, min(bounds.landmarks, bounds.marks // n)))
     spread = 1 << 30
+    # a share of each language's hash range that holds about twice the texts wanted and 50 more; all of a small language's
+    share = F.least(F.lit(1.0), (2 * bounds.per_class + 50) / F.col("count")) * spread
     place = F.pmod(F.xxhash64("t"), F.lit(spread))
-    # a share of each language's hash range that holds about twice the texts wanted; all of a small language's
-    wanted = [(F.col("l") == r["l"]) & (place < min(spread, int(2 * bounds.per_class / r["count"] * spread) + 1)) for r in counts]
-    some = wanted[0]
-    for w in wanted[1:]:
-        some = some | w
+    some = rows.withColumn("p", place).join(maybe_broadcast(counts, 64), "l").filter(F.col("p") < share)
     ordered = Window.partitionBy("l").orderBy("p", "t")
-    taken = rows.filter(some).select("l", "t", place.alias("p")).distinct().withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= bounds.per_class)
+    taken = some.select("l", "t", "p").distinct().withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= bounds.per_class)
     samples: dict[str, list[str]] = {}
-    for r in taken.orderBy("p", "l", "t").collect():
+    for r in taken.orderBy("p", "l", "t").toLocalIterator():
         samples.setdefault(r["l"], []).append(r["t"])
     return fit_texts(samples, bounds)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", batch: int = 128) -> DataFrame:
-    """Append lang_pred and score to every row, from the text alone."""
+    """Append lang_pred and score to every row, from the text alone; columns of these names are replaced."""
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
@@ -147,7 +154,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", batch: int =
             yield pd.DataFrame({"lang_pred": names, "score": sure})
 
     got = classify(letters, F.col(text))
-    return df.withColumn("__lang", got).select(*(F.col(f"`{c}`") for c in df.columns), "__lang.lang_pred", "__lang.score")
+    return df.withColumn("__lang", got).select(*(F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")), "__lang.lang_pred", "__lang.score")
 
 
 def fold(key: Column) -> Column:

@@ -37,6 +37,49 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert (model.scores([placed[-1]]).argmax(axis=1) == 1).all()
 
 
+def test_repeated_rows_do_not_hide_languages(spark):
+    rows = [(f"an english text number {i}", "en") for i in range(400)] + [("un texte en français", "fr")] * 5000 + [("ein deutscher Text", "de")] * 5000
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang").languages == ["de", "en", "fr"]
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(f"{chr(0x4E00 + i) * 3} {k}", f"l{i:03}") for i in range(300) for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", langid.Bounds(sample=600, marks=300))
+    assert len(model.languages) == 300 and all(model.languages[model.scores([t])[0].argmax()] == lang for t, lang in rows[::50])
+
+
+def test_scores_are_kernel_ridge_regression():
+    """With every text a landmark the scores are those of kernel ridge regression, solved here in full."""
+    rng = random.Random(5)
+    samples = {lang: [" ".join(rng.choice(words) for _ in range(6)) for _ in range(n)] for lang, words, n in (("a", ["abra", "caba", "rab"], 7), ("b", ["cabo", "orab", "bor"], 5), ("c", ["xyz", "zab"], 4))}
+    model = langid.fit_texts(samples, langid.Bounds(landmarks=50, ridge=0.5))
+    texts = [t for lang in "abc" for t in samples[lang]]
+
+    def grams(t):
+        t = f" {t} "
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    known = set().union(*map(grams, texts))
+
+    def kernel(x, y):
+        x, y = grams(x) & known, grams(y) & known
+        return len(x & y) / (len(x) * len(y)) ** 0.5 if x and y else 0.0
+
+    k = np.array([[kernel(x, y) for y in texts] for x in texts])
+    sizes = np.array([len(samples[lang]) for lang in "abc" for _ in samples[lang]], float)
+    target = np.array([[1.0 if own == lang else -1.0 for lang in "abc"] for own in "abc" for _ in samples[own]])
+    alpha = np.linalg.lstsq(k + 0.5 * np.diag(sizes), target, rcond=None)[0]
+    asked = texts + ["abra orab", "zab xyz caba", "bor"]
+    want = np.array([[kernel(x, y) for y in texts] for x in asked]) @ alpha
+    assert np.abs(model.scores(asked) - want).max() < 5e-3
+
+
+def test_predict_replaces_columns(spark):
+    model = langid.fit_texts({"en": ["the dog"], "fr": ["le chien"]})
+    got = langid.predict(spark.createDataFrame([("the dog", "x", 7)], "text string, lang_pred string, score int"), model)
+    assert got.columns == ["text", "lang_pred", "score"] and got.first()["lang_pred"] == "en"
+
+
 def test_kernel_is_normalised_overlap():
     model = langid.fit_texts({"a": ["abc abd", "abx"], "b": ["zzy zyx", "yyz"]})
     f = model.features(["abc abd", "abd abc"])
