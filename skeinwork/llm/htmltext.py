@@ -8,17 +8,21 @@
    one uses its own best container, so no page is lost for being unlike its host.
 
 What is never text: scripts, styles, forms, navigation, headers, footers, asides and the like, elements
-with a class, id or role of a menu, banner, notice, advert, share bar, comment section or so on, hidden
-elements, comments of the markup.
+with such a role, hidden elements, comments of the markup. A class or id that names a menu, banner, notice, advert,
+share bar, comment section or so on makes an element suspect: its text is left out, unless it outweighs by WEIGHT all
+unlinked text of the page that is not suspect; a comment section never does. A name counts by its head, the last
+word but for words like box or list: `related-posts` and `acme-sidebar` do, `has-sidebar` and `social-content` do not. An article
+or main element is suspect only for a name of comments or adverts.
 
 Cases: null or empty html: empty text; a page without any markup: its text; broken markup (open
 elements, stray ends, a cut off last tag): as far as it goes; null url: host empty, voting with its
 like; ties of votes: higher total score, then the path's order; repeated rows: each by itself; an empty
-table: an empty result; other columns are ignored. Pages of any length are read whole.
+table: an empty result; other columns are ignored, whatever their names. Pages of any length are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -51,11 +55,22 @@ _BLOCKS = frozenset(
 _CONTAINERS = frozenset("body main article section div td blockquote".split())
 #: A start tag of the key ends open elements of the values, up to the nearest container.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_BAD_NAMES = frozenset(
-    "nav navbar navigation menu menus header masthead footer sidebar side aside rail ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner"
-    " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended"
-    " breadcrumb breadcrumbs pagination pager widget toolbar comment comments commentlist reply replies respond disqus discussion login search skip hidden".split()
+_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended".split())
+_BAD_NAMES = _COMMENTS | _ADVERTS | frozenset(
+    "nav navbar navigation menu menus header masthead footer sidebar side aside rail banner"
+    " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social"
+    " breadcrumb breadcrumbs pagination pager widget toolbar login search skip hidden".split()
 )
+#: Words behind a name's head, words that are the head where they stand in front, and words in front that make a name a state.
+_TRAILING = frozenset(
+    "box bar list wrapper wrap container section area block item items inner outer slot unit link links posts form icons buttons button thread trail this message text title"
+    " top bottom left right main primary secondary global mobile desktop sticky fixed small large".split()
+)
+_LEADING = frozenset("related recommended sponsored cookie cookies gdpr consent newsletter skip ad ads advert comment comments".split())
+_STATES = frozenset("has with without no not is layout".split())
+#: A suspect element is kept if its unlinked text is so many times that of all that is not suspect.
+WEIGHT = 4
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _BREAKS = frozenset({"br"})
 
@@ -66,16 +81,40 @@ class _Node:
     path: str
     dropped: bool
     container: int  # place of the nearest container, itself included
+    region: int  # place of the nearest suspect element, itself included; 0 if there is none
 
 
 @dataclass
 class Page:
     """blocks: (container, text) in page order; containers: generalised path, place of the one above, score."""
 
-    paths: list[str] = field(default_factory=list)
-    above: list[int] = field(default_factory=list)
-    scores: list[float] = field(default_factory=list)
+    paths: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [-1])
+    scores: list[float] = field(default_factory=lambda: [0.0])
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    #: while the page is read: (region, unlinked characters) of each block; of each region the one around it and whether it may be kept
+    weights: list[tuple[int, float]] = field(default_factory=list)
+    regions: list[tuple[int, bool]] = field(default_factory=lambda: [(-1, True)])
+
+    def settle(self) -> None:
+        """Leave out the suspect elements that do not outweigh the rest, and score the containers."""
+        own = [0.0] * len(self.regions)
+        for r, n in self.weights:
+            own[r] += n
+        kept = [True] * len(self.regions)
+        for r, (around, may) in enumerate(self.regions[1:], 1):
+            kept[r] = kept[around] and may and own[r] > WEIGHT * own[0]
+        held = [(b, n) for b, (r, n) in zip(self.blocks, self.weights) if kept[r]]
+        self.blocks = [b for b, _ in held]
+        for (c, _), gain in held:
+            share = 1.0
+            while c >= 0 and share > 0.01:
+                self.scores[c] += gain * share
+                share /= 2
+                c = self.above[c]
+        for i, p in enumerate(self.paths):  # elements named for the purpose
+            if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
+                self.scores[i] *= 2.5
 
     def best(self) -> int:
         return max(range(len(self.scores)), key=lambda i: (self.scores[i], -i))
@@ -102,16 +141,36 @@ def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _BAD_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    names = re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return not _BAD_NAMES.isdisjoint(names)
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _BAD_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+@functools.lru_cache(1 << 16)
+def _head(name: str) -> str:
+    """The word of a class or id that tells what it is, if it is one of _BAD_NAMES; else empty."""
+    words = [w for w in re.split(r"[\W_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    if not words or words[0] in _STATES:
+        return ""
+    if words[0] in _LEADING:
+        return words[0]
+    while len(words) > 1 and (words[-1] in _TRAILING or len(words[-1]) == 1):
+        words.pop()
+    return words[-1] if words[-1] in _BAD_NAMES else ""
+
+
+def _suspect(tag: str, attrs: dict[str, str]) -> str:
+    """The bad name of an element, if it has one."""
+    if not attrs or tag in ("html", "body"):
+        return ""
+    heads = {h for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if (h := _head(n))}
+    if tag in ("article", "main"):
+        heads &= _COMMENTS | _ADVERTS
+    return min(heads & _COMMENTS or heads, default="")
 
 
 def parse(source: str) -> Page:
     """Read a page once, front to end, with a stack of open elements."""
-    page = Page([""], [-1], [0.0], [])
-    stack = [_Node("", "", False, 0)]
+    page = Page()
+    stack = [_Node("", "", False, 0, 0)]
     text: list[str] = []  # of the open block
     linked, links = 0, 0
 
@@ -122,11 +181,7 @@ def parse(source: str) -> Page:
         if got:
             c = next((n.container for n in reversed(stack) if n.tag in _CONTAINERS or not n.tag), 0)
             page.blocks.append((c, got))
-            gain, share = max(len(got) - 2.0 * linked, 0.0), 1.0
-            while c >= 0 and share > 0.01:
-                page.scores[c] += gain * share
-                share /= 2
-                c = page.above[c]
+            page.weights.append((stack[-1].region, max(len(got) - 2.0 * linked, 0.0)))
         linked = 0
 
     def close(to: int) -> None:
@@ -136,7 +191,6 @@ def parse(source: str) -> Page:
         del stack[to:]
 
     at = 0
-    raw = ""
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
@@ -156,7 +210,7 @@ def parse(source: str) -> Page:
         if m[1] or m[4]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if k:
-                if tag == "a":
+                if tag == "a" and stack[k].region == stack[k - 1].region and stack[k].dropped == stack[k - 1].dropped:
                     links -= 1
                     del stack[k]
                 else:
@@ -173,7 +227,8 @@ def parse(source: str) -> Page:
             continue
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(raw_attrs)} if raw_attrs else {}
         dropped = stack[-1].dropped or _unwanted(tag, attrs)
-        if tag in _BLOCKS or dropped and not stack[-1].dropped:
+        name = _suspect(tag, attrs)
+        if tag in _BLOCKS or name or dropped and not stack[-1].dropped:
             flush()
             if tag in _BLOCKS:  # a block ends an open paragraph, an item its neighbour
                 ends = (*_CLOSES.get(tag, ()), "p")
@@ -188,9 +243,12 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
             continue
-        if tag in _BLOCKS or dropped or tag == "a" or attrs and _unwanted(tag, attrs):
+        if tag in _BLOCKS or dropped or name or tag == "a":
             up = stack[-1]
-            node = _Node(tag, up.path, dropped, up.container)
+            node = _Node(tag, up.path, dropped, up.container, up.region)
+            if name and not dropped:
+                page.regions.append((up.region, name not in _COMMENTS))
+                node.region = len(page.regions) - 1
             if tag in _BLOCKS:
                 node.path = f"{up.path}/{_label(tag, attrs)}"
             if tag in _CONTAINERS and not dropped:
@@ -204,9 +262,7 @@ def parse(source: str) -> Page:
         if at < len(source) and not stack[-1].dropped:
             text.append(source[at:])
     flush()
-    for i, p in enumerate(page.paths):  # elements named for the purpose
-        if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
-            page.scores[i] *= 2.5
+    page.settle()
     return page
 
 

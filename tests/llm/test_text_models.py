@@ -1,5 +1,6 @@
 """Language ID, HTML extraction, decontamination and packing."""
 
+import html.parser
 import random
 import zlib
 
@@ -100,6 +101,74 @@ def test_html_parse():
         htmltext.parse("".join(pieces)).text("/html/body")
 
 
+def test_html_names_are_weights():
+    body = "<p>" + "the story goes on " * 20 + "</p>"
+    said = ("the story goes on " * 20).strip()
+    for page in (
+        f'<div class="content has-sidebar"><article>{body}</article></div>',
+        f'<article class="post social">{body}</article><div class="social">follow us</div>',
+        f'<div class="share wrapper"><div class="text">{body}</div></div><p>x</p>',
+        f'<article><header><h1>Head</h1></header>{body}</article>',
+        f'<div id="main-content" class="no-sidebar">{body}</div><div class="acme-sidebar"><p>other words</p></div><div class="related-posts"><p>more words</p></div>',
+        f'<article>{body}</article><section class="comments"><article class="comment"><p>{"first of all, no. " * 200}</p></article></section>',
+        f'<article>{body}<a class="share" href="x">share this</a><div class="ad-slot ads300x250">buy</div></article>',
+    ):
+        assert htmltext.parse(f"<html><body>{page}</body></html>").text(None) in (said, f"{said} x")
+
+
+class PlainText(html.parser.HTMLParser):
+    """Text of an article by the standard library's parser: unwanted elements by tag or whole class."""
+
+    unwanted = {"nav", "header", "footer", "aside", "form", "script", "style", "comments", "ad", "sidebar", "cookie-notice", "share", "breadcrumb"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.out.append(" ")
+            return
+        self.open.append((tag, bool({tag, *(dict(attrs).get("class") or "").split()} & self.unwanted)))
+        self.out.append(" " if tag in htmltext._BLOCKS or self.open[-1][1] else "")
+
+    def handle_endtag(self, tag):
+        while self.open:
+            t, bad = self.open.pop()
+            self.out.append(" " if t in htmltext._BLOCKS or bad else "")
+            if t == tag:
+                break
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(bad for _, bad in self.open):
+            self.out.append(data)
+
+
+def test_html_against_a_plain_parser():
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join(rng.choice(["alpha", "beta &amp; gamma", "d&eacute;lta", "1 &lt; 2", "omega\n  psi", "&#8212;", "x<b>y</b>z", '<a href="u">link</a>']) for _ in range(n))
+
+    def noise():
+        return rng.choice([f"<nav><ul><li><a href=x>{words(2)}</a></li></ul></nav>", f"<aside><p>{words(5)}</p></aside>", f"<script>if (a < b) {{ '<p>' }}</script>", f"<div class='ad'>{words(4)}</div>", f"<div class='share x'>{words(1)}</div>", f"<!-- {words(2)} <p> -->", "<form><input name=q><p>find</p></form>"])
+
+    def block():
+        return rng.choice([f"<p>{words(rng.randint(1, 30))}</p>", f"<h2>{words(3)}</h2>", f"<ul><li>{words(3)}</li><li>{words(2)}</li></ul>", f"<blockquote><p>{words(9)}</p></blockquote>", f"<p>{words(2)}<br>{words(2)}</p>", noise()])
+
+    for _ in range(200):
+        main = "".join(block() for _ in range(rng.randint(2, 12))) + f"<p>{words(60)}</p>"
+        page = f"<html><head><title>{words(2)}</title><style>p {{}}</style></head><body class='has-sidebar'><header><h1>{words(2)}</h1></header>{noise()}<div class='layout-sidebar'><article class='post'>{main}</article><div class='sidebar'><p>{words(8)}</p></div></div><section class='comments'><p>{words(40)}</p></section><footer>{words(6)}</footer></body></html>"
+        plain = PlainText()
+        plain.feed(page)
+        assert htmltext.parse(page).text(None) == " ".join("".join(plain.out).split())
+
+
+def test_very_long_page():
+    page = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
+    assert len(htmltext.parse(page).text(None)) == 50_000 * 16 - 1
+
+
 def test_html_host_consensus(spark):
     page = "<body><div class='post-{i}'><p>{text}</p></div><div class='links'><p>{other}</p></div></body>"
     rows = [(i, "http://h/x", page.format(i=i, text="main words here " * 20, other="more")) for i in range(9)]
