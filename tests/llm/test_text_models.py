@@ -2,6 +2,7 @@
 
 import html.parser
 import random
+import time
 import zlib
 
 import numpy as np
@@ -212,6 +213,56 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.annotate(df, bench.limit(0)).filter("size(matches) > 0").count() == 0 and decontam.annotate(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_items_with_one_opening(spark):
+    """Many items that share an opening, texts that repeat it: what is found is what brute force finds, in bounded time."""
+    rng = random.Random(3)
+    opening = prose(rng, 8)  # noqa: F405
+    items = [(i, f"{opening} {prose(rng, rng.randint(4, 20))}") for i in range(60)]  # noqa: F405
+    index = decontam.index_items([(i, decontam.normal(t)) for i, t in items])
+    for _ in range(12):
+        some = list(decontam.normal(rng.choice(items)[1]))
+        for _ in range(rng.randint(0, len(some) // 9)):
+            k = rng.randrange(len(some))
+            some[k : k + 1] = rng.choice([["q"], [], ["q", some[k]]])
+        text = decontam.normal(f"{opening} {prose(rng, 30)} {opening} {''.join(some)} {prose(rng, 9)} {opening}")  # noqa: F405
+        want = {i for i, p in items if edit_distance_within(decontam.normal(p), text) <= decontam.edits_allowed(len(decontam.normal(p)))}
+        assert {index.ids[k] for k, *_ in decontam.find(text, index)} == want
+    many = decontam.index_items([(i, f"{opening} {prose(rng, 30)}") for i in range(1000)])  # noqa: F405
+    text = f"{opening} {prose(rng, 3300)}"[:20_000]  # noqa: F405
+    began = time.perf_counter()
+    assert decontam.find(text, many) == [] and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("hits", [50, 400])
+def test_decontamination_of_crowded_runs(monkeypatch, hits):
+    """Runs cut in two and items in groups give the same matches."""
+    rng = random.Random(6)
+    items = [(i, decontam.normal(prose(rng, 8))) for i in range(12)]  # noqa: F405
+    text = decontam.normal(" ".join([prose(rng, 20), items[3][1], prose(rng, 150), items[7][1], items[3][1]]))  # noqa: F405
+    want = decontam.find(text, decontam.index_items(items))
+    assert {k for k, *_ in want} >= {3, 7}
+    monkeypatch.setattr(decontam, "HITS", hits)
+    assert decontam.find(text, decontam.index_items(items)) == want
+
+
+def test_piece_distances_are_lower_bounds():
+    rng = random.Random(7)
+    for _ in range(30):
+        patterns = ["".join(rng.choice("abcd") for _ in range(rng.choice([1, 9, 63, 64]))) for _ in range(5)]
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 90)))
+        which = np.array([0, 1, 2, 3, 4, 0])
+        start = np.array([rng.randint(0, len(text)) for _ in which])
+        end = np.array([rng.randint(s, len(text)) for s in start])
+        got = decontam._piece_distances([decontam.points(p) for p in patterns], which, decontam.points(text), start, end)
+        assert got.tolist() == [edit_distance_within(patterns[w], text[s:e]) for w, s, e in zip(which, start, end)]
+
+
+def test_decontamination_replaces_its_column(spark):
+    df = spark.createDataFrame([(1, "x", "a text")], "doc_id long, matches string, text string")
+    got = decontam.annotate(df, spark.createDataFrame([(1, "some item text")], "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "matches"] and got.first()["matches"] == []
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, prose(rng, 10)) for i in range(4)]  # noqa: F405
