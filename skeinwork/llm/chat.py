@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 The rows of a conversation are collected as structs and sorted by turn (ties by role, then text);
-adjacent turns of one role are merged into one block by an array aggregation; blocks are
-concatenated into one string. A block is
+adjacent turns of one role are merged into one block by aggregating the array between the places where the
+role changes, in time linear in the turns; blocks are concatenated into one string. A block is
 
     <|start|>ROLE<|text|>TEXT(<|next|>TEXT)*<|end|>\n
 
@@ -43,17 +43,18 @@ def unescape(text: Column) -> Column:
 
 
 def _merged(turns: Column) -> Column:
-    """array<struct<role, texts>> of the sorted turns."""
-    start = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """array<struct<role, texts>> of the sorted turns: the places where a role starts cut them into blocks, each gathered once."""
+    n = F.size(turns)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(turns, i - 1)["role"] != F.get(turns, i - 2)["role"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        new = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        grown = F.struct(x["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        same = (F.size(acc) > 0) & (last["role"] == x["role"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+    def block(all_: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(all_, k + 1), n + 1)
+            return F.struct(F.get(turns, s - 1)["role"].alias("role"), F.transform(F.slice(turns, s, end - s), lambda t: t["text"]).alias("texts"))
 
-    return F.aggregate(turns, start, step)
+        return F.transform(all_, one)
+
+    return let(starts, block)
 
 
 def _segments(blocks: Column) -> Column:

@@ -121,7 +121,8 @@ def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules: tu
         .select("host", "path", "n", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("ruled"), (F.left(F.md5(F.concat("host", "path").cast("binary")), F.lit(1)) < "8").alias("fits")),
         "urls-names",
     )
-    held = names.select("*", F.explode(_grams(order)).alias("gram"))
+    # a few names can come back as one piece, with n-grams for many tasks
+    held = names.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "host", "path").select("*", F.explode(_grams(order)).alias("gram"))
     accepted, rejected = (F.col("n") * ((F.col("ruled") == v) & F.col("fits")).cast("int") for v in ("allow", "block"))
     grams = stage(held.groupBy("gram").agg(F.coalesce(F.sum(accepted), F.lit(0)).alias("a"), F.coalesce(F.sum(rejected), F.lit(0)).alias("r")), "urls-grams")
     suffixes, contexts = _counts(grams.filter("a + r > 0"), order)

@@ -130,3 +130,10 @@ def test_url_model_against_plain_python(spark):
         for r in rows:
             if not r["rule"]:
                 assert abs(r["score"] - (score[n] - t)) < 1e-6 and r["verdict"] == ("allow" if score[n] >= t else "block")
+
+
+def test_long_conversation_is_merged_in_order(spark):
+    rows = [(1, i, "user" if i // 3 % 2 else "assistant", f"t{i}") for i in range(20_000)]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = got.select(F.explode(read_turns(F.col("formatted"))).alias("t")).select("t.*").collect()
+    assert [tuple(t) for t in turns] == [(r[2], r[3]) for r in rows]
