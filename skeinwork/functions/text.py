@@ -6,6 +6,7 @@ languages, not only the ASCII space that Spark's trim removes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -176,6 +177,31 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: The usual short list of English stop words.
+STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+
+
+def s_stem(term: Column) -> Column:
+    """A term without its plural ending (Harman's weak stemmer)."""
+    return (
+        F.when(F.length(term) <= 3, term)
+        .when(term.rlike("[^ea]ies$"), F.regexp_replace(term, "ies$", "y"))
+        .when(term.rlike("[^aeo]es$"), F.regexp_replace(term, "es$", "e"))
+        .when(term.rlike("[^us]s$"), F.regexp_replace(term, "s$", ""))
+        .otherwise(term)
+    )
+
+
+def analyzer(stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None, split: Callable[[Column], Column] = tokens) -> Callable[[Column], Column]:
+    """Text -> terms for a lexical index: `split`, then stop words go, then terms are stemmed."""
+
+    def run(x: Column) -> Column:
+        terms = F.filter(split(x), lambda t: ~t.isin(*stop)) if stop else split(x)
+        return F.transform(terms, stem) if stem else terms
+
+    return run
+
+
 def token_set(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), SPACE), lambda t: t != ""))
 

@@ -110,7 +110,7 @@ def search(
     if per_document is not None:
         inside = Window.partitionBy("query_id", "document").orderBy(F.desc("score"), "id")
         rows = rows.withColumn("__in", F.row_number().over(inside)).filter(F.col("__in") <= per_document)
-    return rows.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k).select("query_id", "id", "document", "score", "rank")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).select("query_id", "id", "document", "score", "rank")
 
 
 def max_scores(corpus: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
@@ -157,4 +157,4 @@ def search_cells(indexed: DataFrame, centers: np.ndarray, queries: DataFrame, k:
     asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(probed("embedding")).alias("cell"))
     scored = asked.join(indexed.select("cell", "id", "document", "embedding"), "cell").select("query_id", "id", "document", vectors.dot(F.col("q"), F.col("embedding")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

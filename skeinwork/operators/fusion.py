@@ -21,7 +21,7 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = 32, rrf_k: int = 100) -> Da
         F.sum(1 / (F.lit(float(rrf_k)) + F.col("rank") + 1)).alias("score"), F.count("*").alias("lists"), F.min(F.struct("retriever", F.col("rank").alias("at"))).alias("seen")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen")
-    return fused.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k).drop("seen")
+    return fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).drop("seen")
 
 
 def over_fetch(k: int) -> int:

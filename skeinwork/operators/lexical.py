@@ -1,44 +1,91 @@
-"""Lexical retrieval: postings, document lengths and BM25 as ordinary tables."""
+"""Lexical retrieval: a stored index of ordinary tables (postings, terms, totals), and BM25 on it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
 
+#: Text -> array of terms; T.tokens, or T.analyzer(...) with stop words and a stemmer, or any other.
+Analyze = Callable[[Column], Column]
+
+#: A table of terms is sent to all tasks only if it has no more rows than this.
+FEW_TERMS = 200_000
+
+
+def postings(docs: DataFrame, key: str = "id", text: str = "text", analyze: Analyze = T.tokens) -> DataFrame:
+    """term, id, tf, length (terms of the document). Terms are counted within their row, so nothing is shuffled.
+
+    A null text has no terms; a document given twice under one id has its postings twice.
+    """
+
+    def counted(ts: Column) -> Column:
+        n = F.size(ts)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(ts, i - 1) != F.get(ts, i - 2)))
+
+        def runs(all_: Column) -> Column:
+            return F.transform(all_, lambda s, k: F.struct(F.get(ts, s - 1).alias("term"), (F.coalesce(F.get(all_, k + 1), n + 1) - s).cast("long").alias("tf"), n.cast("long").alias("length")))
+
+        return F.when(n > 0, F.element_at(F.transform(F.array(starts), runs), 1))
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """term, id, tf."""
-    terms = docs.select(F.col(key).alias("id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    bound = F.element_at(F.transform(F.array(F.sort_array(analyze(F.coalesce(F.col(text), F.lit(""))))), counted), 1)
+    return docs.select(F.col(key).alias("id"), F.inline(bound)).select("term", "id", "tf", "length")
 
 
-def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def lengths(docs: DataFrame, key: str = "id", text: str = "text", analyze: Analyze = T.tokens) -> DataFrame:
     """id, length (terms) of every document."""
-    return docs.select(F.col(key).alias("id"), F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("length"))
+    return docs.select(F.col(key).alias("id"), F.size(analyze(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("length"))
+
+
+@dataclass
+class Index:
+    """postings (term, id, tf, length), terms (term, df, cf), the number of documents and their mean length."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    mean: float
+
+
+def write_index(docs: DataFrame, path: str, key: str = "id", text: str = "text", analyze: Analyze = T.tokens, identity: str = "") -> None:
+    """Build and store an index: one pass over the documents, then one over the postings. `identity` names what it was built from.
+    Documents without a term have no postings but count."""
+    spark = docs.sparkSession
+    postings(docs, key, text, analyze).sortWithinPartitions("term", "id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
+    total = docs.agg(F.count("*").alias("n")).first()["n"]
+    cf = spark.read.parquet(f"{path}/terms").agg(F.sum("cf")).first()[0] or 0
+    spark.createDataFrame([(identity, total, cf / total if total else 0.0)], "identity string, n long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def open_index(spark: SparkSession, path: str, identity: str | None = None) -> Index:
+    """A stored index; with an identity, only if it was built from that."""
+    totals = spark.read.parquet(f"{path}/totals").first()  # one row
+    if identity is not None and totals["identity"] != identity:
+        raise ValueError(f"stale index: built from {totals['identity']!r}, the corpus is now {identity!r}; build it again")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals["n"], totals["mean"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it was measured to be small."""
+    return F.broadcast(df) if df.limit(FEW_TERMS + 1).count() <= FEW_TERMS else df
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, key: str = "id", text: str = "text") -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, analyze: Analyze = T.tokens) -> DataFrame:
     """query_id, id, score, rank (from 0) of the best k documents of every query (query_id, query).
 
-    Only the terms of queries are kept from the documents before the first shuffle, so what moves is
-    the postings asked for, not the corpus. Ties: least id.
+    Of the stored postings only those of the queries' terms are kept, before the first shuffle. Ties: least id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    size = lengths(docs, key, text)
-    totals = size.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()  # two numbers
-    if not totals["n"]:
-        return asked.select("query_id", F.lit(None).alias("id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
-    wanted = asked.select("term").distinct()
-    # tokens are bound once: a length beside the explode would be computed for every term
-    each = F.element_at(F.transform(F.array(T.tokens(F.col(text))), lambda ts: F.transform(ts, lambda t: F.struct(t.alias("term"), F.size(ts).alias("length")))), 1)
-    terms = docs.select(F.col(key).alias("id"), F.inline(each))
-    found = terms.join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / totals["mean"]))
-    weighted = found.join(df, "term").select("term", "id", (idf * weight).alias("part"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
+    idf = F.ln(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = _few(asked.join(index.terms, "term").select("query_id", "term", idf.alias("idf")))
+    norm = F.col("length") / (index.mean or 1.0)
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
+    scored = index.postings.join(known, "term").groupBy("query_id", "id").agg(F.sum(F.col("idf") * weight).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

@@ -21,6 +21,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def state(spark: SparkSession, path: str) -> str:
+    """What a folder or file holds, in short: path, bytes, files, time of change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(p)
+    return f"{path} {total.getLength()} {total.getFileCount()} {fs.getFileStatus(p).getModificationTime()}"
+
+
 def read_raw_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Raw chunks of the *.jsonl files of a folder with source_file; blank lines and empty files give no rows, bad lines are errors."""
     rows = spark.read.schema(RAW_CHUNK).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(path)

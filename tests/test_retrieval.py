@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.functions import models, vectors
+from skeinwork.functions import text as T
 from skeinwork.operators import citations, dense, evaluate, fusion, lexical, sampling
 from skeinwork.plans import answer
 
@@ -53,23 +54,38 @@ def test_ann_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
-def test_bm25_against_formula(spark):
+def test_bm25_against_formula(spark, tmp_path):
     rng = random.Random(1)
-    docs = [(i, " ".join(rng.choice("red blue green dog cat fish".split()) for _ in range(rng.randint(1, 20)))) for i in range(30)]
+    docs = [(i, " ".join(rng.choice("red blue green dog cat fish".split()) for _ in range(rng.randint(1, 20)))) for i in range(28)] + [(28, ""), (29, None)]
     df = spark.createDataFrame(docs, "id long, text string")
-    got = lexical.bm25(df, spark.createDataFrame([(1, "red dog dog")], "query_id int, query string"), 5).orderBy("rank").collect()
-    mean = sum(len(t.split()) for _, t in docs) / 30
+    lexical.write_index(df, f"{tmp_path}/i", identity="v1")
+    index = lexical.open_index(spark, f"{tmp_path}/i", "v1")
+    with pytest.raises(ValueError, match="stale index"):
+        lexical.open_index(spark, f"{tmp_path}/i", "v2")
+    asked = spark.createDataFrame([(1, "red dog dog")], "query_id int, query string")
+    got = lexical.bm25(index, asked, 5).orderBy("rank").collect()
+    texts = [(i, t or "") for i, t in docs]
+    mean = sum(len(t.split()) for _, t in texts) / 30
+    counts = sorted((w, i, t.split().count(w), len(t.split())) for i, t in texts for w in set(t.split()))
+    assert sorted(map(tuple, index.postings.collect())) == counts and index.n == 30 and index.mean == pytest.approx(mean)
 
     def score(t):
         w, s = t.split(), 0
         for term in {"red", "dog"}:
-            n, tf = sum(term in x.split() for _, x in docs), w.count(term)
-            s += math.log(1 + (30 - n + 0.5) / (n + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(w) / mean))
+            n, tf = sum(term in x.split() for _, x in texts), w.count(term)
+            s += math.log(1 + (30 - n + 0.5) / (n + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len(w) / mean)) if tf else 0
         return s
 
-    want = sorted(((-round(score(t), 9), i) for i, t in docs if score(t)))[:5]
+    want = sorted(((-round(score(t), 9), i) for i, t in texts if score(t)))[:5]
     assert [r["id"] for r in got] == [i for _, i in want]
-    assert lexical.bm25(df.limit(0), spark.createDataFrame([(1, "red")], "query_id int, query string")).count() == 0
+    lexical.write_index(df.limit(0), f"{tmp_path}/none")
+    assert lexical.bm25(lexical.open_index(spark, f"{tmp_path}/none"), asked).count() == 0
+
+
+def test_analyzer(spark):
+    analyze = T.analyzer(T.STOP_WORDS, T.s_stem)
+    got = spark.createDataFrame([("The ponies and the horses, classes of cats: bus, is",)], "t string").select(analyze(F.col("t"))).first()[0]
+    assert got == ["pony", "horse", "classe", "cat", "bus"]
 
 
 def test_fusion(spark):
