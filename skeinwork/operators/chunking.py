@@ -20,7 +20,8 @@ def split_text(text: str, size: int = 1000, overlap: int = 200, separators: tupl
     """Pieces of at most `size` characters (longer only where nothing separates), neighbours sharing up to `overlap`.
 
     The first separator found in the text cuts it; small cuts are merged greedily, large ones are cut by
-    the next separator. Pieces are stripped, empty ones dropped.
+    the next separator. Pieces are stripped, empty ones dropped. The rules, merging included, are those of
+    the widely used recursive character splitter, whose results have to be met.
     """
     sep = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(sep) + 1 :]
@@ -156,19 +157,21 @@ def article_chunks(files: DataFrame) -> DataFrame:
     return files.select("name", "xml").mapInPandas(run, "id string, title string, content string, contents string")
 
 
-_ARTICLE = re.compile(r"<Article[ >].*?</Article>", re.DOTALL)
+_CITED = re.compile(r"<PMID[^>]*>([^<]*)|(<Article[ >].*?</Article>)", re.DOTALL)
 
 
 def citation_records(xml: str) -> list[tuple[str, str, str]]:
     """(id, title, abstract) of the articles of a citation file; those without abstract are dropped, several abstract parts joined."""
     out = []
-    for m in _ARTICLE.finditer(xml):
-        ids = re.findall(r"<PMID[^>]*>([^<]*)", xml[: m.start()][-20_000:])
-        title = re.search(r"<ArticleTitle[^>]*>(.*?)</ArticleTitle>", m[0], re.DOTALL)
-        parts = re.findall(r"<AbstractText[^>]*>(.*?)</AbstractText>", m[0], re.DOTALL)
-        abstract = " ".join(parts)
+    pmid = ""  # the last one before the article, however far up; one pass over the file
+    for m in _CITED.finditer(xml):
+        if m[2] is None:
+            pmid = m[1].strip()
+            continue
+        title = re.search(r"<ArticleTitle[^>]*>(.*?)</ArticleTitle>", m[2], re.DOTALL)
+        abstract = " ".join(re.findall(r"<AbstractText[^>]*>(.*?)</AbstractText>", m[2], re.DOTALL))
         if abstract.strip():
-            out.append((ids[-1].strip() if ids else "", title[1] if title else "", abstract))
+            out.append((pmid, title[1] if title else "", abstract))
     return out
 
 

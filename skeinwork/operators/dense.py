@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,6 +70,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
             for pdf in parts:
                 if not len(pdf):
                     continue
+                pdf = pdf.sort_values("id")  # equal scores are cut by id
                 s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
                 order = np.argsort(-s, axis=1, kind="stable")[:, :most]
                 q = np.repeat(np.arange(len(names)), order.shape[1])
@@ -83,8 +84,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
                 got.insert(0, "query_id", names[got.pop("q").to_numpy()])
                 yield got
 
-        # rows with equal scores are cut by id, so a task's rows come in the order of ids
-        part = corpus.select("id", "document", "embedding").sortWithinPartitions("id").mapInPandas(run, schema)
+        part = corpus.select("id", "document", "embedding").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -113,6 +113,35 @@ def search(
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).select("query_id", "id", "document", "score", "rank")
 
 
+def tally(corpus: DataFrame, queries: DataFrame, count: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, metric: str = "ip") -> DataFrame:
+    """Rows of `count` (scores, whether query and vector share their document; matrices of queries by vectors) for each batch of
+    the corpus and block of queries: every pair is seen once, and a few rows a batch are all that leaves a task.
+
+    corpus: id, document, embedding; queries: query_id, document, embedding.
+    """
+    own = {r["query_id"]: r["document"] for r in queries.select("query_id", "document").toLocalIterator()}
+    out = None
+    for ids, matrix in _query_blocks(queries):
+        shared = corpus.sparkSession.sparkContext.broadcast((np.array([own[i] for i in ids], dtype=object), matrix))  # bounded by BLOCK_NUMBERS
+
+        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            documents, block = shared.value
+            for pdf in parts:
+                if len(pdf):
+                    s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
+                    yield count(s, documents[:, None] == pdf["document"].to_numpy()[None, :])
+
+        part = corpus.select("document", "embedding").mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
+
+
+def moments(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
+    """same, n, total, squares, top of scores, for pairs with and without a document in common."""
+    kinds = [(bool(k), s[same == k]) for k in (False, True)]
+    return pd.DataFrame([(k, len(x), x.sum(), (x * x).sum(), x.max()) for k, x in kinds if len(x)], columns=["same", "n", "total", "squares", "top"])
+
+
 def max_scores(corpus: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
     """query_id, score: the best score of each query whatever the filters; 0 without a corpus."""
     top = candidates(corpus, queries, 1, metric).groupBy("query_id").agg(F.max("score").alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
 from skeinwork.operators.ranges import running
+from skeinwork.sources.scratch import stage
 
 
 def first_ranks(gold: DataFrame, hits: DataFrame) -> DataFrame:
@@ -34,12 +35,17 @@ def relevant(hit_text: Column, references: Column, threshold: float = 0.4) -> Co
     return F.exists(references, lambda r: T.jaccard(T.token_set(hit_text), T.token_set(r)) >= threshold)
 
 
+def _by_score(scores: DataFrame) -> DataFrame:
+    """score, p, n: positives and negatives of each distinct score, written once."""
+    return stage(scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")), "scores")
+
+
 def auc(scores: DataFrame) -> DataFrame:
     """One row: auc of scores (score, positive boolean), ties half; NaN if a side is empty.
 
     By ranks of distinct scores, so neither pairs nor a single sorted list of rows is needed.
     """
-    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).persist()
+    by = _by_score(scores)
     wins = running(by, "score", upto="n").withColumn("w", F.col("p") * (F.col("upto") - 0.5 * F.col("n")))
     total = wins.agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auc"))
@@ -47,7 +53,7 @@ def auc(scores: DataFrame) -> DataFrame:
 
 def best_threshold(scores: DataFrame) -> DataFrame:
     """One row: threshold, accuracy: the observed score that best parts positives (at or above) from negatives; ties: the lowest."""
-    by = scores.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).persist()
+    by = _by_score(scores)
     total = by.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()  # two numbers
     right = total["p"] - F.col("ps") + F.col("p") + F.col("ns") - F.col("n") if total["p"] is not None else F.lit(0)
     swept = running(by, "score", ps="p", ns="n").select(F.col("score").alias("threshold"), F.try_divide(right, F.lit((total["p"] or 0) + (total["n"] or 0))).alias("accuracy"))

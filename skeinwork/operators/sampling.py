@@ -1,31 +1,47 @@
-"""Seeded samples that do not depend on partitioning, and their manifests."""
+"""Seeded samples that do not depend on partitioning, and their manifests.
+
+Every draw is a digest of key and seed, which SQL engines compute alike.
+"""
 
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators.ranges import running
+
+
+def draw(seed: int, key: str) -> Column:
+    """Digest of a key and the seed, the order of draws."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
-def unit(seed: int, *keys) -> F.Column:
-    """A number in [0, 1) from the keys and the seed."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+
+def unit(seed: int, key: str) -> Column:
+    """A number in [0, 1) from a key and the seed: the first 52 bits of the digest."""
+    return F.conv(F.left(draw(seed, key), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
 
 
 def size_slots(files: DataFrame, n: int, seed: int = 1508) -> DataFrame:
-    """path, size, slots: n draws with replacement, each file by its share of the total size."""
-    order = Window.orderBy("path")
-    span = files.withColumn("hi", F.sum("size").over(order)).withColumn("lo", F.col("hi") - F.col("size"))  # one row a file
-    total = files.agg(F.sum("size")).first()[0] or 0
-    draws = files.sparkSession.range(n).select(F.col("id").alias("draw"), (unit(seed, "id") * total).alias("at"))
-    hit = draws.join(F.broadcast(span) if span.limit(100_001).count() <= 100_000 else span, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    return files.join(hit.groupBy("path").agg(F.count("*").alias("slots")), "path", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    """path, size, slots: n draws with replacement, each file by its share of the total size.
+
+    Files stand in the order of their digests, so that running sums need no single sorted list. A draw finds its file by the
+    stretch of length total / files that it falls into; a file is in as many stretches as it touches.
+    """
+    spans = running(files.withColumn("__order", unit(seed, "path")), "__order", __hi="size").withColumn("__lo", F.col("__hi") - F.col("size"))
+    known = files.agg(F.sum("size").alias("total"), F.count("*").alias("n")).first()  # two numbers
+    width = max((known["total"] or 0) / max(known["n"], 1), 1e-9)
+    draws = files.sparkSession.range(n).withColumn("__at", unit(seed, "id") * float(known["total"] or 0)).withColumn("__cell", F.floor(F.col("__at") / width))
+    cells = spans.filter("size > 0").select("path", "__lo", "__hi", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))).alias("__cell"))
+    hit = draws.join(cells, "__cell").filter("__at >= __lo and __at < __hi")
+    return files.join(hit.groupBy("path").agg(F.count("*").alias("slots")), "path", "left").withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
 
 
 def sample_in_groups(rows: DataFrame, slots: DataFrame, group: str, key: str, seed: int = 1508) -> DataFrame:
     """Per group as many rows as it has slots (all if it has fewer), without replacement."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(group).orderBy(draw(seed, key), key)
     return rows.withColumn("__at", F.row_number().over(order)).join(slots.select(group, "slots"), group).filter(F.col("__at") <= F.col("slots")).drop("__at", "slots")
 
 
@@ -33,20 +49,26 @@ def sample_source(rows: DataFrame, files: DataFrame, n: int, group: str, key: st
     """Size-proportional sample of n rows of one source, sorted by key; what a file is short of is topped up from the rest."""
     drawn = sample_in_groups(rows, size_slots(files, n, seed).withColumnRenamed("path", group), group, key, seed).withColumn("__own", F.lit(0))
     rest = rows.join(drawn.select(key), key, "left_anti").withColumn("__own", F.lit(1))
-    return drawn.unionByName(rest).orderBy("__own", F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).drop("__own").orderBy(key)
+    return drawn.unionByName(rest).orderBy("__own", draw(seed, key), key).limit(n).drop("__own").orderBy(key)
 
 
 def balanced(rows: DataFrame, n: int, source: str, key: str, seed: int = 1508) -> DataFrame:
-    """n // (number of sources) rows of each source, by hash order."""
-    kinds = rows.select(source).distinct().count()
-    order = Window.partitionBy(source).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return rows.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= n // max(kinds, 1)).drop("__at")
+    """n // (number of sources) rows of each source, by the order of draws."""
+    each = n // max(rows.select(source).distinct().count(), 1)
+    order = Window.partitionBy(source).orderBy(draw(seed, key), key)
+    return rows.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= each).drop("__at")
 
 
-def manifest(rows: DataFrame, source: str, file: str, key: str, seed: int) -> dict:
-    """Counts and sorted files of each source, with the seed."""
+def manifest(rows: DataFrame, source: str, file: str, key: str, seed: int, requested: int | None = None) -> dict:
+    """Counts and sorted files of each source, with the seed and the time (UTC)."""
     by = rows.groupBy(source).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(file)).alias("files")).collect()  # a row a source
-    return {"seed": seed, "count": sum(r["n"] for r in by), "sources": {r[source]: {"count": r["n"], "files": r["files"]} for r in sorted(by, key=lambda r: r[source])}}
+    return {
+        "created_at": datetime.now(timezone.utc).isoformat(),
+        "seed": seed,
+        "requested": requested,
+        "count": sum(r["n"] for r in by),
+        "sources": {r[source]: {"count": r["n"], "files": r["files"]} for r in sorted(by, key=lambda r: r[source])},
+    }
 
 
 def fingerprint(rows: DataFrame, key: str, encoders: dict, seed: int) -> dict:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions import vectors
 from skeinwork.operators import dense, fusion
+from skeinwork.plans import answer
 from skeinwork.plans.registry import query, table
 
 K, FLOOR, CAP = 8, 0.1, 3
@@ -100,7 +103,10 @@ s AS (SELECT list_inner_product(q.embedding, c.embedding) AS score, q.label = c.
 SELECT same, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, round(max(score), 6) AS top, count(*) AS n FROM s GROUP BY same""")
 def vec_score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score distribution of pairs with and without a document in common."""
-    return _pairs(spark, sf_dir).groupBy("same").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.round(F.max("score"), 6).alias("top"), F.count("*").alias("n"))
+    c = _centered(spark, sf_dir)
+    parts = dense.tally(c, _tagged(c), dense.moments, "same boolean, n long, total double, squares double, top double").groupBy("same").agg(*(F.sum(x).alias(x) for x in ("n", "total", "squares")), F.max("top").alias("top"))
+    mean = F.col("total") / F.col("n")
+    return parts.select("same", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)), 6).alias("sd"), F.round("top", 6).alias("top"), "n")
 
 
 @query(f"""{CENTERED},
@@ -108,16 +114,21 @@ s AS (SELECT round(list_inner_product(q.embedding, c.embedding), 6) AS score FRO
 SELECT CASE WHEN score < 0 THEN 0 WHEN score >= 0.8 THEN 33 ELSE floor(score / 0.025)::BIGINT + 1 END AS bin, count(*) AS n FROM s GROUP BY 1""")
 def vec_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in 32 bins from 0 to 0.8, those below in bin 0 and above in bin 33."""
-    s = F.round("score", 6)
-    bin_ = F.when(s < 0, 0).when(s >= 0.8, 33).otherwise(F.floor(s / 0.025) + 1).cast("long")
-    return _pairs(spark, sf_dir).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """score, same of every query against every vector: the stated query set against all rows, in blocks."""
+    def bins(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
+        x = s.round(6).reshape(-1)
+        at = np.where(x < 0, 0, np.where(x >= 0.8, 33, np.floor(x / 0.025) + 1)).astype(int)
+        n = np.bincount(at, minlength=34)
+        return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
+
     c = _centered(spark, sf_dir)
-    scored = dense.candidates(c, _queries(c), 1 << 62)
-    return scored.join(_corpus(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("document").alias("own")), "query_id").select("score", (F.col("document") == F.col("own")).alias("same"))
+    return dense.tally(c, _tagged(c), bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def _tagged(corpus: DataFrame) -> DataFrame:
+    """The query set with its documents."""
+    return corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "document", "embedding")
 
 
 @query(f"""
@@ -160,3 +171,23 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
     indexed, centers = dense.cells(c, 16)
     return _table(dense.search_cells(indexed, centers, _queries(c), K, 12))
+
+
+@query(f"""
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label % 3 AS corpus, {_DOT} AS ip, {_L2} AS l2 FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
+p AS (SELECT query_id, id, 0 AS retriever, ip AS score, row_number() OVER (PARTITION BY query_id, corpus ORDER BY ip DESC, id) AS pos FROM s
+      UNION ALL SELECT query_id, id, 1, -l2, row_number() OVER (PARTITION BY query_id, corpus ORDER BY l2, id) FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id, retriever ORDER BY score DESC, id) - 1 AS rank FROM p WHERE pos <= 100),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (100 + rank + 1)) AS score, count(*) AS lists, min(retriever * 1000000 + rank) AS seen FROM m WHERE rank < 100 GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) - 1 AS rank FROM f)
+SELECT query_id, id, round(score, 9) AS score, lists, rank FROM t WHERE rank < 32""")
+def retrieve_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several retrievers, each over three corpora (document modulo 3): merged over corpora, then fused over retrievers."""
+    c = _corpus(spark, sf_dir)
+    q, wide = _queries(c), fusion.over_fetch(32)
+    lists = {}
+    for metric in ("ip", "l2"):
+        parts = [dense.search(c.filter(F.col("document") % 3 == n), q, wide, metric=metric).select("query_id", "id", "score") for n in range(3)]
+        lists[metric] = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fused = answer.retrieve(lists, k=32)
+    return fused.select("query_id", "id", F.round("score", 9).alias("score"), "lists", F.col("rank").cast("long").alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import models, vectors
 from skeinwork.functions import text as T
-from skeinwork.operators import citations, evaluate
+from skeinwork.operators import citations, dense, evaluate, judge, safety
 from skeinwork.plans import answer
 from skeinwork.plans.dense_queries import CENTERED
 from skeinwork.plans.registry import query, table
@@ -39,13 +39,16 @@ SELECT round(coalesce(avg(ok::INT) FILTER (kind = 'off'), 0), 6) AS false_answer
  round(sum(dropped) FILTER (kind = 'gold' AND ok) / sum(dropped + citations) FILTER (kind = 'gold' AND ok), 6) AS dropped_marker_rate FROM b""")
 def behavioral_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates over labelled documents standing in for answers."""
+    m = evaluate.behaviour(_labelled(spark, sf_dir))
+    return m.select(*(c if c == "gold_questions_wrongly_refused" else F.round(c, 6).alias(c) for c in m.columns))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     kind = F.when(F.col("quality") == 0, "off").when(F.col("toxic") == 1, "advice").otherwise("gold")
-    answers = rows.select(
+    return rows.select(
         kind.alias("kind"), (F.col("n_chars") < 200).alias("abstained"), (F.col("toxic") == 1).alias("refused"), F.contains("text", F.lit(",")).alias("grounded"), (F.col("doc_id") % 4).alias("citations"), (F.col("doc_id") % 3).alias("dropped")
     )
-    m = evaluate.behaviour(answers)
-    return m.select(*(c if c == "gold_questions_wrongly_refused" else F.round(c, 6).alias(c) for c in m.columns))
 
 
 @query(f"""{CENTERED},
@@ -62,16 +65,82 @@ def sentence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stub():
-    return lambda chat: f"{chat[-1]['content'].split('[S1]')[-1][:80].strip()} [S1]. And more is said about this here."
+    def reply(chat):
+        passage = chat[-1]["content"].split("\n", 2)[2].split("\n")[0]  # the text of [S1]
+        part = int(passage.rsplit(" ", 1)[1])
+        if part % 4 == 1:
+            return T.INSUFFICIENT
+        return f"{passage} [S1] [S99]." + (" And more is said about this here." if part % 3 == 0 else "")
 
+    return reply
 
-@query()
+
+@query(f"""{CENTERED},
+q AS (SELECT vec_id, label, embedding, CASE WHEN vec_id % 100 = 0 THEN 'Should I know of part ' ELSE 'What is known of part ' END || label || '?' AS question FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS qid, c.vec_id AS id, c.label AS document, list_inner_product(q.embedding, c.embedding) AS score FROM q, v c WHERE q.vec_id % 100 <> 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, document ORDER BY score DESC, id) AS within FROM w WHERE pos <= 96 AND score >= 0.33),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM f WHERE within <= 3),
+h AS (SELECT qid, count(*) AS hits, min(document) FILTER (WHERE place = 1) AS part, min(id) FILTER (WHERE place = 1) AS first FROM r WHERE place <= 8 GROUP BY qid),
+a AS (SELECT vec_id AS question_id, question, vec_id % 100 = 0 AS refused, vec_id % 100 <> 0 AND (hits IS NULL OR part % 4 = 1) AS abstained, coalesce(hits, 0) AS hits, first, part FROM q LEFT JOIN h ON qid = vec_id)
+SELECT question_id, CASE WHEN refused THEN '{safety.REFUSAL}' WHEN abstained THEN '{safety.ABSTENTION}'
+  ELSE 'fact ' || first || ' belongs to part ' || part || ' [S1] .' || CASE WHEN part % 3 = 0 THEN ' And more is said about this here.' ELSE '' END END || chr(10) || chr(10) || '---' || chr(10) || '{safety.DISCLAIMER}' AS answer,
+  refused, abstained, NOT refused AND NOT abstained AND part % 3 <> 0 AS grounded, hits, CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS citations,
+  CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS dropped, CASE WHEN NOT refused AND NOT abstained AND part % 3 = 0 THEN 1 ELSE 0 END AS unsupported,
+  CASE WHEN refused THEN '{safety.ADVICE_RULES[0][1]}' END AS reason FROM a""")
 def gated_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate, search, evidence, stand-in model, checks, for benchmark items as questions over documents by a stand-in encoder."""
-    encode = models.encoder(lambda: models.hashing_encoder(64))
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    corpus = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("document"), encode(F.col("text")).alias("embedding"))
-    chunks = docs.select(F.col("doc_id").alias("id"), F.lit("textbook").alias("source_type"), F.col("source").alias("document"), F.lit(None).cast("string").alias("section"), "text")
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.when(F.col("item_id") % 5 == 0, "Should I? ").otherwise(""), "text").alias("question"), encode(F.col("text")).alias("embedding"))
-    got = answer.gated_answers(questions, corpus, chunks, models.generator(_stub), floor=0.5)
-    return got.select("question_id", "answer", "refused", "abstained", "grounded", F.size("hits").alias("hits"), F.size("citations").alias("citations"), F.size("dropped").alias("dropped"), F.size("unsupported").alias("unsupported"), "reason")
+    """Gate, search with floor and cap, evidence, stand-in model, checks; each query vector asks a question, the vectors are the passages."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("document"), "embedding")
+    corpus = dense.centered(e, vectors.mean_vector(e))
+    document = F.col("document").cast("string")
+    text = F.concat(F.lit("fact "), F.col("id").cast("string"), F.lit(" belongs to part "), document)
+    chunks = e.select("id", F.lit("textbook").alias("source_type"), document.alias("document"), F.lit(None).cast("string").alias("section"), text.alias("text"))
+    asked = F.concat(F.when(F.col("id") % 100 == 0, "Should I know of part ").otherwise("What is known of part "), document, F.lit("?"))
+    questions = corpus.filter("id % 20 = 0").select(F.col("id").alias("question_id"), asked.alias("question"), "embedding")
+    got = answer.gated_answers(questions, corpus, chunks, models.generator(_stub))
+    counts = (F.size(c).cast("long").alias(c) for c in ("hits", "citations", "dropped", "unsupported"))
+    return got.select("question_id", "answer", "refused", "abstained", "grounded", *counts, "reason")
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, {_SET.format('text')} AS s, first_value({_SET.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+h AS (SELECT conv_id, turn, CASE WHEN len(s) = 0 OR len(r) = 0 THEN FALSE ELSE len(list_intersect(s, r))::DOUBLE / len(list_distinct(list_concat(s, r))) >= 0.4 END AS rel FROM t),
+w AS (SELECT conv_id, rel, avg(rel::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS p FROM h)
+SELECT conv_id, round(coalesce(avg(CASE WHEN rel THEN p END), 0), 6) AS precision, max(rel::INT)::DOUBLE AS recall FROM w GROUP BY conv_id""")
+def overlap_context_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-weighted precision where relevance is an overlap of 0.4 with a reference: a conversation's turns, the last one ranked
+    first, against its opening."""
+    rows = table(spark, sf_dir, "conversations")
+    opening = rows.groupBy("conv_id").agg(F.array(F.min_by("text", "turn")).alias("references"))
+    hits = rows.join(opening, "conv_id").select(F.col("conv_id").alias("query_id"), (-F.col("turn")).alias("rank"), evaluate.relevant(F.col("text"), F.col("references"), 0.4).alias("relevant"))
+    return evaluate.context_metrics(hits).select(F.col("query_id").alias("conv_id"), F.round("precision", 6).alias("precision"), "recall")
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, text, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS opening FROM conversations),
+s AS (SELECT conv_id, turn, greatest(length(text), length(opening)) AS n, CASE WHEN greatest(length(text), length(opening)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(text, opening)::DOUBLE / greatest(length(text), length(opening)) END AS sim FROM t),
+h AS (SELECT conv_id, turn, sim >= 0.5 AS rel FROM s),
+w AS (SELECT conv_id, rel, avg(rel::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS p FROM h)
+SELECT conv_id, round(coalesce(avg(CASE WHEN rel THEN p END), 0), 6) AS context_precision, max(rel::INT)::DOUBLE AS context_recall FROM w GROUP BY conv_id""")
+def judged_context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String metrics of judged samples: a conversation's turns, last first, against its opening."""
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("at"), "text"))).alias("t"))
+    samples = lists.select(
+        F.col("conv_id").cast("string").alias("user_input"), F.lit("").alias("response"), F.transform("t", lambda x: x["text"]).alias("retrieved_contexts"),
+        F.array(F.element_at("t", -1)["text"]).alias("reference_contexts"), F.lit("").alias("reference"),
+    )
+    scored = judge.score(samples)
+    return scored.select(F.col("user_input").cast("long").alias("conv_id"), F.round("context_precision", 6).alias("context_precision"), "context_recall")
+
+
+@query(f"""{_KINDS},
+g AS (SELECT count(*) AS n, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS quality FROM labels)
+SELECT * FROM (
+  SELECT 'behavioral' AS metric_group, 'false_answer_rate' AS metric, round(coalesce(avg(ok::INT) FILTER (kind = 'off'), 0), 6) AS value FROM b
+  UNION ALL SELECT 'behavioral', 'false_abstention_rate', round(avg(abstained::INT) FILTER (kind = 'gold'), 6) FROM b
+  UNION ALL SELECT 'judged', 'quality', round(quality, 6) FROM g UNION ALL SELECT 'judged', 'n_samples', n::DOUBLE FROM g)""")
+def evaluation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long table of metrics in groups."""
+    rates = evaluate.behaviour(_labelled(spark, sf_dir)).select("false_answer_rate", "false_abstention_rate")
+    judged = judge.means(table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("quality")), ["quality"])
+    return evaluate.combine(behavioral=rates, judged=judged).withColumn("value", F.round("value", 6))

@@ -132,11 +132,11 @@ def token_budget_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, string_agg(chr((65 + turn)::INT) || '. ' || text, chr(10) ORDER BY turn) AS options FROM conversations WHERE turn < 8 GROUP BY conv_id""")
+SELECT conv_id, string_agg(lpad((turn + 1)::VARCHAR, 6, '0') || '. ' || text, chr(10) ORDER BY turn) AS options FROM conversations GROUP BY conv_id""")
 def options_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options by letter out of a conversation's turns."""
-    entry = F.struct(F.chr((F.col("turn") + 65).cast("long")).alias("k"), "text")
-    maps = table(spark, sf_dir, "conversations").filter("turn < 8").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("o"))
+    """Options by number out of all of a conversation's turns."""
+    entry = F.struct(F.lpad((F.col("turn") + 1).cast("string"), 6, "0").alias("k"), "text")
+    maps = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("o"))
     return maps.select("conv_id", T.options_block(F.col("o")).alias("options"))
 
 
@@ -200,15 +200,25 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3)
 
 
-@query()
+_DRAW = "md5({0} || '|1508')"
+_UNIT = "(('0x' || left(" + _DRAW + ", 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"""
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW.format('doc_id')}, doc_id) AS n FROM documents)
+WHERE n <= 200 // (SELECT count(DISTINCT lang) FROM documents)""")
 def source_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.balanced(table(spark, sf_dir, "documents").select("doc_id", "lang"), 200, "lang", "doc_id")
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT source AS path, sum(n_chars)::BIGINT AS size FROM documents GROUP BY source),
+s AS (SELECT *, sum(size) OVER (ORDER BY {_UNIT.format('path')}) AS hi FROM f),
+d AS (SELECT {_UNIT.format('id')} * (SELECT sum(size) FROM f) AS place FROM range(100) r(id))
+SELECT f.path, f.size, (SELECT count(*) FROM d, s WHERE s.path = f.path AND place >= hi - s.size AND place < hi) AS slots FROM f""")
 def size_proportional_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("path")).agg(F.sum("n_chars").alias("size"))
-    return sampling.size_slots(files, 100)
+    return sampling.size_slots(files, 100).select("path", "size", "slots")
 
 
 @query()

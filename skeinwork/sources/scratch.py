@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -19,3 +20,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="skeinwork-"))
     return _LOCAL[0]
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that it is computed once."""
+    path = f"{scratch_dir(df.sparkSession)}/skeinwork/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
