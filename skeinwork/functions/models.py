@@ -31,14 +31,29 @@ def encoder(make: Callable[[], Encode], batch: int = 32, unit: bool = True) -> C
     return run
 
 
-def generator(make: Callable[[], Generate]) -> Callable[[Column], Column]:
-    """Column of array<struct<role, content>> -> reply; `make` builds the model once for each task."""
+def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "cls") -> np.ndarray:
+    """One vector a text of token states (texts x tokens x width): the first token's, or the mean over the tokens of the mask."""
+    if how == "cls":
+        return hidden[:, 0, :]
+    if how == "mean":
+        weight = mask[:, :, None].astype(hidden.dtype)
+        return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+    raise ValueError(f"pooling must be 'cls' or 'mean', not {how!r}")
+
+
+def pooled(states: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], how: str = "cls") -> Encode:
+    """An encoder out of a function that gives token states and mask."""
+    return lambda texts: pool(*states(texts), how)
+
+
+def generator(make: Callable[[], Callable[..., str]], **options) -> Callable[[Column], Column]:
+    """Column of array<struct<role, content>> -> reply; `make` builds the model once for each task, options go to every call."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generate = make()
         for chats in parts:
-            yield chats.map(lambda chat: generate([{"role": m["role"], "content": m["content"]} for m in chat]))
+            yield chats.map(lambda chat: generate([{"role": m["role"], "content": m["content"]} for m in chat], **options))
 
     return run
 

@@ -212,17 +212,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(inter / F.greatest(union, F.lit(1)))
 
 
-def chat_template(chat: Column, style: str = "inst") -> Column:
-    """Prompt text of array<struct<role, content>>: a leading system message goes into the first user turn, roles must alternate."""
+#: What stands around the turns of the known chat styles; {} is the turn's text.
+CHAT_STYLES = {
+    "inst": {"start": "<s>", "user": "[INST] {} [/INST]", "assistant": "{}</s>"},
+    "sections": {"start": "", "user": "### User:\n{}\n", "assistant": "### Assistant:\n{}\n"},
+}
+
+
+def chat_template(chat: Column, style: str | dict[str, str] = "inst") -> Column:
+    """Prompt text of array<struct<role, content>>: a leading system message goes into the first user turn, roles must alternate.
+    A style is a name of CHAT_STYLES, or start, user and assistant themselves (sources.tables.read_chat_style)."""
+    form = style if isinstance(style, dict) else CHAT_STYLES.get(style, CHAT_STYLES["sections"])
+
+    def around(role: str, body: Column) -> Column:
+        before, _, after = form[role].partition("{}")
+        return F.concat(F.lit(before), body, F.lit(after))
+
     system = F.when(F.get(chat, F.lit(0))["role"] == "system", F.get(chat, F.lit(0))["content"])
     turns = F.when(system.isNotNull(), F.slice(chat, 2, 1 << 30)).otherwise(chat)
     wrong = F.exists(F.transform(turns, lambda m, i: m["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")), lambda b: b)
 
     def turn(m: Column, i: Column) -> Column:
         body = strip(F.when((i == 0) & system.isNotNull(), F.concat(system, F.lit("\n\n"), m["content"])).otherwise(m["content"]))
-        if style == "inst":
-            return F.when(m["role"] == "user", F.concat(F.lit("[INST] "), body, F.lit(" [/INST]"))).otherwise(F.concat(body, F.lit("</s>")))
-        return F.when(m["role"] == "user", F.concat(F.lit("### User:\n"), body, F.lit("\n"))).otherwise(F.concat(F.lit("### Assistant:\n"), body, F.lit("\n")))
+        return F.when(m["role"] == "user", around("user", body)).otherwise(around("assistant", body))
 
-    text = F.concat(F.lit("<s>" if style == "inst" else ""), F.array_join(F.transform(turns, turn), ""))
+    text = F.concat(F.lit(form.get("start", "")), F.array_join(F.transform(turns, turn), ""))
     return F.when(wrong, F.raise_error(F.lit("conversation roles must alternate user/assistant"))).otherwise(text)

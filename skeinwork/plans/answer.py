@@ -50,22 +50,26 @@ def gated_answers(
     )
 
 
-def context_answers(questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024) -> DataFrame:
+def _chat(form: str, **slots: Column) -> Column:
+    system, user = prompts.FORMS[form]
+    said = ("user", T.fill(user, **slots))
+    return T.messages(("system", F.lit(system)), said) if system else T.messages(said)
+
+
+def context_answers(questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024, model: str = "") -> DataFrame:
     """Answers to questions (question_id, question, options map) with the context of snippets (question_id, rank, title, content), or without.
 
-    The context is cut to `budget` tokens; replies are single-spaced.
+    The context is cut to `budget` tokens; replies are single-spaced; the prompt's form goes by the model's name.
     """
     options = T.options_block(F.col("options"))
     if snippets is None:
-        user = T.fill(prompts.PLAIN, question=F.col("question"), options=options)
-        rows, chat = questions, T.messages(("system", F.lit(prompts.PLAIN_SYSTEM)), ("user", user))
+        rows, chat = questions, _chat(prompts.form_for(model, False), context=F.lit(""), question=F.col("question"), options=options)
     else:
         lists = snippets.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("snippets"))
         none = F.array().cast(lists.schema["snippets"].dataType)
         rows = questions.join(lists, "question_id", "left").withColumn("snippets", F.coalesce("snippets", none))
         context = T.truncate_tokens(F.array_join(T.context_lines(F.col("snippets")), "\n"), budget)
-        user = T.fill(prompts.CONTEXT, context=context, question=F.col("question"), options=options)
-        chat = T.messages(("system", F.lit(prompts.CONTEXT_SYSTEM)), ("user", user))
+        chat = _chat(prompts.form_for(model, True), context=context, question=F.col("question"), options=options)
     return rows.withColumn("answer", T.collapse_space(generate(chat)))
 
 

@@ -35,6 +35,42 @@ def read_raw_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """source_file, line_no (from 0), value: the lines of text files by their place; a file is read by one task."""
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "value"))
+
+
+def lines_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """Raw chunks to hits (source_file, line_no): the line at that place, parsed."""
+    record = F.from_json("value", RAW_CHUNK)
+    return hits.join(lines, ["source_file", "line_no"]).withColumn("record", record).drop("value").select("*", "record.*").drop("record")
+
+
+def read_encyclopedia(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, text of a local copy of an encyclopedia data set in Parquet; null texts are empty."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("id").cast("string").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def read_index(spark: SparkSession, path: str, chunks: DataFrame, identity: dict | None = None) -> DataFrame:
+    """Stored vectors with the metadata of their chunks; a vector without a chunk is an error when the row is read."""
+    from skeinwork.operators.fusion import lookup
+
+    return lookup(read_vectors(spark, path, identity), chunks, "chunk_id")
+
+
+def read_judged(spark: SparkSession, path: str) -> DataFrame:
+    """Samples for external judges: a JSON array of objects or JSON lines."""
+    return spark.read.schema(JUDGED).option("multiLine", "true").json(path)
+
+
+def read_chat_style(spark: SparkSession, path: str) -> dict[str, str]:
+    """A chat style from a small JSON file with start, user and assistant (see text.chat_template); indentation and line ends of
+    the file are left out of its strings, \\n in them stays."""
+    return {k: "".join(line.strip() for line in v.splitlines()) if "\n" in v.strip("\n") else v for k, v in read_json(spark, path).items()}
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(f"{path} is missing: write it with write_chunks() after sampling")
@@ -45,6 +81,18 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_chunk_files(df: DataFrame, path: str, existing: str = "skip") -> None:
+    """Chunks by source file, a folder each (column source_file). Files that are there already are skipped or overwritten,
+    the others stay as they are; a file without chunks makes no folder."""
+    spark = df.sparkSession
+    if existing not in ("skip", "overwrite"):
+        raise ValueError("existing must be 'skip' or 'overwrite'")
+    if existing == "skip" and exists(spark, path):
+        df = df.join(spark.read.json(path).select("source_file").distinct(), "source_file", "left_anti")
+    mode = {"skip": "append", "overwrite": "overwrite"}[existing]
+    df.write.partitionBy("source_file").option("partitionOverwriteMode", "dynamic").mode(mode).json(path)
+
+
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """path, size of the *.jsonl files, without reading them; none is an error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select("path", F.col("length").alias("size"))
@@ -70,6 +118,24 @@ def write_batches(df: DataFrame, path: str, per_file: int = 10_000) -> None:
     df.write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)
 
 
+def write_numbered(df: DataFrame, path: str, order: str, per_file: int = 10_000, digits: int = 4) -> None:
+    """JSON lines in batches of per_file rows by the numeric column `order`, in folders with zero-padded numbers; the last may be short."""
+    from skeinwork.operators.chunking import batch_number
+
+    numbered = batch_number(df, order, per_file)
+    numbered.withColumn("batch", F.lpad(F.col("batch").cast("string"), digits, "0")).repartition("batch").write.partitionBy("batch").mode("overwrite").json(path)
+
+
+def write_results(df: DataFrame, path: str, run: str, key: str = "question_id") -> None:
+    """Results of a run (snippets, replies), a row a question; questions that the run has already stay as they are."""
+    spark = df.sparkSession
+    rows = df.withColumn("run", F.lit(run))
+    if exists(spark, path):
+        had = spark.read.parquet(path).filter(F.col("run") == run).select(key)
+        rows = rows.join(had, key, "left_anti")
+    rows.write.partitionBy("run").mode("append").parquet(path)
+
+
 def write_missing(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key is not there yet (resumable output)."""
     spark = df.sparkSession
