@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -40,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends here, so work is not
     repeated and a lost executor costs only its own tasks. Shuffle files of the write go when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skeinwork/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -48,20 +50,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     got = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(got)] = (got, path)
+    got._staged_at = path
     return got
 
 
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
+_FOLDERS: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark).rstrip('/')}/skeinwork/{context.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables whose readers have all been written."""
     for df in staged:
-        _, path = _PATHS.pop(id(df))
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        context = df.sparkSession.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Emptied before an operator fills a task's memory: what operators keep in a worker process from task to task.

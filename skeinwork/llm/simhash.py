@@ -6,15 +6,14 @@ linked; classes are the connected components.
 
 Search, on distinct fingerprints only:
 
-1. Table. The references are 64 fixed fingerprints in four families; a family's 16 are the Walsh
-   codewords on one quarter of the bits, zero elsewhere. A fingerprint's row holds its Hamming
-   distance to every reference. Outside its quarter a family's references agree, so the distances
-   less that to the family's first one depend on that quarter alone (``_signatures``).
-2. Cells. Two bits can touch two quarters at most, so linked fingerprints agree in the distance
-   differences of two families at least; each fingerprint goes to the six cells its family pairs
-   name. A cell with one member is dropped at once; one with over CELL members is split by the same
-   argument on the other 32 bits (one of three parts must agree), which leaves 2**21 members at most.
-3. Discard and verify. In a cell, pairs whose table rows differ by over 2 in any coordinate are
+1. Table. A fingerprint's row holds its Hamming distance to every one of 68 fixed reference fingerprints: for each quarter
+   of the bits the 16 Walsh codewords there, zero elsewhere, and the quarter's own mask.
+2. Cells. The distance to a quarter's mask less that to the zero fingerprint is a coordinate from 0 to 16 (after scaling); two bits
+   change the four coordinates by 2 in sum at most. So a cell is a point of the four coordinates; a fingerprint goes to its own
+   cell, its home, and to one of every two opposite cells within a sum of 2 around: COPIES = 21 rows in all, whatever the input. Linked
+   fingerprints meet in the home of one of them. There are 17**4 cells; one with over CELL members is split by bits (one of three
+   parts of the 64 must agree).
+3. Discard and verify. In a cell, pairs of a home member and any other whose table rows differ by over 2 in any coordinate are
    discarded (the triangle inequality allows no more), the others are verified by their real
    distance. A cell yields a link from each member to the least of its class there, never all pairs.
 
@@ -41,6 +40,7 @@ columns are ignored. Whole texts are used, hashed in runs of RUN shingles to bou
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm._shared import discard, stage
 
 RADIUS = 2
-CELL = 20_000
+CELL = 8_000
 RUN = 1 << 16
 SMALL = 1024
 #: Sets are similar from this overlap on (numerator, denominator).
@@ -145,39 +145,52 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _walsh() -> np.ndarray:
-    """The 16 Walsh codewords of 16 bits, as integers; the first is zero."""
+QUARTERS = [0xFFFF << 16 * q for q in range(4)]
+
+
+def references() -> np.ndarray:
+    """All 68 references: the quarters' masks, then the Walsh codewords of each quarter."""
     i = np.arange(16)
     bits = np.array([[bin(j & k).count("1") & 1 for k in i] for j in i])
-    return (bits << i).sum(axis=1).astype(np.uint64)
+    walsh = (bits << i).sum(axis=1).astype(np.uint64)
+    return np.concatenate([np.array(QUARTERS, np.uint64), *(walsh << np.uint64(16 * q) for q in range(4))])
 
 
-def references() -> np.ndarray:
-    """All 64 references, by family."""
-    return np.concatenate([_walsh() << np.uint64(16 * f) for f in range(4)])
+def distances(u: np.ndarray) -> np.ndarray:
+    """The table: a row for each fingerprint, a column for each reference."""
+    return np.stack([np.bitwise_count(u ^ r).astype(np.int8) for r in references()], axis=1)
 
 
-def _signatures() -> np.ndarray:
-    """For each content of a quarter, a number for its distances to the family's references less that to the first."""
-    x = np.arange(1 << 16, dtype=np.uint64)
-    d = np.stack([np.bitwise_count(x ^ w).astype(np.int16) for w in _walsh()], axis=1)
-    return np.unique(d - d[:, :1], axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
+def coordinates(u: np.ndarray) -> np.ndarray:
+    """For each quarter half of 16 and the distance to zero less that to its mask: the ones in it."""
+    zero = np.bitwise_count(u).astype(np.int64)
+    return np.stack([(16 + zero - np.bitwise_count(u ^ np.uint64(q))) // 2 for q in QUARTERS], axis=1)
 
 
-PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+def _steps() -> np.ndarray:
+    """From a home to the cells within a sum of RADIUS around, one of every two opposite ones; the home itself first."""
+    span = range(-RADIUS, RADIUS + 1)
+    ball = [d for d in itertools.product(span, repeat=4) if sum(map(abs, d)) <= RADIUS]
+    return np.array(sorted([d for d in ball if d >= (0, 0, 0, 0)], key=lambda d: (sum(map(abs, d)), d)))
+
+
+COPIES = len(_steps())
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
+    """cell, home, fp: COPIES rows at most for each fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = _signatures()
+        scale = 17 ** np.arange(4)
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            u = fp.view(np.uint64)
-            q = [sig[(u >> np.uint64(16 * f)) & np.uint64(0xFFFF)] for f in range(4)]
-            cell = np.concatenate([(p << 32) | (q[i] << 16) | q[j] for p, (i, j) in enumerate(PAIRS)])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.tile(fp, len(PAIRS)))], names=["cell", "fp"])
+            at = coordinates(fp.view(np.uint64))
+            for k, step in enumerate(_steps()):
+                to = at + step
+                real = ((to >= 0) & (to <= 16)).all(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((to @ scale)[real]), pa.array(np.full(real.sum(), k == 0)), pa.array(fp[real])], names=["cell", "home", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "cell long, fp long")
+    return nodes.select("fp").mapInArrow(run, "cell long, home boolean, fp long")
 
 
 class _Sets:
@@ -196,9 +209,9 @@ class _Sets:
         self.up[max(a, b)] = min(a, b)
 
 
-def _link(u: np.ndarray, at: np.ndarray, sets: _Sets, table: np.ndarray) -> None:
-    """Join the members `at` of u that differ in at most RADIUS bits."""
-    if len(at) < 2:
+def _link(u: np.ndarray, at: np.ndarray, home: np.ndarray, sets: _Sets, table: np.ndarray) -> None:
+    """Join the members `at` of u that differ in at most RADIUS bits, one of them at home here."""
+    if len(at) < 2 or not home[at].any():
         return
     if len(at) > SMALL:
         varying = np.bitwise_or.reduce(u[at] ^ u[at[0]])
@@ -208,66 +221,80 @@ def _link(u: np.ndarray, at: np.ndarray, sets: _Sets, table: np.ndarray) -> None
             v = u[at] & mask
             order = np.argsort(v, kind="stable")
             for group in np.split(at[order], np.flatnonzero(np.diff(v[order])) + 1):
-                _link(u, group, sets, table)
+                _link(u, group, home, sets, table)
         return
-    rest = at
-    while len(rest) > 1:  # grow one class at a time; what joins it is not compared again as a start
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            near = np.abs(table[rest] - table[i]).max(axis=1) <= RADIUS
-            near[near] = np.bitwise_count(u[rest[near]] ^ u[i]) <= RADIUS
-            for j in rest[near]:
-                sets.join(int(i), int(j))
-            front += list(rest[near])
-            rest = rest[~near]
-
-
-def link_members(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, least member of its class) of one cell, in signed longs."""
-    s = np.unique(fps)
+    own = at[home[at]]
+    near = np.ones((len(own), len(at)), bool)
+    for column in range(4):  # a first look at a few columns
+        near &= np.abs(table[own, column][:, None] - table[at, column][None, :]) <= RADIUS
+    i, j = np.nonzero(near)
+    i, j = own[i], at[j]
+    i, j = i[i != j], j[i != j]
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        kept = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= RADIUS
+        x, y = x[kept], y[kept]
+        linked = np.bitwise_count(u[x] ^ u[y]) <= RADIUS
+        for a, b in zip(x[linked].tolist(), y[linked].tolist()):
+            sets.join(a, b)
+
+
+def link_members(fps: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, least member of its class) of one cell, in signed longs; `home` tells whose home it is (all, if not given)."""
+    s, first = np.unique(fps, return_index=True)
     u = s.view(np.uint64)
-    table = np.stack([np.bitwise_count(u ^ r).astype(np.int8) for r in references()], axis=1)
     sets = _Sets(len(u))
-    _link(u, np.arange(len(u)), sets, table)
+    _link(u, np.arange(len(u)), np.ones(len(u), bool) if home is None else home[first], sets, distances(u))
     root = np.array([sets.root(i) for i in range(len(u))])
     moved = root != np.arange(len(u))
     return s[moved], s[root[moved]]
 
 
 def _links(cells: DataFrame) -> DataFrame:
-    """Links found in the cells that have two members or more."""
+    """Links found in the cells (cell, part, home, fp); a task has its cells one after the other."""
+
+    def found(held: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+        cell, part, home, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
+        border = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+        ends = np.append(border, len(cell)) if last else border  # the last cell may go on in the next batch
+        u, v, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for end in ends.tolist():
+            if end - at > 1:
+                a, b = link_members(fp[at:end], home[at:end])
+                u.append(a)
+                v.append(b)
+            at = end
+        rest = pa.RecordBatch.from_arrays([pa.array(x[at:]) for x in (cell, part, home, fp)], names=["cell", "part", "home", "fp"])
+        return [rest] if rest.num_rows else [], pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    def run(key, pdf):  # a cell has 2**21 members at most
-        import pandas as pd
-
-        a, b = link_members(pdf["fp"].to_numpy())
-        return pd.DataFrame({"u": a, "v": b})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) > RUN:
+                held, links = found(held, False)
+                yield links
+        if held:
+            yield found(held, True)[1]
 
-    return cells.groupBy("cell", "part").applyInPandas(run, "u long, v long")
+    ordered = cells.select("cell", "part", "home", "fp").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return ordered.mapInArrow(run, "u long, v long")
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints, enough to connect every class."""
-    cells = stage(_cells(nodes), "simhash-cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    full = cells.join(sizes, "cell")
-    # within a cell two quarters are fixed: the other 32 bits lie in three parts, one of which must agree
-    mask = F.element_at(F.array(*(F.lit(_free_mask(p)) for p in range(len(PAIRS)))), (F.shiftright("cell", 32) + 1).cast("int"))
-    thirds = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(mask).bitwiseAND(F.lit(_third(k))).alias("v")) for k in range(3)))
-    fine = full.filter(F.col("n") <= CELL).select("cell", F.lit(0).cast("long").alias("part"), "fp")
-    big = full.filter(F.col("n") > CELL).select("cell", F.explode(thirds).alias("t"), "fp").select("cell", F.xxhash64("t.k", "t.v").alias("part"), "fp")
-    return _links(fine.unionByName(big)).distinct()
+    cells = _cells(nodes)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("h")).filter("n > 1 and h > 0").select("cell", "n")
+    full = cells.join(F.broadcast(sizes), "cell")  # 17**4 rows at most
+    thirds = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_third(k))).alias("v")) for k in range(3)))
+    parts = F.when(F.col("n") <= CELL, F.array(F.lit(0).cast("long"))).otherwise(F.transform(thirds, lambda t: F.xxhash64(t["k"], t["v"])))
+    return _links(full.select("cell", F.explode(parts).alias("part"), "home", "fp")).distinct()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _free_mask(pair: int) -> int:
-    return _signed(sum(0xFFFF << 16 * f for f in range(4) if f not in PAIRS[pair]))
-
-
 def _third(k: int) -> int:
     return _signed(sum(1 << b for b in range(64) if b % 3 == k))
 
@@ -436,8 +463,9 @@ def missed_links(nodes: DataFrame, texts: DataFrame, roots: DataFrame, n: int) -
     # every two blocks meet: part i * k + j holds blocks i and j, and block i alone if i = j
     to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least("block", j) * F.col("k") + F.greatest("block", j))
     blocks = many.select("cell", F.explode(to).alias("part"), "block", "node", "fp", "digest", "root")
-    links = stage(close.unionByName(_compared(blocks, texts, n)), "simhash-links")
-    discard(rooted, met, full)
+    crowded = _compared(blocks, texts, n)
+    links = stage(close.unionByName(crowded), "simhash-links")
+    discard(rooted, met, full, close, crowded)
     return links
 
 
@@ -452,6 +480,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before, labels = labels, stage(lower.join(jump, "root").select("node", "old", F.col("next").alias("root")), f"{name}-labels")
         discard(before, lower)
         if labels.filter("root <> old").limit(1).count() == 0:
+            discard(both)
             return labels.select("node", "root")
 
 
@@ -467,10 +496,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         sets = stage(docs.groupBy("node", "fp").agg(F.min("digest").alias("digest"), *parts), "simhash-sets")
         large, docs = docs, stage(docs.select(key, "fp"), "simhash-docs")
         discard(large)
-        links = stage(links.unionByName(similar_links(sets, texts, n)), "simhash-links")
-        links = links.unionByName(missed_links(sets, texts, components(links, "simhash"), n))
-        discard(sets)
-    roots = components(links, "simhash")
+        cheap = similar_links(sets, texts, n)
+        links = stage(links.unionByName(cheap), "simhash-links")
+        others = missed_links(sets, texts, components(links, "simhash"), n)
+        roots = components(links.unionByName(others), "simhash")
+        discard(sets, cheap, links, others)
+    else:
+        roots = components(links, "simhash")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = rooted.join(lowest, "root").select("fp", "class_id")

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import let, maybe_broadcast, stage
+from skeinwork.llm._shared import discard, let, maybe_broadcast, stage
 
 
 @dataclass(frozen=True)
@@ -133,6 +133,7 @@ def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules: tu
         ),
         "urls-scored",
     )
+    discard(names, grams, ratios)
     unseen = scored.filter(~F.col("fits") & F.col("ruled").isNotNull())
     got = unseen.groupBy("ruled").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s"))
     fit = {r["ruled"]: (r["m"], r["s"]) for r in got.collect()}  # two rows at most

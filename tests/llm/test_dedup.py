@@ -189,6 +189,25 @@ def test_different_texts_of_one_id_stay(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, a), (1, b), (None, a), (4, None)]))
 
 
+def test_long_texts_have_the_plain_fingerprint():
+    text = prose(random.Random(2), simhash.RUN + 500)  # noqa: F405
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_linked_fingerprints_meet_at_a_home():
+    """Every pair within two bits meets in a cell that is home to one of them, and copies are bounded."""
+    rng = np.random.default_rng(4)
+    steps = {tuple(s) for s in simhash._steps().tolist()}
+    assert simhash.COPIES == 21
+    x = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 64, 2000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 2000, dtype=np.uint64))
+    a, b = simhash.coordinates(x), simhash.coordinates(y)
+    assert (a.sum(axis=1) == np.bitwise_count(x)).all()
+    for p, q in zip(a.tolist(), b.tolist()):
+        d = tuple(j - i for i, j in zip(p, q))
+        assert d in steps or tuple(-k for k in d) in steps
+
+
 def test_pivot_table_never_discards_a_link():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
