@@ -1,8 +1,9 @@
 """A corpus preparation pipeline out of the training-data operators.
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and gives the next stage's docs with
-the columns of `documents`, the last one the packed pieces. Nulls, repeated rows and empty tables are
-handled as the operators say; n_chars follows the text where a stage changes it.
+the columns of `documents`, the last one the packed pieces. Nulls, repeated rows, ties (the least doc_id stays),
+very long texts and empty tables are handled as the operators say; n_chars follows the text where a stage
+changes it; further columns, whatever their names, pass through up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm import decontam, fmdedup
-from skeinwork.llm._shared import stage, table
+from skeinwork.llm._shared import discard, stage, table
 from skeinwork.llm.packing import pack_documents
 from skeinwork.llm.quality import judge
 from skeinwork.llm.queries import tokenizer_path
@@ -57,6 +58,9 @@ ORACLE_SQL = None  # fingerprint classes, edit distance and token ids are beyond
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    spent = []
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*spent)
+        spent = [docs]
     return docs
