@@ -222,18 +222,22 @@ def _judge(found: DataFrame, spec: Spec, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, most = 0, SHARD * spec.symbol_bytes
         for b in batches:
             held.append(b)
             size += b.column(8).nbytes
-            if size > SHARD * spec.symbol_bytes:
+            while size > most:
                 t = pa.Table.from_batches(held)
                 keys = t["key"].to_numpy()
-                whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-                if whole:
-                    yield from judged(t.slice(0, whole))
-                    held = t.slice(whole).to_batches()
-                    size = sum(h.column(8).slice(0).nbytes for h in held)
+                ends = np.cumsum(np.array([len(d) for d in t["data"].to_pylist()]))
+                # whole keys up to about `most` bytes, one key at least; the last key may go on in the next batch
+                borders = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+                if not len(borders):
+                    break
+                end = int(borders[max(np.searchsorted(ends[borders - 1], most, side="right") - 1, 0)])
+                yield from judged(t.slice(0, end))
+                held = t.slice(end).to_batches()
+                size = int(ends[-1] - ends[end - 1])
         if held and sum(h.num_rows for h in held):
             yield from judged(pa.Table.from_batches(held))
 

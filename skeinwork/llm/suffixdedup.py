@@ -157,7 +157,10 @@ def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times:
         # neighbours with equal hashes are compared by their run and the bytes at both ends
         twin = np.flatnonzero(h[1:] == h[:-1])
         ends = np.where(np.arange(rest) < t, np.arange(rest), whole * block + np.arange(rest))
-        equal = (r[twin] == r[twin + 1]) & (raw[a[twin, None] + ends] == raw[a[twin + 1, None] + ends]).all(axis=1)
+        equal = r[twin] == r[twin + 1]
+        for k in range(0, len(twin), 1 << 14):
+            some = twin[k : k + (1 << 14)]
+            equal[k : k + (1 << 14)] &= (raw[a[some, None] + ends] == raw[a[some + 1, None] + ends]).all(axis=1)
         if not equal.all():  # different bytes of one hash: all windows of this t by their bytes
             text = np.ascontiguousarray(np.concatenate([r.astype(np.int64)[:, None].view(np.uint8), raw[a[:, None] + ends]], axis=1))
             _, back, n = np.unique(text.view(f"V{text.shape[1]}").reshape(-1), return_inverse=True, return_counts=True)
