@@ -35,7 +35,7 @@ from skeinwork.llm._shared import discard, release, stage
 
 HOT = 2_000
 SHARD = 400_000
-PART = 1 << 21  # symbols of a text handled at a time
+PART = 1 << 20  # symbols of a text handled at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _POWERS: list[np.ndarray] = []
@@ -202,11 +202,11 @@ Index = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndar
 
 
 def _tasks(found: DataFrame, spec: Spec) -> int:
-    """A shard a task, but no more tasks than the session is set up for."""
+    """Four shards a task, but no more tasks than the session is set up for."""
     spark = found.sparkSession
     size = found.agg(F.sum(F.length("data"))).first()[0] or 0
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return max(1, min(size // (SHARD * spec.symbol_bytes), most))
+    return max(1, min(size // (4 * SHARD * spec.symbol_bytes), most))
 
 
 def _judge(found: DataFrame, spec: Spec, index: Index) -> DataFrame:

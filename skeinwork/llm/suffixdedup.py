@@ -170,7 +170,7 @@ def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times:
     return [repeated[b : b + w] for b, w in zip(base, windows)]
 
 
-SPEC = Spec("suffix", WIDTH, GRAM, _symbols, _cut, 8)
+SPEC = Spec("suffix", WIDTH, GRAM, _symbols, _cut, 4)
 
 
 def _spans(masks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
