@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import maybe_broadcast
+from skeinwork.llm._shared import discard, maybe_broadcast, stage
 
 UNKNOWN = "und"
 TABLE = 1 << 20
@@ -41,7 +41,7 @@ class Bounds:
 
     per_class: int = 300
     landmarks: int = 48  # of each language
-    sample: int = 60_000
+    sample: int = 20_000
     marks: int = 4096
     max_chars: int = 20_000
     vocabulary: int = 8192
@@ -111,7 +111,7 @@ def fit_texts(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model
 def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) -> Model | None:
     """Fit on a sample of the distinct texts of each language, chosen by a hash of the text alone."""
     rows = training.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull() & (F.length("t") <= bounds.max_chars))
-    counts = rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count()  # a row a language, of distinct texts
+    counts = stage(rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count(), "langid-counts")  # a row a language, of distinct texts
     n = counts.count()
     if not n:
         return None
@@ -124,8 +124,9 @@ def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) ->
     ordered = Window.partitionBy("l").orderBy("p", "t")
     taken = some.select("l", "t", "p").distinct().withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= bounds.per_class)
     samples: dict[str, list[str]] = {}
-    for r in taken.orderBy("p", "l", "t").toLocalIterator():
+    for r in sorted(taken.collect(), key=lambda r: (r["p"], r["l"], r["t"])):  # about `sample` rows at most
         samples.setdefault(r["l"], []).append(r["t"])
+    discard(counts)
     return fit_texts(samples, bounds)
 
 
