@@ -17,29 +17,35 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def context_precision(retrieved: Column, references: Column, threshold: float = 0.5) -> Column:
-    """Mean precision at the ranks of relevant contexts; relevant: close to a reference. 0 if none is."""
-    hits = F.transform(retrieved, lambda c: F.exists(references, lambda r: similarity(c, r) >= threshold).cast("int"))
+def context_scores(retrieved: Column, references: Column, threshold: float = 0.5) -> Column:
+    """struct<precision, recall> of contexts that are close to a reference, each pair compared once.
+
+    precision: mean precision at the ranks of close contexts, 0 if none is; recall: share of references
+    close to a retrieved context, 0 without references.
+    """
+    met = F.transform(retrieved, lambda c: F.transform(references, lambda r: similarity(c, r) >= threshold))
 
     def step(acc: Column, hit: Column) -> Column:
         n, found = acc["n"] + 1, acc["found"] + hit
         return F.struct(n.alias("n"), found.alias("found"), (acc["sum"] + hit * found / n).alias("sum"))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("found"), F.lit(0.0).alias("sum"))
-    return F.aggregate(hits, start, step, lambda acc: F.when(acc["found"] > 0, acc["sum"] / acc["found"]).otherwise(0.0))
 
+    def both(m: Column) -> Column:
+        hits = F.transform(m, lambda row: F.exists(row, lambda x: x).cast("int"))
+        precision = F.aggregate(hits, start, step, lambda acc: F.when(acc["found"] > 0, acc["sum"] / acc["found"]).otherwise(0.0))
+        covered = F.size(F.filter(references, lambda _, i: F.exists(m, lambda row: F.get(row, i))))
+        recall = F.when(F.size(references) > 0, covered / F.greatest(F.size(references), F.lit(1))).otherwise(0.0)
+        return F.struct(precision.alias("precision"), recall.alias("recall"))
 
-def context_recall(retrieved: Column, references: Column, threshold: float = 0.5) -> Column:
-    """Share of references close to a retrieved context; 0 without references."""
-    met = F.size(F.filter(references, lambda r: F.exists(retrieved, lambda c: similarity(c, r) >= threshold)))
-    return F.when(F.size(references) > 0, met / F.greatest(F.size(references), F.lit(1))).otherwise(0.0)
+    return F.element_at(F.transform(F.array(met), both), 1)
 
 
 def score(samples: DataFrame, judges: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
     """Samples (see sources.tables.JUDGED) with a column for each metric. Samples without contexts score 0
     everywhere; a judge gives null where it fails, and such a sample's scores are all null."""
-    pair = F.col("retrieved_contexts"), F.col("reference_contexts")
-    scored = samples.withColumns({"context_precision": context_precision(*pair), "context_recall": context_recall(*pair)})
+    both = samples.withColumn("__both", context_scores(F.col("retrieved_contexts"), F.col("reference_contexts")))
+    scored = both.withColumns({"context_precision": F.col("__both.precision"), "context_recall": F.col("__both.recall")})
     for name, judge in (judges or {}).items():
         scored = scored.withColumn(name, judge(scored))
     names = ["context_precision", "context_recall", *(judges or {})]
