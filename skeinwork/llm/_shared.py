@@ -101,6 +101,14 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small(df, row_bytes, limit) else df
 
 
+def spare_name(columns: list[str], base: str) -> str:
+    """A name for a helper column that no column has, in any case of letters."""
+    taken, name = {c.lower() for c in columns}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a lambda variable, so that it is computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

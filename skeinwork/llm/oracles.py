@@ -91,4 +91,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= {rules.max_lost_share} * n_words AS kept FROM o"""
 
 
-ORACLES = {"op2_url_filter": _op2(), "op3_chat_format": _op3(), "op8_substring_dedup": _op8(), "op10_quality_rules": _op10()}
+def _op11(shortest: int = 7, least: int = 2, times: int = 10, every: int = 31) -> str:
+    table = "SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(0, 256) u(i)"
+    digest = "xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1]), 4294967295), 4294967295)"
+    return rf"""
+WITH RECURSIVE crc AS ({table}),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= {shortest} GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM d),
+h AS (SELECT run, n, {digest} AS h FROM b, crc),
+s AS (SELECT CASE WHEN h % {every} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= {shortest} GROUP BY word HAVING sum(n) >= {least}),
+v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM w, unnest(range(1, length(word) + 1)) t(i)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.v = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.v = w.word),
+g AS (SELECT word, count(*) AS n_near, min((-m, near)) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= {times} * n THEN best[2] END AS form, CASE WHEN -best[1] >= {times} * n THEN -best[1] END AS form_n
+  FROM w LEFT JOIN g USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL"""
+
+
+ORACLES = {"op11_spelling_variants": _op11(), "op2_url_filter": _op2(), "op3_chat_format": _op3(), "op8_substring_dedup": _op8(), "op10_quality_rules": _op10()}

@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, op1 to op10."""
+"""The registered queries of the training-data operators, op1 to op12."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm._shared import table
 from skeinwork.llm.oracles import ORACLES
 from skeinwork.llm.chat import format_chats, loss_texts, read_turns
-from skeinwork.llm import decontam, fmdedup, htmltext, langid, suffixdedup
+from skeinwork.llm import decontam, fmdedup, htmltext, langid, pieces, spelling, suffixdedup
 from skeinwork.llm.packing import pack_documents
 from skeinwork.llm.quality import judge
 from skeinwork.llm.simhash import fp_hex, near_duplicates
@@ -90,6 +90,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op5_decontaminate, op6_html_text, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", spread=True))
+
+
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    encoded = pieces.encode(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), model).select("doc_id", "ids")
+    return pieces.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op5_decontaminate, op6_html_text, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules, op11_spelling_variants, op12_piece_encoding)}
 
 __all__ = ["ORACLES", "QUERIES"]
