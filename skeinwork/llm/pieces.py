@@ -21,9 +21,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,15 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
 #: Parts of up to CACHED_CHARS characters are kept, CACHED_PARTS of them at most.
-CACHED_CHARS, CACHED_PARTS = 48, 400_000
+CACHED_CHARS, CACHED_PARTS = 48, 500_000
+
+MARKS = ".,;:!?)\"'"
+
+#: Less than any score.
+NONE = float("-inf")
+
+#: A task gives back its pieces when they are of so many characters of text.
+GIVEN_CHARS = 1 << 21
 
 RUN_CHARS = 1 << 20
 
@@ -123,6 +131,24 @@ class CharMap:
             at += chars
 
 
+class _Parts(dict):
+    """Parts and their pieces, as pairs (id, characters) of four-byte numbers; made when first asked for."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        at = len(part.rstrip(MARKS))  # a word and the marks behind it, if no merge crosses
+        split = 0 < at < len(part) and part[at - 1 : at + 1] not in self.model.joined
+        found = self[part[:at]] + self[part[at:]] if split else self.model.merge(part).tobytes()
+        if len(part) <= CACHED_CHARS:
+            if len(self) >= CACHED_PARTS:
+                self.clear()
+            self[part] = found
+        return found
+
+
 @dataclass
 class PieceModel:
     ids: dict[str, int]  # of normal pieces
@@ -137,7 +163,11 @@ class PieceModel:
     squeeze: bool
     escape: bool
     parts: re.Pattern | None = None
-    _seen: dict[str, tuple[list[int], list[int]]] = field(default_factory=dict)
+    spaced: bool = True
+    breaks: str = ""
+    joined: set[str] = field(default_factory=set)  # neighbours inside any piece
+    _seen: _Parts | None = None
+    _shown: list[bytes] = field(default_factory=list)
 
     @classmethod
     def parse(cls, data: bytes) -> PieceModel:
@@ -165,7 +195,12 @@ class PieceModel:
         )
         known = "".join(sorted({c for n in model.ids for c in n} - {SPACE}))
         inside = f"[{re.escape(known)}]" if known else r"(?!)"
-        if any(a != SPACE and b == SPACE for n in model.ids for a, b in zip(n, n[1:])):
+        model.spaced = not any(a != SPACE and b == SPACE for n in model.ids for a, b in zip(n, n[1:]))
+        model.breaks = "".join({"\n", "\t", "\r"} - set(known))
+        model.joined = {n[i : i + 2] for n in model.ids for i in range(len(n) - 1)}
+        model._seen = _Parts(model)
+        model._shown = [_shown(n, k, model.unknown_text) for n, k in zip(names, kinds)]
+        if not model.spaced:
             model.parts = re.compile(f"(?:{inside}|{SPACE})+|(?:(?!{inside}|{SPACE}).)+", re.DOTALL)
         else:
             model.parts = re.compile(f"{SPACE}*{inside}+|{SPACE}+|[^{SPACE}{re.escape(known)}]+", re.DOTALL)
@@ -203,8 +238,38 @@ class PieceModel:
             at = places.pop()
         return "".join(out), np.array([*places, at], np.int64)
 
-    def merge(self, part: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised part, and how many of its characters each takes (the last byte of a character takes it)."""
+    def merge(self, part: str) -> array:
+        """Id and number of characters of each piece of a normalised part, in turn (the last byte of a character takes it)."""
+        found = array("i")
+        for s in self._merged_long(part) if len(part) > CACHED_CHARS else self._merged(part):
+            if (known := self.ids.get(s)) is not None:
+                found.append(known)
+                found.append(len(s))
+            elif self.byte_ids:
+                for c in s.encode("utf-8"):
+                    found.append(self.byte_ids[c])
+                    found.append(0)
+                found[-1] = 1
+            else:
+                found.extend((self.unknown, 1))
+        return found
+
+    def _merged(self, part: str) -> list[str]:
+        """The symbols that are left of a short part: the best pair merges, again and again."""
+        symbols, score = list(part), self.scores.get
+        worth = [score(part[i : i + 2], NONE) for i in range(len(part) - 1)]
+        while worth and (best := max(worth)) > NONE:
+            i = worth.index(best)
+            symbols[i] = made = symbols[i] + symbols.pop(i + 1)
+            del worth[i]
+            if i:
+                worth[i - 1] = score(symbols[i - 1] + made, NONE)
+            if i < len(worth):
+                worth[i] = score(made + symbols[i + 1], NONE)
+        return symbols
+
+    def _merged_long(self, part: str) -> list[str]:
+        """The same of a part of any length, with a heap."""
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         symbols, heap = list(part), []
 
@@ -225,39 +290,24 @@ class PieceModel:
                 left[right[b]] = a
             offer(left[a], a)
             offer(a, right[a])
-        ids, sizes = [], []
-        for s in filter(None, symbols):
-            if (known := self.ids.get(s)) is not None:
-                ids.append(known)
-                sizes.append(len(s))
-            elif self.byte_ids:
-                codes = s.encode("utf-8")
-                ids.extend(self.byte_ids[c] for c in codes)
-                sizes.extend([0] * (len(codes) - 1) + [1])
-            else:
-                ids.append(self.unknown)
-                sizes.append(1)
-        return ids, sizes
-
-    def _part(self, part: str) -> tuple[list[int], list[int]]:
-        found = self._seen.get(part)
-        if found is None:
-            found = self.merge(part)
-            if len(part) <= CACHED_CHARS:
-                if len(self._seen) >= CACHED_PARTS:
-                    self._seen.clear()
-                self._seen[part] = found
-        return found
+        return [s for s in symbols if s]
+
+    def _cut(self, run: str) -> list[str]:
+        """The run in parts that no merge crosses."""
+        if not self.spaced or "\0" in run:
+            return self.parts.findall(run)
+        cut = run.replace(SPACE, f"\0{SPACE}")
+        while f"{SPACE}\0" in cut:
+            cut = cut.replace(f"{SPACE}\0", SPACE)
+        for c in self.breaks:
+            cut = cut.replace(c, f"\0{c}\0")
+        return cut.split("\0")
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first byte and the end of each piece in the source."""
         normal, places = self.normalise(text)
-        ids, sizes = [], []
-        for run in _runs(normal):
-            found = [self._part(p) for p in self.parts.findall(run)]
-            ids.append(np.fromiter(chain.from_iterable(f[0] for f in found), np.int32))
-            sizes.append(np.fromiter(chain.from_iterable(f[1] for f in found), np.int64))
-        ids, sizes = np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        pairs = np.frombuffer(b"".join([b"".join(map(self._seen.__getitem__, self._cut(run))) for run in _runs(normal)]), np.int32).reshape(-1, 2)
+        ids, sizes = pairs[:, 0], pairs[:, 1].astype(np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         if not self.byte_ids and len(ids):  # neighbouring unknown characters are one piece
@@ -267,6 +317,16 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement characters, one each."""
+        kinds = [self.kinds[i] for i in ids[:1]]
+        if kinds == [NORMAL] and not self.squeeze:
+            shown = list(map(self._shown.__getitem__, ids.tolist()))
+            if self.prefix and self.names[ids[0]].startswith(SPACE):
+                shown[0] = shown[0][1:]
+            if shown[0]:  # else the next piece begins the text
+                try:
+                    return b"".join(shown).decode("utf-8")
+                except UnicodeDecodeError:
+                    pass
         out, held, first = [], bytearray(), True
 
         def flush() -> None:
@@ -291,6 +351,13 @@ class PieceModel:
         return "".join(out)
 
 
+def _shown(name: str, kind: int, unknown: str) -> bytes:
+    """What a piece adds to a decoded text; one that adds nothing but parts bytes is no UTF-8, so such texts are read piece by piece."""
+    if kind == BYTE:
+        return bytes([int(name[3:5], 16)])
+    return {NORMAL: name.replace(SPACE, " "), UNKNOWN: unknown}[kind].encode("utf-8") if kind in (NORMAL, UNKNOWN) else b"\xff"
+
+
 def _runs(text: str) -> Iterator[str]:
     """The text in runs that begin at a run of space marks, or all at once where there is none."""
     at = 0
@@ -332,22 +399,33 @@ def _model(data: bytes) -> PieceModel:
     return _MODELS[data]
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows], dtype=np.int32)))
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of about GIVEN_CHARS characters; nulls are empty."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size >= GIVEN_CHARS:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """Append ids, starts and ends (arrays; bytes of the source text) to every row. `model` is the content of the file."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # the file, whatever the input
 
-    @F.arrow_udf("struct<ids:array<int>,starts:array<long>,ends:array<long>>")
+    @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def pieces(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = _model(shared.value)
-        for texts in parts:
-            got = [m.encode(t.as_py() or "") for t in texts]
-            columns = [_lists([g[k] for g in got], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, ["ids", "starts", "ends"])
+        for some in (texts for part in parts for texts in _slices(part)):
+            got = [m.encode(t) for t in some]
+            yield pa.StructArray.from_arrays([_lists([g[k] for g in got]) for k in range(3)], ["ids", "starts", "ends"])
 
     made, name = ("ids", "starts", "ends"), spare_name(df.columns, "pieces")
     rows = df.withColumn(name, pieces(F.col(f"`{text}`")))
