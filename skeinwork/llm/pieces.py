@@ -317,6 +317,7 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement characters, one each."""
+        ids = np.asarray(ids, np.int64)
         kinds = [self.kinds[i] for i in ids[:1]]
         if kinds == [NORMAL] and not self.squeeze:
             shown = list(map(self._shown.__getitem__, ids.tolist()))
