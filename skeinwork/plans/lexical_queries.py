@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
 from skeinwork.operators import evaluate, fusion, lexical
 from skeinwork.plans.registry import query, table
-from skeinwork.sources import tables
-from skeinwork.sources.scratch import scratch_dir
+from skeinwork.sources import scratch
 
 _TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _BM25 = f"""
@@ -35,12 +32,10 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The documents' stored index, built if there is none of their present state in the session's shared folder."""
-    identity = tables.state(spark, f"{sf_dir}/documents.parquet")
-    path = f"{scratch_dir(spark)}/skeinwork-lexical-1-{hashlib.md5(identity.encode()).hexdigest()}"
-    if not tables.exists(spark, f"{path}/totals/_SUCCESS"):
-        lexical.write_index(_docs(spark, sf_dir), path, identity=identity)
-    return lexical.open_index(spark, path, identity)
+    """An index of the documents, built anew into this application's scratch folder."""
+    path = scratch.fresh(spark, "lexical-index")
+    lexical.write_index(_docs(spark, sf_dir), path)
+    return lexical.open_index(spark, path)
 
 
 @query(f"{_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank < 10")
@@ -54,7 +49,7 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (
   SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term""")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term, from the postings."""
-    return corpus_index(spark, sf_dir).terms.select("term", "df", "cf")
+    return lexical.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(l), 6) AS mean, max(l) AS longest FROM (SELECT len({_TOKENS.format('text')}) AS l FROM documents)")
@@ -75,13 +70,14 @@ def late_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GOLD = "g AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold(spark: SparkSession, sf_dir: str, index: lexical.Index | None = None) -> DataFrame:
     """query_id, id of documents that hold an item word for word: candidates have the item's rarest inner word in the stored
     postings, then the texts are compared. Items without an inner word are compared with every document."""
-    items, docs, index = _questions(spark, sf_dir), _docs(spark, sf_dir), corpus_index(spark, sf_dir)
+    items, docs, index = _questions(spark, sf_dir), _docs(spark, sf_dir), index or corpus_index(spark, sf_dir)
     tokens = T.tokens(F.col("query"))
     asked = items.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, 1 << 30))).alias("term"), F.try_element_at(tokens, F.lit(-1)).alias("last"))
     inner = asked.filter("term <> last").select("query_id", "term")
+    index = lexical.narrowed(index, inner)
     # an inner word that no document has leaves its item without any
     rarest = inner.join(index.terms, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
     pairs = index.postings.select("term", "id").join(F.broadcast(rarest) if items.count() <= lexical.FEW_TERMS else rarest, "term").select("query_id", "id")
@@ -97,8 +93,9 @@ h AS (SELECT g.*, r.rank FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.id
 SELECT round(avg(CASE WHEN rank < 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank < 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3,
        round(avg(CASE WHEN rank < 8 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_8, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr, count(*) AS n FROM h""")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 8)
-    m = evaluate.recall_and_mrr(evaluate.first_ranks(gold(spark, sf_dir), hits))
+    index = corpus_index(spark, sf_dir)
+    hits = lexical.bm25(index, _questions(spark, sf_dir), 8)
+    m = evaluate.recall_and_mrr(evaluate.first_ranks(gold(spark, sf_dir, index), hits))
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns if c != "n"), "n")
 
 
@@ -107,8 +104,9 @@ h AS (SELECT b.item_id AS query_id, r.rank, g.id IS NOT NULL AS rel FROM benchma
 w AS (SELECT query_id, rel, avg(rel::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p FROM h)
 SELECT query_id, round(coalesce(avg(CASE WHEN rel THEN p END), 0), 6) AS precision, max(rel::INT)::DOUBLE AS recall FROM w GROUP BY query_id""")
 def context_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 8).select("query_id", "id", "rank")
-    rows = _questions(spark, sf_dir).select("query_id").join(hits, "query_id", "left").join(gold(spark, sf_dir).withColumn("relevant", F.lit(True)), ["query_id", "id"], "left")
+    index = corpus_index(spark, sf_dir)
+    hits = lexical.bm25(index, _questions(spark, sf_dir), 8).select("query_id", "id", "rank")
+    rows = _questions(spark, sf_dir).select("query_id").join(hits, "query_id", "left").join(gold(spark, sf_dir, index).withColumn("relevant", F.lit(True)), ["query_id", "id"], "left")
     return evaluate.context_metrics(rows).select("query_id", F.round("precision", 6).alias("precision"), "recall")
 
 
@@ -117,8 +115,9 @@ m AS (SELECT query_id, max(round(score, 6)) AS top FROM r GROUP BY 1)
 SELECT item_id AS query_id, item_id IN (SELECT query_id FROM g) AS present, coalesce(top, 0) >= 20 AS found FROM benchmark LEFT JOIN m ON query_id = item_id""")
 def off_corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with and without a hit at the floor, beside whether the corpus holds them."""
-    top = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("top"))
-    present = gold(spark, sf_dir).select("query_id").distinct().withColumn("present", F.lit(True))
+    index = corpus_index(spark, sf_dir)
+    top = lexical.bm25(index, _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("top"))
+    present = gold(spark, sf_dir, index).select("query_id").distinct().withColumn("present", F.lit(True))
     rows = _questions(spark, sf_dir).join(top, "query_id", "left").join(present, "query_id", "left")
     return rows.select("query_id", F.coalesce("present", F.lit(False)).alias("present"), (F.coalesce("top", F.lit(0.0)) >= 20).alias("found"))
 
@@ -128,8 +127,9 @@ m AS (SELECT item_id AS query_id, coalesce(max(round(score, 6)), 0) AS score, it
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("score"))
-    present = gold(spark, sf_dir).select("query_id").distinct().withColumn("positive", F.lit(True))
+    index = corpus_index(spark, sf_dir)
+    top = lexical.bm25(index, _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("score"))
+    present = gold(spark, sf_dir, index).select("query_id").distinct().withColumn("positive", F.lit(True))
     rows = _questions(spark, sf_dir).select("query_id").join(top, "query_id", "left").join(present, "query_id", "left")
     return rows.select(F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("positive", F.lit(False)).alias("positive"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_FOLDERS: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -22,8 +25,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{scratch_dir(spark)}/skeinwork/{context.applicationId}-tables"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table whose readers have all ended."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that it is computed once."""
-    path = f"{scratch_dir(df.sparkSession)}/skeinwork/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -67,7 +67,7 @@ def test_bm25_against_formula(spark, tmp_path):
     texts = [(i, t or "") for i, t in docs]
     mean = sum(len(t.split()) for _, t in texts) / 30
     counts = sorted((w, i, t.split().count(w), len(t.split())) for i, t in texts for w in set(t.split()))
-    assert sorted(map(tuple, index.postings.collect())) == counts and index.n == 30 and index.mean == pytest.approx(mean)
+    assert sorted(map(tuple, index.postings.select("term", "id", "tf", "length").collect())) == counts and index.n == 30 and index.mean == pytest.approx(mean)
 
     def score(t):
         w, s = t.split(), 0
@@ -200,3 +200,92 @@ def test_context_answers(spark):
     echo = models.generator(lambda: lambda chat: chat[-1]["content"])
     assert "Document [0] (Title: t) c d" in answer.context_answers(questions, snippets, echo).first()["answer"]
     assert "A. x" in answer.context_answers(questions, None, echo).first()["answer"]
+
+
+def _plain_bm25(texts, asked, k, k1=0.9, b=0.4):
+    words = {i: (t or "").split() for i, t in texts}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {}
+    for w in words.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for q, text in asked:
+        scores = {}
+        for i, w in words.items():
+            for t in set(text.split()):
+                if tf := w.count(t):
+                    idf = math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5))
+                    scores[i] = scores.get(i, 0) + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
+        out += [(q, i, r) for r, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in scores.items())[:k])]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def zipf():
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    texts = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60)))) for i in range(900)]
+    asked = [(q, " ".join(rng.choices(vocabulary, weights, k=6) + rng.sample(vocabulary[100:], 4))) for q in range(12)] + [(90, "nothing here"), (91, "w0"), (92, None)]
+    return texts, asked
+
+
+def test_bm25_in_segments_and_bounded(spark, zipf, tmp_path):
+    texts, asked = zipf
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    want = {k: _plain_bm25(texts, [(q, t or "") for q, t in asked], k) for k in (1, 10)}
+    path = f"{tmp_path}/grown"
+    rows = lambda some: spark.createDataFrame(some, "id long, text string")
+    assert lexical.add_documents(rows(texts[:200]), path) == 200
+    first = lexical.segments(spark, path)
+    assert lexical.add_documents(rows(texts[150:]), path) == 700  # 50 were there
+    assert lexical.segments(spark, path)[:1] == first and lexical.add_documents(rows(texts), path) == 0
+    with pytest.raises(FileExistsError):
+        lexical.write_index(rows(texts), path)
+    lexical.compact(spark, path, f"{tmp_path}/one")
+    for folder in (path, f"{tmp_path}/one"):
+        index = lexical.open_index(spark, folder)
+        assert index.n == 900 and index.postings.count() == sum(len(set(t.split())) for _, t in texts)
+        for k in (1, 10):
+            got = lexical.bm25(index, queries, k).select("query_id", "id", F.col("rank").cast("int")).collect()
+            assert sorted(map(tuple, got)) == want[k]
+    other = lexical.bm25(lexical.open_index(spark, path), queries, 10, k1=1.2, b=0.75).select("query_id", "id", "rank").collect()
+    assert sorted(map(tuple, other)) == _plain_bm25(texts, [(q, t or "") for q, t in asked], 10, 1.2, 0.75)
+
+
+def test_a_broken_build_leaves_the_index(spark, zipf, tmp_path):
+    texts, _ = zipf
+    path = f"{tmp_path}/i"
+    rows = spark.createDataFrame(texts[:50], "id long, text string")
+    lexical.write_index(rows, path)
+    failing = spark.createDataFrame(texts[50:90], "id long, text string").withColumn("text", F.when(F.col("id") == 70, F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        lexical.add_documents(failing, path)
+    # postings of a segment without totals are not read either
+    spark.createDataFrame([("x", 1, 1, 1)], "term string, id long, tf long, length long").write.parquet(f"{path}/postings/segment=1/bucket=3")
+    index = lexical.open_index(spark, path)
+    assert index.n == 50 and index.postings.filter("term = 'x'").count() == 0
+    assert lexical.add_documents(spark.createDataFrame(texts[50:90], "id long, text string"), path) == 40
+    assert lexical.open_index(spark, path).postings.filter("term = 'x'").count() == 0
+
+
+def test_same_ids_count_once(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (1, "a"), (2, "c"), (None, "d"), (None, "d e")]
+    lexical.write_index(spark.createDataFrame(rows, "id long, text string"), f"{tmp_path}/i")
+    index = lexical.open_index(spark, f"{tmp_path}/i")
+    assert sorted(map(tuple, index.postings.select("id", "term").na.fill(-1).collect())) == [(-1, "d"), (1, "a"), (2, "c")] and index.n == 3
+
+
+def test_a_search_opens_the_folders_of_its_terms(spark, zipf, tmp_path):
+    texts, _ = zipf
+    lexical.write_index(spark.createDataFrame(texts, "id long, text string"), f"{tmp_path}/i", buckets=16)
+    index = lexical.open_index(spark, f"{tmp_path}/i")
+    asked = spark.createDataFrame([("w3",), ("w50",), ("w399",)], "term string")
+    part = lexical.narrowed(index, asked)
+    buckets = {r[0] for r in asked.select(lexical.bucket(F.col("term"), 16)).collect()}
+    read = {r[0] for r in part.postings.select(F.regexp_extract("_metadata.file_path", r"bucket=(\d+)", 1).cast("int")).distinct().collect()}
+    assert read <= buckets and len(read) < 16
+    plan = part.postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "In(term" in plan or "EqualTo(term" in plan
