@@ -40,7 +40,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
 #: Parts of up to CACHED_CHARS characters are kept, CACHED_PARTS of them at most.
-CACHED_CHARS, CACHED_PARTS = 48, 500_000
+CACHED_CHARS, CACHED_PARTS = 48, 250_000
 
 MARKS = ".,;:!?)\"'"
 
@@ -417,18 +417,21 @@ def _slices(texts: pa.Array) -> Iterator[list[str]]:
     yield held
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Append ids, starts and ends (arrays; bytes of the source text) to every row. `model` is the content of the file."""
+def encode(df: DataFrame, model: bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Append ids, starts and ends (arrays; bytes of the source text) to every row, and with `decoded` the text that the ids decode to.
+    `model` is the content of the file."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # the file, whatever the input
+    made = ["ids", "starts", "ends", *["decoded"] * decoded]
 
-    @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
+    @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>" + ",decoded:string" * decoded + ">")
     def pieces(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = _model(shared.value)
         for some in (texts for part in parts for texts in _slices(part)):
             got = [m.encode(t) for t in some]
-            yield pa.StructArray.from_arrays([_lists([g[k] for g in got]) for k in range(3)], ["ids", "starts", "ends"])
+            again = [pa.array([m.decode(g[0]) for g in got], pa.string())] if decoded else []
+            yield pa.StructArray.from_arrays([*(_lists([g[k] for g in got]) for k in range(3)), *again], made)
 
-    made, name = ("ids", "starts", "ends"), spare_name(df.columns, "pieces")
+    name = spare_name(df.columns, "pieces")
     rows = df.withColumn(name, pieces(F.col(f"`{text}`")))
     return rows.select(*(F.col(f"`{c}`") for c in df.columns if c not in made), *(F.col(f"{name}.{c}") for c in made))
 

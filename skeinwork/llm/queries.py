@@ -102,11 +102,8 @@ def piece_model() -> bytes:
 
 
 def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_model()
-    encoded = pieces.encode(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), model).select("doc_id", "ids")
-    return pieces.decode(encoded, model).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    found = pieces.encode(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), piece_model(), decoded=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_chat_format, op4_simhash, op5_decontaminate, op6_html_text, op7_suffix_dedup, op8_substring_dedup, op9_packing, op10_quality_rules, op11_spelling_variants, op12_piece_encoding)}

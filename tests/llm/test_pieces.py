@@ -69,6 +69,8 @@ def test_operator_on_odd_rows(spark, docs, no_docs):
     clash = docs.withColumn("ids", docs["doc_id"]).withColumn("__pieces", docs["doc_id"])
     got = pieces.decode(pieces.encode(clash, BASE), BASE)
     assert got.columns == [*docs.columns, "__pieces", "ids", "starts", "ends", "decoded"]
+    both = pieces.encode(clash, BASE, decoded=True)
+    assert both.columns == got.columns and sorted(map(str, both.collect())) == sorted(map(str, got.collect()))
     for r in got.collect():
         data = (r["text"] or "").encode()
         assert r["decoded"] == (r["text"] or "") and [*r["starts"], len(data)][1:] == r["ends"] if r["ids"] else not data
