@@ -69,8 +69,8 @@ def split_documents(docs: DataFrame, key: str, text: str, title: str | None = No
     return pieces.select(F.concat_ws("_", "key", "n").alias("id"), "title", content.alias("content"), T.join_title(F.col("title"), content).alias("contents"))
 
 
-def normalize(raw: DataFrame, source_type: str, separator: str = " -- ") -> DataFrame:
-    """Chunk records from raw chunks (id, title, content, contents); a null id is an error when the row is read."""
+def normalize(raw: DataFrame, source_type: str, separator: str = " -- ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk records from raw chunks (id, title, content, contents), and columns to keep; a null id is an error when the row is read."""
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
     contents = F.coalesce(F.nullif("contents", F.lit("")), F.concat(title, F.lit(". "), content))
     parts = T.split_title(title, separator) if source_type == "statpearls" else F.struct(title.alias("document"), F.lit(None).cast("string").alias("section"))
@@ -81,6 +81,7 @@ def normalize(raw: DataFrame, source_type: str, separator: str = " -- ") -> Data
         parts["document"].alias("document"),
         parts["section"].alias("section"),
         T.token_estimate(contents).alias("token_estimate"),
+        *keep,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators.ranges import running
+from skeinwork.sources.scratch import stage
 
 
 def draw(seed: int, key: str) -> Column:
@@ -40,23 +41,64 @@ def size_slots(files: DataFrame, n: int, seed: int = 1508) -> DataFrame:
 
 
 def sample_in_groups(rows: DataFrame, slots: DataFrame, group: str, key: str, seed: int = 1508) -> DataFrame:
-    """Per group as many rows as it has slots (all if it has fewer), without replacement."""
+    """Per group as many rows as it has slots (all if it has fewer), without replacement: those of the least digests. Null groups have no slots.
+
+    Rows are filtered to a stretch of digests that holds the sample before they are sorted: about twice the slots of each group, whatever its size.
+    A stretch that turns out to hold too few is widened, so the result never depends on it.
+    """
+    wanted = slots.filter(F.col("slots") > 0).select(group, F.col("slots").alias("__slots"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("__count"))
+    known = stage(wanted.join(counts, group), "sample-groups")  # a row a group
+    place, width = unit(seed, key), 2.0
+    while True:
+        stretch = known.withColumn("__share", F.least(F.lit(1.0), (F.col("__slots") * width + 50) / F.col("__count")))
+        near = stage(rows.join(stretch.drop("__count"), group).filter(place < F.col("__share")), "sample-rows")
+        held = near.groupBy(group).agg(F.count("*").alias("__held"))
+        short = known.join(held, group, "left").filter(F.coalesce("__held", F.lit(0)) < F.least("__slots", "__count"))
+        if short.isEmpty():
+            break
+        width *= 8
     order = Window.partitionBy(group).orderBy(draw(seed, key), key)
-    return rows.withColumn("__at", F.row_number().over(order)).join(slots.select(group, "slots"), group).filter(F.col("__at") <= F.col("slots")).drop("__at", "slots")
+    return near.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= F.col("__slots")).select(*rows.columns)
 
 
 def sample_source(rows: DataFrame, files: DataFrame, n: int, group: str, key: str, seed: int = 1508) -> DataFrame:
-    """Size-proportional sample of n rows of one source, sorted by key; what a file is short of is topped up from the rest."""
-    drawn = sample_in_groups(rows, size_slots(files, n, seed).withColumnRenamed("path", group), group, key, seed).withColumn("__own", F.lit(0))
-    rest = rows.join(drawn.select(key), key, "left_anti").withColumn("__own", F.lit(1))
-    return drawn.unionByName(rest).orderBy("__own", draw(seed, key), key).limit(n).drop("__own").orderBy(key)
+    """Size-proportional sample of n rows of one source, sorted by key.
+
+    Files (path, size) get slots by size and give as many rows, or all they have; what is missing is drawn again among the
+    files that had no slot, by size, until there is none. A file is drawn from once, so no row comes twice.
+    """
+    table = stage(files.join(rows.groupBy(F.col(group).alias("path")).agg(F.count("*").alias("rows")), "path", "left").select("path", "size", F.coalesce("rows", F.lit(0)).alias("rows")), "sample-files")
+    left, drawn, wanted, turn = table, None, n, 0
+    while wanted > 0 and not left.isEmpty():
+        slots = stage(size_slots(left.select("path", "size"), wanted, seed + turn).join(left.select("path", "rows"), "path"), "sample-slots")
+        hit = slots.filter("slots > 0")
+        given = hit.agg(F.coalesce(F.sum(F.least("slots", "rows")), F.lit(0)), F.count("*")).first()
+        if not given[1]:  # files of size 0 are never drawn
+            break
+        drawn = hit.select("path", "slots") if drawn is None else drawn.unionByName(hit.select("path", "slots"))
+        left, wanted, turn = slots.filter("slots = 0").select("path", "size", "rows"), wanted - given[0], turn + 1
+    if drawn is None:
+        return rows.limit(0)
+    return sample_in_groups(rows, drawn.withColumnRenamed("path", group), group, key, seed).orderBy(key)
 
 
 def balanced(rows: DataFrame, n: int, source: str, key: str, seed: int = 1508) -> DataFrame:
     """n // (number of sources) rows of each source, by the order of draws."""
-    each = n // max(rows.select(source).distinct().count(), 1)
-    order = Window.partitionBy(source).orderBy(draw(seed, key), key)
-    return rows.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= each).drop("__at")
+    sources = stage(rows.select(source).distinct(), "sample-sources")
+    each = n // max(sources.count(), 1)
+    return sample_in_groups(rows, sources.withColumn("slots", F.lit(each)), source, key, seed)
+
+
+def balanced_topped(rows: DataFrame, n: int, source: str, key: str, seed: int = 1508) -> DataFrame:
+    """As `balanced`; what sources are short of, and the remainder of the division, is taken from all that is left, by the order of draws."""
+    sources = stage(rows.select(source).distinct(), "sample-sources")
+    each = n // max(sources.count(), 1)
+    most = stage(sample_in_groups(rows, sources.withColumn("slots", F.lit(n)), source, key, seed), "sample-most")  # n rows of each source hold any top-up
+    numbered = most.withColumn("__at", F.row_number().over(Window.partitionBy(source).orderBy(draw(seed, key), key)))
+    own = numbered.filter(F.col("__at") <= each)
+    more = numbered.filter(F.col("__at") > each).orderBy(draw(seed, key), key, source).limit(n - own.count())
+    return own.unionByName(more).drop("__at")
 
 
 def manifest(rows: DataFrame, source: str, file: str, key: str, seed: int, requested: int | None = None) -> dict:
