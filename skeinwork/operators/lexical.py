@@ -35,6 +35,9 @@ NAMED_TERMS = 256
 #: Documents that a query's strongest terms name before its k-th score is first bounded, as a multiple of k.
 SEEDS = 10
 
+#: Question sets that meet no more postings than this are scored at once; so are queries of which the bound would spare less than a half.
+AT_ONCE = 50_000_000
+
 TOTALS = "identity string, buckets int, n long, total long, mean double, k1 double, b double, segment int"
 
 
@@ -227,6 +230,8 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
     2. Terms whose greatest weights together stay under that bound cannot bring a document in: only postings of the other terms make
        candidates, and of these only those stay whose score so far and the weak terms' greatest weights reach the bound.
     3. Candidates that are left get their weights of the weak terms, and the best k of each query are taken.
+
+    Small question sets are scored at once, in a pass over their postings.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
     part = narrowed(index, asked)
@@ -234,8 +239,19 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
     top = F.col("top") if (k1, b) == (index.k1, index.b) else F.lit(k1 + 1)  # other parameters: the weight's own limit
     known = scratch.stage(asked.join(part.terms, "term").select("query_id", "term", "df", idf.alias("idf"), (idf * top).alias("most")), "lexical-terms")
     by_strength = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
-    placed = known.withColumns({"named": F.sum("df").over(by_strength) - F.col("df"), "rest": F.sum("most").over(by_strength.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
     scored = weight(index.mean, k1, b) * F.col("idf")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+    def matched(terms: DataFrame) -> DataFrame:
+        """query_id, id, score: the weights of `terms` in all documents that have any of them."""
+        return part.postings.join(_few(terms.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
+
+    if (known.agg(F.sum("df")).first()[0] or 0) <= AT_ONCE:
+        return ranked(matched(known))
+    placed = known.withColumns({"named": F.sum("df").over(by_strength) - F.col("df"), "rest": F.sum("most").over(by_strength.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
 
     def complete(pairs: DataFrame, terms: DataFrame) -> DataFrame:
         """query_id, id, more: the weights of `terms` in the documents of the pairs."""
@@ -243,16 +259,14 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
         return part.postings.join(places, ["term", "id"]).groupBy("query_id", "id").agg(F.sum(scored).alias("more"))
 
     seeds = placed.filter(F.col("named") < SEEDS * k)
-    first = part.postings.join(_few(seeds.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
-    strong = first.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("at") <= 3 * k)
+    strong = matched(seeds).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("at") <= 3 * k)
     in_full = complete(strong, known).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("more"), "id")))
     bounds = in_full.filter(F.col("at") == k).select("query_id", (F.col("more") - 1e-6).alias("bound"))
-    judged = scratch.stage(placed.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))), "lexical-bounds")
-    needed, weak = judged.filter("rest >= bound"), judged.filter("rest < bound")
-
-    candidates = part.postings.join(_few(needed.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
-    limits = judged.groupBy("query_id").agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("rest") < F.col("bound"), F.col("most"))), F.lit(0.0)).alias("open"))
-    left = scratch.stage(candidates.join(_few(limits), "query_id").filter(F.col("score") + F.col("open") >= F.col("bound")).select("query_id", "id", "score"), "lexical-candidates")
-    total = left.join(complete(left, weak), ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return total.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    needed = F.col("rest") >= F.coalesce("bound", F.lit(0.0))
+    spared = F.sum(F.when(~needed, F.col("df")).otherwise(0)).over(Window.partitionBy("query_id")) / F.sum("df").over(Window.partitionBy("query_id"))
+    judged = scratch.stage(placed.join(bounds, "query_id", "left").withColumn("weak", ~needed & (spared >= 0.5)), "lexical-bounds")
+    limits = judged.groupBy("query_id").agg(F.coalesce(F.max("bound"), F.lit(0.0)).alias("bound"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("open"))
+    candidates = matched(judged.filter("not weak")).join(_few(limits), "query_id")
+    left = scratch.stage(candidates.filter(F.col("score") + F.col("open") >= F.col("bound")).select("query_id", "id", "score"), "lexical-candidates")
+    more = complete(left, judged.filter("weak"))
+    return ranked(left.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))

@@ -231,7 +231,9 @@ def zipf():
     return texts, asked
 
 
-def test_bm25_in_segments_and_bounded(spark, zipf, tmp_path):
+@pytest.mark.parametrize("at_once", [lexical.AT_ONCE, 0])
+def test_bm25_in_segments_and_bounded(spark, zipf, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(lexical, "AT_ONCE", at_once)
     texts, asked = zipf
     queries = spark.createDataFrame(asked, "query_id int, query string")
     want = {k: _plain_bm25(texts, [(q, t or "") for q, t in asked], k) for k in (1, 10)}
