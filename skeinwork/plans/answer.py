@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from skeinwork.functions import text as T
 from skeinwork.operators import citations, dense, fusion, safety
 from skeinwork.plans import prompts
+from skeinwork.sources.scratch import stage
 
 
 def gated_answers(
-    questions: DataFrame, corpus: DataFrame, chunks: DataFrame, generate: Callable[[Column], Column], k: int = 8, floor: float = 0.33, per_document: int = 3
-) -> DataFrame:
-    """question_id, question, answer, refused, abstained, grounded, hits, citations, dropped, unsupported, reason.
+    questions: DataFrame, corpus: DataFrame, chunks: DataFrame, generate: Callable[[Column], Column], k: int = 8, floor: float = 0.33, per_document: int = 3,
+    encode: Callable[[Column], Column] | None = None, center: DataFrame | None = None, attribution_floor: float = 0.20,
+) -> DataFrame:
+    """question_id, question, answer, refused, abstained, grounded, hits, citations, attributions, dropped, unsupported, reason.
 
     questions: question_id, question, embedding; corpus: id, document, embedding (both centered);
     chunks: id, source_type, document, section, text. Refused questions and those without a hit never
     reach the model: they are filtered out before it and joined back.
+
+    Claims without a marker are attributed to the hit that is closest to them in centered space, if that reaches
+    `attribution_floor`: only they and their hits are encoded, by `encode`, about `center` (one row, `center`; see citations.attribute).
+    attributions: array of sentence, marker, id, score. What no hit is close to is unsupported, and an answer is grounded if nothing is.
+    Without an encoder no claim is attributed.
     """
     screened = questions.withColumn("refusal", safety.screen(F.col("question")))
     open_ = screened.filter(F.col("refusal").isNull())
@@ -34,22 +41,47 @@ def gated_answers(
     refused = F.col("refusal").isNotNull()
     abstained = ~refused & (F.col("reply").isNull() | F.col("reply").contains(T.INSUFFICIENT))
     checked = citations.validate(rows.withColumn("answer", F.when(~refused & ~abstained, F.col("reply")).otherwise(F.lit(""))))
-    said = F.when(refused, F.col("refusal.message")).when(abstained, F.lit(safety.ABSTENTION)).otherwise(F.col("cleaned"))
-    return checked.select(
+    checked = checked.withColumns({"refused": refused, "abstained": abstained})
+    traced = _attributed(checked, encode, center, attribution_floor)
+    said = F.when(F.col("refused"), F.col("refusal.message")).when(F.col("abstained"), F.lit(safety.ABSTENTION)).otherwise(F.col("cleaned"))
+    return traced.select(
         "question_id",
         "question",
         T.with_disclaimer(said, safety.DISCLAIMER).alias("answer"),
-        refused.alias("refused"),
-        abstained.alias("abstained"),
-        (~refused & ~abstained & (F.size("unsupported") == 0)).alias("grounded"),
+        "refused",
+        "abstained",
+        (~F.col("refused") & ~F.col("abstained") & (F.size("unsupported") == 0)).alias("grounded"),
         "hits",
         "citations",
+        "attributions",
         "dropped",
         "unsupported",
         F.col("refusal.reason").alias("reason"),
     )
 
 
+def _attributed(checked: DataFrame, encode: Callable[[Column], Column] | None, center: DataFrame | None, floor: float) -> DataFrame:
+    """Checked answers with attributions; unsupported keeps the claims that no hit is close to."""
+    found_type = f"array<struct<sentence:string,marker:string,id:{checked.schema['hits'].dataType.elementType['id'].dataType.simpleString()},score:double>>"
+    none = F.array().cast(found_type)
+    if encode is None:
+        return checked.withColumn("attributions", none)
+    checked = stage(checked, "checked-answers")  # the model is asked once
+    uncited = checked.filter((F.size("unsupported") > 0) & (F.size("hits") > 0)).select(F.col("question_id").alias("answer_id"), "unsupported", "hits")
+    claims = uncited.select("answer_id", F.posexplode("unsupported").alias("sentence_no", "sentence"))
+    places = uncited.select("answer_id", F.explode("hits").alias("h")).select("answer_id", "h.rank", "h.id", "h.text")
+    passages = places.select("id", "text").distinct().withColumn("vector", encode(F.col("text")))  # once, however many answers they serve
+    snippets = places.join(passages.select("id", "text", "vector"), ["id", "text"])
+    best = citations.attribute(claims.select("answer_id", "sentence_no", encode(F.col("sentence")).alias("vector")), snippets.select("answer_id", "rank", "vector"), floor, center)
+    named = claims.join(best.select("answer_id", "sentence_no", "rank", "score", "marker"), ["answer_id", "sentence_no"]).join(places.select("answer_id", "rank", "id"), ["answer_id", "rank"])
+    listed = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence", "marker", "id", "score")))
+    traced = named.groupBy(F.col("answer_id").alias("question_id")).agg(listed.alias("traced"))
+    close = F.transform(F.filter("traced", lambda t: t["marker"].isNotNull()), lambda t: F.struct(t["sentence"].alias("sentence"), t["marker"].alias("marker"), t["id"].alias("id"), t["score"].alias("score")))
+    far = F.transform(F.filter("traced", lambda t: t["marker"].isNull()), lambda t: t["sentence"])
+    joined = checked.join(traced, "question_id", "left")
+    return joined.withColumns({"attributions": F.coalesce(close.cast(found_type), none), "unsupported": F.coalesce(far, "unsupported")}).drop("traced")
+
+
 def _chat(form: str, **slots: Column) -> Column:
     system, user = prompts.FORMS[form]
     said = ("user", T.fill(user, **slots))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,11 +71,19 @@ def _stub():
         part = int(passage.rsplit(" ", 1)[1])
         if part % 4 == 1:
             return T.INSUFFICIENT
-        return f"{passage} [S1] [S99]." + (" And more is said about this here." if part % 3 == 0 else "")
+        return f"{passage} [S1] [S99]." + f" And it is said that {passage}." * (part % 3 == 0) + " And more is said about this here." * (part % 6 == 0)
 
     return reply
 
 
+def _digits(texts):
+    return np.array([[t.count(d) for d in "0123456789"] for t in texts], float)
+
+
+_COUNTS = "[" + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{d}', '')))::DOUBLE" for d in range(10)) + "]"
+_UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_inner_product({0}, {0}) = 0 THEN 1 ELSE sqrt(list_inner_product({0}, {0})) END)"
+
+
 @query(f"""{CENTERED},
 q AS (SELECT vec_id, label, embedding, CASE WHEN vec_id % 100 = 0 THEN 'Should I know of part ' ELSE 'What is known of part ' END || label || '?' AS question FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS qid, c.vec_id AS id, c.label AS document, list_inner_product(q.embedding, c.embedding) AS score FROM q, v c WHERE q.vec_id % 100 <> 0),
@@ -82,14 +91,26 @@ w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 f AS (SELECT *, row_number() OVER (PARTITION BY qid, document ORDER BY score DESC, id) AS within FROM w WHERE pos <= 96 AND score >= 0.33),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM f WHERE within <= 3),
 h AS (SELECT qid, count(*) AS hits, min(document) FILTER (WHERE place = 1) AS part, min(id) FILTER (WHERE place = 1) AS first FROM r WHERE place <= 8 GROUP BY qid),
-a AS (SELECT vec_id AS question_id, question, vec_id % 100 = 0 AS refused, vec_id % 100 <> 0 AND (hits IS NULL OR part % 4 = 1) AS abstained, coalesce(hits, 0) AS hits, first, part FROM q LEFT JOIN h ON qid = vec_id)
+a AS (SELECT vec_id AS question_id, question, vec_id % 100 = 0 AS refused, vec_id % 100 <> 0 AND (hits IS NULL OR part % 4 = 1) AS abstained, coalesce(hits, 0) AS hits, first, part FROM q LEFT JOIN h ON qid = vec_id),
+c AS (SELECT question_id, 'And it is said that fact ' || first || ' belongs to part ' || part || '.' AS sentence FROM a WHERE NOT refused AND NOT abstained AND part % 3 = 0
+  UNION ALL SELECT question_id, 'And more is said about this here.' FROM a WHERE NOT refused AND NOT abstained AND part % 6 = 0),
+pc AS (SELECT qid, 'fact ' || id || ' belongs to part ' || document AS t FROM r WHERE place <= 8),
+pv AS (SELECT qid, list_transform({_UNIT.format('n')}, lambda x: x::FLOAT::DOUBLE) AS v FROM (SELECT qid, {_COUNTS.format('t')} AS n FROM pc)),
+mid AS (SELECT qid, list(m ORDER BY i) AS m FROM (SELECT qid, i, avg(v[i]) AS m FROM pv, range(1, 11) t(i) GROUP BY qid, i) GROUP BY qid),
+cv AS (SELECT question_id, sentence, list_transform({_UNIT.format('n')}, lambda x: x::FLOAT::DOUBLE) AS v FROM (SELECT *, {_COUNTS.format('sentence')} AS n FROM c)),
+ps AS (SELECT qid, list_transform(range(1, 11), lambda i: v[i] - m[i]) AS d FROM pv JOIN mid USING (qid)),
+cs AS (SELECT question_id, sentence, list_transform(range(1, 11), lambda i: v[i] - m[i]) AS e FROM cv JOIN mid ON qid = question_id),
+best AS (SELECT question_id, sentence, max(list_inner_product({_UNIT.format('e')}, {_UNIT.format('d')})) AS score FROM cs JOIN ps ON qid = question_id GROUP BY ALL),
+t AS (SELECT question_id, count(*) AS uncited, count(*) FILTER (score >= 0.2) AS attributed, round(max(score), 4) AS closest FROM best GROUP BY question_id)
 SELECT question_id, CASE WHEN refused THEN '{safety.REFUSAL}' WHEN abstained THEN '{safety.ABSTENTION}'
-  ELSE 'fact ' || first || ' belongs to part ' || part || ' [S1] .' || CASE WHEN part % 3 = 0 THEN ' And more is said about this here.' ELSE '' END END || chr(10) || chr(10) || '---' || chr(10) || '{safety.DISCLAIMER}' AS answer,
-  refused, abstained, NOT refused AND NOT abstained AND part % 3 <> 0 AS grounded, hits, CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS citations,
-  CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS dropped, CASE WHEN NOT refused AND NOT abstained AND part % 3 = 0 THEN 1 ELSE 0 END AS unsupported,
-  CASE WHEN refused THEN '{safety.ADVICE_RULES[0][1]}' END AS reason FROM a""")
+  ELSE 'fact ' || first || ' belongs to part ' || part || ' [S1] .' || CASE WHEN part % 3 = 0 THEN ' And it is said that fact ' || first || ' belongs to part ' || part || '.' ELSE '' END
+    || CASE WHEN part % 6 = 0 THEN ' And more is said about this here.' ELSE '' END END || chr(10) || chr(10) || '---' || chr(10) || '{safety.DISCLAIMER}' AS answer,
+  refused, abstained, NOT refused AND NOT abstained AND coalesce(uncited = attributed, TRUE) AS grounded, hits, CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS citations,
+  CASE WHEN refused OR abstained THEN 0 ELSE 1 END AS dropped, coalesce(attributed, 0) AS attributions, coalesce(uncited - attributed, 0) AS unsupported, CASE WHEN attributed > 0 THEN closest END AS closest,
+  CASE WHEN refused THEN '{safety.ADVICE_RULES[0][1]}' END AS reason FROM a LEFT JOIN t USING (question_id)""")
 def gated_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate, search with floor and cap, evidence, stand-in model, checks; each query vector asks a question, the vectors are the passages."""
+    """Gate, search with floor and cap, evidence, stand-in model, checks, attribution of what it left uncited (by a stand-in encoder
+    that counts digits); each query vector asks a question, the vectors are the passages."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("document"), "embedding")
     corpus = dense.centered(e, vectors.mean_vector(e))
     document = F.col("document").cast("string")
@@ -97,9 +118,10 @@ def gated_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = e.select("id", F.lit("textbook").alias("source_type"), document.alias("document"), F.lit(None).cast("string").alias("section"), text.alias("text"))
     asked = F.concat(F.when(F.col("id") % 100 == 0, "Should I know of part ").otherwise("What is known of part "), document, F.lit("?"))
     questions = corpus.filter("id % 20 = 0").select(F.col("id").alias("question_id"), asked.alias("question"), "embedding")
-    got = answer.gated_answers(questions, corpus, chunks, models.generator(_stub))
-    counts = (F.size(c).cast("long").alias(c) for c in ("hits", "citations", "dropped", "unsupported"))
-    return got.select("question_id", "answer", "refused", "abstained", "grounded", *counts, "reason")
+    got = answer.gated_answers(questions, corpus, chunks, models.generator(_stub), encode=models.encoder(lambda: _digits), center=vectors.mean_vector(e))
+    counts = (F.size(c).cast("long").alias(c) for c in ("hits", "citations", "dropped", "attributions", "unsupported"))
+    closest = F.round(F.array_max(F.transform("attributions", lambda t: t["score"])), 4)
+    return got.select("question_id", "answer", "refused", "abstained", "grounded", *counts, closest.alias("closest"), "reason")
 
 
 @query(f"""

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,34 @@ def test_a_search_opens_the_folders_of_its_terms(spark, zipf, tmp_path):
     plan = part.postings._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_gate_attributes_uncited_claims(spark, corpus):
+    ids = [r["id"] for r in corpus.orderBy("id").collect()]
+    said = {i: f"passage about topic number {n}" for n, i in enumerate(ids)}
+    chunks = spark.createDataFrame([(i, "textbook", "d", None, t) for i, t in said.items()], f"id {corpus.schema['id'].dataType.simpleString()}, source_type string, document string, section string, text string")
+    questions = spark.createDataFrame([("ok", "What is known of it?", [1.0, 0.0, 0.0]), ("own", "Should I take it?", [1.0, 0.0, 0.0])], "question_id string, question string, embedding array<float>")
+
+    def encode(texts):  # topics by number; anything else points away from all
+        return np.array([[float(t.count(str(n))) for n in range(10)] + [0.0 if any(c.isdigit() for c in t) else 1.0] for t in texts])
+
+    def replies(text):
+        return models.generator(lambda: lambda chat: text)
+
+    def ask(text, **given):
+        return {r["question_id"]: r for r in answer.gated_answers(questions, corpus, chunks, replies(text), floor=-1.0, per_document=9, **given).collect()}
+
+    both = "One claim about topic number 1. Something else is claimed here too. It is said of topic 0 indeed [S1]."
+    plain = ask(both)["ok"]
+    assert plain["attributions"] == [] and len(plain["unsupported"]) == 2 and not plain["grounded"]
+    got = ask(both, encode=models.encoder(lambda: encode))
+    r = got["ok"]
+    place = {h["id"]: h["rank"] for h in r["hits"]}
+    assert len(place) > 1
+    assert [(a["sentence"], a["id"], a["marker"]) for a in r["attributions"]] == [("One claim about topic number 1.", ids[1], f"[S{place[ids[1]] + 1}]")]
+    assert r["unsupported"] == ["Something else is claimed here too."] and not r["grounded"] and r["attributions"][0]["score"] >= 0.2
+    assert got["own"]["refused"] and got["own"]["attributions"] == []
+    whole = ask("One claim about topic number 1.", encode=models.encoder(lambda: encode))["ok"]
+    assert whole["grounded"] and whole["unsupported"] == [] and whole["citations"] == {}
+    fixed = spark.createDataFrame([([0.0] * 11,)], "center array<double>")
+    assert ask("One claim about topic number 1.", encode=models.encoder(lambda: encode), center=fixed)["ok"]["attributions"][0]["score"] == pytest.approx(1.0, abs=1e-6)
