@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from skeinwork.llm._shared import stage
+from skeinwork.llm._shared import spare_name, stage
 
 Q = 8
 RATE = 0.1
@@ -308,12 +308,13 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[obj
 
 def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", column: str = "matches") -> DataFrame:
     """df with an array of matches (item, start, end, edits; places in the normalised text) for every row; a column of that name goes."""
-    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c != column))
+    names = [c for c in df.columns if c != column]
+    df = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))  # plain names, so that any can be handed to a task
     item = benchmark.schema[item_key].dataType
     match = StructType([StructField("item", item), StructField("start", LongType()), StructField("end", LongType()), StructField("edits", IntegerType())])
     kind = pa.list_(pa.struct([("item", to_arrow_type(item)), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
-    schema = StructType([*df.schema.fields, StructField(column, ArrayType(match))])
-    at, width = df.columns.index(text), len(df.columns)
+    schema = StructType([*df.schema.fields, StructField("found", ArrayType(match))])
+    at, width = names.index(text), len(names)
     out = None
     for block in blocks(benchmark, item_key, item_text):
         shared = df.sparkSession.sparkContext.broadcast(index_items(block))  # bounded by BLOCK
@@ -326,12 +327,13 @@ def annotate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], names=schema.names)
 
         # a further block is a further pass over what the last one wrote
-        out = df.withColumn(column, F.array().cast(ArrayType(match))) if out is None else stage(out, "decontam-pass")
+        out = df.withColumn("found", F.array().cast(ArrayType(match))) if out is None else stage(out, "decontam-pass")
         out = out.mapInArrow(search, schema)
-    return out if out is not None else df.withColumn(column, F.array().cast(ArrayType(match)))
+    out = out if out is not None else df.withColumn("found", F.array().cast(ArrayType(match)))
+    return out.toDF(*names, column)
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df that no item contaminates."""
-    column = "__matches"
-    return annotate(df, benchmark, text, item_key, item_text, column).filter(F.size(column) == 0).drop(column)
+    column = spare_name(df.columns, "matches")
+    return annotate(df, benchmark, text, item_key, item_text, column).filter(F.size(column) == 0).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -6,15 +6,14 @@ texts. Landmarks, training texts stratified by language, give Nyström features;
 regression on them, one language against the rest, gives each language's score. Prediction is a
 product of the presence matrix of a batch with the landmarks' and another with the weights.
 
-The classifier is fitted on a bounded sample of distinct texts: at most ``per_class`` texts of each language of at most
-``max_chars`` characters, the first ``landmarks`` of them (by a hash of the text) being landmarks, and
+The classifier is fitted on a bounded sample of distinct texts: at most ``per_class`` texts of each language, of longer ones a stretch of
+``max_chars`` characters (where it begins follows from a hash of the text), the first ``landmarks`` of them (by a hash of the text) being landmarks, and
 at most ``vocabulary`` n-grams, those of the most landmarks. With many languages each has fewer texts, so that they
 are about ``sample`` and ``marks`` in all; every language keeps one at least, so none is left out. Everything predicted
 uses whole texts.
 
 Cases: texts that are null or have no letter: `und`, score 0; no labelled row at all: `und`, score 0;
-a language with a single text is learned, however often its row is repeated and however large the others are; a language all
-of whose texts are longer than ``max_chars`` is not; ties in score: the first language by name; repeated rows are
+a language with a single text is learned, however often its row is repeated, however long it is and however large the others are; ties in score: the first language by name; repeated rows are
 predicted alike; very long texts are read in runs; an empty table gives an empty result; other columns pass through,
 but columns named lang_pred or score are replaced.
 """
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import discard, maybe_broadcast, stage
+from skeinwork.llm._shared import discard, maybe_broadcast, spare_name, stage
 
 UNKNOWN = "und"
 TABLE = 1 << 20
@@ -108,9 +107,16 @@ def fit_texts(samples: dict[str, list[str]], bounds: Bounds = Bounds()) -> Model
     return model
 
 
+def stretch(text: Column, most: int) -> Column:
+    """The text, or of a longer one `most` characters from a place given by its hash; from its first letter on if none is there."""
+    at = F.pmod(F.xxhash64(text), (F.length(text) - most + 1).cast("long")).cast("int") + 1
+    part = F.substring(text, at, F.lit(most))
+    return F.when(F.length(text) <= most, text).when(part.rlike(r"\p{L}"), part).otherwise(F.substring(text, F.regexp_instr(text, F.lit(r"(\p{L})")), F.lit(most)))
+
+
 def fit(training: DataFrame, text: str, lang: str, bounds: Bounds = Bounds()) -> Model | None:
     """Fit on a sample of the distinct texts of each language, chosen by a hash of the text alone."""
-    rows = training.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull() & (F.length("t") <= bounds.max_chars))
+    rows = training.select(stretch(F.col(text), bounds.max_chars).alias("t"), F.col(lang).alias("l")).filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
     counts = stage(rows.select("l", F.xxhash64("t").alias("h")).distinct().groupBy("l").count(), "langid-counts")  # a row a language, of distinct texts
     n = counts.count()
     if not n:
@@ -155,7 +161,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", batch: int =
             yield pd.DataFrame({"lang_pred": names, "score": sure})
 
     got = classify(letters, F.col(text))
-    return df.withColumn("__lang", got).select(*(F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")), "__lang.lang_pred", "__lang.score")
+    held = spare_name(df.columns, "lang")
+    return df.withColumn(held, got).select(*(F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")), f"{held}.lang_pred", f"{held}.score")
 
 
 def fold(key: Column) -> Column:

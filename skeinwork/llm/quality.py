@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import let, words
+from skeinwork.llm._shared import let, spare_name, words
 
 
 @dataclass(frozen=True)
@@ -132,11 +132,12 @@ def judge(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), pre
             F.array_join(F.transform(F.filter(a, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("cleaned"),
         ),
     )
+    held = spare_name(df.columns, "quality")
     out = df.select(
         *(F.col(f"`{c}`") for c in df.columns),
-        F.struct(base.alias("base"), _count(t, r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), of_lines.alias("lines")).alias("__quality"),
+        F.struct(base.alias("base"), _count(t, r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), of_lines.alias("lines")).alias(held),
     )
-    q = F.col("__quality")
+    q = F.col(held)
     n, rep = q["base"]["n_words"], q["base"]["n_repeat"]
     failed = (n < 50) | (100 * rep > 50 * n)
     made = {
@@ -151,3 +152,12 @@ def judge(df: DataFrame, text: str = "text", rules: LineRules = LineRules(), pre
         "kept": ~failed & (q["lines"]["lost"] <= rules.max_lost_share * n),
     }
     return out.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(prefix + k) for k, c in made.items()))
+
+
+def clean(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of df that are kept, with the cleaned text in place of the text; all other columns, whatever their names, stay."""
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    kept = judge(df, text, rules, prefix).filter(F.col(f"{prefix}kept"))
+    return kept.select(*((F.col(f"{prefix}cleaned") if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns))

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import discard, stage
+from skeinwork.llm._shared import discard, spare_name, stage
 
 RADIUS = 2
 CELL = 8_000
@@ -515,9 +515,11 @@ def fp_hex(fp):
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """df with one row of each class: the one with the least key, then digest of the text. Rows without a key stay."""
-    row = F.struct(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"))
-    keyed = df.filter(F.col(key).isNotNull()).withColumn("__row", row)
-    kept = near_duplicates(keyed, "__row", text, n, similar=True).select(F.col("class_id").alias("__kept")).distinct()
-    same = (F.col("__row.key") == F.col("__kept.key")) & F.col("__row.digest").eqNullSafe(F.col("__kept.digest"))
-    rows = keyed.join(kept, same, "left_semi").dropDuplicates(["__row"]).drop("__row")  # repeated rows share key and text
+    pair = F.struct(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"))
+    row = spare_name(df.columns, "row")
+    kept = spare_name([*df.columns, row], "kept")
+    keyed = df.filter(F.col(key).isNotNull()).withColumn(row, pair)
+    classes = near_duplicates(keyed, row, text, n, similar=True).select(F.col("class_id").alias(kept)).distinct()
+    same = (F.col(f"{row}.key") == F.col(f"{kept}.key")) & F.col(f"{row}.digest").eqNullSafe(F.col(f"{kept}.digest"))
+    rows = keyed.join(classes, same, "left_semi").dropDuplicates([row]).drop(row)  # repeated rows share key and text
     return rows.unionByName(df.filter(F.col(key).isNull()))

@@ -8,12 +8,13 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import *  # noqa: F403
+from pyspark.sql import functions as F
 from test_dedup import repeated_words, similar_classes
 from test_text_models import edit_distance_within
 
 import corpus_pipeline
 from skeinwork.llm import decontam, queries
-from skeinwork.llm._shared import table
+from skeinwork.llm._shared import stage, table
 from skeinwork.llm.quality import judge
 
 SF = "/root/testdata/sf0.001"
@@ -29,8 +30,8 @@ def test_stages(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         kept[name] = docs.collect()
         assert name == "packing" or docs.columns == columns
-    first = {r["doc_id"] for r in judge(table(spark, SF, "documents")).filter("kept").collect()}
-    assert {r["doc_id"] for r in kept["quality_rules"]} == first
+    first = {(r["doc_id"], r["cleaned"]) for r in judge(table(spark, SF, "documents")).filter("kept").collect()}
+    assert {(r["doc_id"], r["text"]) for r in kept["quality_rules"]} == first and all(r["n_chars"] == len(r["text"]) for r in kept["quality_rules"])
     rows = sorted((r["doc_id"], r["text"]) for r in kept["quality_rules"])
     # one document of each class stays, no more and no fewer
     assert sorted(r["doc_id"] for r in kept["near_dedup"]) == sorted(min(ids) for ids in similar_classes(rows))
@@ -71,6 +72,19 @@ def test_stages_on_odd_rows(spark, docs, no_docs):
         rows.collect()
 
 
+def test_stages_keep_columns_of_any_name(spark, docs):
+    clashes = ["__row", "__kept", "__matches", "__quality", "__lang", "q_kept", "matches", "key", "row", "fp", "node", "class_id", "digest", "a.b", "kept", "cleaned"]
+    rows = spark.createDataFrame([(900, "Home | About | Contact\n" + " ".join(f"word{i} goes" for i in range(60)), "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs.select(*rows.columns).unionByName(rows).select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in clashes))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        rows = stage(function(spark, rows, SF), f"test-{name}")
+        assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", *clashes]
+        for r in rows.collect():
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for c in clashes)
+    last = rows.filter("doc_id = 900").first()
+    assert last["text"].startswith("word0 goes") and last["n_chars"] == len(last["text"])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     duck = duckdb.connect()

@@ -328,3 +328,17 @@ def test_word_tokens_match_the_tokenizer():
     for _ in range(3000):
         x = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
         assert words(x).tolist() == reference.encode(x, add_special_tokens=False).ids, x
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, ("the house and this other thing with them " * 800) + str(rng.random()), "en") for i in range(20)]
+    rows += [(100 + i, f"le chat est dans une maison avec nous {rng.random()}", "fr") for i in range(20)]
+    rows += [(200, "7" * 50_000 + " und der Hund ist nicht mit dabei", "de")]  # a stretch without a letter is not taken
+    df = spark.createDataFrame(rows, "id long, text string, lang string").withColumn("__lang", F.lit("x"))
+    model = langid.fit(df, "text", "lang")
+    assert model.languages == ["de", "en", "fr"]
+    got = {r["id"]: r for r in langid.predict(df, model).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows) and got[0]["__lang"] == "x"
+    lengths = df.select(F.length(langid.stretch(F.col("text"), 20_000)).alias("n")).collect()
+    assert max(r["n"] for r in lengths) == 20_000
