@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from skeinwork.llm import decontam, fmdedup
 from skeinwork.llm._shared import discard, stage, table
 from skeinwork.llm.packing import pack_documents
-from skeinwork.llm.quality import judge
+from skeinwork.llm.quality import clean
 from skeinwork.llm.queries import tokenizer_path
 from skeinwork.llm.simhash import drop_near_duplicates
 
 
+def counted(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    """The cleaned documents, with n_chars after their texts."""
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
-    return judge(docs, prefix="__q_").filter("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Lines that fail the rules go, and documents that the rules reject; all others stay."""
+    return counted(clean(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of sequences that start in an earlier document, or earlier in the same one, go."""
-    return fmdedup.clean_texts(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return counted(fmdedup.clean_texts(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
