@@ -2,7 +2,7 @@
 
 1. Each page is parsed once and its containers scored: text counts in full for the element that holds
    its block, by half for the next one up and so on; links count against it. The page votes for the
-   generalised path (tags with classes, digits struck) of its best container.
+   generalised path (tags with classes, digits struck; of deep ones the depth and the last DEPTH labels) of its best container.
 2. Votes are summed by host and path in Spark; each host's path with the most votes wins.
 3. Pages are read again: the text of the containers on the winning path is the page's; a page without
    one uses its own best container, so no page is lost for being unlike its host.
@@ -12,7 +12,8 @@ with such a role, hidden elements, comments of the markup. A class or id that na
 share bar, comment section or so on makes an element suspect: its text is left out, unless it outweighs by WEIGHT all
 unlinked text of the page that is not suspect; a comment section never does. A name counts by its head, the last
 word but for words like box or list: `related-posts` and `acme-sidebar` do, `has-sidebar` and `social-content` do not. An article
-or main element is suspect only for a name of comments or adverts.
+or main element is suspect only for a name of comments or adverts. Names that may also be an article's own, like review or message, are
+suspect too, but like all others they are kept where they hold nearly all of the page.
 
 Cases: null or empty html: empty text; a page without any markup: its text; broken markup (open
 elements, stray ends, a cut off last tag): as far as it goes; null url: host empty, voting with its
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,9 +57,14 @@ _BLOCKS = frozenset(
 _CONTAINERS = frozenset("body main article section div td blockquote".split())
 #: A start tag of the key ends open elements of the values, up to the nearest container.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion discussions kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Names of what readers say that an article can have as well.
+_VOICES = frozenset(
+    "review reviews feedback response responses discourse commentary commentaries conversation conversations message messages thread threads reaction reactions opinion opinions"
+    " testimonial testimonials guestbook talkback ratings bewertung bewertungen antworten avis opiniones respuestas".split()
+)
 _ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended".split())
-_BAD_NAMES = _COMMENTS | _ADVERTS | frozenset(
+_BAD_NAMES = _COMMENTS | _VOICES | _ADVERTS | frozenset(
     "nav navbar navigation menu menus header masthead footer sidebar side aside rail banner"
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social"
     " breadcrumb breadcrumbs pagination pager widget toolbar login search skip hidden".split()
@@ -75,10 +82,14 @@ _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialo
 _BREAKS = frozenset({"br"})
 
 
+#: Labels of a path that are told apart.
+DEPTH = 32
+
+
 @dataclass
 class _Node:
     tag: str
-    path: str
+    path: int  # place in the page's tree of labels
     dropped: bool
     container: int  # place of the nearest container, itself included
     region: int  # place of the nearest suspect element, itself included; 0 if there is none
@@ -86,9 +97,11 @@ class _Node:
 
 @dataclass
 class Page:
-    """blocks: (container, text) in page order; containers: generalised path, place of the one above, score."""
+    """blocks: (container, text) in page order; containers: place of the path in the tree, place of the one above, score."""
 
-    paths: list[str] = field(default_factory=lambda: [""])
+    #: generalised paths: the one above, its depth and the last label
+    tree: list[tuple[int, int, str]] = field(default_factory=lambda: [(-1, 0, "")])
+    paths: list[int] = field(default_factory=lambda: [0])
     above: list[int] = field(default_factory=lambda: [-1])
     scores: list[float] = field(default_factory=lambda: [0.0])
     blocks: list[tuple[int, str]] = field(default_factory=list)
@@ -96,6 +109,15 @@ class Page:
     weights: list[tuple[int, float]] = field(default_factory=list)
     regions: list[tuple[int, bool]] = field(default_factory=lambda: [(-1, True)])
 
+    def path(self, container: int) -> str:
+        """The generalised path of a container."""
+        at, labels = self.paths[container], []
+        depth = self.tree[at][1]
+        while at >= 0 and len(labels) < DEPTH:
+            labels.append(self.tree[at][2])
+            at = self.tree[at][0]
+        return "/".join([*[str(depth)] * (at >= 0), *reversed(labels)])
+
     def settle(self) -> None:
         """Leave out the suspect elements that do not outweigh the rest, and score the containers."""
         own = [0.0] * len(self.regions)
@@ -113,7 +135,7 @@ class Page:
                 share /= 2
                 c = self.above[c]
         for i, p in enumerate(self.paths):  # elements named for the purpose
-            if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
+            if self.tree[p][2].split(".")[0] in ("article", "main"):
                 self.scores[i] *= 2.5
 
     def best(self) -> int:
@@ -127,13 +149,14 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Text of the containers on the path, or of the best one if there is none with text."""
-        found = {i for i, p in enumerate(self.paths) if p == path}
+        last = (path or "").rsplit("/", 1)[-1]
+        found = {i for i, p in enumerate(self.paths) if path is not None and self.tree[p][2] == last and self.path(i) == path}
         return (self.text_of(found) if found else "") or self.text_of({self.best()})
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
     names = sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()})
-    return ".".join([tag, *filter(None, names)])
+    return ".".join([tag, *filter(None, names)]).replace("/", ":")
 
 
 def _unwanted(tag: str, attrs: dict[str, str]) -> bool:
@@ -170,7 +193,9 @@ def _suspect(tag: str, attrs: dict[str, str]) -> str:
 def parse(source: str) -> Page:
     """Read a page once, front to end, with a stack of open elements."""
     page = Page()
-    stack = [_Node("", "", False, 0, 0)]
+    stack = [_Node("", 0, False, 0, 0)]
+    opened: Counter[str] = Counter()  # tags on the stack
+    known: dict[tuple[int, str], int] = {}
     text: list[str] = []  # of the open block
     linked, links = 0, 0
 
@@ -179,8 +204,7 @@ def parse(source: str) -> Page:
         got = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if got:
-            c = next((n.container for n in reversed(stack) if n.tag in _CONTAINERS or not n.tag), 0)
-            page.blocks.append((c, got))
+            page.blocks.append((stack[-1].container, got))
             page.weights.append((stack[-1].region, max(len(got) - 2.0 * linked, 0.0)))
         linked = 0
 
@@ -188,6 +212,7 @@ def parse(source: str) -> Page:
         nonlocal links
         flush()
         links -= sum(n.tag == "a" for n in stack[to:])
+        opened.subtract(n.tag for n in stack[to:])
         del stack[to:]
 
     at = 0
@@ -208,10 +233,11 @@ def parse(source: str) -> Page:
         if not m[0].endswith(">"):
             break  # a tag cut off by the end of the page
         if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if opened[tag] > 0 else 0
             if k:
                 if tag == "a" and stack[k].region == stack[k - 1].region and stack[k].dropped == stack[k - 1].dropped:
                     links -= 1
+                    opened[tag] -= 1
                     del stack[k]
                 else:
                     close(k)
@@ -232,7 +258,7 @@ def parse(source: str) -> Page:
             flush()
             if tag in _BLOCKS:  # a block ends an open paragraph, an item its neighbour
                 ends = (*_CLOSES.get(tag, ()), "p")
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[e] > 0 for e in ends) else ():
                     if stack[k].tag in ends:
                         close(k)
                         break
@@ -250,13 +276,18 @@ def parse(source: str) -> Page:
                 page.regions.append((up.region, name not in _COMMENTS))
                 node.region = len(page.regions) - 1
             if tag in _BLOCKS:
-                node.path = f"{up.path}/{_label(tag, attrs)}"
+                step = up.path, _label(tag, attrs)
+                if step not in known:
+                    known[step] = len(page.tree)
+                    page.tree.append((up.path, page.tree[up.path][1] + 1, step[1]))
+                node.path = known[step]
             if tag in _CONTAINERS and not dropped:
                 page.paths.append(node.path)
                 page.above.append(up.container)
                 page.scores.append(0.0)
                 node.container = len(page.paths) - 1
             links += tag == "a"
+            opened[tag] += 1
             stack.append(node)
     else:
         if at < len(source) and not stack[-1].dropped:
@@ -273,7 +304,7 @@ def _votes(df: DataFrame) -> DataFrame:
             for t in b.column(1):
                 page = parse(t.as_py())
                 k = page.best()
-                paths.append(page.paths[k])
+                paths.append(page.path(k))
                 scores.append(page.scores[k])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 

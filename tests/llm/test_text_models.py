@@ -342,3 +342,53 @@ def test_a_language_of_long_texts_is_learned(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows) and got[0]["__lang"] == "x"
     lengths = df.select(F.length(langid.stretch(F.col("text"), 20_000)).alias("n")).collect()
     assert max(r["n"] for r in lengths) == 20_000
+
+
+COMMENT_NAMES = "comments reviews feedback user-feedback responses discourse comentarios commentary conversation messages kommentare".split()
+
+
+@pytest.mark.parametrize("name", COMMENT_NAMES)
+def test_what_readers_say_is_left_out(name):
+    article = "<article><h1>Title</h1>" + "<p>long words of the article go here and on</p>" * 20
+    text = htmltext.parse(f"{article}<div class={name}><p>nice post</p></div></article>").text(None)
+    assert "nice" not in text and text.startswith("Title long words") and text.count("article go") == 20
+
+
+def test_names_an_article_may_have():
+    page = "<body><nav>menu</nav><div class=review>" + "<p>long words of the article go here and on</p>" * 20 + "</div></body>"
+    assert htmltext.parse(page).text(None).count("article go") == 20
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep text" + "</div>" * 100_000, "<div>" * 3000 + "</span>" * 30_000 + "</p>" * 30_000 + "deep text", "<ul><li>" * 20_000 + "deep text"])
+def test_depth_is_linear(page):
+    began = time.perf_counter()
+    got = htmltext.parse(page)
+    assert got.text(got.path(got.best())) == "deep text" and time.perf_counter() - began < 5
+    assert all(len(got.path(i)) < 1000 for i in range(0, len(got.paths), 997))
+
+
+def test_whole_query_against_plain_votes(spark):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rng = random.Random(3)
+    for i in range(120):
+        main = " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randint(5, 60)))
+        side = " ".join(rng.choice("one two three".split()) for _ in range(rng.randint(0, 90)))
+        rows.append((10_000 + i, f"https://H{i % 4}.example/p{i}", f"<body><nav>m</nav><div class=main{i % 3}><p>{main}</p></div><div class=extra><p>{side}</p></div><div class=comments>x</div></body>"))
+    rows += [(20_000, None, None), (20_001, "http://h0.example/", ""), (20_002, None, "<p>no host</p>")]
+
+    def host(url):
+        return "" if not url or "://" not in url else url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower()
+
+    votes = {}
+    for _, url, page in rows:
+        parsed = htmltext.parse(page or "")
+        k = parsed.best()
+        if parsed.scores[k] > 0:
+            n = votes.setdefault(host(url), {}).setdefault(parsed.path(k), [0, 0.0])
+            n[0] += 1
+            n[1] += parsed.scores[k]
+    best = {h: max((n, float(round(total)), p) for p, (n, total) in v.items())[2] for h, v in votes.items()}
+    want = {i: (url, htmltext.parse(page or "").text(best.get(host(url)))) for i, url, page in rows}
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, path string").repartition(5)
+    assert {r["page_id"]: (r["url"], r["text"]) for r in htmltext.extract(df).collect()} == want
+    assert any(want[10_000 + i][1] != htmltext.parse(rows[-123 + i][2]).text(None) for i in range(120))
