@@ -1,4 +1,7 @@
-"""Exact dense retrieval: one scan of the corpus for all queries, local top lists, one small final ranking."""
+"""Exact dense retrieval: one scan of the corpus for all queries, local top lists, one small final ranking.
+
+`quantized` has the approximate search.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +14,15 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import vectors
 
-#: Query vectors are sent to all tasks in blocks of at most so many numbers.
+#: Query vectors are sent to all tasks if they have no more numbers than this.
 BLOCK_NUMBERS = 2_000_000
 
+#: Where there are more, the corpus is dealt to blocks of about so many numbers.
+CORPUS_NUMBERS = 16_000_000
+
+#: Queries and batches of the corpus to rows.
+Work = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
 METRICS = ("ip", "cosine", "l2")
 
 
@@ -35,58 +44,77 @@ def scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     return queries @ corpus.T
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows, width = [], [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        width = max(width, len(r["embedding"]))
-        if ids and (len(ids) + 1) * width > BLOCK_NUMBERS:
-            yield ids, np.array(rows, float)
-            ids, rows = [], []
-        ids.append(r["query_id"])
-        rows.append(r["embedding"])
-    if ids:
-        yield ids, np.array(rows, float)
+def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, key: str = "id") -> DataFrame:
+    """Rows that `work` makes of all queries and all rows of the corpus; every pair is seen once.
+
+    A question set of at most BLOCK_NUMBERS numbers goes to all tasks, and the corpus is read where it lies. A larger one is
+    dealt to blocks by hash, the corpus too, and each pair of blocks meets in a task by a shuffle: nothing passes through the
+    driver, the corpus is scanned once, and the plan does not grow with the queries.
+    Both have a column embedding; rows without one are left out.
+    """
+    queries, corpus = (df.filter(F.col("embedding").isNotNull()) for df in (queries, corpus))
+    first = queries.select(F.size("embedding")).first()
+    if first is None:
+        return corpus.sparkSession.createDataFrame([], schema)
+    width = max(first[0], 1)
+    most = max(BLOCK_NUMBERS // width, 1)
+    rows = queries.limit(most + 1).collect()  # bounded by BLOCK_NUMBERS
+    if len(rows) <= most:
+        shared = corpus.sparkSession.sparkContext.broadcast(pd.DataFrame(rows, columns=queries.columns))
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from work(shared.value, parts)
+
+        return corpus.mapInPandas(run, schema)
+    left, right = -(-queries.count() // most), -(-corpus.count() * width // CORPUS_NUMBERS)
+    asked = queries.withColumns({"__left": F.pmod(F.xxhash64("query_id"), F.lit(left)), "__right": F.explode(F.sequence(F.lit(0), F.lit(max(right, 1) - 1)).cast("array<long>"))})
+    held = corpus.withColumns({"__right": F.pmod(F.xxhash64(key, "embedding"), F.lit(max(right, 1))), "__left": F.explode(F.sequence(F.lit(0), F.lit(left - 1)).cast("array<long>"))})
+
+    names, own = [f.split()[0] for f in schema.split(",")], queries.columns
+    # queries may be rows of the corpus: their columns get names of their own
+    asked = asked.select(F.col("__left").alias("a"), F.col("__right").alias("b"), *(F.col(c).alias(f"q_{c}") for c in own))
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        q = q.rename(columns={f"q_{c}": c for c in own})
+        made = list(work(q, iter([c]))) if len(q) and len(c) else []
+        return pd.concat(made) if made else pd.DataFrame(columns=names)
+
+    return asked.groupBy("a", "b").cogroup(held.groupBy("__left", "__right")).applyInPandas(meet, schema)
 
 
 def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip") -> DataFrame:
     """query_id, id, document, score: for each query the `most` best of each task's rows, a superset of the best of all.
 
-    corpus: id, document, embedding; queries: query_id, embedding. Ties: least id.
+    corpus: id, document, embedding; queries: query_id, embedding. Ties: least id. Null embeddings are nobody's hit and have none.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = corpus.sparkSession
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {fields['id']}, document {fields['document']}, score double"
-    out = None
-    for ids, matrix in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast((np.array(ids, dtype=object), matrix))  # bounded by BLOCK_NUMBERS
-
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, block = shared.value
-            best: list[pd.DataFrame] = []
-            held = 0
-            for pdf in parts:
-                if not len(pdf):
-                    continue
-                pdf = pdf.sort_values("id")  # equal scores are cut by id
-                s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
-                order = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                q = np.repeat(np.arange(len(names)), order.shape[1])
-                rows = order.reshape(-1)
-                best.append(pd.DataFrame({"q": q, "id": pdf["id"].to_numpy()[rows], "document": pdf["document"].to_numpy()[rows], "score": s[q, rows]}))
-                held += len(rows)
-                if held > 4 * most * len(names) + 100_000:
-                    best, held = [_cut(pd.concat(best), most)], most * len(names)
-            if best:
-                got = _cut(pd.concat(best), most)
-                got.insert(0, "query_id", names[got.pop("q").to_numpy()])
-                yield got
-
-        part = corpus.select("id", "document", "embedding").mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+    def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, block = q["query_id"].to_numpy(), np.array(q["embedding"].to_list(), float)
+        best: list[pd.DataFrame] = []
+        held = 0
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("id")  # equal scores are cut by id
+            s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            at = np.repeat(np.arange(len(names)), order.shape[1])
+            rows = order.reshape(-1)
+            best.append(pd.DataFrame({"q": at, "id": pdf["id"].to_numpy()[rows], "document": pdf["document"].to_numpy()[rows], "score": s[at, rows]}))
+            held += len(rows)
+            if held > 4 * most * len(names) + 100_000:
+                best, held = [_cut(pd.concat(best), most)], most * len(names)
+        if best:
+            got = _cut(pd.concat(best), most)
+            got.insert(0, "query_id", names[got.pop("q").to_numpy()])
+            yield got
+
+    return pairwise(corpus.select("id", "document", "embedding"), queries.select("query_id", "embedding"), work, schema)
 
 
 def _cut(rows: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -119,21 +147,15 @@ def tally(corpus: DataFrame, queries: DataFrame, count: Callable[[np.ndarray, np
 
     corpus: id, document, embedding; queries: query_id, document, embedding.
     """
-    own = {r["query_id"]: r["document"] for r in queries.select("query_id", "document").toLocalIterator()}
-    out = None
-    for ids, matrix in _query_blocks(queries):
-        shared = corpus.sparkSession.sparkContext.broadcast((np.array([own[i] for i in ids], dtype=object), matrix))  # bounded by BLOCK_NUMBERS
 
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            documents, block = shared.value
-            for pdf in parts:
-                if len(pdf):
-                    s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
-                    yield count(s, documents[:, None] == pdf["document"].to_numpy()[None, :])
+    def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, block = q["document"].to_numpy(), np.array(q["embedding"].to_list(), float)
+        for pdf in parts:
+            if len(pdf):
+                s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
+                yield count(s, documents[:, None] == pdf["document"].to_numpy()[None, :])
 
-        part = corpus.select("document", "embedding").mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
+    return pairwise(corpus.select("document", "embedding"), queries.select("query_id", "document", "embedding"), work, schema, "document")
 
 
 def moments(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
@@ -146,44 +168,3 @@ def max_scores(corpus: DataFrame, queries: DataFrame, metric: str = "ip") -> Dat
     """query_id, score: the best score of each query whatever the filters; 0 without a corpus."""
     top = candidates(corpus, queries, 1, metric).groupBy("query_id").agg(F.max("score").alias("score"))
     return queries.select("query_id").join(top, "query_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
-def cells(corpus: DataFrame, n_cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Inverted-file index: corpus with `cell`, and the cells' centers.
-
-    Centers are fitted by k-means on a sample of at most `sample` rows, by hash of the id; every row is indexed.
-    """
-    n = corpus.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    some = corpus.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding").limit(sample).collect()
-    x = np.array([r[0] for r in some], float)
-    rng = np.random.default_rng(seed)
-    middle = x[rng.permutation(len(x))[:n_cells]]
-    for _ in range(rounds):
-        near = (x @ middle.T * 2 - (middle**2).sum(axis=1)).argmax(axis=1)
-        middle = np.stack([x[near == c].mean(axis=0) if (near == c).any() else middle[c] for c in range(len(middle))])
-    shared = corpus.sparkSession.sparkContext.broadcast(middle)  # n_cells vectors
-
-    @F.pandas_udf("int")
-    def nearest(vs: pd.Series) -> pd.Series:
-        m = shared.value
-        v = np.stack(vs.to_numpy()).astype(float)
-        return pd.Series((v @ m.T * 2 - (m**2).sum(axis=1)).argmax(axis=1).astype("int32"))
-
-    return corpus.withColumn("cell", nearest("embedding")), middle
-
-
-def search_cells(indexed: DataFrame, centers: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """Approximate search: for each query the best k by inner product within its `probes` nearest cells."""
-    shared = queries.sparkSession.sparkContext.broadcast(centers)
-
-    @F.pandas_udf("array<int>")
-    def probed(vs: pd.Series) -> pd.Series:
-        m = shared.value
-        v = np.stack(vs.to_numpy()).astype(float)
-        return pd.Series(list(np.argsort(-(v @ m.T * 2 - (m**2).sum(axis=1)), axis=1, kind="stable")[:, :probes].astype("int32")))
-
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(probed("embedding")).alias("cell"))
-    scored = asked.join(indexed.select("cell", "id", "document", "embedding"), "cell").select("query_id", "id", "document", vectors.dot(F.col("q"), F.col("embedding")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import models, vectors
 from skeinwork.functions import text as T
-from skeinwork.operators import citations, dense, evaluate, fusion, lexical, sampling
+from skeinwork.operators import citations, dense, evaluate, fusion, lexical, quantized, sampling
 from skeinwork.plans import answer
 
 ROWS = [("a1", "A", 1.0, 0.0), ("a2", "A", 0.98, 0.2), ("a3", "A", 0.95, 0.31), ("a4", "A", 0.89, 0.45), ("b1", "B", 0.45, 0.89), ("c1", "C", 0.0, 1.0)]
@@ -45,14 +45,48 @@ def test_metrics_and_centering(spark, corpus, query):
         dense.candidates(corpus, query, 1, "hamming")
 
 
-def test_ann_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("document"), "embedding")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quantised_recall(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("document"), "embedding")
     q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    indexed, centers = dense.cells(e, 16)
-    assert indexed.count() == e.count()
+    n = e.count()
+    book = quantized.fit(e)
+    coded = quantized.index(e, book)
+    assert coded.count() == n and {len(r["codes"]) for r in coded.select("codes").collect()} == {16}
     exact = {(r["query_id"], r["id"]) for r in dense.search(e, q, 8).collect()}
-    found = {(r["query_id"], r["id"]) for r in dense.search_cells(indexed, centers, q, 8, 12).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+    found = [tuple(r) for r in quantized.search(e, coded, book, q, 8, probes=48, read=40).select("query_id", "id").collect()]
+    assert len(found) == len(set(found)) == len(exact) and len(exact & set(found)) / len(exact) >= 0.9
+    assert 40 <= 0.1 * n  # vectors read for a query
+
+
+def test_quantised_on_odd_rows(spark):
+    rows = [(1, "a", [1.0, 0.0, 0.0]), (2, "a", None), (3, "b", [0.0, 0.0, 0.0]), (4, "b", [1.0, 0.0, 0.0])]
+    c = spark.createDataFrame(rows, "id long, document string, embedding array<float>")
+    q = spark.createDataFrame([(9, [1.0, 0.0, 0.0]), (8, None)], "query_id long, embedding array<float>")
+    book = quantized.fit(c)
+    got = quantized.search(c, quantized.index(c, book), book, q, 2).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"], r["score"]) for r in got] == [(9, 1, 1.0), (9, 4, 1.0)]
+    assert quantized.fit(c.limit(0)) is None and quantized.search(c, c, None, q).count() == 0
+
+
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_large_question_sets_meet_the_corpus_in_blocks(spark, metric, monkeypatch):
+    rng = np.random.default_rng(3)
+    vecs = [[round(float(v), 3) for v in row] for row in rng.normal(size=(230, 5))]
+    rows = [(i, f"d{i % 7}", v) for i, v in enumerate(vecs)] + [(900, "d0", None), (901, "d1", vecs[0])]
+    c = spark.createDataFrame(rows, "id long, document string, embedding array<float>")
+    q = c.filter("id % 3 = 0").select(F.col("id").alias("query_id"), "document", "embedding")
+    small = dense.search(c, q, 6, metric=metric, per_document=2).collect()
+    sums = "same boolean, n long, total double, squares double, top double"
+    counted = lambda: sorted((r["same"], r["n"]) for r in dense.tally(c, q, dense.moments, sums).groupBy("same").agg(F.sum("n").alias("n")).collect())
+    few = counted()
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 60)
+    monkeypatch.setattr(dense, "CORPUS_NUMBERS", 200)
+    plans = {n: dense.candidates(c, q.limit(n), 6, metric)._jdf.queryExecution().analyzed().toString().count("\n") for n in (20, 70)}
+    assert plans[20] == plans[70] or max(plans.values()) - min(plans.values()) < 3
+    large = dense.search(c, q, 6, metric=metric, per_document=2).collect()
+    assert sorted(map(str, large)) == sorted(map(str, small)) and {r["query_id"] for r in large} == {i for i in range(0, 230, 3)}
+    assert counted() == few and sum(n for _, n in few) == 77 * 231
 
 
 def test_bm25_against_formula(spark, tmp_path):
