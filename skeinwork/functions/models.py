@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Encode = Callable[[list[str]], np.ndarray]
 Generate = Callable[[list[dict[str, str]]], str]
@@ -58,6 +59,32 @@ def generator(make: Callable[[], Callable[..., str]], **options) -> Callable[[Co
     return run
 
 
+def attempts(make: Callable[[], Callable[..., str]], **options) -> Callable[[Column], Column]:
+    """As `generator`, but a call that fails costs only its own row: struct<value, error>, one of which is null."""
+
+    @F.pandas_udf("struct<value:string,error:string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        generate = make()
+        for chats in parts:
+            rows = []
+            for chat in chats:
+                try:
+                    rows.append((generate([{"role": m["role"], "content": m["content"]} for m in chat], **options), None))
+                except Exception as e:  # whatever the model raises is this row's result
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["value", "error"], dtype=object)
+
+    return run
+
+
+def told(df: DataFrame, name: str, reply: Column) -> DataFrame:
+    """df with the reply of a model, and its error under the name with `_error`; a model that gives plain text has none."""
+    got = df.withColumn(name, reply)
+    if isinstance(got.schema[name].dataType, StringType):
+        return got.withColumn(f"{name}_error", F.lit(None).cast("string"))
+    return got.withColumns({name: F.col(f"{name}.value"), f"{name}_error": F.col(f"{name}.error")})
+
+
 def hashing_encoder(dim: int = 64) -> Encode:
     """Deterministic stand-in: signed counts of hashed words."""
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinwork.functions import models
 from skeinwork.functions import text as T
 from skeinwork.operators import citations, dense, fusion, safety
 from skeinwork.plans import prompts
+from skeinwork.sources import tables
 from skeinwork.sources.scratch import stage
 
 
@@ -121,50 +125,128 @@ def retrieve(lists: dict[str, DataFrame], distances: frozenset[str] = frozenset(
     return fusion.reciprocal_rank_fusion(out, k, rrf_k)
 
 
+@dataclass
+class Rounds:
+    """The tables of one run of `iterate` in a folder. A round counts once its `round-N` is whole, which is written last; a round that is
+    run again writes its tables again."""
+
+    spark: SparkSession
+    path: str
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def last(self) -> tuple[int, DataFrame] | None:
+        """Number and table of the last whole round, if there is one."""
+        n = 0
+        while tables.exists(self.spark, f"{self.path}/round-{n}/_SUCCESS"):
+            n += 1
+        return (n - 1, self.spark.read.parquet(f"{self.path}/round-{n - 1}")) if n else None
+
+    def _all(self, name: str, schema: str) -> DataFrame:
+        if not tables.exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def messages(self) -> DataFrame:
+        """question_id, step, role, content: what was said, in order of the steps."""
+        return self._all("messages", tables.MESSAGE + ", round int").drop("round")
+
+    def errors(self) -> DataFrame:
+        """question_id, round, place (reply, close, queries or answer), error."""
+        return self._all("errors", "question_id string, place string, error string, round int").select("question_id", "round", "place", "error")
+
+    def cache(self) -> DataFrame:
+        """question_id, round (from 0, of those that searched), context: what sources.tables.resume takes."""
+        held = self._all("contexts", "question_id string, context string, round int")
+        return held.withColumn("round", F.row_number().over(Window.partitionBy("question_id").orderBy("round")) - 1)
+
+
 def iterate(
     questions: DataFrame,
     generate: Callable[[Column], Column],
     answer: Callable[[DataFrame], DataFrame],
-    save: Callable[[DataFrame, str], DataFrame],
+    save: Callable[[DataFrame, str], DataFrame] | None = None,
     n_rounds: int = 4,
     n_queries: int = 3,
     cached: DataFrame | None = None,
+    run: Rounds | None = None,
 ) -> DataFrame:
     """Rounds of follow-up searches: question_id, answer, rounds, context of questions (question_id, question, options map).
 
     A round is one batch over the questions still open: a reply is asked for; its queries are answered
-    by `answer` (query_id, question -> query_id, answer) and added to the context; past the last round a
+    by `answer` (query_id, question -> query_id, answer, and error if it has one) and added to the context; past the last round a
     reply that answers closes the question. At most n_rounds + 3 rounds; then the last reply stands.
     `save` writes a table and reads it back, which ends lineage. `cached` (question_id, context, left) resumes.
+
+    With models.attempts for a model, a call that fails costs its question that step only: it is open again in the next round, a search
+    whose query list or answer failed adds nothing. With `run` in place of `save` messages, errors and contexts are kept by round, and a run that
+    was stopped goes on behind its last whole round.
     """
-    asked = T.fill("Here is the question:\n{{question}}\n\n{{options}}", question=F.col("question"), options=T.options_block(F.col("options")))
-    state = questions.select("question_id", asked.alias("prompt"))
-    if cached is not None:
-        state = state.join(cached, "question_id", "left")
-    else:
-        state = state.withColumns({"context": F.lit(None).cast("string"), "left": F.lit(None).cast("long")})
-    state = state.select("question_id", "prompt", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("left", F.lit(n_rounds)).cast("long").alias("left"), F.lit("").alias("reply"), F.lit(None).cast("string").alias("answer"), F.lit(0).alias("rounds"))
-    state = save(state, "round-0")
-    for i in range(n_rounds + 3):
+    keep = run.save if run is not None else save
+    if keep is None:
+        raise ValueError("iterate needs save or run")
+    begun = run.last() if run is not None else None
+    if begun is None:
+        asked = T.fill("Here is the question:\n{{question}}\n\n{{options}}", question=F.col("question"), options=T.options_block(F.col("options")))
+        state = questions.select("question_id", asked.alias("prompt"))
+        if cached is not None:
+            state = state.join(cached, "question_id", "left")
+        else:
+            state = state.withColumns({"context": F.lit(None).cast("string"), "left": F.lit(None).cast("long")})
+        state = state.select(
+            "question_id", "prompt", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("left", F.lit(n_rounds)).cast("long").alias("left"),
+            F.lit("").alias("reply"), F.lit(None).cast("string").alias("answer"), F.lit(0).alias("rounds"),
+        )
+        begun = 0, keep(state, "round-0")
+    first, state = begun
+    for i in range(first, n_rounds + 3):
         open_ = state.filter(F.col("answer").isNull() & (F.col("left") + 3 > i))
         if not open_.limit(1).count():
             break
-        late = F.col("left") <= i
-        user = F.concat_ws("\n\n", F.nullif("context", F.lit("")), "prompt", F.when(late, F.lit(prompts.ANSWER)).otherwise(F.lit(prompts.ASK.replace("{{n}}", str(n_queries)))))
-        replied = save(open_.withColumn("reply", generate(T.messages(("system", F.lit(prompts.FOLLOW_UP_SYSTEM)), ("user", user)))), f"reply-{i}")
-        final = late & T.is_final(F.col("reply"))
-        closing = T.messages(("user", user), ("assistant", F.col("reply")), ("user", F.lit(prompts.AS_JSON)))
-        closed = replied.filter(final).withColumn("answer", generate(closing))
-        going = replied.filter(~final)
-        lists = going.filter(T.asks_queries(F.col("reply"))).select("question_id", generate(T.messages(("user", T.fill(prompts.EXTRACT, reply=F.col("reply"))))).alias("list"))
-        each = lists.select("question_id", F.posexplode(T.parse_queries(F.col("list"))).alias("at", "q")).filter(T.strip(F.col("q")) != "")
-        numbered = save(each.select(F.concat_ws("#", "question_id", F.lit(i), "at").alias("query_id"), "question_id", "at", F.col("q").alias("question")), f"queries-{i}")
-        found = answer(numbered.select("query_id", "question")).select("query_id", F.col("answer").alias("found"))
-        said = F.concat(F.lit("Query: "), "question", F.lit("\nAnswer: "), "found")
-        texts = numbered.join(found, "query_id").groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))), lambda x: x["s"]), "\n\n").alias("more"))
-        grown = going.join(texts, "question_id", "left").withColumn("context", F.concat_ws("\n\n", F.nullif("context", F.lit("")), "more")).drop("more")
-        columns = state.columns
-        open_next = closed.unionByName(grown.select(*closed.columns)).withColumn("rounds", F.lit(i + 1)).select(*columns)
-        done = state.join(open_.select("question_id"), "question_id", "left_anti").select(*columns)
-        state = save(done.unionByName(open_next), f"round-{i + 1}")
+        state = _round(i, state, open_, generate, answer, keep, run, n_queries)
     return state.select("question_id", F.coalesce("answer", "reply").alias("answer"), "rounds", "context")
+
+
+def _round(i: int, state: DataFrame, open_: DataFrame, generate: Callable, answer: Callable, keep: Callable, run: Rounds | None, n_queries: int) -> DataFrame:
+    """The state behind round i."""
+    late = F.col("left") <= i
+    system = F.lit(prompts.FOLLOW_UP_SYSTEM)
+    user = F.concat_ws("\n\n", F.nullif("context", F.lit("")), "prompt", F.when(late, F.lit(prompts.ANSWER)).otherwise(F.lit(prompts.ASK.replace("{{n}}", str(n_queries)))))
+    replied = keep(models.told(open_.withColumn("user", user).withColumn("before", F.col("reply")), "reply", generate(T.messages(("system", system), ("user", F.col("user"))))), f"reply-{i}")
+    heard, failed = replied.filter(F.col("reply").isNotNull()), replied.filter(F.col("reply").isNull()).withColumn("reply", F.col("before"))
+    final = late & T.is_final(F.col("reply"))
+    closing = T.messages(("user", F.col("user")), ("assistant", F.col("reply")), ("user", F.lit(prompts.AS_JSON)))
+    closed = keep(models.told(heard.filter(final).drop("answer"), "answer", generate(closing)), f"closed-{i}")
+    going = heard.filter(~final)
+    lists = going.filter(T.asks_queries(F.col("reply"))).select("question_id", "reply")
+    lists = keep(models.told(lists, "list", generate(T.messages(("user", T.fill(prompts.EXTRACT, reply=F.col("reply"))))))
+                 .withColumn("queries", T.parse_queries(F.col("list"))).drop("reply"), f"lists-{i}")
+    each = lists.select("question_id", F.posexplode("queries").alias("at", "q")).filter(T.strip(F.col("q")) != "")
+    numbered = keep(each.select(F.concat_ws("#", "question_id", F.lit(i), "at").alias("query_id"), "question_id", "at", F.col("q").alias("question")), f"queries-{i}")
+    got = answer(numbered.select("query_id", "question"))
+    problem = F.col("error").cast("string") if "error" in got.columns else F.lit(None).cast("string")
+    found = keep(got.select("query_id", F.col("answer").alias("found"), problem.alias("error")), f"answers-{i}")
+    said = F.concat(F.lit("Query: "), "question", F.lit("\nAnswer: "), "found")
+    texts = numbered.join(found.filter(F.col("found").isNotNull()), "query_id").groupBy("question_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))), lambda x: x["s"]), "\n\n").alias("more")
+    )
+    grown = going.join(texts, "question_id", "left").withColumn("context", F.concat_ws("\n\n", F.nullif("context", F.lit("")), "more"))
+    columns = state.columns
+    parts = [df.withColumn("rounds", F.lit(i + 1)).select(*columns) for df in (closed, grown, failed)]
+    done = state.join(open_.select("question_id"), "question_id", "left_anti").select(*columns)
+    after = done.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])
+    if run is not None:
+        named = lambda df, step, role, text: df.select("question_id", F.lit(step).alias("step"), F.lit(role).alias("role"), text.alias("content"))
+        talk = [named(replied, 4 * i + 1, "user", F.col("user")), named(heard, 4 * i + 2, "assistant", F.col("reply"))]
+        talk += [named(closed, 4 * i + 3, "user", F.lit(prompts.AS_JSON)), named(closed.filter(F.col("answer").isNotNull()), 4 * i + 4, "assistant", F.col("answer"))]
+        talk += [named(open_, 0, "system", system)] * (i == 0)
+        keep(reduce(DataFrame.unionByName, talk), f"messages/round={i}")
+        wrong = lambda df, place, error: df.select("question_id", F.lit(place).alias("place"), error.alias("error")).filter(F.col("error").isNotNull())
+        unread = F.coalesce("list_error", F.when(F.col("queries").isNull(), F.lit("the reply holds no list of queries")))
+        trouble = [wrong(replied, "reply", F.col("reply_error")), wrong(closed, "close", F.col("answer_error")), wrong(lists, "queries", unread)]
+        trouble += [wrong(numbered.join(found, "query_id"), "answer", F.col("error"))]
+        keep(reduce(DataFrame.unionByName, trouble), f"errors/round={i}")
+        keep(grown.join(lists.filter(F.col("queries").isNotNull()), "question_id", "left_semi").select("question_id", "context"), f"contexts/round={i}")
+    return keep(after, f"round-{i + 1}")

@@ -9,6 +9,7 @@ from skeinwork.functions import models, vectors
 from skeinwork.functions import text as T
 from skeinwork.operators import citations, dense, evaluate, fusion, lexical, quantized, sampling
 from skeinwork.plans import answer
+from skeinwork.sources import tables
 
 ROWS = [("a1", "A", 1.0, 0.0), ("a2", "A", 0.98, 0.2), ("a3", "A", 0.95, 0.31), ("a4", "A", 0.89, 0.45), ("b1", "B", 0.45, 0.89), ("c1", "C", 0.0, 1.0)]
 
@@ -357,3 +358,75 @@ def test_gate_attributes_uncited_claims(spark, corpus):
     assert whole["grounded"] and whole["unsupported"] == [] and whole["citations"] == {}
     fixed = spark.createDataFrame([([0.0] * 11,)], "center array<double>")
     assert ask("One claim about topic number 1.", encode=models.encoder(lambda: encode), center=fixed)["ok"]["attributions"][0]["score"] == pytest.approx(1.0, abs=1e-6)
+
+
+def _talk(fail=()):
+    def make():
+        def reply(chat):
+            last = chat[-1]["content"]
+            for mark in fail:
+                if mark in last:
+                    raise RuntimeError(f"no service for {mark}")
+            if last.startswith("List the queries"):
+                return "nothing to read" if "unreadable" in last else '{"output": ["1. first thing", "bad thing", ""]}'
+            if "Give the answer alone" in last:
+                return '{"answer": "B"}'
+            if "Answer now" in last:
+                return "## Answer\nIt is B"
+            return "## Queries\n1. unreadable" if "Unreadable?" in last else "## Queries\n1. first thing"
+
+        return reply
+
+    return models.attempts(make)
+
+
+QUESTIONS = [("a", "What?", {"A": "x", "B": "y"}), ("b", "Cursed?", {}), ("c", "Unreadable?", {})]
+
+
+def _searched(q):
+    bad = F.col("question") == "bad thing"
+    return q.select("query_id", F.when(~bad, F.lit("found")).alias("answer"), F.when(bad, F.lit("ValueError: no hits")).alias("error"))
+
+
+def test_failing_calls_cost_their_own_question_only(spark, tmp_path):
+    questions = spark.createDataFrame(QUESTIONS, "question_id string, question string, options map<string,string>")
+    ask = lambda name, *fail: (r := answer.Rounds(spark, f"{tmp_path}/{name}"), {x["question_id"]: x for x in answer.iterate(questions, _talk(fail), _searched, n_rounds=2, run=r).collect()})
+    run, got = ask("one", "Cursed?")
+    clean, whole = ask("two")
+    assert got["a"] == whole["a"] and got["c"] == whole["c"] and got["a"]["answer"] == '{"answer": "B"}' and got["a"]["rounds"] == 3
+    assert got["a"]["context"].count("Query: first thing\nAnswer: found") == 2 and "bad thing" not in got["a"]["context"]
+    assert got["b"]["answer"] == "" and got["b"]["rounds"] == 5 and whole["b"]["answer"] == '{"answer": "B"}'
+    errors = sorted((r["question_id"], r["round"], r["place"], r["error"]) for r in run.errors().collect())
+    assert [e for e in errors if e[0] == "b"] == [("b", i, "reply", "RuntimeError: no service for Cursed?") for i in range(5)]
+    assert {e[1:] for e in errors if e[0] == "c"} == {(i, "queries", "the reply holds no list of queries") for i in range(2)}
+    assert [e[1:] for e in errors if e[0] == "a"] == [(i, "answer", "ValueError: no hits") for i in range(2)]
+    said = [(r["role"], r["content"][:10]) for r in run.messages().filter("question_id = 'a'").orderBy("step").collect()]
+    assert [role for role, _ in said] == ["system", *["user", "assistant"] * 4] and said[-1][1] == '{"answer":'
+    cache = run.cache().filter("question_id = 'a'").orderBy("round").collect()
+    assert [r["round"] for r in cache] == [0, 1] and cache[1]["context"] == got["a"]["context"]
+    # what the cache holds takes a new run to its last rounds
+    left = tables.resume(run.cache(), 2)
+    again = {r["question_id"]: r for r in answer.iterate(questions, _talk(), _searched, answer.Rounds(spark, f"{tmp_path}/three").save, n_rounds=2, cached=left).collect()}
+    assert again["a"]["rounds"] == 1 and again["a"]["context"] == got["a"]["context"]
+
+
+def test_a_stopped_run_goes_on_behind_its_last_round(spark, tmp_path):
+    questions = spark.createDataFrame(QUESTIONS[:1], "question_id string, question string, options map<string,string>")
+    run, rounds = answer.Rounds(spark, f"{tmp_path}/run"), []
+
+    def stops(q):
+        rounds.append(1)
+        if len(rounds) == 2:
+            raise KeyboardInterrupt("killed in the second round")
+        return _searched(q)
+
+    with pytest.raises(KeyboardInterrupt):
+        answer.iterate(questions, _talk(), stops, n_rounds=2, run=run)
+    number, state = run.last()
+    assert number == 1 and state.first()["context"].count("first thing") == 1
+    # round 0 is not asked again: a model that would fail there is not called for it
+    got = answer.iterate(questions, _talk(), stops, n_rounds=2, run=run).first()
+    assert got["answer"] == '{"answer": "B"}' and got["rounds"] == 3 and got["context"].count("first thing") == 2 and len(rounds) == 4
+    assert run.messages().filter("role = 'system'").count() == 1
+    done = answer.iterate(questions, _talk(["What?"]), stops, n_rounds=2, run=run).first()
+    assert done == got and len(rounds) == 4
