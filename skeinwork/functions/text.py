@@ -219,6 +219,18 @@ CHAT_STYLES = {
 }
 
 
+def _turns(chat: Column) -> tuple[Column, Column]:
+    """The leading system message's text or null, and the turns behind it."""
+    system = F.when(F.get(chat, F.lit(0))["role"] == "system", F.get(chat, F.lit(0))["content"])
+    return system, F.when(F.get(chat, F.lit(0))["role"] == "system", F.slice(chat, 2, 1 << 30)).otherwise(chat)
+
+
+def alternates(chat: Column) -> Column:
+    """Whether user and assistant take turns in array<struct<role, content>>, the user first, a leading system message aside."""
+    _, turns = _turns(chat)
+    return ~F.exists(F.transform(turns, lambda m, i: m["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")), lambda b: b)
+
+
 def chat_template(chat: Column, style: str | dict[str, str] = "inst") -> Column:
     """Prompt text of array<struct<role, content>>: a leading system message goes into the first user turn, roles must alternate.
     A style is a name of CHAT_STYLES, or start, user and assistant themselves (sources.tables.read_chat_style)."""
@@ -228,13 +240,11 @@ def chat_template(chat: Column, style: str | dict[str, str] = "inst") -> Column:
         before, _, after = form[role].partition("{}")
         return F.concat(F.lit(before), body, F.lit(after))
 
-    system = F.when(F.get(chat, F.lit(0))["role"] == "system", F.get(chat, F.lit(0))["content"])
-    turns = F.when(system.isNotNull(), F.slice(chat, 2, 1 << 30)).otherwise(chat)
-    wrong = F.exists(F.transform(turns, lambda m, i: m["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")), lambda b: b)
+    system, turns = _turns(chat)
 
     def turn(m: Column, i: Column) -> Column:
         body = strip(F.when((i == 0) & system.isNotNull(), F.concat(system, F.lit("\n\n"), m["content"])).otherwise(m["content"]))
         return F.when(m["role"] == "user", around("user", body)).otherwise(around("assistant", body))
 
     text = F.concat(F.lit(form.get("start", "")), F.array_join(F.transform(turns, turn), ""))
-    return F.when(wrong, F.raise_error(F.lit("conversation roles must alternate user/assistant"))).otherwise(text)
+    return F.when(~alternates(chat), F.raise_error(F.lit("conversation roles must alternate user/assistant"))).otherwise(text)

@@ -113,6 +113,11 @@ def manifest(rows: DataFrame, source: str, file: str, key: str, seed: int, reque
     }
 
 
+def most_frequent(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """column, n of the k most frequent values; ties: the least."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def fingerprint(rows: DataFrame, key: str, encoders: dict, seed: int) -> dict:
     """Identity of an index: encoders, seed, count, first and last key."""
     r = rows.agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).first()

@@ -209,6 +209,13 @@ def iterate(
     return state.select("question_id", F.coalesce("answer", "reply").alias("answer"), "rounds", "context")
 
 
+def round_context(found: DataFrame) -> DataFrame:
+    """question_id, more: what a round's searches (question_id, at, question, found) add to the context, in order; those that found nothing add nothing."""
+    said = F.concat(F.lit("Query: "), "question", F.lit("\nAnswer: "), "found")
+    rows = found.filter(F.col("found").isNotNull()).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))).alias("s"))
+    return rows.select("question_id", F.array_join(F.transform("s", lambda x: x["s"]), "\n\n").alias("more"))
+
+
 def _round(i: int, state: DataFrame, open_: DataFrame, generate: Callable, answer: Callable, keep: Callable, run: Rounds | None, n_queries: int) -> DataFrame:
     """The state behind round i."""
     late = F.col("left") <= i
@@ -228,10 +235,7 @@ def _round(i: int, state: DataFrame, open_: DataFrame, generate: Callable, answe
     got = answer(numbered.select("query_id", "question"))
     problem = F.col("error").cast("string") if "error" in got.columns else F.lit(None).cast("string")
     found = keep(got.select("query_id", F.col("answer").alias("found"), problem.alias("error")), f"answers-{i}")
-    said = F.concat(F.lit("Query: "), "question", F.lit("\nAnswer: "), "found")
-    texts = numbered.join(found.filter(F.col("found").isNotNull()), "query_id").groupBy("question_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))), lambda x: x["s"]), "\n\n").alias("more")
-    )
+    texts = round_context(numbered.join(found, "query_id"))
     grown = going.join(texts, "question_id", "left").withColumn("context", F.concat_ws("\n\n", F.nullif("context", F.lit("")), "more"))
     columns = state.columns
     parts = [df.withColumn("rounds", F.lit(i + 1)).select(*columns) for df in (closed, grown, failed)]

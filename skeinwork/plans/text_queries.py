@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinwork.functions import models
 from skeinwork.functions import text as T
-from skeinwork.operators import chunking, citations, fusion, sampling, safety
-from skeinwork.plans import prompts
+from skeinwork.operators import chunking, citations, evaluate, fusion, safety, sampling
+from skeinwork.plans import answer, prompts
 from skeinwork.plans.registry import query, table
+from skeinwork.sources import scratch, tables
 
 #: documents as raw chunks: source is the title's first part, lang its second.
 _RAW = "raw AS (SELECT doc_id::VARCHAR AS id, source || ' -- ' || lang AS title, text AS content FROM documents)"
@@ -79,7 +83,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "\n").cast("binary")).alias("joined"))
 
 
-_FRAMING = r"^(the )?(evidence|snippets?|corpus|passages?|context)\b|^(based on|according to|in summary|overall|however|note that)\b|^(this|these) (answer|response|summary)\b|insufficient_evidence"
+_FRAMING = "|".join((*T.FRAMING, T.INSUFFICIENT.lower()))
 
 
 @query(rf"""
@@ -141,13 +145,15 @@ def options_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-SELECT conv_id, bool_and(CASE WHEN before IS NULL OR before = 'system' THEN role IN ('user', 'system') ELSE role <> before AND role <> 'system' END) AS alternates FROM p GROUP BY conv_id""")
+WITH p AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' THEN 1 ELSE 0 END AS n FROM conversations)
+SELECT conv_id, coalesce(bool_and(role = CASE WHEN n % 2 = 1 THEN 'user' ELSE 'assistant' END) FILTER (n > 0), TRUE) AS alternates FROM p GROUP BY conv_id""")
 def role_alternation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("before", before)
-    ok = F.when(F.col("before").isNull() | (F.col("before") == "system"), F.col("role").isin("user", "system")).otherwise((F.col("role") != F.col("before")) & (F.col("role") != "system"))
-    return rows.groupBy("conv_id").agg(F.bool_and(ok).alias("alternates"))
+    return _chats(spark, sf_dir).select("conv_id", T.alternates(F.col("chat")).alias("alternates"))
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("c"))
+    return chats.select("conv_id", F.transform("c", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("chat"))
 
 
 @query(rf"""
@@ -157,20 +163,18 @@ b AS (SELECT conv_id, turn, role, {_STRIP.format("CASE WHEN n = 1 AND sys IS NOT
 SELECT conv_id, md5('<s>' || string_agg(CASE WHEN role = 'user' THEN '[INST] ' || body || ' [/INST]' ELSE body || '</s>' END, '' ORDER BY turn)) AS prompt_md5 FROM b GROUP BY conv_id""")
 def conversation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction-style prompts of whole conversations."""
-    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("c"))
-    chat = F.transform("c", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return chats.select("conv_id", F.md5(T.chat_template(chat).cast("binary")).alias("prompt_md5"))
+    return _chats(spark, sf_dir).select("conv_id", F.md5(T.chat_template(F.col("chat")).cast("binary")).alias("prompt_md5"))
 
 
 @query("""
 WITH u AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, role FROM conversations)
-SELECT conv_id, md5(string_agg('Query: ' || text || chr(10) || 'Answer: ' || reply, chr(10) || chr(10) ORDER BY turn)) AS context_md5, max(turn) AS last_round FROM u WHERE role = 'user' AND reply IS NOT NULL GROUP BY conv_id""")
+SELECT conv_id, md5(string_agg('Query: ' || text || chr(10) || 'Answer: ' || reply, chr(10) || chr(10) ORDER BY turn)) AS context_md5 FROM u WHERE role = 'user' AND reply IS NOT NULL GROUP BY conv_id""")
 def round_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of question and answer rounds, and the last round."""
-    rows = table(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'user' AND reply IS NOT NULL")
-    said = F.concat(F.lit("Query: "), "text", F.lit("\nAnswer: "), "reply")
-    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("r"), F.max("turn").alias("last_round"))
-    return lists.select("conv_id", F.md5(F.array_join(F.transform("r", lambda x: x["s"]), "\n\n").cast("binary")).alias("context_md5"), "last_round")
+    """What a round's searches add to the context; user turns as queries, the turns behind them as what was found."""
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("found", F.lead("text").over(turns)).filter("role = 'user'")
+    more = answer.round_context(rows.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("at"), F.col("text").alias("question"), "found"))
+    return more.select(F.col("question_id").alias("conv_id"), F.md5(F.col("more").cast("binary")).alias("context_md5"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch FROM documents")
@@ -184,20 +188,26 @@ def keyed_upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.last_per_key(docs, "k", "doc_id").select("source", "lang", "text_md5")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS had FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
 def incremental_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label yet: what a resumed run has left to do."""
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """A resumed output: it holds the labelled documents, then what is missing is appended, twice."""
+    path, labelled, docs = scratch.fresh(spark, "resumed"), table(spark, sf_dir, "labels").select("doc_id").distinct(), table(spark, sf_dir, "documents").select("doc_id")
+    labelled.withColumn("had", F.lit(True)).write.parquet(path)
+    for _ in range(2):
+        tables.write_missing(docs.withColumn("had", F.lit(False)), path, "doc_id")
+    return spark.read.parquet(path).select("doc_id", "had")
 
 
 @query("SELECT lang, count(*) AS n, list_aggregate(list_sort(list_distinct(list(source))), 'string_agg', ',') AS files FROM documents GROUP BY lang")
 def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("files"))
+    """The manifest of a sample: a row a source of it, here the language."""
+    made = sampling.manifest(table(spark, sf_dir, "documents"), "lang", "source", "doc_id", 1508)
+    return spark.createDataFrame([(k, v["count"], ",".join(v["files"])) for k, v in made["sources"].items()], "lang string, n long, files string")
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 3")
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3)
+    return sampling.most_frequent(table(spark, sf_dir, "documents"), "source", 3)
 
 
 _DRAW = "md5({0} || '|1508')"
@@ -226,13 +236,20 @@ def recursive_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
-@query("""
-SELECT doc_id, lower(replace(CASE source WHEN 'src1' THEN 'What causes {}?' WHEN 'src2' THEN 'How is {} managed?' END, '{}', lang || doc_id)) AS question FROM documents WHERE source IN ('src1', 'src2')""")
+_SECTIONS = [*evaluate.QUESTIONS, "Introduction"]
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, text, 'Topic ' || lang || (doc_id % 50) AS document, {_SECTIONS!r}[doc_id % 10 + 1] AS section FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY document, section ORDER BY doc_id) AS n FROM c WHERE section <> 'Introduction')
+SELECT replace({[*evaluate.QUESTIONS.values()]!r}[list_position({_SECTIONS!r}, section)], '{{}}', lower(document)) AS question, doc_id AS chunk_id, md5(text) AS reference_md5, document, section
+FROM f WHERE n = 1 ORDER BY doc_id LIMIT 400""")
 def gold_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from templates by section, here the source."""
-    rules = F.broadcast(spark.createDataFrame([("src1", "What causes {}?"), ("src2", "How is {} managed?")], "source string, template string"))
-    rows = table(spark, sf_dir, "documents").join(rules, "source")
-    return rows.select("doc_id", F.lower(F.replace("template", F.lit("{}"), F.concat("lang", F.col("doc_id").cast("string")))).alias("question"))
+    """Questions from templates by section; documents stand for chunks, sections and topics go by their number."""
+    section = F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    topic = F.concat(F.lit("Topic "), "lang", (F.col("doc_id") % 50).cast("string"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.lit("statpearls").alias("source_type"), topic.alias("document"), section.alias("section"))
+    return evaluate.gold_set(chunks, limit=400).select("question", "chunk_id", F.md5(F.col("reference").cast("binary")).alias("reference_md5"), "document", "section")
 
 
 @query(f"SELECT item_id, '{prompts.SYSTEM_EVIDENCE.replace(chr(39), chr(39) * 2)}' AS system, 'Documents:' || chr(10) || text AS user FROM benchmark")
@@ -240,3 +257,39 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = T.messages(("system", F.lit(prompts.SYSTEM_EVIDENCE)), ("user", F.concat(F.lit("Documents:\n"), "text")))
     rows = table(spark, sf_dir, "benchmark").select("item_id", chat.alias("m"))
     return rows.select("item_id", F.get("m", F.lit(0))["content"].alias("system"), F.get("m", F.lit(1))["content"].alias("user"))
+
+
+_XML = r"replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""
+SELECT doc_id || '_0' AS id, lang || ' -- ' || source AS title, md5({_STRIP.format('text')}) AS content_md5, md5(lang || ' -- ' || source || '. ' || {_STRIP.format('text')}) AS contents_md5
+FROM documents WHERE {_STRIP.format('text')} <> ''""")
+def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of sectioned articles; each document is an article of one section and paragraph."""
+    files = table(spark, sf_dir, "documents").filter(T.strip(F.col("text")) != "").select(
+        F.col("doc_id").cast("string").alias("name"),
+        F.concat(F.lit("<article><front><title>"), "lang", F.lit("</title></front><sec><title>"), "source", F.lit("</title><p>"), F.expr(_XML.format("text")), F.lit("</p></sec></article>")).alias("xml"),
+    )
+    made = chunking.article_chunks(files)
+    return made.select("id", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.md5(F.col("contents").cast("binary")).alias("contents_md5"))
+
+
+def _digest_of_prompt():
+    return lambda chat: hashlib.md5(chat[-1]["content"].encode()).hexdigest()
+
+
+@query(rf"""
+WITH q AS (SELECT conv_id, text AS question FROM conversations WHERE turn = 0),
+s AS (SELECT conv_id, string_agg('Document [' || i || '] (Title: ' || role || ') ' || text, chr(10) ORDER BY i) AS lines
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE turn > 0) GROUP BY conv_id),
+c AS (SELECT conv_id, question, array_to_string(list_filter(string_split_regex(coalesce(lines, ''), '\s+'), lambda t: t <> '')[1:64], ' ') AS context FROM q LEFT JOIN s USING (conv_id))
+SELECT conv_id, md5('Documents:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || chr(10) || 'Reply as JSON:') AS answer FROM c""")
+def context_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a context cut to 64 tokens; the stand-in model replies with a digest of its prompt. Opening turns ask, the others are snippets."""
+    rows = table(spark, sf_dir, "conversations").withColumn("question_id", F.col("conv_id"))
+    options = F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes"))
+    questions = rows.filter("turn = 0").select("question_id", F.col("text").alias("question"), options.alias("options"))
+    snippets = rows.filter("turn > 0").select("question_id", F.col("turn").alias("rank"), F.col("role").alias("title"), F.col("text").alias("content"))
+    got = answer.context_answers(questions, snippets, models.generator(_digest_of_prompt), 64)
+    return got.select(F.col("question_id").alias("conv_id"), "answer")
