@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs._run import main
+from skeinwork.functions import stem
 from skeinwork.functions import text as T
 from skeinwork.operators import lexical
 
@@ -34,7 +35,7 @@ class Settings:
     key: str = "doc_id"
     text: str = "text"
     stop_words: bool = False
-    stemming: bool = False
+    stemming: str = ""  # "", "plural" or "porter"
     buckets: int = 64
     files_per_batch: int = 1000
 
@@ -46,7 +47,9 @@ def _glob(path: str) -> str:
 
 def index_corpus(spark: SparkSession, s: Settings) -> dict:
     """Add the corpus's new documents to its index. Gives what was read and written by this run."""
-    analyze = T.analyzer(T.STOP_WORDS if s.stop_words else (), T.s_stem if s.stemming else None) if s.stop_words or s.stemming else T.tokens
+    if s.stemming not in ("", "plural", "porter"):
+        raise ValueError(f"stemming must be '', 'plural' or 'porter', not {s.stemming!r}")
+    analyze = T.analyzer(T.STOP_WORDS if s.stop_words else (), T.s_stem if s.stemming == "plural" else None, stem_all=stem.stems if s.stemming == "porter" else None)
     corpus = s.corpus.rstrip("/")
     schema = spark.read.parquet(corpus).select(s.key, s.text).schema
     done = {"batches": 0, "read": 0, "added": 0}

@@ -77,6 +77,19 @@ def attempts(make: Callable[[], Callable[..., str]], **options) -> Callable[[Col
     return run
 
 
+def cutter(make: Callable[[], Callable[[str], list[tuple[int, int]]]], budget: int) -> Callable[[Column], Column]:
+    """Column of texts -> each text up to the end of its `budget`-th token, otherwise unchanged. `make` builds, once a task, what gives the
+    places (start, end; in characters) of a text's tokens; a token that ends inside a character takes the character."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = make()
+        for texts in parts:
+            yield texts.map(lambda t: None if t is None else t[: max((e for _, e in places(t)[:budget]), default=0)] if len(t) else t)
+
+    return run
+
+
 def told(df: DataFrame, name: str, reply: Column) -> DataFrame:
     """df with the reply of a model, and its error under the name with `_error`; a model that gives plain text has none."""
     got = df.withColumn(name, reply)

@@ -109,7 +109,7 @@ def evidence(hits: Column) -> Column:
 
 
 def truncate_tokens(x: Column, budget: int) -> Column:
-    """The first `budget` words, single-spaced; for model tokenizers pass a pandas UDF in its place."""
+    """The first `budget` words, single-spaced; models.cutter cuts by a model's own tokens."""
     return F.array_join(F.slice(F.filter(F.split(x, SPACE), lambda t: t != ""), 1, budget), " ")
 
 
@@ -192,12 +192,16 @@ def s_stem(term: Column) -> Column:
     )
 
 
-def analyzer(stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None, split: Callable[[Column], Column] = tokens) -> Callable[[Column], Column]:
-    """Text -> terms for a lexical index: `split`, then stop words go, then terms are stemmed."""
+def analyzer(
+    stop: tuple[str, ...] = (), stem: Callable[[Column], Column] | None = None, split: Callable[[Column], Column] = tokens, stem_all: Callable[[Column], Column] | None = None
+) -> Callable[[Column], Column]:
+    """Text -> terms for a lexical index: `split`, then stop words go, then terms are stemmed, each by `stem` or the whole array by
+    `stem_all` (functions.stem.stems)."""
 
     def run(x: Column) -> Column:
         terms = F.filter(split(x), lambda t: ~t.isin(*stop)) if stop else split(x)
-        return F.transform(terms, stem) if stem else terms
+        terms = F.transform(terms, stem) if stem else terms
+        return stem_all(terms) if stem_all else terms
 
     return run
 

@@ -177,7 +177,7 @@ def citation_records(xml: str) -> list[tuple[str, str, str]]:
 
 
 def citation_chunks(files: DataFrame) -> DataFrame:
-    """Raw chunks of citation files; files: xml (one whole file a row, as compressed files can't be split)."""
+    """Raw chunks of citation files; files: xml, a record a row (sources.tables.read_xml_records) or a whole file."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

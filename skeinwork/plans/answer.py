@@ -92,10 +92,12 @@ def _chat(form: str, **slots: Column) -> Column:
     return T.messages(("system", F.lit(system)), said) if system else T.messages(said)
 
 
-def context_answers(questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024, model: str = "") -> DataFrame:
+def context_answers(
+    questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024, model: str = "", cut: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Answers to questions (question_id, question, options map) with the context of snippets (question_id, rank, title, content), or without.
 
-    The context is cut to `budget` tokens; replies are single-spaced; the prompt's form goes by the model's name.
+    The context is cut to `budget` words, or by `cut` (models.cutter, by the model's tokens); replies are single-spaced; the prompt's form goes by the model's name.
     """
     options = T.options_block(F.col("options"))
     if snippets is None:
@@ -104,7 +106,8 @@ def context_answers(questions: DataFrame, snippets: DataFrame | None, generate:
         lists = snippets.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("snippets"))
         none = F.array().cast(lists.schema["snippets"].dataType)
         rows = questions.join(lists, "question_id", "left").withColumn("snippets", F.coalesce("snippets", none))
-        context = T.truncate_tokens(F.array_join(T.context_lines(F.col("snippets")), "\n"), budget)
+        lines = F.array_join(T.context_lines(F.col("snippets")), "\n")
+        context = cut(lines) if cut is not None else T.truncate_tokens(lines, budget)
         chat = _chat(prompts.form_for(model, True), context=context, question=F.col("question"), options=options)
     return rows.withColumn("answer", T.collapse_space(generate(chat)))
 

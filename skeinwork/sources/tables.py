@@ -113,6 +113,13 @@ def read_whole_xml(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return rows.select(F.regexp_replace("_metadata.file_name", r"\.(nxml|xml)(\.gz)?$", "").alias("name"), F.col("value").alias("xml"))
 
 
+def read_xml_records(spark: SparkSession, path: str, glob: str, end: str = "</PubmedArticle>") -> DataFrame:
+    """name, xml of the records of large files: a record is what stands up to and with its end tag, so no row holds a file, and
+    uncompressed files are read by many tasks. What is behind the last record is a row too."""
+    rows = spark.read.option("pathGlobFilter", glob).option("lineSep", end).text(path)
+    return rows.select(F.regexp_replace("_metadata.file_name", r"\.(nxml|xml)(\.gz)?$", "").alias("name"), F.concat("value", F.lit(end)).alias("xml"))
+
+
 def write_batches(df: DataFrame, path: str, per_file: int = 10_000) -> None:
     """JSON lines of at most per_file rows a file."""
     df.write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)
