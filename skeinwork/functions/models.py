@@ -59,6 +59,19 @@ def generator(make: Callable[[], Callable[..., str]], **options) -> Callable[[Co
     return run
 
 
+def batched(make: Callable[[], Callable[..., list[str]]], batch: int = 32, **options) -> Callable[[Column], Column]:
+    """As `generator`, for a model that answers several chats in one call: it gets lists of up to `batch` chats."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        generate = make()
+        for chats in parts:
+            turns = [[{"role": m["role"], "content": m["content"]} for m in chat] for chat in chats]
+            yield pd.Series([r for at in range(0, len(turns), batch) for r in generate(turns[at : at + batch], **options)], dtype=object)
+
+    return run
+
+
 def attempts(make: Callable[[], Callable[..., str]], **options) -> Callable[[Column], Column]:
     """As `generator`, but a call that fails costs only its own row: struct<value, error>, one of which is null."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import models
 from skeinwork.functions import text as T
-from skeinwork.operators import citations, dense, fusion, safety
+from skeinwork.operators import citations, dense, fusion, lexical, safety
 from skeinwork.plans import prompts
 from skeinwork.sources import tables
 from skeinwork.sources.scratch import stage
@@ -93,17 +93,23 @@ def _chat(form: str, **slots: Column) -> Column:
 
 
 def context_answers(
-    questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024, model: str = "", cut: Callable[[Column], Column] | None = None
-) -> DataFrame:
-    """Answers to questions (question_id, question, options map) with the context of snippets (question_id, rank, title, content), or without.
+    questions: DataFrame, snippets: DataFrame | None, generate: Callable[[Column], Column], budget: int = 1024, model: str = "", cut: Callable[[Column], Column] | None = None,
+    ids: DataFrame | None = None, texts: DataFrame | None = None, search: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Answers to questions (question_id, question, options map) with the context of snippets, or without any.
 
-    The context is cut to `budget` words, or by `cut` (models.cutter, by the model's tokens); replies are single-spaced; the prompt's form goes by the model's name.
+    A question's evidence is what comes first of: its snippets (question_id, rank, title, content); its ids (question_id, rank, id), whose
+    title and content are looked up in texts (id, title, content); what `search` finds for it (questions -> question_id, rank, title, content).
+    Without any of the three no context is asked for. `search` is called for questions that have neither snippets nor ids.
+    The context is cut to `budget` words, or by `cut` (models.cutter, by the model's tokens); replies are single-spaced; the prompt's
+    form goes by the model's name.
     """
     options = T.options_block(F.col("options"))
-    if snippets is None:
+    found = _evidence(questions, snippets, ids, texts, search)
+    if found is None:
         rows, chat = questions, _chat(prompts.form_for(model, False), context=F.lit(""), question=F.col("question"), options=options)
     else:
-        lists = snippets.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("snippets"))
+        lists = found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("snippets"))
         none = F.array().cast(lists.schema["snippets"].dataType)
         rows = questions.join(lists, "question_id", "left").withColumn("snippets", F.coalesce("snippets", none))
         lines = F.array_join(T.context_lines(F.col("snippets")), "\n")
@@ -112,6 +118,59 @@ def context_answers(
     return rows.withColumn("answer", T.collapse_space(generate(chat)))
 
 
+def _evidence(questions: DataFrame, snippets: DataFrame | None, ids: DataFrame | None, texts: DataFrame | None, search: Callable[[DataFrame], DataFrame] | None) -> DataFrame | None:
+    """question_id, rank, title, content by precedence, or None if there is no source of it."""
+    columns, parts, open_ = ("question_id", "rank", "title", "content"), [], questions
+    if snippets is not None:
+        parts.append(snippets.select(*columns))
+    if ids is not None:
+        if texts is None:
+            raise ValueError("ids are looked up in texts: give both")
+        rest = ids.join(parts[0].select("question_id").distinct(), "question_id", "left_anti") if parts else ids
+        parts.append(fusion.lookup(rest, texts.select("id", "title", "content")).select(*columns))
+    if search is not None:
+        for p in (snippets, ids):
+            open_ = open_ if p is None else open_.join(p.select("question_id").distinct(), "question_id", "left_anti")
+        parts.append(search(open_).select(*columns))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+#: A retriever: questions (query_id, query) and a number of hits -> query_id, id, score; best first or, for distances, least first.
+Retriever = Callable[[DataFrame, int], DataFrame]
+
+
+def lexical_retriever(indexes: list[lexical.Index], **options) -> Retriever:
+    """BM25 over one or more corpora; options as of lexical.bm25."""
+
+    def run(questions: DataFrame, k: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [lexical.bm25(i, questions, k, **options).select("query_id", "id", "score") for i in indexes])
+
+    return run
+
+
+def dense_retriever(corpora: list[DataFrame], encode: Callable[[Column], Column], center: DataFrame | None = None, metric: str = "ip") -> Retriever:
+    """Vectors of one or more corpora (id, document, embedding): questions are encoded, and centered where the corpora are."""
+
+    def run(questions: DataFrame, k: int) -> DataFrame:
+        asked = questions.select("query_id", encode(F.col("query")).alias("embedding"))
+        asked = stage(dense.centered(asked, center) if center is not None else asked, "encoded-questions")  # the encoder is asked once
+        return reduce(DataFrame.unionByName, [dense.search(c, asked, k, metric=metric).select("query_id", "id", "score") for c in corpora])
+
+    return run
+
+
+def find(questions: DataFrame, retrievers: dict[str, Retriever], texts: DataFrame | None = None, k: int = 32, rrf_k: int = 100) -> DataFrame:
+    """From question texts (query_id, query) to ranked results in one call: query_id, id, score, rank (from 0), and the columns of
+    texts (id, ...) if they are given; without, ids only.
+
+    Every retriever searches all its corpora; several are fused, in the order of their names given. Blank questions find nothing.
+    """
+    asked = questions.filter(T.strip(F.col("query")) != "")
+    wide = fusion.over_fetch(k) if len(retrievers) > 1 else k
+    hits = retrieve({name: search(asked, wide) for name, search in retrievers.items()}, k=k, rrf_k=rrf_k).select("query_id", "id", "score", "rank")
+    return hits if texts is None else fusion.lookup(hits, texts)
+
+
 def retrieve(lists: dict[str, DataFrame], distances: frozenset[str] = frozenset(), k: int = 32, rrf_k: int = 100) -> DataFrame:
     """One ranking out of each retriever's hits over all corpora (query_id, id, score), in the order of the names given.
 

@@ -18,9 +18,9 @@ def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int = 16) -
 
 
 def ingest(chunks: DataFrame, target: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Embed each batch and append it; runs until the files that are there are done."""
+    """Embed each batch and write it under its number, so that a batch that is run again is written once; runs until the files that are there are done."""
 
     def write(batch: DataFrame, number: int) -> None:
-        embed(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
+        embed(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

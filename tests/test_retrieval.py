@@ -430,3 +430,44 @@ def test_a_stopped_run_goes_on_behind_its_last_round(spark, tmp_path):
     assert run.messages().filter("role = 'system'").count() == 1
     done = answer.iterate(questions, _talk(["What?"]), stops, n_rounds=2, run=run).first()
     assert done == got and len(rounds) == 4
+
+
+def test_from_question_texts_to_results(spark, tmp_path):
+    docs = [(1, "red fox jumps"), (2, "blue whale swims"), (3, "red whale and fox"), (4, "green tree")]
+    df = spark.createDataFrame(docs, "id long, text string")
+    for name, part in (("a", df.filter("id < 3")), ("b", df.filter("id >= 3"))):
+        lexical.write_index(part, f"{tmp_path}/{name}")
+    words = answer.lexical_retriever([lexical.open_index(spark, f"{tmp_path}/{n}") for n in "ab"])
+    encode = models.encoder(lambda: models.hashing_encoder(64))
+    corpus = df.select("id", F.lit("d").alias("document"), encode(F.col("text")).alias("embedding"))
+    vectors_of = answer.dense_retriever([corpus.filter("id < 3"), corpus.filter("id >= 3")], encode)
+    asked = spark.createDataFrame([(7, "red fox"), (8, " "), (9, None)], "query_id long, query string")
+    one = answer.find(asked, {"words": words}, k=2).orderBy("rank").collect()
+    assert {r["query_id"] for r in one} == {7} and {r["id"] for r in one} == {1, 3} and [r["rank"] for r in one] == [0, 1]
+    both = answer.find(asked, {"words": words, "vectors": vectors_of}, df, k=3).orderBy("rank").collect()
+    assert {r["id"] for r in both[:2]} == {1, 3} and both[0]["text"] in dict(docs).values() and len(both) == 3
+    lists = {"words": words(asked.filter("query_id = 7"), 100), "vectors": vectors_of(asked.filter("query_id = 7"), 100)}
+    assert [r["id"] for r in answer.retrieve(lists, k=3).orderBy("rank").collect()] == [r["id"] for r in both]
+
+
+def test_evidence_precedence(spark):
+    questions = spark.createDataFrame([(i, f"q{i}", {"A": "x"}) for i in range(4)], "question_id int, question string, options map<string,string>")
+    snippets = spark.createDataFrame([(0, 0, "t", "own snippet")], "question_id int, rank int, title string, content string")
+    ids = spark.createDataFrame([(0, 0, 5), (1, 0, 5)], "question_id int, rank int, id int")
+    texts = spark.createDataFrame([(5, "t", "text by id")], "id int, title string, content string")
+    seen = []
+
+    def search(open_):
+        seen.extend(r["question_id"] for r in open_.collect())
+        return open_.filter("question_id = 2").select("question_id", F.lit(0).alias("rank"), F.lit("t").alias("title"), F.lit("found text").alias("content"))
+
+    echo = models.batched(lambda: lambda chats: [c[-1]["content"] for c in chats], batch=2)
+    got = {r["question_id"]: r["answer"] for r in answer.context_answers(questions, snippets, echo, ids=ids, texts=texts, search=search).collect()}
+    assert sorted(set(seen)) == [2, 3]
+    said = ("own snippet", "text by id", "found text")
+    for i, words in enumerate(said):
+        assert words in got[i] and not any(w in got[i] for w in said if w != words)
+    assert not any(w in got[3] for w in said) and "q3" in got[3]
+    assert "Documents" not in answer.context_answers(questions, None, echo).first()["answer"]
+    with pytest.raises(ValueError):
+        answer.context_answers(questions, None, echo, ids=ids)
