@@ -53,8 +53,9 @@ def slipped(key: Column, word: Column, every: int = 31) -> Column:
 
 def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 7, least: int = 2) -> DataFrame:
     """word, n: the words of at least `shortest` code points found at least `least` times."""
-    found = docs.select(F.col(f"`{key}`").alias("id"), F.explode(F.filter(runs(F.col(f"`{text}`")), lambda w: F.length(w) >= shortest)).alias("run"))
-    counts = found.select(slipped(F.col("id"), F.col("run")).alias("word")).filter(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n"))
+    # outer, as for plain explode the optimizer splits every text once more, ahead of it, to leave out those without runs
+    found = docs.select(F.col(f"`{key}`").alias("id"), F.explode_outer(F.filter(runs(F.col(f"`{text}`")), lambda w: F.length(w) >= shortest)).alias("run"))
+    counts = found.filter("run is not null").select(slipped(F.col("id"), F.col("run")).alias("word")).filter(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") >= least)
 
 
