@@ -46,7 +46,8 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text", analyze: Anal
 
     A null text has no terms; a document given twice under one id has its postings twice.
     """
-    return _entries(docs, key, text, analyze).select("id", F.inline("entries"), "length").select("term", "id", "tf", "length")
+    # outer, as for plain inline the optimizer counts every array once more, ahead of it, to leave out empty ones
+    return _entries(docs, key, text, analyze).select("id", F.inline_outer("entries"), "length").filter("term is not null").select("term", "id", "tf", "length")
 
 
 def _entries(docs: DataFrame, key: str, text: str, analyze: Analyze) -> DataFrame:
@@ -90,6 +91,16 @@ class Index:
         return replace(self, postings=self.postings.filter(wanted), terms=self.terms.filter(wanted))
 
 
+def index_of_terms(docs: DataFrame, terms: DataFrame, key: str = "id", text: str = "text", analyze: Analyze = T.tokens, k1: float = 0.9, b: float = 0.4) -> Index:
+    """What an index of the documents holds of some terms (column term), for one question set: nothing else is written or sorted."""
+    size = lengths(docs, key, text, analyze)
+    got = size.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
+    mean = got["total"] / got["n"] if got["n"] else 0.0
+    held = scratch.stage(postings(docs, key, text, analyze).join(_few(terms.select("term").distinct()), "term", "left_semi").withColumn("bucket", F.lit(0)), "lexical-postings")
+    by_term = held.groupBy("term", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(weight(mean, k1, b)).alias("top"))
+    return Index(held, by_term, size, got["n"], mean, 1, k1, b)
+
+
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

@@ -38,6 +38,12 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.open_index(spark, path)
 
 
+def asked_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """What an index of the documents holds of the questions' terms."""
+    terms = _questions(spark, sf_dir).select(F.explode(T.tokens(F.col("query"))).alias("term"))
+    return lexical.index_of_terms(_docs(spark, sf_dir), terms)
+
+
 @query(f"{_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank < 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 10)
@@ -61,7 +67,7 @@ def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, rank, id, source, md5(text) AS text_md5 FROM r JOIN documents d ON d.doc_id = r.id WHERE rank < 10""")
 def late_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are joined to the few hits at the end."""
-    hits = lexical.bm25(corpus_index(spark, sf_dir), _questions(spark, sf_dir), 10)
+    hits = lexical.bm25(asked_index(spark, sf_dir), _questions(spark, sf_dir), 10)
     texts = fusion.lookup(hits, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text"))
     return texts.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -73,7 +79,7 @@ _GOLD = "g AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOI
 def gold(spark: SparkSession, sf_dir: str, index: lexical.Index | None = None) -> DataFrame:
     """query_id, id of documents that hold an item word for word: candidates have the item's rarest inner word in the stored
     postings, then the texts are compared. Items without an inner word are compared with every document."""
-    items, docs, index = _questions(spark, sf_dir), _docs(spark, sf_dir), index or corpus_index(spark, sf_dir)
+    items, docs, index = _questions(spark, sf_dir), _docs(spark, sf_dir), index or asked_index(spark, sf_dir)
     tokens = T.tokens(F.col("query"))
     asked = items.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, 1 << 30))).alias("term"), F.try_element_at(tokens, F.lit(-1)).alias("last"))
     inner = asked.filter("term <> last").select("query_id", "term")
@@ -93,7 +99,7 @@ h AS (SELECT g.*, r.rank FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.id
 SELECT round(avg(CASE WHEN rank < 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank < 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3,
        round(avg(CASE WHEN rank < 8 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_8, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr, count(*) AS n FROM h""")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus_index(spark, sf_dir)
+    index = asked_index(spark, sf_dir)
     hits = lexical.bm25(index, _questions(spark, sf_dir), 8)
     m = evaluate.recall_and_mrr(evaluate.first_ranks(gold(spark, sf_dir, index), hits))
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns if c != "n"), "n")
@@ -104,7 +110,7 @@ h AS (SELECT b.item_id AS query_id, r.rank, g.id IS NOT NULL AS rel FROM benchma
 w AS (SELECT query_id, rel, avg(rel::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p FROM h)
 SELECT query_id, round(coalesce(avg(CASE WHEN rel THEN p END), 0), 6) AS precision, max(rel::INT)::DOUBLE AS recall FROM w GROUP BY query_id""")
 def context_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus_index(spark, sf_dir)
+    index = asked_index(spark, sf_dir)
     hits = lexical.bm25(index, _questions(spark, sf_dir), 8).select("query_id", "id", "rank")
     rows = _questions(spark, sf_dir).select("query_id").join(hits, "query_id", "left").join(gold(spark, sf_dir, index).withColumn("relevant", F.lit(True)), ["query_id", "id"], "left")
     return evaluate.context_metrics(rows).select("query_id", F.round("precision", 6).alias("precision"), "recall")
@@ -115,7 +121,7 @@ m AS (SELECT query_id, max(round(score, 6)) AS top FROM r GROUP BY 1)
 SELECT item_id AS query_id, item_id IN (SELECT query_id FROM g) AS present, coalesce(top, 0) >= 20 AS found FROM benchmark LEFT JOIN m ON query_id = item_id""")
 def off_corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with and without a hit at the floor, beside whether the corpus holds them."""
-    index = corpus_index(spark, sf_dir)
+    index = asked_index(spark, sf_dir)
     top = lexical.bm25(index, _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("top"))
     present = gold(spark, sf_dir, index).select("query_id").distinct().withColumn("present", F.lit(True))
     rows = _questions(spark, sf_dir).join(top, "query_id", "left").join(present, "query_id", "left")
@@ -127,7 +133,7 @@ m AS (SELECT item_id AS query_id, coalesce(max(round(score, 6)), 0) AS score, it
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus_index(spark, sf_dir)
+    index = asked_index(spark, sf_dir)
     top = lexical.bm25(index, _questions(spark, sf_dir), 1).select("query_id", F.round("score", 6).alias("score"))
     present = gold(spark, sf_dir, index).select("query_id").distinct().withColumn("positive", F.lit(True))
     rows = _questions(spark, sf_dir).select("query_id").join(top, "query_id", "left").join(present, "query_id", "left")

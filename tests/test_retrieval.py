@@ -288,6 +288,9 @@ def test_bm25_in_segments_and_bounded(spark, zipf, tmp_path, monkeypatch, at_onc
         for k in (1, 10):
             got = lexical.bm25(index, queries, k).select("query_id", "id", F.col("rank").cast("int")).collect()
             assert sorted(map(tuple, got)) == want[k]
+    asked_terms = queries.select(F.explode(T.tokens(F.col("query"))).alias("term"))
+    few = lexical.index_of_terms(rows(texts), asked_terms)
+    assert sorted(map(tuple, lexical.bm25(few, queries, 10).select("query_id", "id", "rank").collect())) == want[10] and few.n == 900
     other = lexical.bm25(lexical.open_index(spark, path), queries, 10, k1=1.2, b=0.75).select("query_id", "id", "rank").collect()
     assert sorted(map(tuple, other)) == _plain_bm25(texts, [(q, t or "") for q, t in asked], 10, 1.2, 0.75)
 
