@@ -9,10 +9,12 @@ pointers) move to new groups right behind their old ones, and in a last pass eve
 its places in order. There is no recursion and no renaming.
 
 Equal strings meet in one shard (see `_repeats`), cut relative to their anchor. A shard's suffix array
-is over blocks of BLOCK bytes counted from the fragments' anchors: strings that start t bytes before
-a block border share all whole blocks, thus stand next to each other in the suffix array, and what is
-left at both ends is compared for each t, found by hash and then compared byte by byte. So the array has one entry for each
-block, not byte. Only texts and fragments as wholes are told apart by a digest (MD5).
+is over blocks of BLOCK bytes counted from the fragments' anchors, numbered in the order of their bytes, so it has one entry for each
+block, not byte, and stands in the order of the bytes behind each block border. Equal strings that start t bytes before a
+border share the whole blocks behind it: their borders are neighbours in the array. What is left of them behind those blocks is equal if the
+common prefixes of all neighbours between them reach so far; what is left in front is told the same way, by the order of the bytes
+in front read backwards. So the array's runs, cut where common prefixes are too short, decide for each t, without any hash. Only
+texts and fragments as wholes are told apart by a digest (MD5).
 
 Cases: a null text is empty; texts shorter than the width lose nothing; of repeated rows and exact
 copies of at least the width nothing is left, as each one's strings start elsewhere too; an empty
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._repeats import Rolling, Spec, mix, repeats
+from skeinwork.llm._repeats import Spec, repeats
 
 WIDTH, GRAM, BLOCK = 400, 128, 32
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -119,57 +121,92 @@ def _cut(raw: bytes) -> Callable[[int, int], bytes]:
     return lambda start, end: raw[start:end]
 
 
+def _common(raw: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, most: int, room: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from places a and b on, in steps of 1 or -1, up to `most` and the room there is."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 1 << 14):
+        x, y = a[k : k + (1 << 14), None], b[k : k + (1 << 14), None]
+        ways = step * np.arange(most)
+        equal = raw[np.clip(x + ways, 0, len(raw) - 1)] == raw[np.clip(y + ways, 0, len(raw) - 1)]
+        out[k : k + (1 << 14)] = np.where(equal.all(axis=1), most, np.argmin(equal, axis=1))
+    return np.minimum(out, room)
+
+
 def byte_index(data: list[bytes], marks: np.ndarray, windows: np.ndarray, times: np.ndarray, width: int = WIDTH, block: int = BLOCK) -> list[np.ndarray]:
     """Mask of the windows of each fragment that start at another place too."""
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     base = np.cumsum(sizes) - sizes
     repeated = np.repeat(times > 1, sizes)  # by the window's first byte
     whole = (width - block + 1) // block  # whole blocks in every window, wherever it starts
-    # block borders are counted from the anchor, to which equal windows lie alike
+    # block borders are counted from the anchor, to which equal windows lie alike; a fragment's last block may be a part of one
     first = marks % block
-    count = (sizes - first) // block
+    count = np.maximum(-(-(sizes - first) // block), 0)
     own = np.repeat(np.arange(len(data)), count)
     border = (base + first)[own] + block * (np.arange(len(own)) - (np.cumsum(count) - count)[own])
     raw = np.frombuffer(b"".join(data), np.uint8)
-    # blocks get ranks by their bytes as symbols, 0 parts the fragments
-    content = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, block)[border]) if len(border) else np.zeros((0, block), np.uint8)
-    symbols = np.unique(content.view(f"V{block}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1
+    if not len(border):
+        return [repeated[b : b + w] for b, w in zip(base, windows)]
+    stop = (base + sizes)[own]
+    # blocks get numbers in the order of their bytes, what a part lacks being less than any byte; 0 parts the fragments
+    symbols = _numbered(raw, border, stop, block)
     gap = np.flatnonzero(np.diff(own)) + 1
-    symbols, border, own = np.insert(symbols, gap, 0), np.insert(border, gap, -1), np.insert(own, gap, -1)
+    symbols, border, own, stop = np.insert(symbols, gap, 0), np.insert(border, gap, -1), np.insert(own, gap, -1), np.insert(stop, gap, -1)
     sa = np.array(suffix_array(symbols.tolist()), np.int64)
     padded = np.append(symbols, np.zeros(whole, np.int64))
-    heads = np.stack([padded[sa + k] for k in range(whole)], axis=1)
-    run = np.cumsum(np.append(True, (heads[1:] != heads[:-1]).any(axis=1)))
-    full = (heads > 0).all(axis=1)
+    run = np.zeros(len(sa), np.int64)
+    for k in range(whole):
+        head = padded[sa + k]
+        run[1:] |= head[1:] != head[:-1]
+    run = np.cumsum(run)
+    held = whole * block
+    full = border[sa] + held <= stop[sa]  # the inserted ones have stop -1 and do not fit
     sa, run = sa[full], run[full]
     same = run[1:] == run[:-1]
-    near = np.append(False, same) | np.append(same, False)  # a run of one is no repeat
-    border, run, own = border[sa[near]], run[near], own[sa[near]]
-    rolling = Rolling(_BYTES[raw])
-    rest = width - whole * block  # bytes of a window outside its whole blocks
+    near = np.append(False, same) | np.append(same, False) if len(run) else np.zeros(0, bool)  # a run of one is no repeat
+    border, run, own, stop = border[sa[near]], run[near], own[sa[near]], stop[sa[near]]
+    m, rest = len(border), width - held  # bytes of a window outside its whole blocks
+    if not m:
+        return [repeated[b : b + w] for b, w in zip(base, windows)]
+    behind, front = border + held, border - 1
+    after, before = stop - behind, border - base[own]  # bytes there are
+    right = np.where(run[1:] == run[:-1], _common(raw, behind[:-1], behind[1:], 1, rest, np.minimum(after[1:], after[:-1])), -1)
+    order = _backwards(raw, front, before, block)
+    left = _common(raw, front[order[:-1]], front[order[1:]], -1, block, np.minimum(before[order[1:]], before[order[:-1]]))
     for t in range(block):  # a window belongs to the first border at or behind its start
         at = border - t
-        ok = (at >= base[own]) & (at < base[own] + windows[own])
-        a, m, r = at[ok], border[ok], run[ok]
-        h = mix(rolling.span(a, m) + mix(r.astype(np.uint64))) + rolling.span(m + whole * block, a + width)
-        order = np.argsort(h, kind="stable")
-        a, m, r, h = a[order], m[order], r[order], h[order]
-        # neighbours with equal hashes are compared by their run and the bytes at both ends
-        twin = np.flatnonzero(h[1:] == h[:-1])
-        ends = np.where(np.arange(rest) < t, np.arange(rest), whole * block + np.arange(rest))
-        equal = r[twin] == r[twin + 1]
-        for k in range(0, len(twin), 1 << 14):
-            some = twin[k : k + (1 << 14)]
-            equal[k : k + (1 << 14)] &= (raw[a[some, None] + ends] == raw[a[some + 1, None] + ends]).all(axis=1)
-        if not equal.all():  # different bytes of one hash: all windows of this t by their bytes
-            text = np.ascontiguousarray(np.concatenate([r.astype(np.int64)[:, None].view(np.uint8), raw[a[:, None] + ends]], axis=1))
-            _, back, n = np.unique(text.view(f"V{text.shape[1]}").reshape(-1), return_inverse=True, return_counts=True)
-            repeated[a[n[back.reshape(-1)] > 1]] = True
-            continue
-        repeated[a[twin]] = repeated[a[twin + 1]] = True
+        ok = np.flatnonzero((at >= base[own]) & (at < base[own] + windows[own]))
+        groups = np.cumsum(np.append(0, right < rest - t))[ok] * (m + 1)
+        of_left = np.empty(m, np.int64)
+        of_left[order] = np.cumsum(np.append(0, left < t))
+        groups += of_left[ok]
+        place = np.argsort(groups, kind="stable")
+        twin = np.flatnonzero(groups[place[1:]] == groups[place[:-1]])
+        repeated[at[ok[place[twin]]]] = repeated[at[ok[place[twin + 1]]]] = True
     return [repeated[b : b + w] for b, w in zip(base, windows)]
 
 
+def _numbered(raw: np.ndarray, border: np.ndarray, stop: np.ndarray, block: int) -> np.ndarray:
+    """Numbers from 1 of the blocks at the borders, in the order of their bytes; bytes that are not there come first."""
+    wide = np.zeros((len(border), block), ">u2")
+    for k in range(0, len(border), 1 << 14):
+        places = border[k : k + (1 << 14), None] + np.arange(block)
+        there = places < stop[k : k + (1 << 14), None]
+        wide[k : k + (1 << 14)] = np.where(there, raw[np.minimum(places, len(raw) - 1)].astype(np.int64) + 1, 0)
+    return np.unique(wide.view(f"V{2 * block}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1
+
+
+def _backwards(raw: np.ndarray, front: np.ndarray, before: np.ndarray, block: int) -> np.ndarray:
+    """The order of the bytes in front, read backwards for a block; where one ends, it comes first."""
+    block = -(-block // 8) * 8
+    keys = np.zeros((len(front), block), np.uint8)
+    for k in range(0, len(front), 1 << 14):
+        ways = np.arange(block)
+        there = ways < before[k : k + (1 << 14), None]
+        keys[k : k + (1 << 14)] = np.where(there, raw[np.maximum(front[k : k + (1 << 14), None] - ways, 0)], 0)
+    words = np.ascontiguousarray(keys).view(">u8").astype(np.uint64)
+    return np.lexsort((before, *words.T[::-1]))
+
+
 SPEC = Spec("suffix", WIDTH, GRAM, _symbols, _cut, 4)
 
 
