@@ -146,3 +146,17 @@ def test_manifest_has_a_time(spark):
     rows = spark.createDataFrame([(1, "s", "f")], "id int, source string, file string")
     made = sampling.manifest(rows, "source", "file", "id", 7, 5)
     assert made["created_at"].endswith("+00:00") and made["requested"] == 5 and made["sources"]["s"] == {"count": 1, "files": ["f"]}
+
+
+def test_running_sums_in_many_ranges(spark, monkeypatch):
+    from skeinwork.operators import ranges
+
+    monkeypatch.setattr(ranges, "ROWS", 2)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x"), (F.col("id") * 0 + 2).alias("n")).repartition(4)
+    got = {r["x"]: r["s"] for r in ranges.running(rows, "x", s="n").collect()}
+    assert got == {float(x): 2 * (x + 1) for x in range(1000)}
+    bounds = [0.5, 2.0, 2.5, 7.0, 9.0]
+    for count in range(6):
+        some = bounds[:count]
+        got = [r[0] for r in rows.filter("x < 12").orderBy("x").select(ranges.place(F.col("x"), some)).collect()]
+        assert got == [sum(b <= x for b in some) for x in range(12)]
