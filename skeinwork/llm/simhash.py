@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm._shared import discard, spare_name, stage
+from skeinwork.llm._shared import discard, maybe_broadcast, spare_name, stage
 
 RADIUS = 2
 CELL = 8_000
@@ -353,11 +353,17 @@ def link_similar(fps: np.ndarray, sets: list[bytes], roots: np.ndarray | None =
     return found[:, 0], found[:, 1]
 
 
+def _of(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """One row of texts (digest, text; copies have a row each) for each of the digests. Texts that are not asked for are not
+    moved where the digests were measured to be few."""
+    return texts.join(maybe_broadcast(digests, 64), "digest", "left_semi").dropDuplicates(["digest"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Of pairs (structs a, b of node, fp, digest) the links (u, v) of similar sets. Texts (digest, text) move to their pairs,
     a row at a time; what a task holds is one pair and the set of the last b."""
     asked = stage(pairs.select(F.col("a.digest").alias("ad"), F.col("b.digest").alias("bd"), F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "simhash-pairs")
-    held = stage(texts.join(asked.select(F.explode(F.array("ad", "bd")).alias("digest")).distinct(), "digest"), "simhash-texts")
+    held = stage(_of(texts, asked.select(F.explode(F.array("ad", "bd")).alias("digest")).distinct()), "simhash-texts")
     first = asked.join(held.select(F.col("digest").alias("ad"), F.col("text").alias("x")), "ad")
     both = first.join(held.select(F.col("digest").alias("bd"), F.col("text").alias("y")), "bd").select("u", "v", "bd", "x", "y")
 
@@ -381,7 +387,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 def _compared(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links (u, v) within each (cell, part) of members cell, part, block, node, fp, digest, root. Members of one block are compared
     if it is alone in its part."""
-    held = texts.join(members.select("digest").distinct(), "digest")
+    held = _of(texts, members.select("digest").distinct())
 
     def run(key, pdf):  # twice SIMILAR_CELL members at most, long ones counting more
         import pandas as pd
@@ -491,7 +497,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     nodes = stage(docs.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     links = near_links(nodes)
     if similar:
-        texts = df.select(_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["digest"])
+        texts = df.select(_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         parts = [F.first(c).alias(c) for c in ("cells", "size", "rare", "prefix")]
         sets = stage(docs.groupBy("node", "fp").agg(F.min("digest").alias("digest"), *parts), "simhash-sets")
         large, docs = docs, stage(docs.select(key, "fp"), "simhash-docs")
