@@ -8,9 +8,9 @@ on. Words therefore meet by the bigram together with all that is before it, or a
 whose lengths, and so positions, are more than one apart are never formed. Every pair that met is verified.
 
 A rare bigram at a word's edge can still gather many words. Keys of more than CROWDED words are refined: instead of
-the key alone, words meet by the key and what is left of them without one character (at its place, for equal lengths,
-or whole, for lengths one apart). Such a meeting has an alphabet's worth of words for each place, however many words there are, and
-misses no pair.
+the key alone, words meet by the key and the whole word, or what is left of it without one character. Words of equal length that are near
+are the same without the character that differs, of others the longer one is the shorter one without a character. Such a meeting has
+an alphabet's worth of words for each place at most, however many words there are, and misses no pair.
 
 Bigrams are ordered by their own frequency, positions kept beside them: an edit shifts positions, so an order by bigram and
 position would not be the same in both words.
@@ -87,8 +87,8 @@ def _refined(rows: DataFrame) -> DataFrame:
     first = F.when(key.startswith("<"), held + 1).otherwise(1)
     last = F.when(key.startswith("<"), n).otherwise(n - held)
     without = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n))
-    losses = F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.array(F.concat_ws("|", key, without(i), i.cast("string")), F.concat_ws("|", key, without(i)))))
-    keys = F.concat(F.array(F.concat_ws("|", key, word)), F.coalesce(F.flatten(losses), F.array().cast("array<string>")))
+    losses = F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.concat_ws("|", key, without(i))))
+    keys = F.concat(F.array(F.concat_ws("|", key, word)), F.coalesce(losses, F.array().cast("array<string>")))
     return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "word")
 
 
