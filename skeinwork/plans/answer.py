@@ -143,7 +143,8 @@ def lexical_retriever(indexes: list[lexical.Index], **options) -> Retriever:
     """BM25 over one or more corpora; options as of lexical.bm25."""
 
     def run(questions: DataFrame, k: int) -> DataFrame:
-        return reduce(DataFrame.unionByName, [lexical.bm25(i, questions, k, **options).select("query_id", "id", "score") for i in indexes])
+        hits = reduce(DataFrame.unionByName, [lexical.bm25(i, questions, k, **options) for i in indexes])
+        return hits.select("query_id", "id", F.round("score", 9).alias("score"))  # as ranked there, so equal texts tie here too
 
     return run
 

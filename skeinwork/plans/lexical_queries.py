@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
 from skeinwork.operators import evaluate, fusion, lexical
+from skeinwork.plans import answer
 from skeinwork.plans.registry import query, table
 from skeinwork.sources import scratch
 
@@ -152,3 +153,23 @@ a AS (SELECT threshold, avg(CASE WHEN (score >= threshold) = positive THEN 1.0 E
 SELECT threshold, round(accuracy, 6) AS accuracy FROM a ORDER BY accuracy DESC, threshold LIMIT 1""")
 def calibrate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_threshold(_scores(spark, sf_dir)).select("threshold", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, doc_id % 2 AS c, {_TOKENS.format('text')} AS ts FROM documents),
+tot AS (SELECT c, count(*) AS n, avg(len(ts)) AS mean FROM d GROUP BY c),
+p AS (SELECT id, c, len(ts) AS length, unnest(ts) AS term FROM d),
+tf AS (SELECT term, id, c, length, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, c, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
+s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * length / mean))) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term, c) JOIN tot USING (c) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank, source, lang FROM r JOIN documents ON doc_id = id WHERE rank < 8""")
+def find_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From question texts to results in one call, over two corpora with an index each (documents of even and odd number)."""
+    terms = _questions(spark, sf_dir).select(F.explode(T.tokens(F.col("query"))).alias("term"))
+    indexes = [lexical.index_of_terms(_docs(spark, sf_dir).filter(F.col("id") % 2 == n), terms) for n in range(2)]
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    got = answer.find(_questions(spark, sf_dir), {"words": answer.lexical_retriever(indexes)}, texts, 8)
+    return got.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source", "lang")
