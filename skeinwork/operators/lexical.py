@@ -35,8 +35,9 @@ NAMED_TERMS = 256
 #: Documents that a query's strongest terms name before its k-th score is first bounded, as a multiple of k.
 SEEDS = 10
 
-#: Question sets that meet no more postings than this are scored at once; so are queries of which the bound would spare less than a half.
-AT_ONCE = 50_000_000
+#: Question sets that meet no more postings than this are scored at once; so are questions of more terms than SHORT, whose weak terms add up
+#: to so much that hardly a document is ruled out, and those of which the bound would spare less than a half.
+AT_ONCE, SHORT = 50_000_000, 12
 
 TOTALS = "identity string, buckets int, n long, total long, mean double, k1 double, b double, segment int"
 
@@ -242,7 +243,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
        candidates, and of these only those stay whose score so far and the weak terms' greatest weights reach the bound.
     3. Candidates that are left get their weights of the weak terms, and the best k of each query are taken.
 
-    Small question sets are scored at once, in a pass over their postings.
+    Small question sets and long questions are scored at once, in a pass over their postings.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
     part = narrowed(index, asked)
@@ -257,10 +258,14 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
         return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
     def matched(terms: DataFrame) -> DataFrame:
-        """query_id, id, score: the weights of `terms` in all documents that have any of them."""
-        return part.postings.join(_few(terms.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
-
-    if (known.agg(F.sum("df")).first()[0] or 0) <= AT_ONCE:
+        """query_id, id, score: the weights of `terms` in all documents that have any of them. Postings are dealt by document first, so the
+        many more (query, document) pairs are summed where they are made."""
+        return part.postings.repartition("id").join(_few(terms.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
+
+    size = Window.partitionBy("query_id")
+    known = known.withColumn("short", F.count("*").over(size) <= SHORT)
+    met = known.agg(F.sum("df").alias("df"), F.bool_or("short").alias("short")).first()
+    if (met["df"] or 0) <= AT_ONCE or not met["short"]:
         return ranked(matched(known))
     placed = known.withColumns({"named": F.sum("df").over(by_strength) - F.col("df"), "rest": F.sum("most").over(by_strength.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
 
@@ -269,12 +274,12 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
         places = pairs.select("query_id", "id").join(terms.select("query_id", "term", "idf"), "query_id")
         return part.postings.join(places, ["term", "id"]).groupBy("query_id", "id").agg(F.sum(scored).alias("more"))
 
-    seeds = placed.filter(F.col("named") < SEEDS * k)
+    seeds = placed.filter(F.col("short") & (F.col("named") < SEEDS * k))
     strong = matched(seeds).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("at") <= 3 * k)
     in_full = complete(strong, known).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("more"), "id")))
     bounds = in_full.filter(F.col("at") == k).select("query_id", (F.col("more") - 1e-6).alias("bound"))
     needed = F.col("rest") >= F.coalesce("bound", F.lit(0.0))
-    spared = F.sum(F.when(~needed, F.col("df")).otherwise(0)).over(Window.partitionBy("query_id")) / F.sum("df").over(Window.partitionBy("query_id"))
+    spared = F.sum(F.when(~needed, F.col("df")).otherwise(0)).over(size) / F.sum("df").over(size)
     judged = scratch.stage(placed.join(bounds, "query_id", "left").withColumn("weak", ~needed & (spared >= 0.5)), "lexical-bounds")
     limits = judged.groupBy("query_id").agg(F.coalesce(F.max("bound"), F.lit(0.0)).alias("bound"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("open"))
     candidates = matched(judged.filter("not weak")).join(_few(limits), "query_id")
