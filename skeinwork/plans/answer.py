@@ -273,10 +273,11 @@ def iterate(
 
 
 def round_context(found: DataFrame) -> DataFrame:
-    """question_id, more: what a round's searches (question_id, at, question, found) add to the context, in order; those that found nothing add nothing."""
+    """question_id, more, last: what a round's searches (question_id, at, question, found) add to the context, in order, and the last `at` that
+    adds to it; those that found nothing add nothing."""
     said = F.concat(F.lit("Query: "), "question", F.lit("\nAnswer: "), "found")
-    rows = found.filter(F.col("found").isNotNull()).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))).alias("s"))
-    return rows.select("question_id", F.array_join(F.transform("s", lambda x: x["s"]), "\n\n").alias("more"))
+    rows = found.filter(F.col("found").isNotNull()).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", said.alias("s")))).alias("s"), F.max("at").alias("last"))
+    return rows.select("question_id", F.array_join(F.transform("s", lambda x: x["s"]), "\n\n").alias("more"), "last")
 
 
 def _round(i: int, state: DataFrame, open_: DataFrame, generate: Callable, answer: Callable, keep: Callable, run: Rounds | None, n_queries: int) -> DataFrame:

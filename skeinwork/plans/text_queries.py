@@ -168,13 +168,13 @@ def conversation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, role FROM conversations)
-SELECT conv_id, md5(string_agg('Query: ' || text || chr(10) || 'Answer: ' || reply, chr(10) || chr(10) ORDER BY turn)) AS context_md5 FROM u WHERE role = 'user' AND reply IS NOT NULL GROUP BY conv_id""")
+SELECT conv_id, md5(string_agg('Query: ' || text || chr(10) || 'Answer: ' || reply, chr(10) || chr(10) ORDER BY turn)) AS context_md5, max(turn) AS last_round FROM u WHERE role = 'user' AND reply IS NOT NULL GROUP BY conv_id""")
 def round_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a round's searches add to the context; user turns as queries, the turns behind them as what was found."""
+    """What a round's searches add to the context, and the last that found anything; user turns as queries, the turns behind them as what was found."""
     turns = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("found", F.lead("text").over(turns)).filter("role = 'user'")
     more = answer.round_context(rows.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("at"), F.col("text").alias("question"), "found"))
-    return more.select(F.col("question_id").alias("conv_id"), F.md5(F.col("more").cast("binary")).alias("context_md5"))
+    return more.select(F.col("question_id").alias("conv_id"), F.md5(F.col("more").cast("binary")).alias("context_md5"), F.col("last").alias("last_round"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS batch FROM documents")

@@ -50,3 +50,11 @@ def test_gold_of_short_items(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = sorted((i, d) for i, q in items for d, t in docs if q is not None and t is not None and q in t)
     assert sorted(map(tuple, lexical_queries.gold(spark, str(tmp_path)).collect())) == want
+
+
+def test_round_context_gives_the_last_round(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "nobody replies"), (2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["round_context"](spark, str(tmp_path)).collect()
+    assert [(r["conv_id"], r["last_round"]) for r in got] == [(1, 2)]
+    assert "last_round" in registry.ORACLES["round_context"]
