@@ -1,10 +1,13 @@
-"""Exact dense retrieval: one scan of the corpus for all queries, local top lists, one small final ranking.
+"""Exact dense retrieval: one scan of the corpus for all queries, local top lists, one final ranking.
+
+Matrices of scores are made a tile of at most TILE numbers at a time, so a task's memory does not grow with queries or corpus.
 
 `quantized` has the approximate search.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +20,11 @@ from skeinwork.functions import vectors
 #: Query vectors are sent to all tasks if they have no more numbers than this.
 BLOCK_NUMBERS = 2_000_000
 
-#: Where there are more, the corpus is dealt to blocks of about so many numbers.
-CORPUS_NUMBERS = 16_000_000
+#: Where there are more, the corpus is dealt to blocks of about so many numbers. Tasks also gather so many before they score.
+CORPUS_NUMBERS = 4_000_000
+
+#: A task makes at most about so many scores at once, and gives its rows in tables of at most about so many.
+TILE, GIVEN = 2_000_000, 500_000
 
 #: Queries and batches of the corpus to rows.
 Work = Callable[[pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -44,13 +50,14 @@ def scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     return queries @ corpus.T
 
 
-def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, key: str = "id") -> DataFrame:
+def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, given: int = 1) -> DataFrame:
     """Rows that `work` makes of all queries and all rows of the corpus; every pair is seen once.
 
     A question set of at most BLOCK_NUMBERS numbers goes to all tasks, and the corpus is read where it lies. A larger one is
     dealt to blocks by hash, the corpus too, and each pair of blocks meets in a task by a shuffle: nothing passes through the
     driver, the corpus is scanned once, and the plan does not grow with the queries.
-    Both have a column embedding; rows without one are left out.
+    Both have a column embedding; rows without one are left out. `given` is how many rows of a query work gives for a tile: blocks
+    keep to about 2 * GIVEN of them.
     """
     queries, corpus = (df.filter(F.col("embedding").isNotNull()) for df in (queries, corpus))
     first = queries.select(F.size("embedding")).first()
@@ -60,15 +67,18 @@ def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, key
     most = max(BLOCK_NUMBERS // width, 1)
     rows = queries.limit(most + 1).collect()  # bounded by BLOCK_NUMBERS
     if len(rows) <= most:
-        shared = corpus.sparkSession.sparkContext.broadcast(pd.DataFrame(rows, columns=queries.columns))
+        few = pd.DataFrame(rows, columns=queries.columns)
+        few["embedding"] = [np.array(v, float) for v in few["embedding"]]  # lists of numbers take four times the room
+        shared = corpus.sparkSession.sparkContext.broadcast(few)
+        del rows
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from work(shared.value, parts)
 
         return corpus.mapInPandas(run, schema)
-    left, right = -(-queries.count() // most), -(-corpus.count() * width // CORPUS_NUMBERS)
+    left, right = -(-queries.count() // max(min(most, 2 * GIVEN // given), 1)), -(-corpus.count() * width // CORPUS_NUMBERS)
     asked = queries.withColumns({"__left": F.pmod(F.xxhash64("query_id"), F.lit(left)), "__right": F.explode(F.sequence(F.lit(0), F.lit(max(right, 1) - 1)).cast("array<long>"))})
-    held = corpus.withColumns({"__right": F.pmod(F.xxhash64(key, "embedding"), F.lit(max(right, 1))), "__left": F.explode(F.sequence(F.lit(0), F.lit(left - 1)).cast("array<long>"))})
+    held = corpus.withColumns({"__right": F.pmod(F.xxhash64("id", "embedding"), F.lit(max(right, 1))), "__left": F.explode(F.sequence(F.lit(0), F.lit(left - 1)).cast("array<long>"))})
 
     names, own = [f.split()[0] for f in schema.split(",")], queries.columns
     # queries may be rows of the corpus: their columns get names of their own
@@ -82,10 +92,41 @@ def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, key
     return asked.groupBy("a", "b").cogroup(held.groupBy("__left", "__right")).applyInPandas(meet, schema)
 
 
-def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip") -> DataFrame:
-    """query_id, id, document, score: for each query the `most` best of each task's rows, a superset of the best of all.
+def gathered(parts: Iterator[pd.DataFrame], numbers: int) -> Iterator[pd.DataFrame]:
+    """Batches joined to tables of about `numbers` numbers in column embedding, and cut to these where they are larger."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in parts:
+        if not len(pdf):
+            continue
+        step = max(numbers // max(len(pdf["embedding"].iloc[0]), 1), 1)
+        for at in range(0, len(pdf), step):
+            piece = pdf.iloc[at : at + step]
+            if held and n + len(piece) > step:
+                yield pd.concat(held)
+                held, n = [], 0
+            held.append(piece)
+            n += len(piece)
+    if held:
+        yield pd.concat(held)
+
+
+def best(about: np.ndarray, most: int, slack: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's `most` greatest numbers, with all that are no more than `slack` below the last of them."""
+    if about.shape[1] > most:
+        last = np.partition(about, about.shape[1] - most, axis=1)[:, about.shape[1] - most]
+        return np.nonzero(about >= (last - slack)[:, None])
+    return np.nonzero(np.ones(about.shape, bool))
+
+
+def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip", within: bool = False) -> DataFrame:
+    """query_id, id, document, score: for each query the `most` best of each tile of the corpus, a superset of the best of all.
 
     corpus: id, document, embedding; queries: query_id, embedding. Ties: least id. Null embeddings are nobody's hit and have none.
+    With `within` only vectors of the query's document (queries have a column document too), other than itself, are hits.
+
+    A matrix product names the candidates; those near its last place are scored again one by one, as a product's last bits
+    differ with the place in the matrix, and equal vectors have to tie.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -94,32 +135,75 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
     schema = f"query_id {query_type}, id {fields['id']}, document {fields['document']}, score double"
 
     def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, block = q["query_id"].to_numpy(), np.array(q["embedding"].to_list(), float)
-        best: list[pd.DataFrame] = []
-        held = 0
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            pdf = pdf.sort_values("id")  # equal scores are cut by id
-            s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :most]
-            at = np.repeat(np.arange(len(names)), order.shape[1])
-            rows = order.reshape(-1)
-            best.append(pd.DataFrame({"q": at, "id": pdf["id"].to_numpy()[rows], "document": pdf["document"].to_numpy()[rows], "score": s[at, rows]}))
-            held += len(rows)
-            if held > 4 * most * len(names) + 100_000:
-                best, held = [_cut(pd.concat(best), most)], most * len(names)
-        if best:
-            got = _cut(pd.concat(best), most)
-            got.insert(0, "query_id", names[got.pop("q").to_numpy()])
-            yield got
-
-    return pairwise(corpus.select("id", "document", "embedding"), queries.select("query_id", "embedding"), work, schema)
-
-
-def _cut(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    rows = rows.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-    return rows[rows.groupby("q").cumcount() < most].reset_index(drop=True)
+        names, block = q["query_id"].to_numpy(), _prepared(np.array(q["embedding"].to_list(), float), metric)
+        places = q["document"].to_numpy() if within else None
+        for pdf in gathered(parts, CORPUS_NUMBERS):
+            pdf = pdf.sort_values("id", kind="stable")
+            ids, documents = pdf["id"].to_numpy(), pdf["document"].to_numpy()
+            vecs = _prepared(np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
+            del pdf
+            squares = (vecs * vecs).sum(axis=1)
+            longest = math.sqrt(squares[np.isfinite(squares)].max(initial=0.0))
+            step = max(min(TILE // len(ids), GIVEN // min(most, len(ids))), 1)
+            made: list[pd.DataFrame] = []
+            n = 0
+            for at in range(0, len(names), step):
+                some = block[at : at + step]
+                about, slack = _about(some, vecs, squares, longest, metric)
+                if within:
+                    about[(places[at : at + step, None] != documents[None, :]) | (names[at : at + step, None] == ids[None, :])] = -np.inf
+                rows, columns = best(about, most, slack)
+                if within:
+                    fit = about[rows, columns] > -np.inf
+                    rows, columns = rows[fit], columns[fit]
+                del about
+                rows, columns, score = _cut(some, vecs, rows, columns, most, metric)
+                made.append(pd.DataFrame({"query_id": names[at + rows], "id": ids[columns], "document": documents[columns], "score": score}))
+                n += len(rows)
+                if n > GIVEN // 2:
+                    yield pd.concat(made)
+                    made, n = [], 0
+            if n:
+                yield pd.concat(made)
+
+    asked = queries.select("query_id", "document", "embedding") if within else queries.select("query_id", "embedding")
+    made = pairwise(corpus.select("id", "document", "embedding"), asked, work, schema, most)
+    return made.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas gives what is no number as null
+
+
+def _prepared(m: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors whose inner product (or distance) is the score."""
+    if metric != "cosine":
+        return m
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def _about(queries: np.ndarray, vecs: np.ndarray, squares: np.ndarray, longest: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the scores, and by how much they may be wrong. A score that is no number is the greatest, as in Spark's order."""
+    about, length = queries @ vecs.T, np.sqrt((queries * queries).sum(axis=1))
+    if metric == "l2":  # the query's own square is the same for all
+        about = 2 * about - squares
+    slack = 1e-12 * (length + longest) ** 2
+    return np.where(np.isnan(about), np.inf, about), np.where(np.isfinite(slack), slack, 0.0)
+
+
+def _cut(queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, columns: np.ndarray, most: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of named pairs, by row, the `most` best of each row (columns are in the order of ids), with their scores."""
+    score = np.empty(len(rows))
+    step = max(TILE // max(vecs.shape[1], 1), 1)
+    for a in range(0, len(rows), step):
+        x, y = queries[rows[a : a + step]], vecs[columns[a : a + step]]
+        score[a : a + step] = -((y - x) ** 2).sum(axis=1) if metric == "l2" else (x * y).sum(axis=1)
+    keep = first(rows, columns, score, most)
+    return rows[keep], columns[keep], score[keep]
+
+
+def first(rows: np.ndarray, columns: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` best of each row; rows are ascending, ties go to the least column."""
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    order = np.lexsort((columns, np.where(np.isnan(score), -np.inf, -score), rows))
+    return order[np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < most]
 
 
 def search(
@@ -131,31 +215,33 @@ def search(
     bounded over-fetch gives.
     """
     wide = max(4 * k * max(per_document, 1), k) if per_document is not None else k
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    rows = candidates(corpus, queries, wide, metric).withColumn("__at", F.row_number().over(best)).filter(F.col("__at") <= wide)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # each task ranks its own rows before they are shuffled
+    rows = candidates(corpus, queries, wide, metric).withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= wide)
     if floor is not None:
         rows = rows.filter(F.col("score") >= floor)
     if per_document is not None:
         inside = Window.partitionBy("query_id", "document").orderBy(F.desc("score"), "id")
         rows = rows.withColumn("__in", F.row_number().over(inside)).filter(F.col("__in") <= per_document)
-    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).select("query_id", "id", "document", "score", "rank")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1).select("query_id", "id", "document", "score", "rank")
 
 
 def tally(corpus: DataFrame, queries: DataFrame, count: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, metric: str = "ip") -> DataFrame:
-    """Rows of `count` (scores, whether query and vector share their document; matrices of queries by vectors) for each batch of
-    the corpus and block of queries: every pair is seen once, and a few rows a batch are all that leaves a task.
+    """Rows of `count` (scores, whether query and vector share their document; matrices of queries by vectors) for each tile of
+    corpus and queries: every pair is seen once, and a few rows a tile are all that leaves a task.
 
     corpus: id, document, embedding; queries: query_id, document, embedding.
     """
 
     def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         documents, block = q["document"].to_numpy(), np.array(q["embedding"].to_list(), float)
-        for pdf in parts:
-            if len(pdf):
-                s = scores(block, np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
-                yield count(s, documents[:, None] == pdf["document"].to_numpy()[None, :])
+        for pdf in gathered(parts, min(CORPUS_NUMBERS, TILE)):
+            places, vecs = pdf["document"].to_numpy(), np.stack(pdf["embedding"].to_numpy()).astype(float)
+            step = max(TILE // len(places), 1)
+            for at in range(0, len(block), step):
+                yield count(scores(block[at : at + step], vecs, metric), documents[at : at + step, None] == places[None, :])
 
-    return pairwise(corpus.select("document", "embedding"), queries.select("query_id", "document", "embedding"), work, schema, "document")
+    return pairwise(corpus.select("id", "document", "embedding"), queries.select("query_id", "document", "embedding"), work, schema)
 
 
 def moments(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:

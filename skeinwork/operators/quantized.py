@@ -89,37 +89,40 @@ def index(corpus: DataFrame, book: Codebook) -> DataFrame:
 
 
 def near(coded: DataFrame, book: Codebook, queries: DataFrame, most: int, probes: int) -> DataFrame:
-    """query_id, id, about: for each query the `most` best by looked-up score in each task, within its `probes` best cells."""
+    """query_id, id, about: for each query the `most` best by looked-up score in each tile of the codes, within its `probes` best cells."""
     shared = coded.sparkSession.sparkContext.broadcast(book)
     id_type, query_type = coded.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
     def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, names = shared.value, q["query_id"].to_numpy()
-        by_cell, tables = book.tables(np.array(q["embedding"].to_list(), float))
-        limit = np.sort(by_cell, axis=1)[:, -min(probes, by_cell.shape[1])]
-        open_cells = by_cell >= limit[:, None]
-        best: pd.DataFrame | None = None
-        for pdf in parts:
-            made = []
-            for cell, rows in pdf.groupby("cell"):
-                asking = np.flatnonzero(open_cells[:, cell])
-                codes = np.frombuffer(b"".join(rows["embedding"]), np.uint8).reshape(len(rows), -1)
-                ids = rows["id"].to_numpy()
-                for k in range(0, len(asking), 512):
-                    some = asking[k : k + 512]
-                    about = np.repeat(by_cell[some, cell][:, None], len(rows), axis=1)
-                    for m, t in enumerate(tables):
-                        about += t[some][:, codes[:, m]]
-                    keep = np.argsort(-about, axis=1, kind="stable")[:, :most]
-                    at = np.repeat(np.arange(len(some)), keep.shape[1])
-                    made.append(pd.DataFrame({"q": some[at], "id": ids[keep.reshape(-1)], "score": about[at, keep.reshape(-1)]}))
-            if made:
-                best = dense._cut(pd.concat([best, *made] if best is not None else made), most)
-        if best is not None and len(best):
-            yield pd.DataFrame({"query_id": names[best["q"].to_numpy()], "id": best["id"].to_numpy(), "about": best["score"].to_numpy()})
+        book, names, block = shared.value, q["query_id"].to_numpy(), np.array(q["embedding"].to_list(), float)
+        for pdf in dense.gathered(parts, dense.TILE // 4):
+            pdf = pdf.sort_values("id", kind="stable")
+            ids, cells = pdf["id"].to_numpy(), pdf["cell"].to_numpy()
+            codes = np.frombuffer(b"".join(pdf["embedding"]), np.uint8).reshape(len(pdf), -1)
+            made: list[pd.DataFrame] = []
+            n = 0
+            step = max(min(dense.TILE // len(ids), dense.GIVEN // min(most, len(ids))), 1)
+            for at in range(0, len(names), step):
+                by_cell, tables = book.tables(block[at : at + step])  # of these queries only: the tables of all do not fit
+                limit = np.sort(by_cell, axis=1)[:, -min(probes, by_cell.shape[1])]
+                about = np.where(by_cell >= limit[:, None], by_cell, -np.inf)[:, cells]
+                for m, t in enumerate(tables):
+                    about += t[:, codes[:, m]]
+                rows, columns = dense.best(about, most)
+                score = about[rows, columns]
+                fit = score > -np.inf
+                rows, columns, score = rows[fit], columns[fit], score[fit]
+                keep = dense.first(rows, columns, score, most)
+                made.append(pd.DataFrame({"query_id": names[at + rows[keep]], "id": ids[columns[keep]], "about": score[keep]}))
+                n += len(keep)
+                if n > dense.GIVEN // 2:
+                    yield pd.concat(made)
+                    made, n = [], 0
+            if n:
+                yield pd.concat(made)
 
     # codes stand where exact search has vectors
-    return dense.pairwise(coded.withColumnRenamed("codes", "embedding"), queries.select("query_id", "embedding"), work, f"query_id {query_type}, id {id_type}, about double")
+    return dense.pairwise(coded.withColumnRenamed("codes", "embedding"), queries.select("query_id", "embedding"), work, f"query_id {query_type}, id {id_type}, about double", most)
 
 
 def search(corpus: DataFrame, coded: DataFrame, book: Codebook | None, queries: DataFrame, k: int = 8, probes: int = 32, read: int = 100) -> DataFrame:

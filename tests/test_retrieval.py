@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +476,51 @@ def test_evidence_precedence(spark):
     assert "Documents" not in answer.context_answers(questions, None, echo).first()["answer"]
     with pytest.raises(ValueError):
         answer.context_answers(questions, None, echo, ids=ids)
+
+
+def _parts(vecs, batch):
+    """A corpus as a task gets it."""
+    for at in range(0, len(vecs), batch):
+        yield pd.DataFrame({"id": range(at, at + len(vecs[at : at + batch])), "document": np.arange(at, at + len(vecs[at : at + batch])) % 3, "embedding": list(vecs[at : at + batch])})
+
+
+@pytest.mark.parametrize("make", ["ip", "cosine", "l2", "within", "tally", "codes"])
+def test_memory_of_a_task_does_not_grow_with_the_queries(spark, make, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs, got = rng.normal(size=(6_000, 8)), {}
+    works = []
+    monkeypatch.setattr(dense, "pairwise", lambda c, q, work, *a: works.append(work) or c)
+    c = spark.createDataFrame([(1, 0, [1.0] * 8)], "id long, document long, embedding array<double>")
+    q = c.withColumnRenamed("id", "query_id")
+    book = quantized.fit(c.union(c)) if make == "codes" else None
+    if make == "codes":
+        quantized.near(quantized.index(c, book), book, q, 5, 1)
+    elif make == "tally":
+        dense.tally(c, q, dense.moments, "same boolean, n long, total double, squares double, top double")
+    else:
+        dense.candidates(c, q, 5, "ip" if make == "within" else make, make == "within")
+    monkeypatch.setattr(dense, "TILE", 100_000)
+    monkeypatch.setattr(dense, "GIVEN", 2_000)
+    for n in (400, 3_200):
+        asked = pd.DataFrame({"query_id": range(n), "document": np.arange(n) % 3, "embedding": list(vecs[:n])})
+        parts = ((p.assign(cell=0, embedding=[bytes(len(book.words))] * len(p)) if make == "codes" else p) for p in _parts(vecs, 3_000))
+        tracemalloc.start()
+        rows = sum(len(x) for x in works[0](asked, parts))
+        got[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows
+    assert got[3_200] < 8_000_000 and got[3_200] < 2 * got[400]
+
+
+def test_equal_vectors_tie_and_no_numbers_rank_first(spark):
+    rng = np.random.default_rng(8)
+    some = [[float(x) for x in v] for v in rng.normal(size=(7, 64))]
+    rows = [(i, 0, some[i % 7]) for i in range(1_001)]
+    c = spark.createDataFrame(rows, "id long, document long, embedding array<double>").repartition(3)
+    q = c.filter("id < 7").select(F.col("id").alias("query_id"), "embedding")
+    for metric in dense.METRICS:
+        got = dense.search(c, q, 5, metric=metric).orderBy("query_id", "rank").collect()
+        firsts = {r["query_id"]: r["id"] for r in got if r["rank"] == 0}
+        assert all([r["id"] for r in got if r["query_id"] == n] == [firsts[n] + 7 * k for k in range(5)] for n in range(7))
+    odd = c.unionByName(spark.createDataFrame([(5_000, 0, [float("nan")] * 64)], c.schema))
+    assert [r["id"] for r in dense.search(odd, q.limit(1), 2).orderBy("rank").collect()][0] == 5_000
