@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import text as T
 from skeinwork.functions import vectors
+from skeinwork.operators import dense
 
 
 def dropped_markers(answer: Column, n_hits: Column) -> Column:
@@ -36,15 +37,32 @@ def attribute(sentences: DataFrame, snippets: DataFrame, floor: float = 0.20, ce
     sentences: answer_id, sentence_no, vector; snippets: answer_id, rank, vector. Without a center of
     the same width the mean of the answer's snippets is the center. Ties: the first snippet.
     """
-    middle = snippets.select("answer_id", F.posexplode("vector").alias("i", "x")).groupBy("answer_id", "i").agg(F.avg("x").alias("m"))
-    own = middle.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     given = center.first() if center is not None else None  # one vector
-    pairs = sentences.join(own, "answer_id").join(snippets.select("answer_id", "rank", F.col("vector").alias("v")), "answer_id")
-    c = F.col("c")
-    if given is not None and given["center"] is not None:
-        fixed = F.array(*map(F.lit, given["center"]))
-        c = F.when(F.size(fixed) == F.size("v"), fixed).otherwise(c)
+    fixed = F.array(*map(F.lit, given["center"])) if given is not None and given["center"] is not None else None
+    # means are made only of answers that need them
+    needed = snippets if fixed is None else snippets.join(snippets.filter(F.size("vector") != F.size(fixed)).select("answer_id").distinct(), "answer_id", "left_semi")
+    middle = needed.select("answer_id", F.posexplode("vector").alias("i", "x")).groupBy("answer_id", "i").agg(F.avg("x").alias("m"))
+    own = middle.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    pairs = sentences.join(own, "answer_id", "inner" if fixed is None else "left").join(snippets.select("answer_id", "rank", F.col("vector").alias("v")), "answer_id")
+    c = F.col("c") if fixed is None else F.when(F.size(fixed) == F.size("v"), fixed).otherwise(F.col("c"))
     score = vectors.dot(vectors.normalize(vectors.subtract(F.col("vector"), c)), vectors.normalize(vectors.subtract(F.col("v"), c)))
     best = Window.partitionBy("answer_id", "sentence_no").orderBy(F.desc("score"), "rank")
-    top = pairs.withColumn("score", score).withColumn("__at", F.row_number().over(best)).filter("__at = 1")
-    return top.select("answer_id", "sentence_no", "rank", "score", F.when(F.col("score") >= floor, F.concat(F.lit("[S"), (F.col("rank") + 1).cast("string"), F.lit("]"))).alias("marker"))
+    top = pairs.select("answer_id", "sentence_no", "rank", score.alias("score")).withColumn("__at", F.row_number().over(best)).filter("__at = 1")
+    return top.select("answer_id", "sentence_no", "rank", "score", _marker(floor).alias("marker"))
+
+
+def attribute_within(sentences: DataFrame, snippets: DataFrame, floor: float = 0.20) -> DataFrame:
+    """answer_id, rank, score, marker as of `attribute`, for answers whose snippets are all vectors of their document, other than their own.
+
+    sentences: answer_id, document, vector; snippets: rank, document, vector; vectors are centered and of unit length. Documents are shared
+    by many answers, so pairs are scored where the snippets lie and only the best of each task leaves it.
+    """
+    asked = sentences.filter(F.col("document").isNotNull()).select(F.col("answer_id").alias("query_id"), "document", F.col("vector").alias("embedding"))
+    held = snippets.filter(F.col("document").isNotNull()).select(F.col("rank").alias("id"), "document", F.col("vector").alias("embedding"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    top = dense.candidates(held, asked, 1, within=True).withColumn("__at", F.row_number().over(best)).filter("__at = 1")
+    return top.select(F.col("query_id").alias("answer_id"), F.col("id").alias("rank"), "score").withColumn("marker", _marker(floor))
+
+
+def _marker(floor: float) -> Column:
+    return F.when(F.col("score") >= floor, F.concat(F.lit("[S"), (F.col("rank") + 1).cast("string"), F.lit("]")))

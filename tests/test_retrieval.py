@@ -524,3 +524,18 @@ def test_equal_vectors_tie_and_no_numbers_rank_first(spark):
         assert all([r["id"] for r in got if r["query_id"] == n] == [firsts[n] + 7 * k for k in range(5)] for n in range(7))
     odd = c.unionByName(spark.createDataFrame([(5_000, 0, [float("nan")] * 64)], c.schema))
     assert [r["id"] for r in dense.search(odd, q.limit(1), 2).orderBy("rank").collect()][0] == 5_000
+
+
+def test_snippets_shared_by_many_answers_are_not_copied(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 3 if i != 4 else None, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(70, 9, [1.0, 0.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "rank long, document int, vector array<double>")
+    center = vectors.mean_vector(e, "vector")
+    asked = e.filter("rank % 5 = 0").withColumnRenamed("rank", "answer_id")
+    each = asked.select("answer_id", "document").join(e, "document").filter("rank <> answer_id").drop("document")
+    want = citations.attribute(asked.select("answer_id", F.lit(0).alias("sentence_no"), "vector"), each, 0.2, center).drop("sentence_no")
+    v = dense.centered(e, center, "vector")
+    found = citations.attribute_within(v.filter("rank % 5 = 0").withColumnRenamed("rank", "answer_id"), v, 0.2)
+    plain = lambda df: sorted((r["answer_id"], r["rank"], round(r["score"], 9), r["marker"]) for r in df.collect())
+    assert plain(found) == plain(want) and len(plain(found)) == 12
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
