@@ -39,6 +39,9 @@ SEEDS = 10
 #: to so much that hardly a document is ruled out, and those of which the bound would spare less than a half.
 AT_ONCE, SHORT = 50_000_000, 12
 
+#: A task sums about so many matches of a question's term and a document.
+MATCHES = 1_000_000
+
 TOTALS = "identity string, buckets int, n long, total long, mean double, k1 double, b double, segment int"
 
 
@@ -259,12 +262,13 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
 
     def matched(terms: DataFrame) -> DataFrame:
         """query_id, id, score: the weights of `terms` in all documents that have any of them. Postings are dealt by document first, so the
-        many more (query, document) pairs are summed where they are made."""
-        return part.postings.repartition("id").join(_few(terms.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
+        many more (query, document) pairs are summed where they are made; the tasks are as many as the matches ask for, and none grows with the corpus."""
+        return part.postings.repartition(tasks, "id").join(_few(terms.select("query_id", "term", "idf")), "term").groupBy("query_id", "id").agg(F.sum(scored).alias("score"))
 
     size = Window.partitionBy("query_id")
     known = known.withColumn("short", F.count("*").over(size) <= SHORT)
     met = known.agg(F.sum("df").alias("df"), F.bool_or("short").alias("short")).first()
+    tasks = max(-(-(met["df"] or 0) // MATCHES), part.postings.sparkSession.sparkContext.defaultParallelism)
     if (met["df"] or 0) <= AT_ONCE or not met["short"]:
         return ranked(matched(known))
     placed = known.withColumns({"named": F.sum("df").over(by_strength) - F.col("df"), "rest": F.sum("most").over(by_strength.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
@@ -272,7 +276,11 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
     def complete(pairs: DataFrame, terms: DataFrame) -> DataFrame:
         """query_id, id, more: the weights of `terms` in the documents of the pairs."""
         places = pairs.select("query_id", "id").join(terms.select("query_id", "term", "idf"), "query_id")
-        return part.postings.join(places, ["term", "id"]).groupBy("query_id", "id").agg(F.sum(scored).alias("more"))
+        met = part.postings.join(places, ["term", "id"]).select("query_id", "id", scored.alias("more"))
+        return dealt(met).groupBy("query_id", "id").agg(F.sum("more").alias("more"))
+
+    def dealt(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(tasks, "query_id", "id")
 
     seeds = placed.filter(F.col("short") & (F.col("named") < SEEDS * k))
     strong = matched(seeds).withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("at") <= 3 * k)
@@ -285,4 +293,4 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
     candidates = matched(judged.filter("not weak")).join(_few(limits), "query_id")
     left = scratch.stage(candidates.filter(F.col("score") + F.col("open") >= F.col("bound")).select("query_id", "id", "score"), "lexical-candidates")
     more = complete(left, judged.filter("weak"))
-    return ranked(left.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
+    return ranked(dealt(left).join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))

@@ -539,3 +539,20 @@ def test_snippets_shared_by_many_answers_are_not_copied(spark):
     plain = lambda df: sorted((r["answer_id"], r["rank"], round(r["score"], 9), r["marker"]) for r in df.collect())
     assert plain(found) == plain(want) and len(plain(found)) == 12
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_bm25_grow_with_the_matches(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("red blue green dog cat fish".split()) for _ in range(6))) for i in range(400)]
+    lexical.write_index(spark.createDataFrame(docs, "id long, text string"), f"{tmp_path}/i")
+    index = lexical.open_index(spark, f"{tmp_path}/i")
+    asked = spark.createDataFrame([(1, "red dog"), (2, "red blue green dog cat fish"), (3, "cat")], "query_id int, query string")
+    want = lexical.bm25(index, asked, 5).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(lexical, "MATCHES", 50)
+    made, repartition = [], type(asked).repartition
+    monkeypatch.setattr(type(asked), "repartition", lambda df, *a: made.append(a[0]) or repartition(df, *a))
+    for at_once in (lexical.AT_ONCE, 0):
+        monkeypatch.setattr(lexical, "AT_ONCE", at_once)
+        got = lexical.bm25(index, asked, 5).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["id"], round(r["score"], 9)) for r in got] == [(r["query_id"], r["id"], round(r["score"], 9)) for r in want]
+    assert min(made) == max(made) and 30 < min(made) < 60  # about 2,380 matches, 50 a task
