@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def together(lists: list[DataFrame]) -> DataFrame:
+    """The rows of several searches (column query_id), each dealt by query once more before they meet. Without that Spark joins the searches'
+    own shuffles part by part, and a task ranks the local lists of all searches; only the few hits that are left move here."""
+    tasks = 2 * int(lists[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with the session's own number they count as dealt already
+    return reduce(DataFrame.unionByName, [rows.repartition(tasks, "query_id") for rows in lists])
+
+
 def merge_corpora(hits: DataFrame, ascending: bool = False) -> DataFrame:
     """hits (query_id, id, score, ...) of several corpora with one `rank` (from 0); distances rank ascending. Ties: least id."""
     order = F.col("score") if ascending else F.desc("score")

@@ -155,7 +155,7 @@ def dense_retriever(corpora: list[DataFrame], encode: Callable[[Column], Column]
     def run(questions: DataFrame, k: int) -> DataFrame:
         asked = questions.select("query_id", encode(F.col("query")).alias("embedding"))
         asked = stage(dense.centered(asked, center) if center is not None else asked, "encoded-questions")  # the encoder is asked once
-        return reduce(DataFrame.unionByName, [dense.search(c, asked, k, metric=metric).select("query_id", "id", "score") for c in corpora])
+        return fusion.together([dense.search(c, asked, k, metric=metric).select("query_id", "id", "score") for c in corpora])
 
     return run
 

@@ -144,7 +144,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _queries(c)
     wide = fusion.over_fetch(32)
     lists = [dense.search(c, q, wide, metric=m).select(F.lit(i).alias("retriever"), "query_id", "id", "rank") for i, m in enumerate(("ip", "l2"))]
-    fused = fusion.reciprocal_rank_fusion(lists[0].unionByName(lists[1]), 32)
+    fused = fusion.reciprocal_rank_fusion(fusion.together(lists), 32)
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), "lists", F.col("rank").cast("long").alias("rank"))
 
 
@@ -158,10 +158,7 @@ def merge_across_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
     q = _queries(c)
     parts = [dense.search(c.filter(F.col("document") % 4 == n), q, K) for n in range(4)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = fusion.merge_corpora(every.select("query_id", "id", "score")).filter(F.col("rank") < K)
+    merged = fusion.merge_corpora(fusion.together([p.select("query_id", "id", "score") for p in parts])).filter(F.col("rank") < K)
     return merged.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -188,6 +185,6 @@ def retrieve_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = {}
     for metric in ("ip", "l2"):
         parts = [dense.search(c.filter(F.col("document") % 3 == n), q, wide, metric=metric).select("query_id", "id", "score") for n in range(3)]
-        lists[metric] = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        lists[metric] = fusion.together(parts)
     fused = answer.retrieve(lists, k=32)
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), "lists", F.col("rank").cast("long").alias("rank"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import models, vectors
 from skeinwork.functions import text as T
 from skeinwork.operators import citations, dense, evaluate, fusion, lexical, quantized, sampling
-from skeinwork.plans import answer
+from skeinwork.plans import answer, registry
 from skeinwork.sources import tables
 
 ROWS = [("a1", "A", 1.0, 0.0), ("a2", "A", 0.98, 0.2), ("a3", "A", 0.95, 0.31), ("a4", "A", 0.89, 0.45), ("b1", "B", 0.45, 0.89), ("c1", "C", 0.0, 1.0)]
@@ -556,3 +556,11 @@ def test_tasks_of_bm25_grow_with_the_matches(spark, tmp_path, monkeypatch):
         got = lexical.bm25(index, asked, 5).orderBy("query_id", "rank").collect()
         assert [(r["query_id"], r["id"], round(r["score"], 9)) for r in got] == [(r["query_id"], r["id"], round(r["score"], 9)) for r in want]
     assert min(made) == max(made) and 30 < min(made) < 60  # about 2,380 matches, 50 a task
+
+
+@pytest.mark.parametrize("name, searches", [("rrf_fusion", 2), ("merge_across_corpora", 4), ("retrieve_fused", 6)])
+def test_searches_do_not_share_the_tasks_that_rank_them(spark, name, searches):
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= searches
