@@ -75,7 +75,7 @@ def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, giv
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from work(shared.value, parts)
 
-        return corpus.mapInPandas(run, schema)
+        return numbers(corpus.mapInPandas(run, schema))
     left, right = -(-queries.count() // max(min(most, 2 * GIVEN // given), 1)), -(-corpus.count() * width // CORPUS_NUMBERS)
     asked = queries.withColumns({"__left": F.pmod(F.xxhash64("query_id"), F.lit(left)), "__right": F.explode(F.sequence(F.lit(0), F.lit(max(right, 1) - 1)).cast("array<long>"))})
     held = corpus.withColumns({"__right": F.pmod(F.xxhash64("id", "embedding"), F.lit(max(right, 1))), "__left": F.explode(F.sequence(F.lit(0), F.lit(left - 1)).cast("array<long>"))})
@@ -89,7 +89,12 @@ def pairwise(corpus: DataFrame, queries: DataFrame, work: Work, schema: str, giv
         made = list(work(q, iter([c]))) if len(q) and len(c) else []
         return pd.concat(made) if made else pd.DataFrame(columns=names)
 
-    return asked.groupBy("a", "b").cogroup(held.groupBy("__left", "__right")).applyInPandas(meet, schema)
+    return numbers(asked.groupBy("a", "b").cogroup(held.groupBy("__left", "__right")).applyInPandas(meet, schema))
+
+
+def numbers(df: DataFrame) -> DataFrame:
+    """df as pandas made it: what is no number comes back as null."""
+    return df.withColumns({f.name: F.coalesce(f.name, F.lit(float("nan"))) for f in df.schema.fields if f.dataType.simpleString() == "double"})
 
 
 def gathered(parts: Iterator[pd.DataFrame], numbers: int) -> Iterator[pd.DataFrame]:
@@ -112,11 +117,19 @@ def gathered(parts: Iterator[pd.DataFrame], numbers: int) -> Iterator[pd.DataFra
 
 
 def best(about: np.ndarray, most: int, slack: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's `most` greatest numbers, with all that are no more than `slack` below the last of them."""
-    if about.shape[1] > most:
-        last = np.partition(about, about.shape[1] - most, axis=1)[:, about.shape[1] - most]
-        return np.nonzero(about >= (last - slack)[:, None])
-    return np.nonzero(np.ones(about.shape, bool))
+    """Rows and columns of each row's `most` greatest numbers, with others that may stand beside them: all that are no more than `slack`
+    below the last of the `most`, and a few below these.
+
+    Only the greatest of each group of columns are put in order: the last of the `most` among these is no greater than that of all columns.
+    """
+    n = about.shape[1]
+    if n <= most:
+        return np.nonzero(np.ones(about.shape, bool))
+    groups = max(n // max(n // (4 * most), 1), most)
+    tops = about[:, : n // groups * groups].reshape(len(about), -1, groups).max(axis=1)
+    last = np.partition(tops, groups - most, axis=1)[:, groups - most]
+    rows, columns = np.divmod(np.flatnonzero(about >= (last - slack)[:, None]), n)
+    return rows, columns
 
 
 def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip", within: bool = False) -> DataFrame:
@@ -149,7 +162,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
             n = 0
             for at in range(0, len(names), step):
                 some = block[at : at + step]
-                about, slack = _about(some, vecs, squares, longest, metric)
+                about, slack = products(some, vecs, squares, longest, metric)
                 if within:
                     about[(places[at : at + step, None] != documents[None, :]) | (names[at : at + step, None] == ids[None, :])] = -np.inf
                 rows, columns = best(about, most, slack)
@@ -157,7 +170,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
                     fit = about[rows, columns] > -np.inf
                     rows, columns = rows[fit], columns[fit]
                 del about
-                rows, columns, score = _cut(some, vecs, rows, columns, most, metric)
+                rows, columns, score = cut(some, vecs, rows, columns, most, metric)
                 made.append(pd.DataFrame({"query_id": names[at + rows], "id": ids[columns], "document": documents[columns], "score": score}))
                 n += len(rows)
                 if n > GIVEN // 2:
@@ -167,8 +180,7 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
                 yield pd.concat(made)
 
     asked = queries.select("query_id", "document", "embedding") if within else queries.select("query_id", "embedding")
-    made = pairwise(corpus.select("id", "document", "embedding"), asked, work, schema, most)
-    return made.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas gives what is no number as null
+    return pairwise(corpus.select("id", "document", "embedding"), asked, work, schema, most)
 
 
 def _prepared(m: np.ndarray, metric: str) -> np.ndarray:
@@ -179,16 +191,17 @@ def _prepared(m: np.ndarray, metric: str) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _about(queries: np.ndarray, vecs: np.ndarray, squares: np.ndarray, longest: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def products(queries: np.ndarray, vecs: np.ndarray, squares: np.ndarray, longest: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers in the order of the scores, and by how much they may be wrong. A score that is no number is the greatest, as in Spark's order."""
     about, length = queries @ vecs.T, np.sqrt((queries * queries).sum(axis=1))
     if metric == "l2":  # the query's own square is the same for all
         about = 2 * about - squares
     slack = 1e-12 * (length + longest) ** 2
-    return np.where(np.isnan(about), np.inf, about), np.where(np.isfinite(slack), slack, 0.0)
+    about[np.isnan(about)] = np.inf
+    return about, np.where(np.isfinite(slack), slack, 0.0)
 
 
-def _cut(queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, columns: np.ndarray, most: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, columns: np.ndarray, most: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of named pairs, by row, the `most` best of each row (columns are in the order of ids), with their scores."""
     score = np.empty(len(rows))
     step = max(TILE // max(vecs.shape[1], 1), 1)

@@ -1,8 +1,8 @@
 """Approximate dense retrieval: product-quantised residuals in cells, and exact scores of the few best.
 
 A vector is kept as its cell and one byte for each of `parts` stretches of what the cell's center leaves: the nearest of up to 256
-code words of that stretch. A query's score of a vector is about the center's score plus one number for each byte, looked up in a
-table made once a query; only the best of these are read as vectors and scored exactly.
+code words of that stretch. A query's score of a vector is about its score of the center and code words that stand for the vector, put
+together a tile at a time; only the best of these are read as vectors and scored exactly.
 
 Centers and code words are fitted by k-means on at most `sample` vectors, by hash of the id; every vector is indexed.
 
@@ -12,6 +12,7 @@ an empty corpus: no hits; equal vectors: ties by least id, as in exact search; a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +40,9 @@ class Codebook:
         codes = [_nearest(left[:, a:z], w) for a, z, w in zip(self.borders, self.borders[1:], self.words)]
         return cells.astype(np.int32), np.stack(codes, axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Scores of queries with the centers, and for each part with its code words."""
-        return q @ self.centers.T, [q[:, a:z] @ w.T for a, z, w in zip(self.borders, self.borders[1:], self.words)]
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What cells and codes stand for: centers and code words."""
+        return self.centers[cells] + np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)
 
 
 def _nearest(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def index(corpus: DataFrame, book: Codebook) -> DataFrame:
 
 
 def near(coded: DataFrame, book: Codebook, queries: DataFrame, most: int, probes: int) -> DataFrame:
-    """query_id, id, about: for each query the `most` best by looked-up score in each tile of the codes, within its `probes` best cells."""
+    """query_id, id, about: for each query the `most` best by the scores of their codes in each tile of these, within its `probes` best cells."""
     shared = coded.sparkSession.sparkContext.broadcast(book)
     id_type, query_type = coded.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
@@ -98,23 +99,26 @@ def near(coded: DataFrame, book: Codebook, queries: DataFrame, most: int, probes
         for pdf in dense.gathered(parts, dense.TILE // 4):
             pdf = pdf.sort_values("id", kind="stable")
             ids, cells = pdf["id"].to_numpy(), pdf["cell"].to_numpy()
-            codes = np.frombuffer(b"".join(pdf["embedding"]), np.uint8).reshape(len(pdf), -1)
+            # one matrix product is several times faster than a number looked up for each byte of each pair
+            stands = book.decode(cells, np.frombuffer(b"".join(pdf["embedding"]), np.uint8).reshape(len(pdf), -1))
+            squares = (stands * stands).sum(axis=1)
+            longest = math.sqrt(squares[np.isfinite(squares)].max(initial=0.0))
             made: list[pd.DataFrame] = []
             n = 0
             step = max(min(dense.TILE // len(ids), dense.GIVEN // min(most, len(ids))), 1)
             for at in range(0, len(names), step):
-                by_cell, tables = book.tables(block[at : at + step])  # of these queries only: the tables of all do not fit
+                some = block[at : at + step]
+                by_cell = some @ book.centers.T
                 limit = np.sort(by_cell, axis=1)[:, -min(probes, by_cell.shape[1])]
-                about = np.where(by_cell >= limit[:, None], by_cell, -np.inf)[:, cells]
-                for m, t in enumerate(tables):
-                    about += t[:, codes[:, m]]
-                rows, columns = dense.best(about, most)
-                score = about[rows, columns]
-                fit = score > -np.inf
-                rows, columns, score = rows[fit], columns[fit], score[fit]
-                keep = dense.first(rows, columns, score, most)
-                made.append(pd.DataFrame({"query_id": names[at + rows[keep]], "id": ids[columns[keep]], "about": score[keep]}))
-                n += len(keep)
+                about, slack = dense.products(some, stands, squares, longest, "ip")
+                about[~(by_cell >= limit[:, None])[:, cells]] = -np.inf
+                rows, columns = dense.best(about, most, slack)
+                fit = about[rows, columns] > -np.inf
+                rows, columns = rows[fit], columns[fit]
+                del about, fit
+                rows, columns, score = dense.cut(some, stands, rows, columns, most, "ip")
+                made.append(pd.DataFrame({"query_id": names[at + rows], "id": ids[columns], "about": score}))
+                n += len(rows)
                 if n > dense.GIVEN // 2:
                     yield pd.concat(made)
                     made, n = [], 0

@@ -512,6 +512,41 @@ def test_memory_of_a_task_does_not_grow_with_the_queries(spark, make, monkeypatc
     assert got[3_200] < 8_000_000 and got[3_200] < 2 * got[400]
 
 
+def test_best_puts_few_numbers_in_order(monkeypatch):
+    rng, sizes, partition = np.random.default_rng(6), [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **named: sizes.append(a.shape[1]) or partition(a, *rest, **named))
+    wide = rng.normal(size=(5, 20_000))
+    for about in (wide, np.sort(wide, axis=1), rng.integers(0, 3, wide.shape).astype(float), np.where(rng.random(wide.shape) < 0.9999, -np.inf, wide), wide[:, :9], wide[:, :41]):
+        rows, columns = dense.best(about, 8, np.full(5, 1e-9))
+        keep = dense.first(rows, columns, about[rows, columns], 8)
+        want = [list(np.lexsort((np.arange(about.shape[1]), -a))[:8]) for a in about]
+        assert [list(columns[keep][rows[keep] == n]) for n in range(5)] == want
+    assert max(sizes) < 100
+
+
+def test_scores_that_are_no_numbers_are_tallied(spark):
+    c = spark.createDataFrame([(1, 0, [1.0, float("nan")]), (2, 0, [1.0, 2.0])], "id long, document long, embedding array<double>")
+    q = c.filter("id = 2").withColumnRenamed("id", "query_id")
+    got = dense.tally(c.coalesce(1), q, dense.moments, "same boolean, n long, total double, squares double, top double").collect()
+    assert sum(r["n"] for r in got) == 2 and all(math.isnan(r[k]) for r in got for k in ("total", "squares", "top"))
+
+
+def test_codes_are_scored_by_what_they_stand_for(spark):
+    rng = np.random.default_rng(4)
+    some = rng.normal(size=(40, 8)).round(3)
+    c = spark.createDataFrame([(i, 0, [float(x) for x in some[i % 40]]) for i in range(400)], "id long, document long, embedding array<double>")
+    q = c.filter("id < 5").select(F.col("id").alias("query_id"), "embedding")
+    book = quantized.fit(c, cells=4, parts=4, words=8)
+    cells, codes = book.encode(some)
+    stands = book.decode(cells, codes)
+    assert stands.shape == some.shape and np.allclose(stands, [np.concatenate([w[k] for w, k in zip(book.words, row)]) + book.centers[n] for n, row in zip(cells, codes)])
+    got = {(r["query_id"], r["id"]): r["about"] for r in quantized.near(quantized.index(c, book).coalesce(1), book, q, 25, 4).collect()}
+    assert len(got) == 125 and all(math.isclose(a, some[n] @ stands[i % 40], abs_tol=1e-9) for (n, i), a in got.items())
+    for n in range(5):  # copies tie exactly: of those that are not all given, the least ids are
+        at = [i for (m, i) in got if m == n]
+        assert all(sorted(i for i in at if i % 40 == k) == list(range(k, k + 40 * sum(i % 40 == k for i in at), 40)) for k in {i % 40 for i in at})
+
+
 def test_equal_vectors_tie_and_no_numbers_rank_first(spark):
     rng = np.random.default_rng(8)
     some = [[float(x) for x in v] for v in rng.normal(size=(7, 64))]
