@@ -263,6 +263,22 @@ def moments(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame([(k, len(x), x.sum(), (x * x).sum(), x.max()) for k, x in kinds if len(x)], columns=["same", "n", "total", "squares", "top"])
 
 
+def bins(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
+    """bin, n of scores rounded to six places: 32 bins from 0 to 0.8, those below in bin 0 and above in bin 33.
+
+    Rows are binned one by one, so that no copy of the matrix is made.
+    """
+    n = np.zeros(34, int)
+    for row in s:
+        x = row.round(6)
+        x /= 0.025
+        np.floor(x, out=x)
+        x += 1
+        np.clip(x, 0, 33, out=x)
+        n += np.bincount(x.astype(int), minlength=34)
+    return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
+
+
 def max_scores(corpus: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
     """query_id, score: the best score of each query whatever the filters; 0 without a corpus."""
     top = candidates(corpus, queries, 1, metric).groupBy("query_id").agg(F.max("score").alias("score"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,16 +112,8 @@ s AS (SELECT round(list_inner_product(q.embedding, c.embedding), 6) AS score FRO
 SELECT CASE WHEN score < 0 THEN 0 WHEN score >= 0.8 THEN 33 ELSE floor(score / 0.025)::BIGINT + 1 END AS bin, count(*) AS n FROM s GROUP BY 1""")
 def vec_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in 32 bins from 0 to 0.8, those below in bin 0 and above in bin 33."""
-
-
-    def bins(s: np.ndarray, same: np.ndarray) -> pd.DataFrame:
-        x = s.round(6).reshape(-1)
-        at = np.where(x < 0, 0, np.where(x >= 0.8, 33, np.floor(x / 0.025) + 1)).astype(int)
-        n = np.bincount(at, minlength=34)
-        return pd.DataFrame({"bin": np.flatnonzero(n), "n": n[n > 0]})
-
     c = _centered(spark, sf_dir)
-    return dense.tally(c, _tagged(c), bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return dense.tally(c, _tagged(c), dense.bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def _tagged(corpus: DataFrame) -> DataFrame:

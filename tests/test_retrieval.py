@@ -524,6 +524,20 @@ def test_best_puts_few_numbers_in_order(monkeypatch):
     assert max(sizes) < 100
 
 
+def test_bins_copy_no_matrix():
+    s = np.round(np.random.default_rng(7).normal(0.3, 0.3, size=(200, 5_000)), 3)
+    s[0, :70] = np.arange(-3, 67) * 0.0125
+    s[1, :3] = -9.0, 9.0, -1e-7
+    x = s.round(6).reshape(-1)
+    want = np.bincount(np.where(x < 0, 0, np.where(x >= 0.8, 33, np.floor(x / 0.025) + 1)).astype(int))
+    tracemalloc.start()
+    got = dense.bins(s, s > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(got["bin"]) == list(np.flatnonzero(want)) and list(got["n"]) == list(want[want > 0])
+    assert peak < s.nbytes / 2
+
+
 def test_scores_that_are_no_numbers_are_tallied(spark):
     c = spark.createDataFrame([(1, 0, [1.0, float("nan")]), (2, 0, [1.0, 2.0])], "id long, document long, embedding array<double>")
     q = c.filter("id = 2").withColumnRenamed("id", "query_id")
