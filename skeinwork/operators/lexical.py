@@ -42,6 +42,9 @@ AT_ONCE, SHORT = 50_000_000, 12
 #: A task sums about so many matches of a question's term and a document.
 MATCHES = 1_000_000
 
+#: Postings are written in row groups and read in pieces of about so many bytes, as a task that deals its piece by document holds it unpacked.
+PIECE = 16 << 20
+
 TOTALS = "identity string, buckets int, n long, total long, mean double, k1 double, b double, segment int"
 
 
@@ -100,7 +103,7 @@ def index_of_terms(docs: DataFrame, terms: DataFrame, key: str = "id", text: str
     size = lengths(docs, key, text, analyze)
     got = size.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
     mean = got["total"] / got["n"] if got["n"] else 0.0
-    held = scratch.stage(postings(docs, key, text, analyze).join(_few(terms.select("term").distinct()), "term", "left_semi").withColumn("bucket", F.lit(0)), "lexical-postings")
+    held = scratch.stage(postings(docs, key, text, analyze).join(_few(terms.select("term").distinct()), "term", "left_semi").withColumn("bucket", F.lit(0)), "lexical-postings", **{"parquet.block.size": PIECE})
     by_term = held.groupBy("term", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(weight(mean, k1, b)).alias("top"))
     return Index(held, by_term, size, got["n"], mean, 1, k1, b)
 
@@ -154,7 +157,7 @@ def add_documents(
     flat = rows.select(F.inline("entries"), "id", "length").withColumn("bucket", bucket(F.col("term"), buckets)).select("term", "id", "tf", "length", "bucket")
     # partitions of the advised size, each of few buckets; one that a frequent term fills is split
     spread = flat.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-    spread.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings/segment={number}")
+    spread.write.partitionBy("bucket").mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": PIECE}).parquet(f"{path}/postings/segment={number}")
     rows.select("id", "length").write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
     stored = _read(spark, path, "postings", [number], rows.schema["id"].dataType.simpleString())
     by_term = stored.groupBy("term", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(weight(mean, k1, b)).alias("top"))
@@ -212,7 +215,7 @@ def compact(spark: SparkSession, path: str, target: str, identity: str = "") ->
         raise FileExistsError(f"{target} holds an index")
     old = open_index(spark, path)
     spread = old.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-    spread.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{target}/postings/segment=0")
+    spread.write.partitionBy("bucket").mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": PIECE}).parquet(f"{target}/postings/segment=0")
     old.documents.write.mode("overwrite").parquet(f"{target}/documents/segment=0")
     stored = _read(spark, target, "postings", [0], old.documents.schema["id"].dataType.simpleString())
     by_term = stored.groupBy("term", "bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(weight(old.mean, old.k1, old.b)).alias("top"))
@@ -248,6 +251,11 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 0.9, b: floa
 
     Small question sets and long questions are scored at once, in a pass over their postings.
     """
+    with scratch.pieces(queries.sparkSession, PIECE):
+        return scratch.stage(_hits(index, queries, k, k1, b, analyze), "lexical-hits")
+
+
+def _hits(index: Index, queries: DataFrame, k: int, k1: float, b: float, analyze: Analyze) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query")))).alias("term"))
     part = narrowed(index, asked)
     idf = F.ln(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))

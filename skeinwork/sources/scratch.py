@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that it is computed once."""
+def stage(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """df written to the shared folder, with options of Spark's writer, and read back, so that it is computed once."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def pieces(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs within reads files in pieces of at most `most` bytes, or of what the session has set if that is less."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", before.strip().lower()).groups()
+    spark.conf.set(key, str(min(most, int(number) << 10 * " kmgt".index(unit or " "))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -607,6 +607,28 @@ def test_tasks_of_bm25_grow_with_the_matches(spark, tmp_path, monkeypatch):
     assert min(made) == max(made) and 30 < min(made) < 60  # about 2,380 matches, 50 a task
 
 
+def test_bm25_deals_postings_in_bounded_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("red blue green dog cat fish".split()) for _ in range(6))) for i in range(3_000)], "id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "red dog"), (2, "red blue green dog cat fish")], "query_id int, query string")
+    key, held, repartition = "spark.sql.files.maxPartitionBytes", [], type(asked).repartition
+    before = spark.conf.get(key)
+
+    def dealt(df, *a):
+        if "tf" in df.columns:
+            held.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return repartition(df, *a)
+
+    monkeypatch.setattr(type(asked), "repartition", dealt)
+    got = []
+    for piece in (lexical.PIECE, 4_000):
+        monkeypatch.setattr(lexical, "PIECE", piece)
+        index = lexical.index_of_terms(docs, asked.select(F.explode(T.tokens(F.col("query"))).alias("term")))
+        got.append(lexical.bm25(index, asked, 5).orderBy("query_id", "rank").collect())
+    assert got[0] == got[1] and len(got[0]) == 10 and spark.conf.get(key) == before
+    assert len(held[0]) == 1 and sum(held[0]) == sum(held[1]) and max(held[1]) < sum(held[1]) / 4
+
+
 @pytest.mark.parametrize("name, searches", [("rrf_fusion", 2), ("merge_across_corpora", 4), ("retrieve_fused", 6)])
 def test_searches_do_not_share_the_tasks_that_rank_them(spark, name, searches):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
