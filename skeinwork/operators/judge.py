@@ -16,25 +16,36 @@ from skeinwork.sources.scratch import stage
 MODEL_METRICS = ("faithfulness", "answer_relevancy", "answer_correctness", "answer_similarity")
 
 
-def similarity(a: Column, b: Column) -> Column:
+#: An edit distance of two texts, no less than the difference of their numbers of characters.
+Distance = Callable[[Column, Column], Column]
+
+
+def byte_distance(a: Column, b: Column) -> Column:
+    """Edits between the texts' UTF-8 bytes, as DuckDB's levenshtein counts them. They are no fewer than those between the characters:
+    each character that is not kept has a byte of its own that is not."""
+    a, b = (F.decode(x.cast("binary"), "ISO-8859-1") for x in (a, b))  # a character for each byte
+    return F.levenshtein(a, b)
+
+
+def similarity(a: Column, b: Column, distance: Distance = F.levenshtein) -> Column:
     """1 less the edit distance by the longer text's length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - distance(a, b) / longest)
 
 
-def close(a: Column, b: Column, threshold: float) -> Column:
+def close(a: Column, b: Column, threshold: float, distance: Distance = F.levenshtein) -> Column:
     """Whether the similarity reaches the threshold, without measuring distances beyond it where the lengths alone tell."""
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    return F.when(shortest < threshold * longest - 1e-9, False).otherwise(similarity(a, b) >= threshold)
+    return F.when(shortest < threshold * longest - 1e-9, False).otherwise(similarity(a, b, distance) >= threshold)
 
 
-def context_scores(retrieved: Column, references: Column, threshold: float = 0.5) -> Column:
+def context_scores(retrieved: Column, references: Column, threshold: float = 0.5, distance: Distance = F.levenshtein) -> Column:
     """struct<precision, recall> of contexts that are close to a reference, each pair compared once.
 
     precision: mean precision at the ranks of close contexts, 0 if none is; recall: share of references
-    close to a retrieved context, 0 without references.
+    close to a retrieved context, 0 without references. Contexts that cannot be compared (nulls) have no rank.
     """
-    met = F.transform(retrieved, lambda c: F.transform(references, lambda r: close(c, r, threshold)))
+    met = F.transform(retrieved, lambda c: F.transform(references, lambda r: close(c, r, threshold, distance)))
 
     def step(acc: Column, hit: Column) -> Column:
         n, found = acc["n"] + 1, acc["found"] + hit
@@ -43,7 +54,7 @@ def context_scores(retrieved: Column, references: Column, threshold: float = 0.5
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("found"), F.lit(0.0).alias("sum"))
 
     def both(m: Column) -> Column:
-        hits = F.transform(m, lambda row: F.exists(row, lambda x: x).cast("int"))
+        hits = F.filter(F.transform(m, lambda row: F.exists(row, lambda x: x).cast("int")), lambda hit: hit.isNotNull())
         precision = F.aggregate(hits, start, step, lambda acc: F.when(acc["found"] > 0, acc["sum"] / acc["found"]).otherwise(0.0))
         covered = F.size(F.filter(references, lambda _, i: F.exists(m, lambda row: F.get(row, i))))
         recall = F.when(F.size(references) > 0, covered / F.greatest(F.size(references), F.lit(1))).otherwise(0.0)
@@ -52,10 +63,10 @@ def context_scores(retrieved: Column, references: Column, threshold: float = 0.5
     return F.element_at(F.transform(F.array(met), both), 1)
 
 
-def score(samples: DataFrame, judges: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
+def score(samples: DataFrame, judges: dict[str, Callable[[DataFrame], Column]] | None = None, distance: Distance = F.levenshtein) -> DataFrame:
     """Samples (see sources.tables.JUDGED) with a column for each metric. Samples without contexts score 0
     everywhere; a judge gives null where it fails, and such a sample's scores are all null."""
-    both = samples.withColumn("__both", context_scores(F.col("retrieved_contexts"), F.col("reference_contexts")))
+    both = samples.withColumn("__both", context_scores(F.col("retrieved_contexts"), F.col("reference_contexts"), distance=distance))
     scored = both.withColumns({"context_precision": F.col("__both.precision"), "context_recall": F.col("__both.recall")})
     for name, judge in (judges or {}).items():
         scored = scored.withColumn(name, judge(scored))

@@ -58,3 +58,14 @@ def test_round_context_gives_the_last_round(spark, tmp_path):
     got = registry.QUERIES["round_context"](spark, str(tmp_path)).collect()
     assert [(r["conv_id"], r["last_round"]) for r in got] == [(1, 2)]
     assert "last_round" in registry.ORACLES["round_context"]
+
+
+def test_judged_contexts_are_compared_by_bytes(spark, tmp_path):
+    rows = [(1, 0, "abcdefgh"), (1, 1, "abcdéèêë"), (1, 2, "abcdezzz"), (1, 3, "日本語"), (2, 0, "éèêë"), (2, 1, "éèab"), (2, 2, "éèêabcde")]
+    rows += [(3, 0, "abcd"), (3, 1, None), (3, 2, "abcx"), (3, None, "abcy"), (4, 0, None), (4, 1, "abcd"), (5, 0, None), (5, 1, ""), (5, 2, "a"), (6, 0, ""), (6, 1, None), (7, None, "abcd"), (7, 3, "wxyz"), (None, 1, "a")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in c.execute(registry.ORACLES["judged_context_scores"]).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in registry.QUERIES["judged_context_scores"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 8 and want[1] == (0.5, 1.0)
