@@ -132,9 +132,39 @@ def best(about: np.ndarray, most: int, slack: float | np.ndarray = 0.0) -> tuple
     return rows, columns
 
 
-def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip", within: bool = False) -> DataFrame:
+def capped(about: np.ndarray, codes: np.ndarray, most: int, cap: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`best` where at most `cap` columns of a document count; `codes` are the columns' documents, 0 and up, ascending.
+
+    Each document's greatest number counts, so the last of the `most` among these is no greater than the row's. Of what reaches it each
+    document's greatest are taken out `cap` times, equal ones together, and what is below the last is left out.
+    """
+    n, found = about.shape[1], []
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    step = max(TILE // (8 * n), 1)
+    for at in range(0, len(about), step):
+        some, room = about[at : at + step], slack[at : at + step]
+        tops = np.maximum.reduceat(some, starts, axis=1)
+        bar = np.partition(tops, -most, axis=1)[:, -most] if len(starts) >= most else np.full(len(some), -np.inf)
+        flat = np.flatnonzero(some >= (bar - room)[:, None])
+        rows, columns = np.divmod(flat, n)
+        groups = rows * len(starts) + codes[columns]
+        begins = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        sizes = np.diff(np.r_[begins, len(groups)])
+        left = some.ravel()[flat]
+        for _ in range(cap):
+            last = np.repeat(np.maximum.reduceat(left, begins), sizes)
+            left[left == last] = -np.inf
+        keep = some.ravel()[flat] >= last - room[rows]
+        found.append((at + rows[keep], columns[keep]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "ip", within: bool = False, per_document: int | None = None) -> DataFrame:
     """query_id, id, document, score: for each query the `most` best of each tile of the corpus, a superset of the best of all.
 
+    With `per_document` they are the best of which no more than so many share a document. A row that is among the `most` of the whole
+    corpus under this cap is among those of its tile: of each document no more rows that count stand before it there.
+
     corpus: id, document, embedding; queries: query_id, embedding. Ties: least id. Null embeddings are nobody's hit and have none.
     With `within` only vectors of the query's document (queries have a column document too), other than itself, are hits.
 
@@ -146,12 +176,17 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {fields['id']}, document {fields['document']}, score double"
+    cap = per_document if per_document is not None and per_document < most else None  # a larger one never binds
 
     def work(q: pd.DataFrame, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, block = q["query_id"].to_numpy(), _prepared(np.array(q["embedding"].to_list(), float), metric)
         places = q["document"].to_numpy() if within else None
         for pdf in gathered(parts, CORPUS_NUMBERS):
             pdf = pdf.sort_values("id", kind="stable")
+            if cap is not None:
+                codes = pd.factorize(pdf["document"], use_na_sentinel=False)[0]
+                order = np.argsort(codes, kind="stable")  # by document; a column's number here is its place by id
+                pdf, codes = pdf.iloc[order], codes[order]
             ids, documents = pdf["id"].to_numpy(), pdf["document"].to_numpy()
             vecs = _prepared(np.stack(pdf["embedding"].to_numpy()).astype(float), metric)
             del pdf
@@ -165,12 +200,19 @@ def candidates(corpus: DataFrame, queries: DataFrame, most: int, metric: str = "
                 about, slack = products(some, vecs, squares, longest, metric)
                 if within:
                     about[(places[at : at + step, None] != documents[None, :]) | (names[at : at + step, None] == ids[None, :])] = -np.inf
-                rows, columns = best(about, most, slack)
+                rows, columns = best(about, most, slack) if cap is None else capped(about, codes, most, cap, slack)
                 if within:
                     fit = about[rows, columns] > -np.inf
                     rows, columns = rows[fit], columns[fit]
                 del about
-                rows, columns, score = cut(some, vecs, rows, columns, most, metric)
+                if cap is None:
+                    rows, columns, score = cut(some, vecs, rows, columns, most, metric)
+                else:
+                    score = exact(some, vecs, rows, columns, metric)
+                    keep = np.sort(first(rows * (codes[-1] + 1) + codes[columns], order[columns], score, cap))
+                    rows, columns, score = rows[keep], columns[keep], score[keep]
+                    keep = first(rows, order[columns], score, most)
+                    rows, columns, score = rows[keep], columns[keep], score[keep]
                 made.append(pd.DataFrame({"query_id": names[at + rows], "id": ids[columns], "document": documents[columns], "score": score}))
                 n += len(rows)
                 if n > GIVEN // 2:
@@ -203,13 +245,19 @@ def products(queries: np.ndarray, vecs: np.ndarray, squares: np.ndarray, longest
 
 def cut(queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, columns: np.ndarray, most: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of named pairs, by row, the `most` best of each row (columns are in the order of ids), with their scores."""
+    score = exact(queries, vecs, rows, columns, metric)
+    keep = first(rows, columns, score, most)
+    return rows[keep], columns[keep], score[keep]
+
+
+def exact(queries: np.ndarray, vecs: np.ndarray, rows: np.ndarray, columns: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of named pairs, one by one."""
     score = np.empty(len(rows))
     step = max(TILE // max(vecs.shape[1], 1), 1)
     for a in range(0, len(rows), step):
         x, y = queries[rows[a : a + step]], vecs[columns[a : a + step]]
         score[a : a + step] = -((y - x) ** 2).sum(axis=1) if metric == "l2" else (x * y).sum(axis=1)
-    keep = first(rows, columns, score, most)
-    return rows[keep], columns[keep], score[keep]
+    return score
 
 
 def first(rows: np.ndarray, columns: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
@@ -219,18 +267,25 @@ def first(rows: np.ndarray, columns: np.ndarray, score: np.ndarray, most: int) -
     return order[np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < most]
 
 
+def over_fetch(k: int, per_document: int) -> int:
+    """How many of a query's best rows a bounded search with a cap looks at."""
+    return max(4 * k * max(per_document, 1), k)
+
+
 def search(
-    corpus: DataFrame, queries: DataFrame, k: int = 8, floor: float | None = None, per_document: int | None = None, metric: str = "ip"
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, k: int = 8, floor: float | None = None, per_document: int | None = None, metric: str = "ip", among: int | None = None
+) -> DataFrame:
     """query_id, id, document, score, rank (from 0): score floor, then cap per document, then the best k.
 
-    With a cap, filters see the min(n, max(4 * k * max(cap, 1), k)) best rows of a query, as many as a
-    bounded over-fetch gives.
+    The floor and the cap see all rows of the corpus, or with `among` only so many of a query's best, as a bounded over-fetch gives.
     """
-    wide = max(4 * k * max(per_document, 1), k) if per_document is not None else k
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    # each task ranks its own rows before they are shuffled
-    rows = candidates(corpus, queries, wide, metric).withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= wide)
+    if per_document is None or among is not None:
+        wide = k if among is None else among
+        # each task ranks its own rows before they are shuffled
+        rows = candidates(corpus, queries, wide, metric).withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= wide)
+    else:
+        rows = candidates(corpus, queries, k, metric, per_document=max(per_document, 1)).repartition("query_id")  # both windows lie in it
     if floor is not None:
         rows = rows.filter(F.col("score") >= floor)
     if per_document is not None:

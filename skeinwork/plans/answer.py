@@ -34,7 +34,7 @@ def gated_answers(
     """
     screened = questions.withColumn("refusal", safety.screen(F.col("question")))
     open_ = screened.filter(F.col("refusal").isNull())
-    hits = dense.search(corpus, open_.select(F.col("question_id").alias("query_id"), "embedding"), k, floor, per_document)
+    hits = dense.search(corpus, open_.select(F.col("question_id").alias("query_id"), "embedding"), k, floor, per_document, among=dense.over_fetch(k, per_document))
     texts = fusion.lookup(hits.select("query_id", "id", "score", "rank"), chunks.select("id", "source_type", "document", "section", "text"))
     lists = texts.groupBy(F.col("query_id").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "source_type", "document", "section", "text"))).alias("hits"))
     prompt = F.concat(F.lit("Passages:\n"), T.evidence(F.col("hits")), F.lit("\n\nQuestion: "), F.col("question"))

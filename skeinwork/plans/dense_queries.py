@@ -79,8 +79,7 @@ def _centered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CENTERED},
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS document, list_inner_product(q.embedding, c.embedding) AS score
       FROM v q, v c WHERE q.vec_id % 20 = 0),
-w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM s),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, id) AS within FROM w WHERE pos <= {4 * K * CAP} AND score >= {FLOOR}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, id) AS within FROM s WHERE score >= {FLOOR}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM f WHERE within <= {CAP})
 SELECT query_id, id, document, round(score, 6) AS score, rank FROM r WHERE rank < {K}""")
 def vec_topk_centered_floor_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

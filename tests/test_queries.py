@@ -69,3 +69,16 @@ def test_judged_contexts_are_compared_by_bytes(spark, tmp_path):
     want = {r[0]: r[1:] for r in c.execute(registry.ORACLES["judged_context_scores"]).fetchall()}
     got = {r[0]: tuple(r[1:]) for r in registry.QUERIES["judged_context_scores"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == 8 and want[1] == (0.5, 1.0)
+
+
+def test_top_lists_with_a_cap_leave_no_candidate_out(spark, tmp_path):
+    rows = [(i, [1.0 + i / 1e4, 0.1], 0) for i in range(120)] + [(200 + i, [0.9, 0.2 + i / 1e3], 1 + i // 2) for i in range(12)] + [(300 + i, [-1.0, -0.5 - i / 1e3], 9) for i in range(140)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "vec_topk_centered_floor_cap"
+    want = sorted(map(tuple, c.execute(registry.ORACLES[name]).fetchall()))
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    plain_rows = lambda found: sorted((q, i, d, round(s, 5), k) for q, i, d, s, k in found)
+    assert plain_rows(map(tuple, got.collect())) == plain_rows(want)
+    assert [r["document"] for r in got.filter("query_id = 0").orderBy("rank").collect()] == [0, 0, 0, 1, 1, 2, 2, 3]

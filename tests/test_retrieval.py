@@ -635,3 +635,52 @@ def test_searches_do_not_share_the_tasks_that_rank_them(spark, name, searches):
     assert got.count()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= searches
+
+
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_a_cap_sees_all_rows(spark, metric, monkeypatch):
+    rng = np.random.default_rng(11)
+    near = np.array([1.0, 0, 0, 0]) + rng.normal(size=(400, 4)).round(2) / 50
+    vecs = np.concatenate([near, near[:40], rng.normal(size=(200, 4)).round(1)])
+    documents = ["hot"] * 430 + [None] * 10 + [f"d{i % 60}" for i in range(200)]
+    ids_ = rng.permutation(len(vecs))
+    rows = [(int(i), d, [float(x) for x in v]) for i, d, v in zip(ids_, documents, vecs)] + [(9_000, "hot", None)]
+    c = spark.createDataFrame(rows, "id long, document string, embedding array<double>").repartition(3)
+    q = c.filter("id % 40 = 0 and embedding is not null").select(F.col("id").alias("query_id"), "embedding")
+    asked = {r["query_id"]: np.array(r["embedding"]) for r in q.collect()}
+
+    def plain(v, floor, cap):
+        unit = (lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)) if metric == "cosine" else (lambda m: m)
+        x, y = unit(v), unit(vecs)
+        score = -((y - x) ** 2).sum(axis=1) if metric == "l2" else (x * y).sum(axis=1)
+        taken, out = {}, []
+        for n in sorted(range(len(vecs)), key=lambda n: (-score[n], ids_[n])):
+            taken[documents[n]] = taken.get(documents[n], 0) + 1
+            if (floor is None or score[n] >= floor) and taken[documents[n]] <= cap:
+                out.append(int(ids_[n]))
+        return out[:8]
+
+    for tile, block, floor, cap in ((2_000_000, 2_000_000, None, 3), (4_000, 2_000_000, -0.5, 1), (4_000, 20, None, 3), (4_000, 2_000_000, 0.9, 20), (4_000, 2_000_000, None, 0)):
+        monkeypatch.setattr(dense, "TILE", tile)
+        monkeypatch.setattr(dense, "BLOCK_NUMBERS", block)
+        monkeypatch.setattr(dense, "CORPUS_NUMBERS", 4_000_000 if block > 20 else 800)
+        got = dense.search(c, q, 8, floor, cap, metric).orderBy("query_id", "rank").collect()
+        for n, v in asked.items():
+            assert [r["id"] for r in got if r["query_id"] == n] == plain(v, floor, cap)
+    # as many as a bounded over-fetch gives, where that is asked for
+    bounded = dense.search(c, q, 8, None, 3, metric, among=dense.over_fetch(8, 3)).groupBy("query_id").count()
+    assert dense.over_fetch(8, 3) == 96 and (metric == "ip" or bounded.agg(F.min("count")).first()[0] < 8)
+
+
+def test_capped_scores_few_numbers_again():
+    rng = np.random.default_rng(12)
+    codes = np.sort(np.r_[np.zeros(5_000, int), rng.integers(0, 40, 5_000)])
+    about = rng.normal(size=(20, 10_000)) + 3 * (codes == 0)
+    rows, columns = dense.capped(about, codes, 8, 3, np.full(20, 1e-9))
+    assert len(rows) < 20 * 40 and sorted(set(rows)) == list(range(20))
+    for n in range(20):
+        taken, want = {}, []
+        for i in np.argsort(-about[n]):
+            taken[codes[i]] = taken.get(codes[i], 0) + 1
+            want += [i] if taken[codes[i]] <= 3 else []
+        assert set(want[:8]) <= set(columns[rows == n])
