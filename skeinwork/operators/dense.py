@@ -267,9 +267,9 @@ def first(rows: np.ndarray, columns: np.ndarray, score: np.ndarray, most: int) -
     return order[np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < most]
 
 
-def over_fetch(k: int, per_document: int) -> int:
-    """How many of a query's best rows a bounded search with a cap looks at."""
-    return max(4 * k * max(per_document, 1), k)
+def over_fetch(k: int, per_document: int | None) -> int:
+    """How many of a query's best rows a bounded search with a cap looks at; k without a cap."""
+    return max(4 * k * max(per_document, 1), k) if per_document is not None else k
 
 
 def search(
